@@ -26,9 +26,9 @@ p AS (SELECT d.rid, d.doc_id, d.size, s.source_size, s.target, s.rk,
 q AS (SELECT rk, source_size AS z, ceil(source_size / 512)::BIGINT AS n, floor(target)::BIGINT AS want FROM s WHERE source_size > 0),
 g AS (SELECT *, (want // z) * n + ceil((want % z) / 512)::BIGINT AS slots FROM q),
 i AS (SELECT rk, z, n, want, unnest(range(slots)) AS i FROM g),
-j AS (SELECT *, i // n AS turn, i % n AS at, 17 + rk * 7919 + (i // n) * 1299709 AS k FROM i),
-slot AS (SELECT rk, CASE WHEN at = n - 1 THEN n - 1 ELSE {_SWAP.format(x="at", k="k", n="greatest(n - 1, 1)")} END AS block,
-  least(CASE WHEN at = n - 1 THEN z - (n - 1) * 512 ELSE 512 END, want - turn * z - at * 512) AS take FROM j),
+j AS (SELECT *, i // n AS turn, i % n AS pos, 17 + rk * 7919 + (i // n) * 1299709 AS k FROM i),
+slot AS (SELECT rk, CASE WHEN pos = n - 1 THEN n - 1 ELSE {_SWAP.format(x="pos", k="k", n="greatest(n - 1, 1)")} END AS block,
+  least(CASE WHEN pos = n - 1 THEN z - (n - 1) * 512 ELSE 512 END, want - turn * z - pos * 512) AS take FROM j),
 piece AS (SELECT *, unnest(range(start // 512, (start + size - 1) // 512 + 1)) AS block FROM p WHERE size > 0),
 u AS (SELECT piece.rid, sum(greatest(least(least(start + size - piece.block * 512, 512), take) - greatest(start - piece.block * 512, 0), 0)) AS taken
   FROM piece JOIN slot ON piece.rk = slot.rk AND piece.block = slot.block GROUP BY piece.rid)
