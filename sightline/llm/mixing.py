@@ -140,7 +140,7 @@ def taken_words(slots: DataFrame, placed: DataFrame, block_words: int = 512) ->
     pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0))
     end = F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words))
-    used = F.greatest(F.least(end, F.col("take")) - begin, F.lit(0))
+    used = F.greatest(F.least(end, F.coalesce("take", F.lit(0))) - begin, F.lit(0))
     joined = pieces.join(slots.select("source_rank", "block", "take"), ["source_rank", "block"], "left")
     counted = joined.groupBy("doc_id", "size", "source_size", "target", "source_rank", "start").agg(F.coalesce(F.sum(used), F.lit(0)).cast("long").alias("taken"))
     out = ["doc_id", "size", "source_size", "target", "taken"]
