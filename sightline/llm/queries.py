@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sightline.llm import chat, mixing, oracles, quality_rules, sharding
+from sightline.llm import chat, decontaminate, mixing, oracles, quality_rules, sharding
 from sightline.llm.common import materialize
 from sightline.sources import read_table
 
 CHAT_EXTRA = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots, placed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixing.taken_words(slots, placed)
@@ -35,7 +39,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_sharding": op4_sharding, "op8_quality_rules": op8_quality_rules}
+    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_sharding": op4_sharding, "op8_quality_rules": op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
