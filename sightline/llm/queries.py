@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sightline.llm import chat, decontaminate, mixing, oracles, quality_rules, sharding
+from sightline.llm import chat, decontaminate, language_id, mixing, oracles, quality_rules, sharding, token_counts
 from sightline.llm.common import materialize
 from sightline.sources import read_table
 
@@ -32,6 +32,23 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read_table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    predicted = language_id.predict(docs, language_id.fit(docs))
+    return predicted.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts every document, then again after two edits: one cuts up to 12 characters somewhere inside and puts a phrase
+    there, one adds the document's source at the end."""
+    docs = read_table(spark, sf_dir, "documents")
+    place = F.pmod(F.xxhash64("doc_id"), F.length("text") + 1)
+    edit = lambda start, stop, insert: F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), insert.alias("insert"))
+    end = F.length("text") + 100
+    edits = F.array(edit(place, place + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(13)), F.lit(" a revised phrase,")), edit(end, end, F.concat(F.lit("\n"), F.coalesce("source", F.lit("")))))
+    return token_counts.count_tokens(docs.withColumn("edits", edits))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = materialize(quality_rules.statistics(read_table(spark, sf_dir, "documents")), "quality-stats")
     judged = quality_rules.judge(stats, quality_rules.learn(stats, read_table(spark, sf_dir, "labels")))
@@ -39,7 +56,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_sharding": op4_sharding, "op8_quality_rules": op8_quality_rules}
+    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_sharding": op4_sharding, "op6_language_id": op6_language_id, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
