@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sightline.llm import chat, decontaminate, language_id, mixing, near_dedup, oracles, quality_rules, sharding, suffix_dedup, token_counts
+from sightline.llm import chat, decontaminate, language_id, mixing, near_dedup, oracles, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts
 from sightline.llm.common import materialize
 from sightline.sources import read_table
 
@@ -59,12 +59,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), size=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_sharding": op4_sharding, "op5_suffix_dedup": op5_suffix_dedup, "op6_language_id": op6_language_id, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op10_near_dedup": op10_near_dedup}
+    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_sharding": op4_sharding, "op5_suffix_dedup": op5_suffix_dedup, "op6_language_id": op6_language_id, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op9_substring_dedup": op9_substring_dedup, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
