@@ -131,6 +131,21 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accept(docs: DataFrame, profiles: dict[str, list[int]], min_score: float = 0.2, top: int = TOP) -> DataFrame:
+    """The rows of ``docs``, whole, whose text is in one of the profiles' languages: not ``und``, and a score from ``min_score`` on.
+
+    A text in a language that was not learned shares hardly an n-gram with any profile and scores near 0.
+    """
+    model, at = Profiles(profiles, top), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.predict(g, n) for _, texts in _texts(batch, at) for g, n in grams_by_row(texts)]
+            yield batch.filter(pa.array([lang != "und" and score >= min_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether crc32 of doc_id as text, modulo 4, is 2; false for a null doc_id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

@@ -81,7 +81,8 @@ def slot_table(sources: DataFrame, block_words: int, slots_per_shard: int, seed:
     base = F.coalesce(F.sum("slots").over(W.orderBy("source_rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     s = s.withColumn("base", base).withColumn("all_slots", F.sum("slots").over(W.partitionBy(F.lit(0))))
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK).cast("long")))
-    s = s.select("*", chunk.alias("chunk")).repartition("source_rank", "chunk")
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that small chunk rows are not drawn together
+    s = s.select("*", chunk.alias("chunk")).repartition(parts, "source_rank", "chunk")
     last = F.least(F.col("slots") - 1, F.col("chunk") * CHUNK + (CHUNK - 1))
     s = s.select("*", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("i"))
     turn, at, short = F.floor(F.col("i") / F.col("n")).cast("long"), F.col("i") % F.col("n"), F.col("n") - 1
@@ -141,7 +142,22 @@ def taken_words(slots: DataFrame, placed: DataFrame, block_words: int = 512) ->
     begin = F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0))
     end = F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words))
     used = F.greatest(F.least(end, F.coalesce("take", F.lit(0))) - begin, F.lit(0))
-    joined = pieces.join(slots.select("source_rank", "block", "take"), ["source_rank", "block"], "left")
+    # the size of exploded slots is not known to the planner, which must not broadcast them
+    joined = pieces.join(slots.select("source_rank", "block", "take").hint("merge"), ["source_rank", "block"], "left")
     counted = joined.groupBy("doc_id", "size", "source_size", "target", "source_rank", "start").agg(F.coalesce(F.sum(used), F.lit(0)).cast("long").alias("taken"))
     out = ["doc_id", "size", "source_size", "target", "taken"]
     return counted.select(out).unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(out))
+
+
+def mixed_documents(docs: DataFrame, block_words: int = 512, **options) -> DataFrame:
+    """The mix as whole rows of ``docs``: each document as often as the mix takes its words, to the nearest whole number.
+
+    Documents without words, and those that the mix passes over, have no rows. Rows of one doc_id share their count; rows with
+    a null doc_id are left out.
+    """
+    slots, placed = mix(docs, block_words=block_words, **options)
+    taken = taken_words(slots, placed, block_words).filter("size > 0 and doc_id is not null")
+    times = taken.groupBy("doc_id").agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_times")).filter("_times > 0")
+    times = times.withColumnRenamed("doc_id", "_mixed")
+    again = docs.join(times, F.col("doc_id") == F.col("_mixed")).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return again.select(docs.columns)

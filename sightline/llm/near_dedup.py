@@ -19,7 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from sightline.llm.common import MIX1, MIX2, materialize, mix64, slices, text_buffers, window_hashes, words_of
 from sightline.llm.components import components
@@ -191,3 +191,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     by_class = by_class.select("k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("c"))
     out = known.join(by_class, ["k1", "k2", "n_shingles"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the least document of each group of near-duplicates; of a repeated doc_id one row stays (the least text),
+    rows with a null doc_id all stay."""
+    kept = near_duplicates(docs, **options).filter("kept and doc_id is not null").select("doc_id").distinct()
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(*[F.col(c) for c in ["text", *[c for c, t in docs.dtypes if c not in ("doc_id", "text") and t[:3] != "map"]]]))
+    real = docs.join(kept, "doc_id", "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first")
+    return real.select(docs.columns).unionByName(docs.filter("doc_id is null"))
