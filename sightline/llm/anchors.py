@@ -105,8 +105,8 @@ def _send(units: Units, window: int, k: int, buckets: int):
                 to = bucket[at] if way == 0 else (doc[at] % buckets)
                 at = at[np.argsort(to, kind="stable")]
                 to = bucket[at] if way == 0 else (doc[at] % buckets)
-                cuts = groups_of(to)
-                for a, b in zip(cuts, np.append(cuts[1:], len(at)), strict=True):
+                bounds = np.append(groups_of(to), len(at))
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     s = at[a:b]
                     steps = np.diff(h[s], prepend=np.uint64(0)) if way == 0 else np.zeros(0, dtype=np.uint64)
                     out.append((int(to[a]), way, pack(steps, doc[s], np.where(known[s], -1, place[s]).astype(np.int32) if way == 0 else place[s])))
