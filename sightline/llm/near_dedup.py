@@ -8,8 +8,8 @@ where unrelated documents hardly meet: a node of at most ``LEAF`` documents is c
 to the next level.
 
 Documents with the same set are one class before all this. Each member of a node is first confirmed against the node's
-least member; the components of these links then leave only pairs between different components to compare, so a group of copies costs
-work in proportion to its size, and no link between two components is lost in a node. Every link is confirmed on the full sets.
+least member; the components of these links then leave only pairs between different components to compare, pair by pair in small
+nodes and in blocks of members in large ones, so no link between two components is lost in a node. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ TREES = 32
 LEVELS = (5, 7)
 LEAF = 32
 PER_SALT = 2000
+BLOCK = 1024
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -151,6 +152,81 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return rows.mapInArrow(_compare(size, percent), "a long, b long")
 
 
+def _open_nodes(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, rep, n, c, size): members, with component, of the nodes that hold several components."""
+    placed = nodes.filter("final").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    split = placed.groupBy("node").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).filter("c0 < c1")
+    return placed.join(split.select("node", "size"), "node")
+
+
+class _Block:
+    """Sets of the members of one block, found by shingle."""
+
+    def __init__(self) -> None:
+        self.sets: list[np.ndarray] = []
+        self.reps: list[int] = []
+        self.components: list[int] = []
+        self.ready = False
+
+    def add(self, s: np.ndarray, rep: int, component: int) -> None:
+        self.sets.append(s)
+        self.reps.append(rep)
+        self.components.append(component)
+
+    def similar(self, s: np.ndarray, component: int, percent: int) -> list[int]:
+        """Members of other components whose sets are similar enough to ``s``."""
+        if not self.ready:
+            every = np.concatenate(self.sets) if self.sets else s[:0]
+            owner = np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])
+            order = np.argsort(every, kind="stable")
+            self.owner, self.ready = owner[order], True
+            self.keys, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
+            self.n, self.c = np.array([len(x) for x in self.sets], dtype=np.int64), np.array(self.components, dtype=np.int64)
+        if not len(self.keys):
+            return []
+        k = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+        k = k[self.keys[k] == s]
+        n = self.count[k]
+        post = np.repeat(self.first[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(k) else k
+        shared = np.bincount(self.owner[post], minlength=len(self.sets))
+        hit = (100 * shared >= percent * (self.n + len(s) - shared)) & (shared > 0) & (self.c != component)
+        return [self.reps[i] for i in np.flatnonzero(hit)]
+
+
+def _compare_blocks(size: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, block = None, _Block()
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            nodes, parts, sides, reps, components_ = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            data, offsets = text_buffers(batch.column(5))
+            for a, b in slices(offsets):
+                for r, s in enumerate(shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size), a):
+                    if (nodes[r], parts[r]) != group:
+                        group, block = (nodes[r], parts[r]), _Block()
+                    if sides[r] == 0:  # the block comes first
+                        block.add(s, int(reps[r]), int(components_[r]))
+                    else:
+                        found += [(rep, int(reps[r])) for rep in block.similar(s, components_[r], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _confirm_in_blocks(placed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components of large nodes, without a row for each pair: the members outside a node's largest component are dealt
+    to blocks of about BLOCK, and all members of the node pass by each block."""
+    main = placed.groupBy("node", "c").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", F.col("c").alias("main"))).alias("m"), F.sum("k").alias("all"))
+    main = main.select("node", F.col("m.main").alias("main"), F.floor((F.col("all") - F.col("m.k")) / BLOCK).cast("int").alias("last"))
+    placed = placed.join(main, "node")
+    own = placed.filter("c <> main").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("last") + 1).cast("int")).withColumn("side", F.lit(0))
+    passing = placed.withColumn("part", F.explode(F.sequence(F.lit(0), "last"))).withColumn("side", F.lit(1))
+    rows = own.unionByName(passing).select("node", "part", "side", "rep", "c")
+    rows = rows.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("node", "part", "side", "rep", "c", "text")
+    rows = rows.repartition("node", "part").sortWithinPartitions("node", "part", "side", "rep")
+    return rows.mapInArrow(_compare_blocks(size, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: int = TREES, levels: tuple[int, ...] = LEVELS, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -177,14 +253,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     links = materialize(confirm(first, texts, size, percent), "near-links")
     found = components(links.unionByName(same_id))
     # pairs between components that still share a node
-    placed = nodes.filter("final").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("node").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("node")
-    placed = materialize(placed.join(split, "node"), "near-open")
-    x, y = (placed.select("node", *[F.col(c).alias(f"{c}{k}") for c in ("rep", "n", "c")]) for k in (0, 1))
+    placed = materialize(_open_nodes(nodes, found), "near-open")
+    small = placed.filter(F.col("size") <= leaf)
+    x, y = (small.select("node", *[F.col(c).alias(f"{c}{k}") for c in ("rep", "n", "c")]) for k in (0, 1))
     rest = x.join(y, "node").filter((F.col("c0") < F.col("c1")) & close(F.col("n0"), F.col("n1")))
     rest = rest.select(F.least("rep0", "rep1").alias("a"), F.greatest("rep0", "rep1").alias("b")).distinct()
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "near-pairs")
-    more = confirm(rest, texts, size, percent)
+    more = confirm(rest, texts, size, percent).unionByName(_confirm_in_blocks(placed.filter(F.col("size") > leaf), texts, size, percent))
     found = components(links.unionByName(same_id).unionByName(more))
 
     by_class = classes.select("k1", "k2", "n", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
