@@ -32,3 +32,10 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+def _load() -> None:
+    from sightline.plans import log_queries  # noqa: F401
+
+
+_load()
