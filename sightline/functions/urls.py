@@ -10,6 +10,11 @@ _SCHEME, _AUTHORITY, _PATH, _QUERY, _FRAGMENT = range(1, 6)
 TRACKING_KEYS = ["fbclid", "gclid"]
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with ``value`` computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _PARTS, group)
 
@@ -106,9 +111,12 @@ def _is_http(url: Column) -> Column:
 
 def http_url(raw: Column, base: Column) -> Column:
     """Resolved http(s) URL: lower-case host, no default port, no fragment, / for an empty path; else null."""
-    url = resolve(base, F.trim(raw))
-    shown = F.concat(scheme(url), F.lit("://"), _netloc(url), F.when(path(url) == "", F.lit("/")).otherwise(path(url)), F.when(query(url) == "", F.lit("")).otherwise(F.concat(F.lit("?"), query(url))))
-    return F.when((F.trim(raw) != "") & _is_http(url), shown)
+
+    def form(url: Column) -> Column:
+        shown = F.concat(scheme(url), F.lit("://"), _netloc(url), F.when(path(url) == "", F.lit("/")).otherwise(path(url)), F.when(query(url) == "", F.lit("")).otherwise(F.concat(F.lit("?"), query(url))))
+        return F.when(_is_http(url), shown)
+
+    return F.when(F.trim(raw) != "", let(let(F.trim(raw), lambda r: resolve(base, r)), form))
 
 
 def decode(text: Column) -> Column:
@@ -140,8 +148,12 @@ def _with_query(front: Column, text: Column) -> Column:
 
 def asset_url(observed: Column) -> Column:
     """An ``http_url`` with its query pairs in order and none dropped."""
-    front = F.concat(scheme(observed), F.lit("://"), authority(observed), path(observed))
-    return _with_query(front, join_pairs(F.array_sort(pairs(query(observed)))))
+
+    def form(url: Column) -> Column:
+        front = F.concat(scheme(url), F.lit("://"), authority(url), path(url))
+        return _with_query(front, join_pairs(F.array_sort(pairs(query(url)))))
+
+    return let(observed, form)
 
 
 def _is_tracking(key: Column) -> Column:
@@ -150,11 +162,14 @@ def _is_tracking(key: Column) -> Column:
 
 def crawl_url(raw: Column, base: Column) -> Column:
     """Crawl identity: an ``http_url`` without userinfo, tracking pairs or final slashes, with its query pairs in order."""
-    url = resolve(base, F.trim(raw))
-    trimmed = F.regexp_replace(path(url), "/+$", "")
-    front = F.concat(scheme(url), F.lit("://"), _netloc(url), F.when(trimmed == "", F.lit("/")).otherwise(trimmed))
-    kept = F.array_sort(F.filter(pairs(query(url)), lambda p: ~_is_tracking(p["key"])))
-    return F.when((F.trim(raw) != "") & _is_http(url) & userinfo(url).isNull(), _with_query(front, join_pairs(kept)))
+
+    def form(url: Column) -> Column:
+        trimmed = F.regexp_replace(path(url), "/+$", "")
+        front = F.concat(scheme(url), F.lit("://"), _netloc(url), F.when(trimmed == "", F.lit("/")).otherwise(trimmed))
+        kept = F.array_sort(F.filter(pairs(query(url)), lambda p: ~_is_tracking(p["key"])))
+        return F.when(_is_http(url) & userinfo(url).isNull(), _with_query(front, join_pairs(kept)))
+
+    return F.when(F.trim(raw) != "", let(let(F.trim(raw), lambda r: resolve(base, r)), form))
 
 
 def comparable(url: Column) -> Column:
