@@ -35,7 +35,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from sightline.plans import html_queries, log_queries, url_queries  # noqa: F401
+    from sightline.plans import case_queries, html_queries, log_queries, url_queries  # noqa: F401
 
 
 _load()
