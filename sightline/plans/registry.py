@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sightline.sources import read_table
+from sightline.functions import urls
+from sightline.plans import bindings
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -22,20 +23,20 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages")
-    return pages.groupBy(F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host")).agg(F.count("*").alias("n_pages"))
+    """Links per host and crawl identity: from markup to canonical targets to a count."""
+    links = bindings.anchors(spark, sf_dir).withColumn("crawl_url", urls.crawl_url(F.col("href"), F.col("url")))
+    return links.groupBy("case_id", "crawl_url").agg(F.count("*").alias("n_links"), F.count_distinct("page_id").alias("n_pages"))
+
+
+def _load() -> None:
+    from sightline.plans import case_queries, graph_queries, html_queries, log_queries, url_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
-
-
-def _load() -> None:
-    from sightline.plans import case_queries, html_queries, log_queries, url_queries  # noqa: F401
-
-
-_load()
