@@ -92,6 +92,8 @@ def band_align(segment: np.ndarray, region: np.ndarray, most: int) -> tuple[int,
         return 0, text // 4, text // 4 + m
     far = most + 1
     slack = n - m + most
+    if slack < 0:
+        return None
     row, begin = [0] * (n + 1), list(range(n + 1))
     for i in range(1, m + 1):
         lo, hi = max(1, i - most), min(n, i + slack)

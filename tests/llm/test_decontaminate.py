@@ -73,3 +73,16 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a passage that is long enough to be found")], "item_id long, text string")
     assert dec.leaks(cases.frame(spark, []), bench).count() == 0
     assert dec.leaks(cases.frame(spark, cases.rows()), bench.limit(0)).count() == 0
+
+
+def test_alignment_equals_full_table():
+    import numpy as np
+
+    rng = random.Random(1)
+    for _ in range(400):
+        segment = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 16)))
+        region = "".join(rng.choice("abc") for _ in range(rng.randrange(0, 24)))
+        most = rng.randrange(5)
+        codes = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in (segment, region)]
+        got, want = dec.band_align(*codes, most), distance(segment, region)
+        assert (got is None) == (want > most) and (got is None or got[0] == want)
