@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sightline.llm.common import slices, text_buffers
 
+ANCHORS = 1 << 20  # about as many meet in a bucket at most
 NO_ID = np.int64((1 << 63) - 1)
 #: (bytes, offsets) of some rows -> (k-gram hashes, row of each, place of each in its row, units of each row); hash 2**64-1: none.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -27,16 +28,19 @@ NONE = np.uint64((1 << 64) - 1)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Compresses arrays byte plane by byte plane, so that high bytes that are all alike cost nothing."""
     parts = [np.ascontiguousarray(a) for a in arrays]
     head = struct.pack(f"<{len(parts)}q", *(p.nbytes for p in parts))
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(p.tobytes() for p in parts))
+    planes = (p.view(np.uint8).reshape(-1, p.itemsize).T.tobytes() if p.size else b"" for p in parts)
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
 
 
 def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(blob)
     sizes, out, at = struct.unpack_from(f"<{len(kinds)}q", data), [], 8 * len(kinds)
     for size, kind in zip(sizes, kinds, strict=True):
-        out.append(np.frombuffer(data, dtype=kind, count=size // np.dtype(kind).itemsize, offset=at))
+        planes = np.frombuffer(data, dtype=np.uint8, count=size, offset=at).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += size
     return out
 
@@ -81,12 +85,13 @@ def groups_of(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.zeros(0, dtype=np.int64)
 
 
-def _send(units: Units, window: int, k: int, buckets: int):
+def _send(units: Units, window: int, k: int, buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             h, row, place = places(*text_buffers(batch.column(1)), units, window, k)
             doc, place = ids[row] if len(row) else np.zeros(0, dtype=np.int64), place.astype(np.int32)
+            h = h >> np.uint64(64 - bits)
             order = np.argsort(h, kind="stable")
             h, doc, place = h[order], doc[order], place[order]
             first = groups_of(h)
@@ -167,25 +172,37 @@ def bucket_count(docs: DataFrame, bucket_bytes: int) -> int:
 
 
 def repeated_anchors(docs: DataFrame, units: Units, window: int, k: int, buckets: int) -> DataFrame:
-    """key, places: where each document (key, text) has an anchor whose k-gram also occurs in another document."""
-    sent = docs.select("key", "text").mapInArrow(_send(units, window, k, buckets), "bucket int, way int, blob binary")
+    """key, places: where each document (key, text) has an anchor whose k-gram also occurs in another document.
+
+    Hashes are cut to what tells the anchors of all buckets apart but for one in some thousands; a chance meeting only
+    makes later steps look at a place in vain.
+    """
+    bits = min(64, 14 + int(buckets * ANCHORS).bit_length())
+    sent = docs.select("key", "text").mapInArrow(_send(units, window, k, buckets, bits), "bucket int, way int, blob binary")
     told = shuffled(sent).mapInArrow(_answer, "key long, places array<int>")
     return told.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, key, tag: key orders documents; tag tells rows of one doc_id with different texts apart."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumns({"key": doc_key(), "tag": F.xxhash64("text").cast("long")})
+    """key, tag, text: key orders documents; tag tells rows of one doc_id with different texts apart."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(doc_key().alias("key"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
 SPANS = "key long, tag long, start int, stop int"
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` (of ``keyed``) with the column spans, array<struct<start,stop>>."""
-    lists = spans.groupBy("key", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return docs.join(lists, ["key", "tag"], "left").select("doc_id", "text", "spans")
+    """``docs`` (of ``keyed``) with the column spans, array<struct<tag,start,stop>>, of all rows with its key.
+
+    Both this join and the one with ``repeated_anchors`` are on key alone, so Spark moves the texts once.
+    """
+    lists = spans.groupBy("key").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))
+    return docs.join(lists, "key", "left").select("key", "tag", "text", "spans")
+
+
+def doc_ids(keys: pa.Array) -> pa.Array:
+    return pa.array(keys.to_numpy(zero_copy_only=False), mask=keys.to_numpy(zero_copy_only=False) == NO_ID)
 
 
 def covered(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -196,9 +213,10 @@ def covered(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:n]) > 0
 
 
-def span_lists(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(starts, stops) of each row's spans; none where the list is null."""
+def span_lists(tags: pa.Array, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, stops) of the spans with each row's tag; none where the list is null."""
     ends = column.offsets.to_numpy()
-    starts, stops = (column.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-    for a, b, there in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True):
-        yield (starts[a:b], stops[a:b]) if there else (starts[:0], stops[:0])
+    tag, starts, stops = (column.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    for own, a, b, there in zip(tags.to_numpy(), ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True):
+        mine = np.flatnonzero(tag[a:b] == own) + a if there else slice(0, 0)
+        yield starts[mine], stops[mine]

@@ -17,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sightline.llm.anchors import SPANS, bucket_count, by_bucket, covered, groups_of, keyed, pack, repeated_anchors, shuffled, span_lists, unpack, with_spans
-from sightline.llm.common import text_buffers, window_hashes, words_of
+from sightline.llm.anchors import SPANS, bucket_count, by_bucket, covered, doc_ids, groups_of, keyed, pack, repeated_anchors, shuffled, span_lists, unpack, with_spans
+from sightline.llm.common import slices, text_buffers, window_hashes, words_of
 
 WINDOW = 50
 K = 10
 LEFT = WINDOW - K
-BUCKET_BYTES = 28_000_000
+BUCKET_BYTES = 14_000_000
+SLICE = 8 << 20
 
 
 def word_units(data: np.ndarray, offsets: np.ndarray):
@@ -51,41 +52,43 @@ def _passages(shards: int):
         for batch in batches:
             keys, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, offsets = text_buffers(batch.column(2))
-            lists = batch.column(3).to_pylist()
+            ends = batch.column(3).offsets.to_numpy()
+            spots = batch.column(3).values.to_numpy(zero_copy_only=False)
             out: list[tuple[int, int, bytes]] = []
-            seen: dict[tuple[bytes, int], list] = {}
-            sure: list[tuple[int, int, int, int]] = []
-            for r, spots in enumerate(lists):
-                words = data[offsets[r] : offsets[r + 1]].tobytes().split()
-                key, tag = int(keys[r]), int(tags[r])
-                for at in sorted(set(spots)):
-                    begin, end = max(0, at - LEFT), min(len(words), at + WINDOW)
-                    if at + K > len(words) or end - begin < WINDOW:  # rows of one doc_id share their places
-                        continue
-                    name = (b" ".join(words[begin:end]), at - begin)
-                    old = seen.get(name)
-                    if old is None:
-                        seen[name] = [key, end - begin, [(tag, begin)]]
-                    elif key == old[0]:
-                        old[2].append((tag, begin))
-                    elif key > old[0]:
-                        sure.append((key, tag, begin, end))
-                    else:
-                        sure += [(old[0], t, b, b + old[1]) for t, b in old[2]]
-                        seen[name] = [key, end - begin, [(tag, begin)]]
-            by: dict[int, list] = {}
-            for (text, lead), (key, n, where) in seen.items():
-                anchor = b" ".join(text.split(b" ", lead + K)[lead : lead + K])
-                shard = int.from_bytes(hashlib.blake2b(anchor, digest_size=8).digest(), "little") % shards
-                by.setdefault(shard, []).append((text, lead, key, n, where))
-            for shard, rows in by.items():
-                rows.sort()
-                joined = np.frombuffer(b"\n".join(x[0] for x in rows), dtype=np.uint8)
-                numbers = [np.array([x[k] for x in rows], dtype=np.int64) for k in (1, 2, 3)]
-                where = [(t, b) for x in rows for t, b in x[4]]
-                out.append((shard, 0, pack(joined, *numbers, np.array([len(x[4]) for x in rows]), np.array([w[0] for w in where]), np.array([w[1] for w in where]))))
-            if sure:
-                out.append((sure[0][0] % shards, 1, pack(*(np.array([x[k] for x in sure], dtype=np.int64) for k in range(4)))))
+            for a, b in slices(offsets, SLICE):
+                seen: dict[tuple[bytes, int], list] = {}
+                sure: list[tuple[int, int, int, int]] = []
+                for r in range(a, b):
+                    words = data[offsets[r] : offsets[r + 1]].tobytes().split()
+                    key, tag = int(keys[r]), int(tags[r])
+                    for at in np.unique(spots[ends[r] : ends[r + 1]]).tolist():
+                        begin, end = max(0, at - LEFT), min(len(words), at + WINDOW)
+                        if at + K > len(words) or end - begin < WINDOW:  # rows of one doc_id share their places
+                            continue
+                        name = (b" ".join(words[begin:end]), at - begin)
+                        old = seen.get(name)
+                        if old is None:
+                            seen[name] = [key, end - begin, [(tag, begin)]]
+                        elif key == old[0]:
+                            old[2].append((tag, begin))
+                        elif key > old[0]:
+                            sure.append((key, tag, begin, end))
+                        else:
+                            sure += [(old[0], t, c, c + old[1]) for t, c in old[2]]
+                            seen[name] = [key, end - begin, [(tag, begin)]]
+                by: dict[int, list] = {}
+                for (text, lead), (key, n, where) in seen.items():
+                    anchor = b" ".join(text.split(b" ", lead + K)[lead : lead + K])
+                    shard = int.from_bytes(hashlib.blake2b(anchor, digest_size=8).digest(), "little") % shards
+                    by.setdefault(shard, []).append((text, lead, key, n, where))
+                for shard, rows in by.items():
+                    rows.sort()
+                    joined = np.frombuffer(b"\n".join(x[0] for x in rows), dtype=np.uint8)
+                    numbers = [np.array([x[k] for x in rows], dtype=np.int64) for k in (1, 2, 3)]
+                    where = [w for x in rows for w in x[4]]
+                    out.append((shard, 0, pack(joined, *numbers, np.array([len(x[4]) for x in rows]), np.array([w[0] for w in where]), np.array([w[1] for w in where]))))
+                if sure:
+                    out.append((sure[0][0] % shards, 1, pack(*(np.array([x[k] for x in sure], dtype=np.int64) for k in range(4)))))
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "way", "blob"])
 
     return run
@@ -208,13 +211,13 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield spans(sure)
         anchors: dict[bytes, list] = {}
         for (text, lead), (key, _, where) in seen.items():
-            words = text.split(b" ")
-            anchors.setdefault(b" ".join(words[lead : lead + K]), []).append((words, key, where))
+            anchors.setdefault(b" ".join(text.split(b" ", lead + K)[lead : lead + K]), []).append((text, key, where))
         open_ones = [x for rows in anchors.values() if len(rows) > 1 for x in rows]  # else all copies are alike
+        del seen, anchors
         if not open_ones:
             continue
         numbers: dict[bytes, int] = {}
-        passages = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], dtype=np.int64) for words, _, _ in open_ones]
+        passages = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in text.split(b" ")], dtype=np.int32) for text, _, _ in open_ones]
         documents = np.array([key for _, key, _ in open_ones], dtype=np.int64)
         found = []
         for least, (_, key, where) in zip(FMIndex(passages, documents).earliest(passages), open_ones, strict=True):
@@ -226,15 +229,15 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = text_buffers(batch.column(1))
+        data, offsets = text_buffers(batch.column(2))
         out: list[list] = [[], [], []]
-        for k, (starts, stops) in enumerate(span_lists(batch.column(2))):
+        for k, (starts, stops) in enumerate(span_lists(batch.column(1), batch.column(3))):
             words = data[offsets[k] : offsets[k + 1]].tobytes().split()
             gone = covered(len(words), starts, stops) if len(starts) else np.zeros(len(words), dtype=bool)
             kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if len(starts) else words
             for column, v in zip(out, (len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
                 column.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([doc_ids(batch.column(0)), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sightline.llm.anchors import SPANS, bucket_count, by_bucket, covered, groups_of, keyed, pack, repeated_anchors, shuffled, span_lists, unpack, with_spans
+from sightline.llm.anchors import SPANS, bucket_count, by_bucket, covered, doc_ids, groups_of, keyed, pack, repeated_anchors, shuffled, span_lists, unpack, with_spans
 from sightline.llm.common import _powers, mix64, slices, text_buffers
 
 WINDOW = 50
@@ -26,6 +26,7 @@ LEFT = WINDOW - K
 WIDTH = WINDOW + LEFT
 PAD = 0xFF  # in no UTF-8 text
 BUCKET_BYTES = 14_000_000
+SLICE = 16 << 20
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray):
@@ -91,7 +92,7 @@ def _runs(buckets: int):
             ends = lists.offsets.to_numpy()
             spots = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
             out: list[tuple[int, int, bytes]] = []
-            for a, b in slices(offsets, 4 << 20):
+            for a, b in slices(offsets, SLICE):
                 row = np.repeat(np.arange(a, b), np.diff(ends[a : b + 1]))
                 at = spots[ends[a] : ends[b]] + offsets[row]
                 inside = at + K <= offsets[row + 1]  # rows of one doc_id share their places
@@ -287,15 +288,15 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = text_buffers(batch.column(1))
+        data, offsets = text_buffers(batch.column(2))
         out: list[list] = [[], [], [], []]
-        for k, (starts, stops) in enumerate(span_lists(batch.column(2))):
+        for k, (starts, stops) in enumerate(span_lists(batch.column(1), batch.column(3))):
             text = data[offsets[k] : offsets[k + 1]]
             gone = covered(len(text), starts, stops)
             row = (len(text), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(text[~gone].tobytes() if len(starts) else text.tobytes()).hexdigest())
             for column, v in zip(out, row, strict=True):
                 column.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([doc_ids(batch.column(0)), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
