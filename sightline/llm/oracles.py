@@ -48,3 +48,42 @@ a AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) ||
   coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss, sum(role_size + text_size + 24)::BIGINT AS formatted_chars FROM f GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a
 """
+
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+_LAST = "coalesce(doc_id, 9223372036854775807)"
+
+SUBSTRING_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LAST} AS key, {_WORDS} AS w FROM documents),
+win AS (SELECT rid, key, k, sha256(array_to_string(w[k:k + 49], ' ')) AS s FROM (SELECT rid, key, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50)),
+f AS (SELECT s, min(key) AS first FROM win GROUP BY s),
+gone AS (SELECT DISTINCT rid, k + j AS p FROM (SELECT rid, k FROM win JOIN f USING (s) WHERE first < key), range(50) t(j)),
+word AS (SELECT rid, w[p] AS word, p FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (rid, p) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+SUFFIX_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LAST} AS key, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT rid, key, k, substr(x, 2 * k + 1, 100) AS s FROM (SELECT rid, key, x, unnest(range(length(x) // 2 - 49)) AS k FROM d WHERE length(x) >= 100)),
+f AS (SELECT s, min(key) AS first FROM win GROUP BY s),
+gone AS (SELECT DISTINCT rid, k + j AS p FROM (SELECT rid, k FROM win JOIN f USING (s) WHERE first < key), range(50) t(j)),
+byte AS (SELECT rid, p, substr(x, 2 * p + 1, 2) AS h FROM (SELECT rid, x, unnest(range(length(x) // 2)) AS p FROM d WHERE rid IN (SELECT rid FROM gone))),
+kept AS (SELECT rid, string_agg(h, '' ORDER BY p) AS x FROM byte ANTI JOIN gone USING (rid, p) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n, count(*) FILTER (last IS NULL OR last < p - 1) AS spans FROM (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS last FROM gone) GROUP BY rid)
+SELECT doc_id, length(d.x) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN n IS NULL THEN d.x ELSE coalesce(kept.x, '') END)) AS kept_sha256
+FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+NEAR_DEDUP = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_FOLD}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) ELSE w END AS g FROM d),
+e AS (SELECT rid, doc_id, len(g) AS n, unnest(g) AS h FROM s),
+shared AS (SELECT a.rid AS r0, b.rid AS r1, count(*) AS k FROM e a JOIN e b ON a.h = b.h AND a.rid < b.rid AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+link AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM shared JOIN s x ON x.rid = r0 JOIN s y ON y.rid = r1 WHERE 100 * k >= 80 * (len(x.g) + len(y.g) - k) AND x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS id, a AS other FROM edge UNION SELECT reach.id, edge.b FROM reach JOIN edge ON edge.a = reach.other),
+c AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+SELECT doc_id, len(g) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id IS NULL OR coalesce(component, doc_id) = doc_id AS kept FROM s LEFT JOIN c ON c.id = s.doc_id
+"""

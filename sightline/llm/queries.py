@@ -73,4 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": oracles.MIX, "op3_chat": oracles.CHAT}
+    return {
+        "op2_mixing": oracles.MIX, "op3_chat": oracles.CHAT, "op5_suffix_dedup": oracles.SUFFIX_DEDUP, "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op10_near_dedup": oracles.NEAR_DEDUP,
+    }
