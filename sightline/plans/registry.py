@@ -29,7 +29,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from sightline.plans import case_queries, graph_queries, html_queries, log_queries, url_queries  # noqa: F401
+    from sightline.plans import case_queries, graph_queries, html_queries, lead_queries, log_queries, url_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
