@@ -121,11 +121,7 @@ def _send(units: Units, window: int, k: int, buckets: int, bits: int):
 
 
 def _replies(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    first = groups_of(doc)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), pa.array(place, pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(doc[first], pa.int64()), lists], names=["key", "places"])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32())], names=["key", "place"])
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
@@ -179,8 +175,8 @@ def repeated_anchors(docs: DataFrame, units: Units, window: int, k: int, buckets
     """
     bits = min(64, 14 + int(buckets * ANCHORS).bit_length())
     sent = docs.select("key", "text").mapInArrow(_send(units, window, k, buckets, bits), "bucket int, way int, blob binary")
-    told = shuffled(sent).mapInArrow(_answer, "key long, places array<int>")
-    return told.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    told = shuffled(sent).mapInArrow(_answer, "key long, place int")
+    return told.groupBy("key").agg(F.collect_list("place").alias("places"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
