@@ -26,7 +26,8 @@ LEFT = WINDOW - K
 WIDTH = WINDOW + LEFT
 PAD = 0xFF  # in no UTF-8 text
 BUCKET_BYTES = 14_000_000
-SLICE = 16 << 20
+SLICE = 12 << 20
+CHUNK = 8192
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray):
@@ -48,11 +49,13 @@ def byte_units(data: np.ndarray, offsets: np.ndarray):
 def pieces(data: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(n x WIDTH bytes, bytes after, bytes before) around the places ``at``, within their rows [start, stop)."""
     after, before = np.minimum(WINDOW, stop - at), np.minimum(LEFT, at - start)
-    right = at[:, None] + np.arange(WINDOW)
-    left = at[:, None] - 1 - np.arange(LEFT)
     out = np.empty((len(at), WIDTH), dtype=np.uint8)
-    out[:, :WINDOW] = np.where(np.arange(WINDOW) < after[:, None], data[np.minimum(right, len(data) - 1)], PAD)
-    out[:, WINDOW:] = np.where(np.arange(LEFT) < before[:, None], data[np.maximum(left, 0)], PAD)
+    for a in range(0, len(at), CHUNK):  # index tables are many times the bytes they fetch
+        z = slice(a, a + CHUNK)
+        right = at[z, None] + np.arange(WINDOW)
+        left = at[z, None] - 1 - np.arange(LEFT)
+        out[z, :WINDOW] = np.where(np.arange(WINDOW) < after[z, None], data[np.minimum(right, len(data) - 1)], PAD)
+        out[z, WINDOW:] = np.where(np.arange(LEFT) < before[z, None], data[np.maximum(left, 0)], PAD)
     return out, after, before
 
 
