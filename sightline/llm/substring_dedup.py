@@ -23,8 +23,8 @@ from sightline.llm.common import slices, text_buffers, window_hashes, words_of
 WINDOW = 50
 K = 10
 LEFT = WINDOW - K
-BUCKET_BYTES = 14_000_000
-SLICE = 8 << 20
+BUCKET_BYTES = 8_000_000
+SLICE = 4 << 20
 
 
 def word_units(data: np.ndarray, offsets: np.ndarray):
