@@ -189,7 +189,15 @@ def _mirror(s, d):
     return sim.mirror_score(parts)
 
 
-register("mirror_score", _mirror)
+register(
+    "mirror_score",
+    _mirror,
+    rf"""WITH e AS (SELECT page_id, list_transform(regexp_extract_all(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>', '', 'g'), '<[a-z][a-z0-9]*[^>]*>'), lambda t: regexp_extract(t, '<([a-z0-9]+)', 1) || '[' || array_to_string(list_sort(regexp_extract_all(t, ' ([a-z-]+)=', 1)), ',') || ']') AS l FROM pages),
+    f AS (SELECT page_id, list_distinct(list_transform(range(1, len(l)), lambda k: l[k] || '>' || l[k + 1])) AS x FROM e),
+    dm AS (SELECT a.page_id AS l, len(list_intersect(a.x, coalesce(b.x, []))) / (len(a.x) + len(coalesce(b.x, [])) - len(list_intersect(a.x, coalesce(b.x, [])))) AS v FROM f a LEFT JOIN f b ON b.page_id = a.page_id + 1 WHERE a.page_id % 2 = 0),
+    {HASH}, vs AS (SELECT a.id AS l, 1 - list_sum(list_transform(range(1, length(a.bits) + 1), lambda k: CASE WHEN a.bits[k] = b.bits[k] THEN 0 ELSE 1 END)) / length(a.bits) AS v FROM hs a JOIN hs b ON b.id = a.id + 1 WHERE a.id % 2 = 0),
+    u AS (SELECT * FROM dm UNION ALL SELECT * FROM vs) SELECT l AS "left", l + 1 AS "right", round(100 * sum(0.2 * v), 2) AS score FROM u GROUP BY l""",
+)
 register(
     "reference_violations",
     lambda s, d: cases.violations(read_table(s, d, "labels"), read_table(s, d, "documents").filter("doc_id % 7 <> 0"), "doc_id", "label_without_document").unionByName(cases.duplicates(read_table(s, d, "lineitem").filter("l_linenumber <= 2").withColumnRenamed("l_orderkey", "id"), "id", "repeated_id")),
