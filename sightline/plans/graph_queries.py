@@ -73,8 +73,8 @@ def _stream_replay(s, d):
     """The numbered log, written to a folder and read back as a stream of files."""
     folder = f"{st.shared_folder(s)}/log-{uuid.uuid4().hex}"
     _runs(s, d).repartition(4, "event_id").write.parquet(folder)
-    stream = s.readStream.schema(s.read.parquet(folder).schema).parquet(folder)
-    return st.run_to_table(st.replay(stream), "update").select(_OUT)
+    stream = s.readStream.schema(s.read.parquet(folder).schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return st.run_to_table(st.replay(stream), "update", ["run_id", "node"]).select(_OUT)
 
 
 register("stream_replay_graph", _stream_replay, f"WITH {RUNS} {REPLAY} GROUP BY run_id, node")

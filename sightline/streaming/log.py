@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sightline.operators import graph
@@ -24,21 +24,24 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
-def run_to_table(stream: DataFrame, mode: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over what is there and returns its result as a table in the shared folder.
 
-    Appended rows stay batch by batch; in complete and update mode the last batch replaces the table (update mode starts from all files at once).
+    Appended rows stay batch by batch; in complete mode the last batch replaces the table; in update mode the last row of each key counts.
     """
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        out = prepare(batch) if prepare else batch
-        out.write.mode("overwrite").parquet(f"{folder}/table/batch={number}" if mode == "append" else f"{folder}/table/batch=0")
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={0 if mode == 'complete' else number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/table").drop("batch")
+    rows = spark.read.parquet(f"{folder}/table")
+    if mode == "update":
+        nth = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("batch")))
+        rows = rows.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+    return rows.drop("batch")
 
 
 def dedup(stream: DataFrame) -> DataFrame:
