@@ -5,7 +5,7 @@ edits shares at least m + 1 - q - q * e q-grams with it, all of them on diagonal
 segment) at most e apart. Hits are counted in bands of diagonals that are 2 * (e + 1) wide and start every e + 1, so that one band holds them all. Bands that
 reach the bound are retained, and a banded alignment decides.
 
-Texts are compared in code points, with A-Z in lower case and runs of white space as one space. The benchmark is the query
+Texts are compared in code points, with case folded in all scripts (a sharp s is ss) and runs of white space as one space. The benchmark is the query
 set: it goes to the tasks in blocks of at most ``block_chars`` characters, one pass over the documents for each block.
 """
 
@@ -56,18 +56,33 @@ class Segments:
         self.seen[(self.hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
 
-_FOLD = np.arange(128, dtype=np.uint32)
-_FOLD[65:91] += 32
-_FOLD[9:14] = 32
+def _folds() -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
+    """(first code point of each one's case folding, number of code points, those of the foldings of several)."""
+    fold, width, long = np.arange(0x110000, dtype=np.uint32), np.ones(0x110000, dtype=np.uint8), {}
+    for c in range(0x20000):  # no case above
+        to = [ord(d) for d in chr(c).casefold()]
+        fold[c], width[c] = to[0], len(to)
+        if len(to) > 1:
+            long[c] = to
+    fold[9:14] = 32
+    return fold, width, long
+
+
+_FOLD, _WIDTH, _LONG = _folds()
 
 
 def normalize(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code points in lower case with single spaces, place of each in x)."""
-    low = x < 128
-    x = np.where(low, _FOLD[np.where(low, x, 0)], x)
-    keep = np.ones(len(x), dtype=bool)
-    keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
-    return x[keep], np.flatnonzero(keep)
+    """(code points with case folded and single spaces, place of each in x)."""
+    width, y, place = _WIDTH[x], _FOLD[x], np.arange(len(x))
+    if len(x) and width.max() > 1:
+        place, first = np.repeat(place, width), np.cumsum(width, dtype=np.int64) - width
+        y = np.repeat(y, width)
+        for c in np.unique(x[width > 1]).tolist():
+            for k, d in enumerate(_LONG[c]):
+                y[first[x == c] + k] = d
+    keep = np.ones(len(y), dtype=bool)
+    keep[1:] = (y[1:] != 32) | (y[:-1] != 32)
+    return y[keep], place[keep]
 
 
 def gram_hashes(x: np.ndarray, q: int) -> np.ndarray:

@@ -86,3 +86,18 @@ def test_alignment_equals_full_table():
         codes = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in (segment, region)]
         got, want = dec.band_align(*codes, most), distance(segment, region)
         assert (got is None) == (want > most) and (got is None or got[0] == want)
+
+
+def test_upper_case_beyond_ascii(spark):
+    """Each passage has more than six letters beyond ASCII in any 100 characters; all are in the text in upper case."""
+    items = [
+        (1, "l'élève a préféré répéter la leçon où être très zélé à l'école était la clé révélée"),
+        (2, "el niño soñó que mañana el señor español añadía más leña, así él también podrá irse"),
+        (3, "die große straße heißt müßig, weiß und süß; äußerst böse grüße aus der schönen größe"),
+        (4, "привет мир как дела сегодня вечером мы пойдем гулять в старый парк у большой реки"),
+    ]
+    data = [(k, "Before it: " + t.upper() + " and then more", "en", "a", 1, 0, 0, 0, 0, "", 0) for k, t in items]
+    data.append((9, "nothing of the sort is in this text, which is long enough to be one of the documents", "en", "a", 1, 0, 0, 0, 0, "", 0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in dec.leaks(cases.frame(spark, data), bench).collect())
+    assert got == [(k, k, 11, 11 + len(t.upper()), 0) for k, t in items]
