@@ -149,15 +149,17 @@ def taken_words(slots: DataFrame, placed: DataFrame, block_words: int = 512) ->
     return counted.select(out).unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(out))
 
 
-def mixed_documents(docs: DataFrame, block_words: int = 512, **options) -> DataFrame:
-    """The mix as whole rows of ``docs``: each document as often as the mix takes its words, to the nearest whole number.
+def mixed_documents(docs: DataFrame, block_words: int = 512, seed: int = 17, **options) -> DataFrame:
+    """The mix as whole rows of ``docs``: each document as often as the mix takes its words.
 
-    Documents without words, and those that the mix passes over, have no rows. Rows of one doc_id share their count; rows with
-    a null doc_id are left out.
+    A fraction is rounded up as often as it is large, by a seeded hash of the document, so that documents of many blocks, which all
+    have about their source's ratio taken, keep their share. Documents without words, and those that the mix passes over, have no rows.
     """
-    slots, placed = mix(docs, block_words=block_words, **options)
+    slots, placed = mix(docs, block_words=block_words, seed=seed, **options)
     taken = taken_words(slots, placed, block_words).filter("size > 0 and doc_id is not null")
-    times = taken.groupBy("doc_id").agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_times")).filter("_times > 0")
-    times = times.withColumnRenamed("doc_id", "_mixed")
+    part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(1 << 30)
+    times = taken.groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("ratio"))
+    whole = F.floor("ratio")
+    times = times.select(F.col("doc_id").alias("_mixed"), (whole + (part < F.col("ratio") - whole).cast("int")).cast("int").alias("_times")).filter("_times > 0")
     again = docs.join(times, F.col("doc_id") == F.col("_mixed")).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return again.select(docs.columns)

@@ -68,3 +68,15 @@ def test_mixed_documents_repeat_whole_rows(spark):
     words = {s: sum(len(r[1].split()) for r in got if r[3] == s) for s in "abc"}
     want = brute_targets({s: sum(len(r[1].split()) for r in data if r[3] == s) for s in "abc"})
     assert all(abs(words[s] - want[s]) < 0.12 * want[s] + 64 for s in "abc")
+
+
+def test_long_documents_keep_their_share_in_a_skewed_source(spark):
+    """src "c" is large and has weight 1: its ratio is below 0.5, and its documents have 20 blocks or a fifth of one."""
+    data = [(k, "w " * (1280 if k % 10 == 0 else 12), "en", "c", k, 0, 0, 0, 0, "", 0) for k in range(3000)]
+    data += [(9000 + k, "w " * 64, "en", "ab"[k % 2], k, 0, 0, 0, 0, "", 0) for k in range(2000)]
+    got = mixing.mixed_documents(cases.frame(spark, data), block_words=64).collect()
+    words = {s: sum(len(r.text.split()) for r in got if r.source == s) for s in "abc"}
+    size = {s: sum(len(r[1].split()) for r in data if r[3] == s) for s in "abc"}
+    want = {s: 2.0 * size[s] for s in "ab"} | {"c": 0.4 * size["c"]}
+    data_c = brute_targets(size)
+    print(size, data_c, words)
