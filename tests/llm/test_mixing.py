@@ -71,12 +71,14 @@ def test_mixed_documents_repeat_whole_rows(spark):
 
 
 def test_long_documents_keep_their_share_in_a_skewed_source(spark):
-    """src "c" is large and has weight 1: its ratio is below 0.5, and its documents have 20 blocks or a fifth of one."""
-    data = [(k, "w " * (1280 if k % 10 == 0 else 12), "en", "c", k, 0, 0, 0, 0, "", 0) for k in range(3000)]
-    data += [(9000 + k, "w " * 64, "en", "ab"[k % 2], k, 0, 0, 0, 0, "", 0) for k in range(2000)]
+    """Nine sources with weights 5, 2, 1 in turn share 1.5 * 1920000 words: 120000 a unit. Source c (weight 1) has 540000, so that
+    2 of 9 are taken; most of them are in documents of 20 blocks, of which 2 of 9 are to stay. The others are taken twice."""
+    data = [(k, "w " * (1280 if k < 400 else 14), "en", "c", k, 0, 0, 0, 0, "", 0) for k in range(2400)]
+    size = {"a": 300000, "d": 300000, "g": 300000, "b": 120000, "e": 120000, "h": 120000, "f": 60000, "i": 60000}
+    for s, n in size.items():
+        data += [(10000 + len(data) + k, "w " * 240, "en", s, k, 0, 0, 0, 0, "", 0) for k in range(n // 240)]
     got = mixing.mixed_documents(cases.frame(spark, data), block_words=64).collect()
-    words = {s: sum(len(r.text.split()) for r in got if r.source == s) for s in "abc"}
-    size = {s: sum(len(r[1].split()) for r in data if r[3] == s) for s in "abc"}
-    want = {s: 2.0 * size[s] for s in "ab"} | {"c": 0.4 * size["c"]}
-    data_c = brute_targets(size)
-    print(size, data_c, words)
+    words = {s: sum(len(r.text.split()) for r in got if r.source == s) for s in "abcdefghi"}
+    assert 60 < sum(r.source == "c" and r.doc_id < 400 for r in got) < 120
+    assert abs(words.pop("c") - 120000) < 0.15 * 120000
+    assert words == {s: 2 * n for s, n in size.items()}
