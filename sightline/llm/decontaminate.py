@@ -1,6 +1,7 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Each benchmark item is cut into overlapping segments. A segment of m characters that occurs in a document with at most e
+Each benchmark item is cut into overlapping segments: of ``length`` characters at half that stride, which take the most edits, and of
+half the length at a stride of a tenth, so that a copied part of six tenths of ``length`` holds a whole segment wherever it begins. A segment of m characters that occurs in a document with at most e
 edits shares at least m + 1 - q - q * e q-grams with it, all of them on diagonals (place in the document minus place in the
 segment) at most e apart. Hits are counted in bands of diagonals that are 2 * (e + 1) wide and start every e + 1, so that one band holds them all. Bands that
 reach the bound are retained, and a banded alignment decides.
@@ -22,6 +23,7 @@ from sightline.llm.common import _powers, slices, text_buffers
 
 FIELDS = "doc_id long, item_id long, start long, stop long, edits int"
 BITS = 22
+PAIRS = 512
 
 
 class Segments:
@@ -29,7 +31,8 @@ class Segments:
 
     def __init__(self, items: list[tuple[int, str | None]], q: int, length: int, error: float):
         self.q = q
-        texts, self.item, self.short = [], [], []
+        chars, self.item, self.short, at, size, grams, place = [], [], [], [], [], [], []
+        total = 0
         for item, text in items:
             x = normalize(np.frombuffer((text or "").encode("utf-32-le"), dtype=np.uint32))[0]
             x = x[1:] if len(x) and x[0] == 32 else x
@@ -37,24 +40,37 @@ class Segments:
             if len(x) < q:
                 self.short += [(item, x)] if len(x) else []
                 continue
-            starts = list(range(0, max(len(x) - length, 0) + 1, length // 2))
-            if starts[-1] + length < len(x):
-                starts.append(len(x) - length)
-            texts += [x[a : a + length] for a in starts]
-            self.item += [item] * len(starts)
-        self.texts = texts
-        self.edits = np.array([min(int(error * len(t)), (len(t) - q) // q) for t in texts], dtype=np.int64)
-        self.need = np.array([len(t) + 1 - q - q * e for t, e in zip(texts, self.edits, strict=True)], dtype=np.int64)
-        grams = [gram_hashes(t, q) for t in texts]
+            hashes = gram_hashes(x, q)
+            for m, step in ((length, length // 2), (length // 2, length // 10)):
+                if m < length and not q <= m < len(x):
+                    continue
+                m = min(m, len(x))
+                starts = np.unique(np.append(np.arange(0, len(x) - m + 1, max(step, 1)), len(x) - m))
+                inside = np.arange(m + 1 - q)
+                grams.append(hashes[starts[:, None] + inside].ravel())
+                place.append(np.tile(inside, len(starts)).astype(np.int32))
+                at.append(total + starts)
+                size += [m] * len(starts)
+                self.item += [item] * len(starts)
+            chars.append(x)
+            total += len(x)
+        self.chars = np.concatenate(chars) if chars else np.zeros(0, dtype=np.uint32)
+        self.at = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
+        self.size = np.array(size, dtype=np.int64)
+        self.edits = np.minimum((error * self.size).astype(np.int64), (self.size - q) // q)
+        self.need = self.size + 1 - q - q * self.edits
         hashes = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, dtype=np.int64)
-        segment = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        place = np.concatenate(place) if place else np.zeros(0, dtype=np.int32)
+        segment = np.repeat(np.arange(len(size), dtype=np.int32), self.size + 1 - q)
         order = np.argsort(hashes, kind="stable")
         self.place, self.segment = place[order], segment[order]
         self.hashes, self.first, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << BITS, dtype=bool)
         self.seen[(self.hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
+    def text(self, segment: int) -> np.ndarray:
+        return self.chars[self.at[segment] : self.at[segment] + self.size[segment]]
+
 
 def _folds() -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
     """(first code point of each one's case folding, number of code points, those of the foldings of several)."""
@@ -130,6 +146,34 @@ def band_align(segment: np.ndarray, region: np.ndarray, most: int) -> tuple[int,
     return (row[stop], begin[stop], stop) if row[stop] <= most else None
 
 
+def may_occur(s: Segments, x: np.ndarray, segment: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each segment occurs in x[begin:end] with at most its edits: bit-parallel edit distances (Myers) of many pairs at
+    once. Segments of more than 64 characters do not fit a word and pass; their alignment decides."""
+    out = s.size[segment] > 64
+    todo, one = np.flatnonzero(~out), np.uint64(1)
+    for k in range(0, len(todo), PAIRS):
+        part = todo[k : k + PAIRS]
+        m, width = s.size[segment[part]], max(int((end - begin)[part].max()), 1)
+        bit, column = np.arange(64), np.arange(width)
+        at = np.minimum(s.at[segment[part]][:, None] + bit, len(s.chars) - 1)
+        pattern = np.where(bit < m[:, None], s.chars[at], np.uint32(0xFFFFFFFF))
+        at = np.minimum(begin[part][:, None] + column, len(x) - 1)
+        region = np.where(begin[part][:, None] + column < end[part][:, None], x[at], np.uint32(0xFFFFFFFE))
+        equal = np.packbits(region[:, :, None] == pattern[:, None, :], axis=2, bitorder="little").view("<u8")[:, :, 0].T.copy()
+        plus, minus, top = np.full(len(part), ~np.uint64(0)), np.zeros(len(part), dtype=np.uint64), (m - 1).astype(np.uint64)
+        score, best = m.copy(), m.copy()
+        for eq in equal:
+            down = eq | minus
+            across = (((eq & plus) + plus) ^ plus) | eq
+            up, fall = minus | ~(across | plus), plus & across
+            score += ((up >> top) & one).astype(np.int64) - ((fall >> top) & one).astype(np.int64)
+            np.minimum(best, score, out=best)
+            up, fall = up << one, fall << one
+            plus, minus = fall | ~(down | up), up & down
+        out[part] = best <= s.edits[segment[part]]
+    return out
+
+
 def find_hits(x: np.ndarray, row: np.ndarray, bounds: np.ndarray, s: Segments) -> list[tuple[int, int, int, int, int]]:
     """(row, segment, start, stop, edits) in a slice of normalized texts; ``bounds`` has each row's range."""
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -142,13 +186,13 @@ def find_hits(x: np.ndarray, row: np.ndarray, bounds: np.ndarray, s: Segments) -
     n = s.count[k]
     post = np.repeat(s.first[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(k) else np.zeros(0, dtype=np.int64)
     at = np.repeat(at, n)
-    segment = s.segment[post]
+    segment = s.segment[post].astype(np.int64)
     diagonal = at - s.place[post] + len(x)  # not below 0
     width = s.edits[segment] + 1
     band = diagonal // width
     stride = np.int64(3 * len(x) + 8)
     for shift in (0, 1):  # a band begins at each multiple of width and is two of them wide
-        key = (row[at] * np.int64(len(s.texts)) + segment) * stride + np.maximum(band - shift, 0)
+        key = (row[at] * np.int64(len(s.item)) + segment) * stride + np.maximum(band - shift, 0)
         key.sort()
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
         size = np.diff(np.append(edge, len(key)))
@@ -158,18 +202,19 @@ def find_hits(x: np.ndarray, row: np.ndarray, bounds: np.ndarray, s: Segments) -
             keys, sizes = np.concatenate((keys, key[edge])), np.concatenate((sizes, size))
     keys, inverse = np.unique(keys, return_inverse=True)
     sizes = np.bincount(inverse, weights=sizes, minlength=len(keys)).astype(np.int64)
-    which = (keys // stride) % max(len(s.texts), 1)
+    which = (keys // stride) % max(len(s.item), 1)
     good = sizes >= s.need[which] if len(keys) else np.zeros(0, dtype=bool)
-    for key, seg in zip(keys[good], which[good], strict=True):
-        r, b = int(key // stride // len(s.texts)), int(key % stride)
-        e, m = int(s.edits[seg]), len(s.texts[seg])
-        if found.get((r, int(seg)), (1,))[0] == 0:
+    which, keys = which[good], keys[good]
+    rows, e, m = keys // stride // max(len(s.item), 1), s.edits[which], s.size[which]
+    low = (keys % stride) * (e + 1) - len(x)
+    begin, end = np.maximum(bounds[rows], low - e), np.minimum(bounds[rows + 1], low + 2 * (e + 1) + m + e)
+    for k in np.flatnonzero(may_occur(s, x, which, begin, end)).tolist():
+        r, seg, a = int(rows[k]), int(which[k]), int(begin[k])
+        if found.get((r, seg), (1,))[0] == 0:
             continue
-        low = b * (e + 1) - len(x)
-        a, z = max(int(bounds[r]), low - e), min(int(bounds[r + 1]), low + 2 * (e + 1) + m + e)
-        hit = band_align(s.texts[seg], x[a:z], e)
-        if hit and (old := found.get((r, int(seg)))) is None or hit and hit[0] < old[0]:
-            found[r, int(seg)] = (hit[0], a + hit[1], a + hit[2])
+        hit = band_align(s.text(seg), x[a : end[k]], int(e[k]))
+        if hit and (old := found.get((r, seg))) is None or hit and hit[0] < old[0]:
+            found[r, seg] = (hit[0], a + hit[1], a + hit[2])
     return [(r, seg, a, z, e) for (r, seg), (e, a, z) in found.items()]
 
 
@@ -187,7 +232,7 @@ def _matcher(s: Segments):
                 row = row[place]
                 bounds = np.searchsorted(place, ends)
                 best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                hits = [(r, s.item[seg], p, z, e) for r, seg, p, z, e in find_hits(x, row, bounds, s)] if s.texts else []
+                hits = [(r, s.item[seg], p, z, e) for r, seg, p, z, e in find_hits(x, row, bounds, s)] if s.item else []
                 for item, short in s.short:  # below q characters: exact words only
                     for r in range(b - a):
                         own = x[bounds[r] : bounds[r + 1]]
@@ -219,7 +264,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 12, length: int = 100,
     """One row per document and item of which a segment occurs in it: doc_id, item_id, start, stop (code points of the text,
     from the first to the last matching segment), edits (of the best one).
 
-    ``error`` is the share of edits, lowered where a segment is too short for the lemma; items below q characters need
+    ``error`` is the share of edits, lowered where a segment is too short for the lemma. Any excerpt of 59 characters of an item (at
+    the default length) is found, with edits if at most 3 of them lie in each 50 characters. Items below q characters need
     exact occurrence, and empty or null ones match nothing. Null and empty texts have no leaks; repeated rows and repeated items
     give repeated rows; ties take the first place; empty tables give none; other columns are ignored.
     """

@@ -101,3 +101,25 @@ def test_upper_case_beyond_ascii(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(tuple(r) for r in dec.leaks(cases.frame(spark, data), bench).collect())
     assert got == [(k, k, 11, 11 + len(t.upper()), 0) for k, t in items]
+
+
+def test_excerpts_of_long_items_at_any_place(spark):
+    """Excerpts of 60 to 140 characters from anywhere in items of several hundred, each in a document of its own; 3 edits are spread
+    over the longer ones. What is copied is known, so segments play no part in the expected result."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(4000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(90))) for k in range(6)]
+    data, want = [], set()
+    for k in range(120):
+        item, text = items[k % 6]
+        n = (60, 80, 100, 120, 140)[k % 5]
+        a = rng.randrange(len(text) - n)
+        part = text[a : a + n]
+        if n >= 100:
+            part = "".join("#" if c in (n // 5, n // 2, n - n // 5) else d for c, d in enumerate(part))
+        around = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(2)]
+        data.append((k, around[0] + " " + part + " " + around[1], "en", "a", 1, 0, 0, 0, 0, "", 0))
+        want.add((k, item))
+    data += [(200 + k, " ".join(rng.choice(words) for _ in range(90)), "en", "a", 1, 0, 0, 0, 0, "", 0) for k in range(40)]
+    got = dec.leaks(cases.frame(spark, data), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
