@@ -16,12 +16,12 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: five-word shingles, similarity of 0.8 or more."""
-    return near_dedup.one_of_each(docs, size=5, percent=80)
+    return near_dedup.one_of_each(docs, by_row=True, size=5, percent=80)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"), by_row=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

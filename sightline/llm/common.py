@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SPACE = np.zeros(256, dtype=bool)
@@ -31,6 +31,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key(*columns: str) -> Column:
+    """A 64-bit hash of the columns, never null; nulls count as values of their own."""
+    return F.xxhash64(*[c for name in columns for c in (F.col(name).isNull(), F.col(name))])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (the splitmix64 finalizer)."""
     x = (x ^ (x >> np.uint64(30))) * MIX1

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sightline.llm.common import _powers, slices, text_buffers
+from sightline.llm.common import _powers, row_key, slices, text_buffers
 
 FIELDS = "doc_id long, item_id long, start long, stop long, edits int"
 BITS = 22
@@ -274,6 +274,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 12, length: int = 100,
     return reduce(DataFrame.unionByName, passes)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that have a leak (all rows of a leaking doc_id go; a null doc_id stays)."""
+def clean(docs: DataFrame, benchmark: DataFrame, by_row: bool = False, **options) -> DataFrame:
+    """``docs`` without the documents that have a leak (all rows of a leaking doc_id go; a null doc_id stays).
+
+    With ``by_row``, each row is judged by its own text, whatever its doc_id is.
+    """
+    if by_row:
+        keyed = docs.withColumn("_row", row_key("doc_id", "text"))
+        found = leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, **options)
+        return keyed.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(docs.columns)
     return docs.join(leaks(docs, benchmark, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from sightline.llm.common import materialize
+from sightline.llm.common import materialize, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 PRIME = 2147483647
@@ -154,12 +154,14 @@ def mixed_documents(docs: DataFrame, block_words: int = 512, seed: int = 17, **o
 
     A fraction is rounded up as often as it is large, by a seeded hash of the document, so that documents of many blocks, which all
     have about their source's ratio taken, keep their share. Documents without words, and those that the mix passes over, have no rows.
+    Each row is a document of its own, whatever its doc_id is; rows with the same doc_id, text and source share their count.
     """
-    slots, placed = mix(docs, block_words=block_words, seed=seed, **options)
-    taken = taken_words(slots, placed, block_words).filter("size > 0 and doc_id is not null")
+    keyed = docs.withColumn("_mixed", row_key("doc_id", "text", "source"))
+    slots, placed = mix(keyed.select(F.col("_mixed").alias("doc_id"), "text", "source"), block_words=block_words, seed=seed, **options)
+    taken = taken_words(slots, placed, block_words).filter("size > 0")
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(1 << 30)
     times = taken.groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("ratio"))
     whole = F.floor("ratio")
     times = times.select(F.col("doc_id").alias("_mixed"), (whole + (part < F.col("ratio") - whole).cast("int")).cast("int").alias("_times")).filter("_times > 0")
-    again = docs.join(times, F.col("doc_id") == F.col("_mixed")).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    again = keyed.join(times, "_mixed").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return again.select(docs.columns)

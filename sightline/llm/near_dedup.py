@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from sightline.llm.common import MIX1, MIX2, materialize, mix64, slices, text_buffers, window_hashes, words_of
+from sightline.llm.common import MIX1, MIX2, materialize, mix64, row_key, slices, text_buffers, window_hashes, words_of
 from sightline.llm.components import components
 
 TREES = 32
@@ -268,10 +268,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, by_row: bool = False, **options) -> DataFrame:
     """``docs`` with the least document of each group of near-duplicates; of a repeated doc_id one row stays (the least text),
-    rows with a null doc_id all stay."""
+    rows with a null doc_id all stay.
+
+    With ``by_row``, each row is a document of its own, whatever its doc_id is: different texts of one doc_id are only compared, null
+    doc_ids are, too (they come last in a group), and rows without words all stay.
+    """
+    rest = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and t[:3] != "map"]
+    if by_row:
+        keyed = docs.withColumn("_row", row_key("doc_id", "text"))
+        found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), **options)
+        found = found.select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("_group")).distinct()
+        found = materialize(found, "near-rows")
+        ids = keyed.select("_row", "doc_id").distinct().join(found.filter("n_shingles > 0"), "_row")
+        least = ids.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least")).select("least._row")
+        first = F.row_number().over(W.partitionBy("_row").orderBy(*[F.col(c) for c in ["text", *rest]]))
+        some = keyed.join(least, "_row", "left_semi").withColumn("_first", first).filter("_first = 1")
+        none = keyed.join(found.filter("n_shingles = 0"), "_row", "left_semi")
+        return some.select(docs.columns).unionByName(none.select(docs.columns))
     kept = near_duplicates(docs, **options).filter("kept and doc_id is not null").select("doc_id").distinct()
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(*[F.col(c) for c in ["text", *[c for c, t in docs.dtypes if c not in ("doc_id", "text") and t[:3] != "map"]]]))
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(*[F.col(c) for c in ["text", *rest]]))
     real = docs.join(kept, "doc_id", "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first")
     return real.select(docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -54,3 +54,20 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert Counter(r.doc_id for r in kept[4]) == times and all(r.shard == table[r.slot] for r in kept[4])
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter(tuple(r) for r in kept[4])
     assert language_id.TOP == 300
+
+
+def test_rows_are_judged_by_their_text_and_not_their_id(spark, tmp_path):
+    rng = random.Random(3)
+    text = [cases.prose(rng, "en", 60) for _ in range(8)]
+    passage = cases.prose(rng, "en", 30)
+    data = [(1, text[0]), (1, text[1]), (2, text[1]), (None, text[2]), (None, text[0]), (3, text[3]), (3, text[3])]
+    data += [(None, text[4] + passage), (4, text[5]), (4, text[6] + passage)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert got == Counter([(1, text[0]), (1, text[1]), (None, text[2]), (3, text[3]), *data[7:]])
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.decontaminate_documents(spark, docs, str(tmp_path)).collect())
+    assert got == Counter([*data[:7], data[8]])
+    # one source of weight 5 and 1.5 times its words: each row stays once or twice, with or without an id
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect())
+    assert set(got) == set(data)
