@@ -4,8 +4,8 @@ Each document is a set of hashed word shingles. In each of ``TREES`` independent
 it takes its minwise shingle under the hash of that node. Two documents stay together at a node with the
 probability of their similarity, so a pair of similarity s shares a node at depth d with probability s ** d; trees are
 repeated until 1 - (1 - s ** d) ** TREES is the recall wanted at the threshold. Nodes are looked at from depth ``LEVELS[0]`` on,
-where unrelated documents hardly meet: a node of at most ``LEAF`` documents is compared exhaustively, a larger one branches on
-to the next level.
+where unrelated documents hardly meet: all pairs of a node there are compared, whatever its size. A node of more than ``LEAF``
+documents also branches on to the next level, whose smaller nodes link most of its near copies beforehand.
 
 Documents with the same set are one class before all this. Each member of a node is first confirmed against the node's
 least member; the components of these links then leave only pairs between different components to compare, pair by pair in small
@@ -91,7 +91,8 @@ def summaries(docs: DataFrame, size: int, trees: int = TREES, levels: tuple[int,
 
 
 def _nodes(classes: DataFrame, trees: int, levels: tuple[int, ...], leaf: int) -> DataFrame:
-    """(node, rep, n, final): the nodes with company that each class stops at, or passes, on its way down."""
+    """(node, rep, n, compared): the nodes with company that each class passes on its way down; those of the first level, which
+    hold all pairs of the later ones, are to be compared in full."""
     width = len(levels)
     path = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("paths", t * width + 1, width))).alias("path")
     live, out = classes.select("rep", "n", path), []
@@ -99,11 +100,10 @@ def _nodes(classes: DataFrame, trees: int, levels: tuple[int, ...], leaf: int) -
         here = live.withColumn("node", F.col("path")[k])
         sizes = here.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         here = here.join(sizes, "node")
-        final = (F.col("size") <= leaf) | F.lit(k == width - 1)
         if k < width - 1:
             here = materialize(here.select("node", "rep", "n", "path", "size"), "near-level")
-            live = here.filter(~final).select("rep", "n", "path")
-        out.append(here.select("node", "rep", "n", final.alias("final")))
+            live = here.filter(F.col("size") > leaf).select("rep", "n", "path")
+        out.append(here.select("node", "rep", "n", F.lit(k == 0).alias("compared")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -153,8 +153,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 
 def _open_nodes(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """(node, rep, n, c, size): members, with component, of the nodes that hold several components."""
-    placed = nodes.filter("final").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    """(node, rep, n, c, size): members, with component, of the first-level nodes that hold several components."""
+    placed = nodes.filter("compared").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("c"))
     split = placed.groupBy("node").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).filter("c0 < c1")
     return placed.join(split.select("node", "size"), "node")
 

@@ -55,3 +55,17 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(1, 61)}, **{k: 100 for k in [*range(101, 150), 200]}, 901: 900}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_of_large_nodes_are_all_compared(spark):
+    """Chains of texts in which each has 9 of the last one's 100 words replaced: 89 of 109 word pairs are shared with it (0.82), 79 of
+    119 with the one before (0.66). Nodes at depth 2 hold more than two of a chain; at depth 9 many of its links do not meet."""
+    data, want = [], {}
+    for chain in range(12):
+        words = [f"w{chain}x{k}" for k in range(100)]
+        for k in range(10):
+            data.append((chain * 100 + k, " ".join(words), "en", "a", 1, 0, 0, 0, 0, "", 0))
+            want[chain * 100 + k] = chain * 100
+            words[k * 10 + 1 : k * 10 + 10] = [f"n{chain}x{k}x{j}" for j in range(9)]
+    got = near_dedup.near_duplicates(cases.frame(spark, data), size=2, trees=12, levels=(2, 9), leaf=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
