@@ -6,6 +6,9 @@ several documents; only the text around them can repeat, and only that is sorted
 
 Tasks send packed, sorted hashes to buckets. A k-gram that a task has already seen in several documents is sent once and its places pass
 by, so a passage that a third of all documents share costs a bucket one entry for each batch of rows.
+
+Rows are told apart by their tag, a hash of doc_id and text, and joined by ``rid``, the first bits of it, so that null and repeated
+doc_ids cost what others cost. Equal rows share a tag: they have the same places and the same spans, which are kept once.
 """
 
 from __future__ import annotations
@@ -75,11 +78,6 @@ def places(data: np.ndarray, offsets: np.ndarray, units: Units, window: int, k:
     return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out)
 
 
-def doc_key(doc_id: str = "doc_id") -> Column:
-    """doc_id as an order of precedence: a null one comes after all others."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID)))
-
-
 def groups_of(sorted_keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys begins."""
     return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.zeros(0, dtype=np.int64)
@@ -88,16 +86,17 @@ def groups_of(sorted_keys: np.ndarray) -> np.ndarray:
 def _send(units: Units, window: int, k: int, buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            h, row, place = places(*text_buffers(batch.column(1)), units, window, k)
-            doc, place = ids[row] if len(row) else np.zeros(0, dtype=np.int64), place.astype(np.int32)
+            rids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            h, row, place = places(*text_buffers(batch.column(2)), units, window, k)
+            row, place = row.astype(np.int64), place.astype(np.int32)
             h = h >> np.uint64(64 - bits)
             order = np.argsort(h, kind="stable")
-            h, doc, place = h[order], doc[order], place[order]
+            h, row, place = h[order], row[order], place[order]
+            rid, key = rids[row], keys[row]
             first = groups_of(h)
             several = np.zeros(0, dtype=bool)
             if len(first):
-                several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+                several = np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)
             size = np.diff(np.append(first, len(h)))
             known = np.repeat(several, size)
             lead = np.zeros(len(h), dtype=bool)
@@ -107,21 +106,21 @@ def _send(units: Units, window: int, k: int, buckets: int, bits: int):
             out: list[tuple[int, int, bytes]] = []
             for way, mask in ((0, sent), (1, known)):
                 at = np.flatnonzero(mask)
-                to = bucket[at] if way == 0 else (doc[at] % buckets)
+                to = bucket[at] if way == 0 else (rid[at] % buckets)
                 at = at[np.argsort(to, kind="stable")]
-                to = bucket[at] if way == 0 else (doc[at] % buckets)
+                to = bucket[at] if way == 0 else (rid[at] % buckets)
                 bounds = np.append(groups_of(to), len(at))
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     s = at[a:b]
                     steps = np.diff(h[s], prepend=np.uint64(0)) if way == 0 else np.zeros(0, dtype=np.uint64)
-                    out.append((int(to[a]), way, pack(steps, doc[s], np.where(known[s], -1, place[s]).astype(np.int32) if way == 0 else place[s])))
+                    out.append((int(to[a]), way, pack(steps, rid[s], np.where(known[s], -1, place[s]).astype(np.int32) if way == 0 else place[s])))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "way", "blob"])
 
     return run
 
 
-def _replies(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32())], names=["key", "place"])
+def _replies(rid: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(place, pa.int32())], names=["rid", "place"])
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
@@ -141,20 +140,21 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byt
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, asked, passing in by_bucket(batches):
         for blob in passing:
-            _, doc, place = unpack(blob, np.uint64, np.int64, np.int32)
-            yield _replies(doc, place)
+            _, rid, place = unpack(blob, np.uint64, np.int64, np.int32)
+            yield _replies(rid, place)
         parts = [unpack(blob, np.uint64, np.int64, np.int32) for blob in asked]
         if not parts:
             continue
         h = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        doc, place = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+        rid, place = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+        sender = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[1]) for p in parts])
         order = np.argsort(h, kind="stable")
-        h, doc, place = h[order], doc[order], place[order]
+        h, rid, place, sender = h[order], rid[order], place[order], sender[order]
         first = groups_of(h)
-        if len(first):
-            several = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) | (np.minimum.reduceat(place, first) < 0)
+        if len(first):  # rows of two batches count as two documents, which at worst makes later steps look in vain
+            several = (np.minimum.reduceat(sender, first) != np.maximum.reduceat(sender, first)) | (np.minimum.reduceat(place, first) < 0)
             told = np.repeat(several, np.diff(np.append(first, len(h)))) & (place >= 0)
-            yield _replies(doc[told], place[told])
+            yield _replies(rid[told], place[told])
 
 
 def shuffled(rows: DataFrame) -> DataFrame:
@@ -162,43 +162,50 @@ def shuffled(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "way")
 
 
-def bucket_count(docs: DataFrame, bucket_bytes: int) -> int:
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    return max(8, -(-size // bucket_bytes))
-
-
 def repeated_anchors(docs: DataFrame, units: Units, window: int, k: int, buckets: int) -> DataFrame:
-    """key, places: where each document (key, text) has an anchor whose k-gram also occurs in another document.
+    """rid, places: where the rows of ``keyed`` have an anchor whose k-gram also occurs in another document.
 
     Hashes are cut to what tells the anchors of all buckets apart but for one in some thousands; a chance meeting only
     makes later steps look at a place in vain.
     """
     bits = min(64, 14 + int(buckets * ANCHORS).bit_length())
-    sent = docs.select("key", "text").mapInArrow(_send(units, window, k, buckets, bits), "bucket int, way int, blob binary")
-    told = shuffled(sent).mapInArrow(_answer, "key long, place int")
-    return told.groupBy("key").agg(F.collect_list("place").alias("places"))
+    sent = docs.select("rid", "key", "text").mapInArrow(_send(units, window, k, buckets, bits), "bucket int, way int, blob binary")
+    told = shuffled(sent).mapInArrow(_answer, "rid long, place int")
+    return told.groupBy("rid").agg(F.collect_set("place").alias("places"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """key, tag, text: key orders documents; tag tells rows of one doc_id with different texts apart."""
+def keyed(docs: DataFrame, bucket_bytes: int) -> tuple[DataFrame, int, int]:
+    """(doc_id, key, tag, rid, text; number of buckets; bits of rid). key orders documents, a null doc_id as the largest long; tag is a hash of
+    key and text; rid is as many of its bits as tell most rows apart."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
+    bits = min(62, int(size["rows"]).bit_length() + 6)
     text = F.coalesce("text", F.lit(""))
-    return docs.select(doc_key().alias("key"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(int(NO_ID)))).withColumn("tag", F.xxhash64("key", "text"))
+    return docs.select("doc_id", "key", "tag", rid_of("tag", bits).alias("rid"), "text"), max(8, -(-(size["bytes"] or 0) // bucket_bytes)), bits
+
 
+def rid_of(tag: str, bits: int) -> Column:
+    return F.shiftrightunsigned(F.col(tag), 64 - bits)
 
-SPANS = "key long, tag long, start int, stop int"
 
+SPANS = "tag long, start int, stop int"
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` (of ``keyed``) with the column spans, array<struct<tag,start,stop>>, of all rows with its key.
 
-    Both this join and the one with ``repeated_anchors`` are on key alone, so Spark moves the texts once.
+def with_spans(docs: DataFrame, spans: DataFrame, bits: int) -> DataFrame:
+    """doc_id, tag, text of ``keyed`` and spans, array<struct<tag,start,stop>>, of all rows with its rid.
+
+    Both this join and the one with ``repeated_anchors`` are on rid alone, so Spark moves the texts once.
     """
-    lists = spans.groupBy("key").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))
-    return docs.join(lists, "key", "left").select("key", "tag", "text", "spans")
+    lists = spans.groupBy(rid_of("tag", bits).alias("rid")).agg(F.collect_set(F.struct("tag", "start", "stop")).alias("spans"))
+    return docs.join(lists, "rid", "left").select("doc_id", "tag", "text", "spans")
 
 
-def doc_ids(keys: pa.Array) -> pa.Array:
-    return pa.array(keys.to_numpy(zero_copy_only=False), mask=keys.to_numpy(zero_copy_only=False) == NO_ID)
+def once_each(tags: np.ndarray) -> np.ndarray:
+    """Whether each is the first of its kind."""
+    out = np.zeros(len(tags), dtype=bool)
+    out[np.unique(tags, return_index=True)[1]] = True
+    return out
 
 
 def covered(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sightline.llm.anchors import SPANS, bucket_count, by_bucket, covered, doc_ids, groups_of, keyed, pack, repeated_anchors, shuffled, span_lists, unpack, with_spans
+from sightline.llm.anchors import SPANS, by_bucket, covered, groups_of, keyed, once_each, pack, repeated_anchors, shuffled, span_lists, unpack, with_spans
 from sightline.llm.common import slices, text_buffers, window_hashes, words_of
 
 WINDOW = 50
@@ -54,16 +54,17 @@ def _passages(shards: int):
             data, offsets = text_buffers(batch.column(2))
             ends = batch.column(3).offsets.to_numpy()
             spots = batch.column(3).values.to_numpy(zero_copy_only=False)
+            single = once_each(tags)
             out: list[tuple[int, int, bytes]] = []
             for a, b in slices(offsets, SLICE):
                 seen: dict[tuple[bytes, int], list] = {}
-                sure: list[tuple[int, int, int, int]] = []
-                for r in range(a, b):
+                sure: list[tuple[int, int, int]] = []
+                for r in np.flatnonzero(single[a:b]) + a:
                     words = data[offsets[r] : offsets[r + 1]].tobytes().split()
                     key, tag = int(keys[r]), int(tags[r])
                     for at in np.unique(spots[ends[r] : ends[r + 1]]).tolist():
                         begin, end = max(0, at - LEFT), min(len(words), at + WINDOW)
-                        if at + K > len(words) or end - begin < WINDOW:  # rows of one doc_id share their places
+                        if at + K > len(words) or end - begin < WINDOW:  # rows with one rid share their places
                             continue
                         name = (b" ".join(words[begin:end]), at - begin)
                         old = seen.get(name)
@@ -72,9 +73,9 @@ def _passages(shards: int):
                         elif key == old[0]:
                             old[2].append((tag, begin))
                         elif key > old[0]:
-                            sure.append((key, tag, begin, end))
+                            sure.append((tag, begin, end))
                         else:
-                            sure += [(old[0], t, c, c + old[1]) for t, c in old[2]]
+                            sure += [(t, c, c + old[1]) for t, c in old[2]]
                             seen[name] = [key, end - begin, [(tag, begin)]]
                 by: dict[int, list] = {}
                 for (text, lead), (key, n, where) in seen.items():
@@ -88,7 +89,7 @@ def _passages(shards: int):
                     where = [w for x in rows for w in x[4]]
                     out.append((shard, 0, pack(joined, *numbers, np.array([len(x[4]) for x in rows]), np.array([w[0] for w in where]), np.array([w[1] for w in where]))))
                 if sure:
-                    out.append((sure[0][0] % shards, 1, pack(*(np.array([x[k] for x in sure], dtype=np.int64) for k in range(4)))))
+                    out.append((sure[0][0] % shards, 1, pack(*(np.array([x[k] for x in sure], dtype=np.int64) for k in range(3)))))
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "way", "blob"])
 
     return run
@@ -184,14 +185,14 @@ class FMIndex:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def spans(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "tag", "start", "stop"])
+    def spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["tag", "start", "stop"])
 
     for _, blobs, passing in by_bucket(batches):
         for blob in passing:
-            yield spans(list(zip(*(v.tolist() for v in unpack(blob, *[np.int64] * 4)), strict=True)))
+            yield spans(list(zip(*(v.tolist() for v in unpack(blob, *[np.int64] * 3)), strict=True)))
         seen: dict[tuple[bytes, int], list] = {}
-        sure: list[tuple[int, int, int, int]] = []
+        sure: list[tuple[int, int, int]] = []
         for blob in blobs:
             joined, leads, keys, sizes, counts, tags, begins = unpack(blob, np.uint8, *[np.int64] * 6)
             where = list(zip(tags.tolist(), begins.tolist(), strict=True))
@@ -202,12 +203,12 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 old = seen.get((text, lead))
                 if old is None or key < old[0]:
                     if old is not None:
-                        sure += [(old[0], t, b, b + n) for t, b in old[2]]
+                        sure += [(t, b, b + n) for t, b in old[2]]
                     seen[text, lead] = [key, n, own]
                 elif key == old[0]:
                     old[2].extend(own)
                 else:
-                    sure += [(key, t, b, b + n) for t, b in own]
+                    sure += [(t, b, b + n) for t, b in own]
         yield spans(sure)
         anchors: dict[bytes, list] = {}
         for (text, lead), (key, _, where) in seen.items():
@@ -223,7 +224,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for least, (_, key, where) in zip(FMIndex(passages, documents).earliest(passages), open_ones, strict=True):
             edge = np.diff(np.concatenate(([0], (least < key).astype(np.int8), [0])))
             for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                found += [(key, t, begin + a, begin + b - 1 + WINDOW) for t, begin in where]
+                found += [(t, begin + a, begin + b - 1 + WINDOW) for t, begin in where]
         yield spans(found)
 
 
@@ -237,14 +238,13 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if len(starts) else words
             for column, v in zip(out, (len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
                 column.append(v)
-        yield pa.RecordBatch.from_arrays([doc_ids(batch.column(0)), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Word spans (key, tag, start, stop) of ``keyed`` documents that windows of documents with smaller keys cover."""
-    shards = bucket_count(docs, bucket_bytes)
-    places = repeated_anchors(docs, word_units, WINDOW, K, shards)
-    passages = docs.join(places, "key").select("key", "tag", "text", "places").mapInArrow(_passages(shards), "bucket int, way int, blob binary")
+def repeated_spans(rows: DataFrame, shards: int) -> DataFrame:
+    """Word spans (tag, start, stop) of ``keyed`` rows that windows of documents with smaller keys cover."""
+    places = repeated_anchors(rows, word_units, WINDOW, K, shards)
+    passages = rows.join(places, "rid").select("key", "tag", "text", "places").mapInArrow(_passages(shards), "bucket int, way int, blob binary")
     return shuffled(passages).mapInArrow(_search, SPANS)
 
 
@@ -252,8 +252,8 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     """doc_id, n_words, n_removed, kept_sha256: one row per input row.
 
     A word goes if a window of WINDOW words that covers it also starts in a document with a smaller doc_id. Null and empty
-    texts have no words; rows of one doc_id don't cover each other; a null doc_id comes after all others; other columns are ignored; an
-    empty table gives none.
+    texts have no words; rows of one doc_id don't cover each other; a null doc_id counts as the largest long; texts of any
+    length are read whole, in slices; other columns are ignored; an empty table gives none.
     """
-    rows = keyed(docs)
-    return with_spans(rows, repeated_spans(rows, bucket_bytes)).mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows, shards, bits = keyed(docs, bucket_bytes)
+    return with_spans(rows, repeated_spans(rows, shards), bits).mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")

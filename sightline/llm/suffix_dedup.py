@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sightline.llm.anchors import SPANS, bucket_count, by_bucket, covered, doc_ids, groups_of, keyed, pack, repeated_anchors, shuffled, span_lists, unpack, with_spans
+from sightline.llm.anchors import SPANS, by_bucket, covered, groups_of, keyed, once_each, pack, repeated_anchors, shuffled, span_lists, unpack, with_spans
 from sightline.llm.common import _powers, mix64, slices, text_buffers
 
 WINDOW = 50
@@ -74,10 +74,10 @@ def shared_with_last(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def whole(key: np.ndarray, tag: np.ndarray, at: np.ndarray, after: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Spans (key, tag, start, stop) of pieces of which every window goes; pieces below WINDOW have none."""
+def whole(tag: np.ndarray, at: np.ndarray, after: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans (tag, start, stop) of pieces of which every window goes; pieces below WINDOW have none."""
     ok = after + before >= WINDOW
-    return key[ok], tag[ok], (at - before)[ok], (at + after)[ok]
+    return tag[ok], (at - before)[ok], (at + after)[ok]
 
 
 def front_code(x: np.ndarray, shared: np.ndarray) -> bytes:
@@ -94,11 +94,12 @@ def _runs(buckets: int):
             lists = batch.column(3)
             ends = lists.offsets.to_numpy()
             spots = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
+            single = once_each(tags)
             out: list[tuple[int, int, bytes]] = []
             for a, b in slices(offsets, SLICE):
                 row = np.repeat(np.arange(a, b), np.diff(ends[a : b + 1]))
                 at = spots[ends[a] : ends[b]] + offsets[row]
-                inside = at + K <= offsets[row + 1]  # rows of one doc_id share their places
+                inside = (at + K <= offsets[row + 1]) & single[row]  # rows with one rid share their places
                 row, at = row[inside], at[inside]
                 if not len(at):
                     continue
@@ -117,7 +118,7 @@ def _runs(buckets: int):
                 least = key[lead][group]
                 late = key > least
                 place = at - offsets[row]
-                spans = whole(key[late], tags[row[late]], place[late], after[late], before[late])
+                spans = whole(tags[row[late]], place[late], after[late], before[late])
                 out.append((int(a % buckets), 1, pack(*(v.astype(np.int64) for v in spans))))
                 keep = ~late
                 bounds = np.append(first, len(at))
@@ -240,12 +241,12 @@ def window_spans(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (np.uint8, np.uint8, np.uint8, np.uint8, np.int64, np.int32, np.int64, np.int32)
 
-    def spans(key, tag, start, stop) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(tag, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["key", "tag", "start", "stop"])
+    def spans(tag, start, stop) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(tag, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["tag", "start", "stop"])
 
     for _, blobs, sure in by_bucket(batches):
         for blob in sure:
-            yield spans(*unpack(blob, np.int64, np.int64, np.int64, np.int64))
+            yield spans(*unpack(blob, np.int64, np.int64, np.int64))
         parts = [unpack(blob, *kinds) for blob in blobs]
         if not parts:
             continue
@@ -272,7 +273,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return np.repeat(entries, n), np.repeat(begin[entries] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
 
         e, o = each(np.flatnonzero(late))
-        yield spans(*whole(key[e], tag[o], place[o].astype(np.int64), after[e], before[e]))
+        yield spans(*whole(tag[o], place[o].astype(np.int64), after[e], before[e]))
         hit = repeated_windows(x[first], common[first], after[first], before[first], least)
         piece, low, high = window_spans(hit)
         if not len(piece):
@@ -286,7 +287,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.searchsorted(group[e], piece, side="right") - start
         stretch = np.repeat(np.arange(len(piece)), n)
         at = np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        yield spans(key[e[at]], tag[o[at]], place[o[at]] - high[stretch], place[o[at]] - low[stretch] + WINDOW)
+        yield spans(tag[o[at]], place[o[at]] - high[stretch], place[o[at]] - low[stretch] + WINDOW)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,14 +300,13 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = (len(text), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(text[~gone].tobytes() if len(starts) else text.tobytes()).hexdigest())
             for column, v in zip(out, row, strict=True):
                 column.append(v)
-        yield pa.RecordBatch.from_arrays([doc_ids(batch.column(0)), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Byte spans (key, tag, start, stop) of ``keyed`` documents that windows of documents with smaller keys cover."""
-    buckets = bucket_count(docs, bucket_bytes)
-    places = repeated_anchors(docs, byte_units, WINDOW, K, buckets)
-    runs = docs.join(places, "key").select("key", "tag", "text", "places").mapInArrow(_runs(buckets), "bucket int, way int, blob binary")
+def repeated_spans(rows: DataFrame, buckets: int) -> DataFrame:
+    """Byte spans (tag, start, stop) of ``keyed`` rows that windows of documents with smaller keys cover."""
+    places = repeated_anchors(rows, byte_units, WINDOW, K, buckets)
+    runs = rows.join(places, "rid").select("key", "tag", "text", "places").mapInArrow(_runs(buckets), "bucket int, way int, blob binary")
     return shuffled(runs).mapInArrow(_merge, SPANS)
 
 
@@ -314,8 +314,8 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per input row.
 
     A byte goes if a WINDOW-byte string that covers it also starts in a document with a smaller doc_id. Null and empty
-    texts have no bytes; rows of one doc_id don't cover each other; a null doc_id comes after all others; other columns are ignored; an
-    empty table gives none.
+    texts have no bytes; rows of one doc_id don't cover each other; a null doc_id counts as the largest long; texts of any
+    length are read whole, in slices; other columns are ignored; an empty table gives none.
     """
-    rows = keyed(docs)
-    return with_spans(rows, repeated_spans(rows, bucket_bytes)).mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows, buckets, bits = keyed(docs, bucket_bytes)
+    return with_spans(rows, repeated_spans(rows, buckets), bits).mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

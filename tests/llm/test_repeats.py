@@ -1,11 +1,12 @@
 import hashlib
 import random
+import time
 
 import cases
 import pytest
 from sightline.llm import substring_dedup, suffix_dedup
 
-LAST = 1 << 70
+LAST = (1 << 63) - 1  # a null doc_id counts as the largest long
 
 
 def brute_bytes(data):
@@ -76,3 +77,34 @@ def test_loser_tree_merges_any_runs():
         merged = [runs[r][k] for r, k in order]
         assert merged == sorted(x for r in runs for x in r)
         assert common == [0 if k == 0 else suffix_dedup.first_difference(merged[k], merged[k - 1], 0) for k in range(len(merged))]
+
+
+def test_null_repeated_and_largest_ids(spark):
+    rng = random.Random(9)
+    shared = cases.prose(rng, "en", 70)
+    own = [cases.prose(rng, "de", 12) + shared + cases.prose(rng, "fr", 12) for _ in range(40)]
+    data = [(None, t) for t in own[:12]] + [(5, t) for t in own[12:24]] + [(None, own[0])] * 5 + [(LAST, own[30]), (LAST, own[0]), (-LAST - 1, own[31])] + [(9, None), (None, ""), (5, own[12])]
+    docs = cases.frame(spark, [(*r, "en", "a", 1, 0, 0, 0, 0, "", 0) for r in data])
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_bytes(data)
+    got = substring_dedup.remove_repeats(docs).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_words(data)
+
+
+@pytest.mark.parametrize("operator", [suffix_dedup, substring_dedup])
+def test_null_and_repeated_ids_cost_what_others_cost(spark, operator):
+    rng = random.Random(10)
+    shared = cases.prose(rng, "en", 70)
+    texts = [cases.prose(rng, "de", 10) + shared + cases.prose(rng, "fr", 10) for _ in range(4000)]
+
+    def seconds(ids):
+        docs = cases.frame(spark, [(i, t, "en", "a", 1, 0, 0, 0, 0, "", 0) for i, t in zip(ids, texts, strict=True)]).cache()
+        docs.count()
+        began = time.time()
+        operator.remove_repeats(docs).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    seconds(range(4000))
+    base = seconds(range(4000))
+    assert seconds([None] * 4000) < 2 * base + 1
+    assert seconds([7] * 4000) < 2 * base + 1
