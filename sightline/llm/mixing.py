@@ -1,25 +1,28 @@
 """Mix sources to target weights: fixed-length blocks, per-shard source draws, permuted block indices.
 
 All of it is DataFrame code. A source's documents form one stream of words, cut into blocks of ``block_words``; the
-last block may be short. Each output slot takes one block. A source's slot ``i`` belongs to pass ``i div n`` over its
-``n`` blocks and takes block ``perm(i mod n)``, a swap-or-not permutation keyed by source and pass, so a pass uses each
-block once. The last slot takes only the words that are still missing from the target.
-
-Draws per shard: every slot of every source has a global number; one more permutation sends it to an output position,
-and ``slots_per_shard`` positions make a shard. A shard's source counts are thus multinomial draws given that the
-totals over all shards equal the targets, which is why taken words meet the target instead of scattering around it.
+last block may be short. Each output shard has ``slots_per_shard`` slots, and each slot takes one block. How many slots of a shard
+a source gets is drawn from the multinomial distribution of the sources' shares: each slot draws its source by a seeded hash. A
+source's slots are numbered through all shards, so that a shard takes consecutive ranks; rank ``i`` belongs to pass ``i div n``
+over the source's ``n`` blocks and takes block ``perm(i mod n)``, a swap-or-not permutation keyed by source and pass, so a pass uses each
+block once. The last rank takes only the words that are still missing from the target.
+
+Draws that find their source used up, which happens in the last shards only, go to the sources that have ranks left, so that
+taken words meet the targets instead of scattering around them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from sightline.llm.common import materialize, row_key
+from sightline.llm.common import fresh, materialize, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 PRIME = 2147483647
 ROUNDS = 12
-CHUNK = 4096
+CHUNK = 1024
+BUCKETS = 65536  # of a source's stream, whatever its size
+SLOTS_PER_SHARD = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -68,73 +71,109 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     return ranked.select("source", "source_rank", "source_size", "weight", target.alias("target"))
 
 
-def slot_table(sources: DataFrame, block_words: int, slots_per_shard: int, seed: int) -> DataFrame:
-    """One row per slot of the mix: shard, position, source_rank, block, take (words from the block's start)."""
+def draw(shard: Column, place: Column, seed: int) -> Column:
+    """A number in [0, 1) for a slot of a shard."""
+    x = (F.pmod(shard, F.lit(PRIME)) * F.lit(7919) + place * F.lit(104729) + F.lit(seed)) % F.lit(PRIME)
+    x = (x * F.lit(48271)) % F.lit(PRIME)
+    x = (x.bitwiseXOR(F.shiftright(x, 13)) * F.lit(69621)) % F.lit(PRIME)
+    x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(48271)) % F.lit(PRIME)
+    return x.cast("double") / F.lit(float(PRIME))
+
+
+def _sources_with_slots(sources: DataFrame, block_words: int) -> DataFrame:
     n = F.ceil(F.col("source_size") / block_words).cast("long")
-    want = F.floor("target").cast("long")
-    full = F.col("passes_size")
-    s = sources.filter(F.col("source_size") > 0).withColumn("n", n).withColumn("want", want)
-    s = s.withColumn("passes_size", F.col("source_size"))
-    rest = F.col("want") % full
-    s = s.withColumn("slots", (F.floor(F.col("want") / full) * F.col("n") + F.ceil(rest / block_words)).cast("long"))
-    s = s.filter("slots > 0")
-    base = F.coalesce(F.sum("slots").over(W.orderBy("source_rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    s = s.withColumn("base", base).withColumn("all_slots", F.sum("slots").over(W.partitionBy(F.lit(0))))
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK).cast("long")))
-    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that small chunk rows are not drawn together
-    s = s.select("*", chunk.alias("chunk")).repartition(parts, "source_rank", "chunk")
-    last = F.least(F.col("slots") - 1, F.col("chunk") * CHUNK + (CHUNK - 1))
-    s = s.select("*", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("i"))
+    s = sources.filter(F.col("source_size") > 0).withColumn("n", n).withColumn("want", F.floor("target").cast("long"))
+    rest = F.col("want") % F.col("source_size")
+    slots = F.floor(F.col("want") / F.col("source_size")) * F.col("n") + F.ceil(rest / block_words)
+    return s.select("source_rank", "source_size", "n", "want", slots.cast("long").alias("slots")).filter("slots > 0")
+
+
+def shard_counts(sources: DataFrame, block_words: int, slots_per_shard: int, seed: int) -> DataFrame:
+    """shard, source (struct of source_rank, source_size, n, want, slots), drawn: how many slots of each shard drew each source."""
+    upto = F.sum("slots").over(W.orderBy("source_rank")).cast("double") / F.sum("slots").over(W.partitionBy(F.lit(0))).cast("double")
+    edges = _sources_with_slots(sources, block_words).select("slots", F.struct(upto.alias("edge"), F.struct("source_rank", "source_size", "n", "want", "slots").alias("source")).alias("e"))
+    one = edges.agg(F.sum("slots").alias("all"), F.array_sort(F.collect_list("e")).alias("edges")).filter("all > 0")
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that small rows are not drawn together
+    shards = F.floor((F.col("all") - 1) / slots_per_shard).cast("long")
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(shards / CHUNK).cast("long")))
+    rows = one.select("*", chunk.alias("chunk")).repartition(parts, "chunk")
+    rows = rows.select("all", "edges", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(shards, F.col("chunk") * CHUNK + (CHUNK - 1)))).alias("shard")).repartition(parts, "shard")
+    places = F.sequence(F.lit(0).cast("long"), F.least(F.lit(slots_per_shard).cast("long"), F.col("all") - F.col("shard") * slots_per_shard) - 1)
+    rows = rows.select("edges", "shard", F.explode(places).alias("place")).withColumn("u", draw(F.col("shard"), F.col("place"), seed))
+    source = F.element_at(F.filter("edges", lambda e: F.col("u") < e["edge"]), 1)["source"]
+    return rows.groupBy("shard", source.alias("source")).agg(F.count("*").alias("drawn"))
+
+
+def slot_table(sources: DataFrame, block_words: int, slots_per_shard: int, seed: int) -> DataFrame:
+    """One row per slot of the mix: shard, source_rank, block, take (words from the block's start)."""
+    counts = materialize(shard_counts(sources, block_words, slots_per_shard, seed), "mix-counts")
+    before = W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    ranked = counts.withColumn("first", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
+    ranked = ranked.withColumn("kept", F.greatest(F.least("drawn", F.col("source.slots") - F.col("first")), F.lit(0)))
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = ranked.filter("kept > 0").repartition(parts, "shard", "source")
+    own = own.select("shard", "source", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("kept") - 1)).alias("i"))
+    # draws beyond a source's ranks, by number, meet the ranks that no draw reached, by number
+    over = ranked.groupBy("shard").agg(F.sum(F.col("drawn") - F.col("kept")).alias("more")).filter("more > 0")
+    over = over.withColumn("from", F.coalesce(F.sum("more").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    over = over.select("shard", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("more") - 1)).alias("j"))
+    every = _sources_with_slots(sources, block_words).select(F.struct("source_rank", "source_size", "n", "want", "slots").alias("source"))
+    lack = every.join(counts.groupBy("source").agg(F.sum("drawn").alias("drawn")), "source", "left").withColumn("lack", F.greatest(F.col("source.slots") - F.coalesce("drawn", F.lit(0)), F.lit(0))).filter("lack > 0")
+    lack = lack.withColumn("from", F.coalesce(F.sum("lack").over(W.orderBy("source").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    lack = lack.select("source", "from", F.explode(F.sequence(F.col("source.slots") - F.col("lack"), F.col("source.slots") - 1)).alias("i"), "lack")
+    lack = lack.select("source", "i", (F.col("from") + F.col("i") - F.col("source.slots") + F.col("lack")).alias("j"))
+    s = own.unionByName(over.join(lack, "j").select("shard", "source", "i")).select("shard", "i", "source.*")
     turn, at, short = F.floor(F.col("i") / F.col("n")).cast("long"), F.col("i") % F.col("n"), F.col("n") - 1
     key = F.lit(seed) + F.col("source_rank") * F.lit(7919) + turn * F.lit(1299709)
     block = F.when(at == short, short).otherwise(permute(at, F.greatest(short, F.lit(1).cast("long")), key))
     length = F.when(at == short, F.col("source_size") - short * block_words).otherwise(F.lit(block_words))
-    take = F.least(length, F.col("want") - turn * full - at * block_words)
-    position = permute(F.col("base") + F.col("i"), F.col("all_slots"), F.lit(seed).cast("long"))
-    return s.select(
-        (position / slots_per_shard).cast("long").alias("shard"), position.alias("position"), "source_rank",
-        block.alias("block"), take.cast("long").alias("take"),
-    )
+    take = F.least(length, F.col("want") - turn * F.col("source_size") - at * block_words)
+    return s.select("shard", "source_rank", block.alias("block"), take.cast("long").alias("take"))
+
+
+def stream_hash(doc_id: Column, text: Column) -> Column:
+    """A row's place in its source's stream: it depends on the row alone, so that a stream keeps its order as a table grows."""
+    return F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))), 1, 16)
 
 
-def source_streams(docs: DataFrame, bucket_rows: int) -> DataFrame:
-    """Adds ``start``: the word offset of a document in its source's stream.
+def source_streams(docs: DataFrame) -> DataFrame:
+    """Adds ``start``: the word offset of a document in its source's stream, which is in order of ``hash``.
 
-    Order in a source: pmod(doc_id, buckets), doc_id, size. Offsets add a bucket's own running sum to the words of the
-    buckets before it, so that a source with a third of all rows is not summed by one task.
+    Offsets add a bucket's own running sum to the words of the buckets before it, so that a source with a third of all rows
+    is not summed by one task. Equal rows follow each other.
     """
-    rows = docs.agg(F.count("*").alias("n")).first()["n"]
-    buckets = rows // bucket_rows + 1
-    docs = docs.withColumn("bucket", F.coalesce(F.pmod(F.col("doc_id"), F.lit(buckets)), F.lit(0)))
+    docs = docs.withColumn("bucket", F.conv(F.substring("hash", 1, 4), 16, 10).cast("int"))
     totals = docs.groupBy("source_rank", "bucket").agg(F.sum("size").alias("words"))
     before = W.partitionBy("source_rank").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select("source_rank", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    own = W.partitionBy("source_rank", "bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    own = W.partitionBy("source_rank", "bucket").orderBy("hash", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     docs = docs.withColumn("inner", F.coalesce(F.sum("size").over(own), F.lit(0)))
-    return docs.join(totals, ["source_rank", "bucket"]).withColumn("start", F.col("base") + F.col("inner")).drop("inner", "base", "bucket")
+    return docs.join(totals, ["source_rank", "bucket"]).withColumn("start", F.col("base") + F.col("inner")).drop("inner", "base", "bucket", "hash")
 
 
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, block_words: int = 512,
-    slots_per_shard: int = 65536, seed: int = 17, bucket_rows: int = 20000,
+    slots_per_shard: int = SLOTS_PER_SHARD, seed: int = 17,
 ) -> tuple[DataFrame, DataFrame]:
     """(slots, placed): the output slots of ``slot_table`` and one row per document with doc_id, size, source_rank,
     source_size, target, start. ``docs`` needs doc_id (integer), text and source; other columns are ignored.
 
     Null text has size 0 and takes nothing; a null source is a source of its own, ranked last; a null doc_id is a
-    document like others; repeated doc_ids are separate documents; an empty table gives two empty tables.
+    document like others; repeated doc_ids are separate documents; a long text spans as many blocks as it needs; an empty table
+    gives two empty tables.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), stream_hash(F.col("doc_id"), F.col("text")).alias("hash"))
     sized = materialize(sized, "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = source_targets(sizes, weights, share, cap)
     by = sources.select(F.col("source").alias("_source"), "source_rank", "source_size", "target")
-    placed = source_streams(sized.join(by, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), bucket_rows)
+    placed = source_streams(sized.join(by, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"))
     return slot_table(sources, block_words, slots_per_shard, seed), placed
 
 
 def taken_words(slots: DataFrame, placed: DataFrame, block_words: int = 512) -> DataFrame:
-    """doc_id, size, source_size, target, taken: joins each slot's block, by index, to the documents in that block."""
+    """doc_id, size, source_size, target, taken, first_shard, last_shard (of those that take words of the document): joins each slot's
+    block, by index, to the documents in that block."""
     placed = materialize(placed, "mix-placed")
     first = F.floor(F.col("start") / block_words).cast("long")
     last = F.floor((F.col("start") + F.col("size") - 1) / block_words).cast("long")
@@ -143,10 +182,13 @@ def taken_words(slots: DataFrame, placed: DataFrame, block_words: int = 512) ->
     end = F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words))
     used = F.greatest(F.least(end, F.coalesce("take", F.lit(0))) - begin, F.lit(0))
     # the size of exploded slots is not known to the planner, which must not broadcast them
-    joined = pieces.join(slots.select("source_rank", "block", "take").hint("merge"), ["source_rank", "block"], "left")
-    counted = joined.groupBy("doc_id", "size", "source_size", "target", "source_rank", "start").agg(F.coalesce(F.sum(used), F.lit(0)).cast("long").alias("taken"))
-    out = ["doc_id", "size", "source_size", "target", "taken"]
-    return counted.select(out).unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(out))
+    joined = pieces.join(slots.hint("merge"), ["source_rank", "block"], "left").withColumn("used", used)
+    where = F.when(F.col("used") > 0, F.col("shard"))
+    sums = [F.coalesce(F.sum("used"), F.lit(0)).cast("long").alias("taken"), F.min(where).alias("first_shard"), F.max(where).alias("last_shard")]
+    counted = joined.groupBy("doc_id", "size", "source_size", "target", "source_rank", "start").agg(*sums)
+    out = ["doc_id", "size", "source_size", "target", "taken", "first_shard", "last_shard"]
+    none = {"taken": F.lit(0).cast("long"), "first_shard": F.lit(None).cast("long"), "last_shard": F.lit(None).cast("long")}
+    return counted.select(out).unionByName(placed.filter("size = 0").withColumns(none).select(out))
 
 
 def mixed_documents(docs: DataFrame, block_words: int = 512, seed: int = 17, **options) -> DataFrame:
@@ -154,14 +196,16 @@ def mixed_documents(docs: DataFrame, block_words: int = 512, seed: int = 17, **o
 
     A fraction is rounded up as often as it is large, by a seeded hash of the document, so that documents of many blocks, which all
     have about their source's ratio taken, keep their share. Documents without words, and those that the mix passes over, have no rows.
-    Each row is a document of its own, whatever its doc_id is; rows with the same doc_id, text and source share their count.
+    Each row is a document of its own, whatever its doc_id is, null or repeated; rows with the same doc_id, text and source share their
+    count. Other columns, whatever their names, are kept; an empty table stays empty.
     """
-    keyed = docs.withColumn("_mixed", row_key("doc_id", "text", "source"))
-    slots, placed = mix(keyed.select(F.col("_mixed").alias("doc_id"), "text", "source"), block_words=block_words, seed=seed, **options)
+    mark, count, turn = (fresh(docs.columns, c) for c in ("mixed", "times", "turn"))
+    keyed = docs.withColumn(mark, row_key("doc_id", "text", "source"))
+    slots, placed = mix(keyed.select(F.col(mark).alias("doc_id"), "text", "source"), block_words=block_words, seed=seed, **options)
     taken = taken_words(slots, placed, block_words).filter("size > 0")
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(1 << 30)
     times = taken.groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("ratio"))
     whole = F.floor("ratio")
-    times = times.select(F.col("doc_id").alias("_mixed"), (whole + (part < F.col("ratio") - whole).cast("int")).cast("int").alias("_times")).filter("_times > 0")
-    again = keyed.join(times, "_mixed").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    times = times.select(F.col("doc_id").alias(mark), (whole + (part < F.col("ratio") - whole).cast("int")).cast("int").alias(count)).filter(F.col(count) > 0)
+    again = keyed.join(times, mark).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(count))))
     return again.select(docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sightline.llm.mixing import PRIME, ROUNDS
+from sightline.llm.mixing import PRIME, ROUNDS, SLOTS_PER_SHARD
 
 _SWAP = f"""list_reduce(list_prepend({{x}}, list_transform(range(1, {ROUNDS + 1}), lambda r: r::BIGINT)), lambda acc, r:
   CASE WHEN (((greatest(acc, ((((({{k}} + r * 15485863) % {PRIME}) * 48271) % {PRIME} - acc) % {{n}} + {{n}}) % {{n}}) + {{k}} * 31 + r * 104729) % {PRIME}) * 69621 % {PRIME}) & 16384 = 0
@@ -10,7 +10,7 @@ _SWAP = f"""list_reduce(list_prepend({{x}}, list_transform(range(1, {ROUNDS + 1}
 
 MIX = f"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT row_number() OVER () AS rid, doc_id, source, left(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 16) AS hash, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1)::BIGINT AS rk FROM s0),
 s2 AS (SELECT *, (CASE rk % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::BIGINT AS w, 2 * source_size AS cap FROM s1),
@@ -19,20 +19,29 @@ s3 AS (SELECT *,
   / (sum(w) OVER (ORDER BY cap / w, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS lev FROM s2),
 s4 AS (SELECT *, cap <= lev * w AS capped FROM s3),
 s AS (SELECT *, CASE WHEN capped THEN cap::DOUBLE ELSE (SELECT lev FROM s4 WHERE NOT capped ORDER BY cap / w, rk LIMIT 1) * w END AS target FROM s4),
-nb AS (SELECT count(*) // 20000 + 1 AS nb FROM documents),
-p AS (SELECT d.rid, d.doc_id, d.size, s.source_size, s.target, s.rk,
-  coalesce(sum(d.size) OVER (PARTITION BY s.rk ORDER BY coalesce(((d.doc_id % nb) + nb) % nb, 0), d.doc_id ASC NULLS FIRST, d.size, d.rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source CROSS JOIN nb),
+p0 AS (SELECT d.*, s.source_size, s.target, s.rk FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+p AS (SELECT rid, doc_id, size, source_size, target, rk, coalesce(sum(size) OVER (PARTITION BY rk ORDER BY hash, doc_id ASC NULLS FIRST, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p0),
 q AS (SELECT rk, source_size AS z, ceil(source_size / 512)::BIGINT AS n, floor(target)::BIGINT AS want FROM s WHERE source_size > 0),
-g AS (SELECT *, (want // z) * n + ceil((want % z) / 512)::BIGINT AS slots FROM q),
-i AS (SELECT rk, z, n, want, unnest(range(slots)) AS i FROM g),
-j AS (SELECT *, i // n AS turn, i % n AS pos, 17 + rk * 7919 + (i // n) * 1299709 AS k FROM i),
-slot AS (SELECT rk, CASE WHEN pos = n - 1 THEN n - 1 ELSE {_SWAP.format(x="pos", k="k", n="greatest(n - 1, 1)")} END AS block,
+g AS (SELECT * FROM (SELECT *, (want // z) * n + ceil((want % z) / 512)::BIGINT AS slots FROM q) WHERE slots > 0),
+e AS (SELECT *, sum(slots) OVER (ORDER BY rk)::DOUBLE / (SELECT sum(slots) FROM g)::DOUBLE AS hi, coalesce(sum(slots) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / (SELECT sum(slots) FROM g)::DOUBLE AS lo FROM g),
+r0 AS (SELECT unnest(range(a)) AS x FROM (SELECT sum(slots)::BIGINT AS a FROM g)),
+r1 AS (SELECT x // {SLOTS_PER_SHARD} AS shard, ((x // {SLOTS_PER_SHARD}) % {PRIME} * 7919 + (x % {SLOTS_PER_SHARD}) * 104729 + 17) % {PRIME} * 48271 % {PRIME} AS x FROM r0),
+r2 AS (SELECT shard, xor(x, x >> 13) * 69621 % {PRIME} AS x FROM r1),
+r3 AS (SELECT shard, (xor(x, x >> 16) * 48271 % {PRIME})::DOUBLE / {PRIME}::DOUBLE AS u FROM r2),
+cnt AS (SELECT shard, rk, count(*) AS drawn FROM r3 JOIN e ON u >= lo AND u < hi GROUP BY ALL),
+rn AS (SELECT cnt.*, slots, coalesce(sum(drawn) OVER (PARTITION BY rk ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM cnt JOIN g USING (rk)),
+kp AS (SELECT *, greatest(least(drawn, slots - first), 0)::BIGINT AS kept FROM rn),
+ex AS (SELECT shard, row_number() OVER (ORDER BY shard) - 1 AS j FROM (SELECT shard, unnest(range(drawn - kept)) FROM kp)),
+lk AS (SELECT rk, i, row_number() OVER (ORDER BY rk, i) - 1 AS j FROM (SELECT rk, unnest(range(least(slots, coalesce(t, 0))::BIGINT, slots)) AS i FROM g LEFT JOIN (SELECT rk, sum(drawn) AS t FROM cnt GROUP BY rk) USING (rk))),
+al AS (SELECT shard, rk, unnest(range(first, first + kept)) AS i FROM kp UNION ALL SELECT shard, rk, i FROM ex JOIN lk USING (j)),
+j AS (SELECT shard, rk, z, n, want, i // n AS turn, i % n AS pos, 17 + rk * 7919 + (i // n) * 1299709 AS k FROM al JOIN g USING (rk)),
+slot AS (SELECT shard, rk, CASE WHEN pos = n - 1 THEN n - 1 ELSE {_SWAP.format(x="pos", k="k", n="greatest(n - 1, 1)")} END AS block,
   least(CASE WHEN pos = n - 1 THEN z - (n - 1) * 512 ELSE 512 END, want - turn * z - pos * 512) AS take FROM j),
 piece AS (SELECT *, unnest(range(start // 512, (start + size - 1) // 512 + 1)) AS block FROM p WHERE size > 0),
-u AS (SELECT piece.rid, sum(greatest(least(least(start + size - piece.block * 512, 512), take) - greatest(start - piece.block * 512, 0), 0)) AS taken
-  FROM piece JOIN slot ON piece.rk = slot.rk AND piece.block = slot.block GROUP BY piece.rid)
-SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(u.taken, 0)::BIGINT AS taken FROM p LEFT JOIN u USING (rid)
+us AS (SELECT piece.rid, shard, greatest(least(least(start + size - piece.block * 512, 512), take) - greatest(start - piece.block * 512, 0), 0) AS used
+  FROM piece JOIN slot ON piece.rk = slot.rk AND piece.block = slot.block),
+u AS (SELECT rid, sum(used) AS taken, min(shard) FILTER (used > 0) AS first_shard, max(shard) FILTER (used > 0) AS last_shard FROM us GROUP BY rid)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(u.taken, 0)::BIGINT AS taken, first_shard, last_shard FROM p LEFT JOIN u USING (rid)
 """
 
 _CONTROL = r"<\|[A-Za-z0-9_]+\|>|</?s>|<</?SYS>>|\[/?[A-Z_][A-Z_]+\]"

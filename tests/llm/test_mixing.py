@@ -1,3 +1,5 @@
+from collections import Counter
+
 import cases
 from sightline.llm import mixing
 
@@ -38,10 +40,60 @@ def check(spark, data, **options):
 
 def test_taken_words_meet_targets_and_reruns_agree(spark):
     data = cases.rows()
-    first, slots = check(spark, data, block_words=32, bucket_rows=20)
-    assert first == check(spark, data, block_words=32, bucket_rows=20)[0]
-    positions = sorted(r.position for r in slots.collect())
-    assert positions == list(range(len(positions)))
+    first, slots = check(spark, data, block_words=32, slots_per_shard=16)
+    assert first == check(spark, data, block_words=32, slots_per_shard=16)[0]
+    per_shard = Counter(r.shard for r in slots.collect())
+    assert all(per_shard[k] == 16 for k in range(max(per_shard))) and set(per_shard) == set(range(max(per_shard) + 1))
+
+
+def _sources(spark, blocks):
+    """Sources of whole blocks of 10 words, taken once each."""
+    rows = [(k, 10 * n, float(10 * n)) for k, n in enumerate(blocks)]
+    return spark.createDataFrame(rows, "source_rank long, source_size long, target double")
+
+
+def test_shard_counts_are_multinomial_draws(spark):
+    blocks, per_shard = [6000, 3000, 900, 100], 50
+    counts = mixing.shard_counts(_sources(spark, blocks), 10, per_shard, 3).collect()
+    drawn = {(r.shard, r.source.source_rank): r.drawn for r in counts}
+    shards = sum(blocks) // per_shard
+    for k, n in enumerate(blocks):
+        p, own = n / sum(blocks), [drawn.get((s, k), 0) for s in range(shards)]
+        mean = sum(own) / shards
+        spread = sum((x - mean) ** 2 for x in own) / shards
+        assert abs(mean - per_shard * p) < 5 * (per_shard * p * (1 - p) / shards) ** 0.5
+        assert 0.6 < spread / (per_shard * p * (1 - p)) < 1.5
+    assert all(sum(drawn.get((s, k), 0) for k in range(4)) == per_shard for s in range(shards))
+
+
+def test_slots_follow_the_draws_until_a_source_is_used_up(spark):
+    blocks, per_shard = [600, 300, 95, 5], 50
+    sources = _sources(spark, blocks)
+    drawn = {(r.shard, r.source.source_rank): r.drawn for r in mixing.shard_counts(sources, 10, per_shard, 5).collect()}
+    slots = mixing.slot_table(sources, 10, per_shard, 5).collect()
+    got = Counter((r.shard, r.source_rank) for r in slots)
+    assert Counter(r.source_rank for r in slots) == {k: n for k, n in enumerate(blocks)}
+    assert len({(r.source_rank, r.block) for r in slots}) == sum(blocks)  # one pass uses each block once
+    used, over = Counter(), 0
+    for (shard, k), n in sorted(drawn.items()):
+        kept = max(0, min(n, blocks[k] - used[k]))
+        used[k] += n
+        over += n - kept
+        assert got[shard, k] >= kept
+    assert over == sum(got.values()) - sum(min(got[x], drawn.get(x, 0)) for x in got) > 0
+    other = Counter((r.shard, r.source_rank) for r in mixing.slot_table(sources, 10, per_shard, 6).collect())
+    assert other != got
+
+
+def test_streams_keep_their_order_as_a_table_grows(spark):
+    data = cases.rows()
+
+    def order(rows):
+        placed = mixing.mix(cases.frame(spark, rows))[1].filter("doc_id is not null and size > 0").collect()
+        return [r.doc_id for r in sorted(placed, key=lambda r: (r.source_rank, r.start)) if r.doc_id <= 1100]
+
+    more = data + [(5000 + k, f"more words {k}", "en", r[3], 1, 0, 0, 0, 0, "", 0) for k, r in enumerate(data)]
+    assert order(data) == order(more)
 
 
 def test_odd_tables(spark):
