@@ -30,7 +30,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.place(read_table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
+    return sharding.place(read_table(spark, sf_dir, "documents"), spread=True).select("doc_id", "slot", "shard")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

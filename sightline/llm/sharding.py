@@ -41,21 +41,18 @@ def shard_names(n: int) -> list[str]:
     return [f"shard-{k:05d}" for k in range(n)]
 
 
-def place(docs: DataFrame, key: str = "doc_id", content: str = "text", names: list[str] | None = None, table_size: int = TABLE_SIZE) -> DataFrame:
+def place(docs: DataFrame, key: str = "doc_id", content: str = "text", names: list[str] | None = None, table_size: int = TABLE_SIZE, spread: bool = False) -> DataFrame:
     """``docs`` with slot and shard (columns of those names are replaced).
 
-    slot = hash of the key, modulo the table. Rows with a null key are placed by ``content``. So are, together with their
-    key, the rows of a key that has more rows than a shard's even share; there are fewer such keys than shards, which bounds
-    what is broadcast. Repeated rows go to the same shard. An empty table stays empty.
+    slot = hash of the key, modulo the table, so that a row's place depends on the row alone and stays when the table grows. Rows
+    with a null key are placed by key and ``content``. With ``spread``, all rows are: for tables in which one key may hold
+    more rows than a shard should. Repeated rows go to the same shard; texts of any length are hashed whole; an empty table stays empty.
     """
     names = names or shard_names(SHARDS)
     spark: SparkSession = docs.sparkSession
     docs = docs.drop("slot", "shard")
-    share = max(1, docs.count() // len(names))
-    hot = docs.groupBy(F.col(key).alias("_hot")).count().filter((F.col("count") > share) & F.col("_hot").isNotNull()).select("_hot")
-    by_key, by_both = F.xxhash64(F.col(key)), F.xxhash64(F.col(key), F.col(content))
-    marked = docs.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    number = F.when(F.col(key).isNull() | F.col("_hot").isNotNull(), by_both).otherwise(by_key)
-    slotted = marked.withColumn("slot", F.pmod(number, F.lit(table_size)).cast("int")).drop("_hot")
+    by_both = F.xxhash64(F.col(key), F.col(content))
+    number = by_both if spread else F.when(F.col(key).isNull(), by_both).otherwise(F.xxhash64(F.col(key)))
+    slotted = docs.withColumn("slot", F.pmod(number, F.lit(table_size)).cast("int"))
     table = spark.createDataFrame(list(enumerate(lookup_table(names, table_size).tolist())), "slot int, shard int")
     return slotted.join(F.broadcast(table), "slot").select(*docs.columns, "slot", "shard")
