@@ -74,19 +74,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"])
 
 
-def learn_profiles(labelled: DataFrame, top: int = TOP, per_language: int = 2000, max_languages: int = 256) -> dict[str, list[int]]:
-    """Profiles from about ``per_language`` documents of each language (a hash of doc_id picks them), for the
-    ``max_languages`` most frequent ones. These three bounds size the fit and all that comes to the driver.
+def learn_profiles(labelled: DataFrame, top: int = TOP, per_language: int = 2000) -> dict[str, list[int]]:
+    """Profiles from about ``per_language`` documents of each language (a hash of doc_id picks them), which bounds the fit.
 
-    ``labelled`` has doc_id, text, lang; rows with a null in any are left out.
+    Every language gets its profile of ``top`` n-grams; only these come to the driver. ``labelled`` has doc_id, text, lang; rows
+    with a null in any are left out; n-grams tied in frequency are ordered by value; an empty table gives no profile.
     """
     rows = labelled.select("doc_id", "text", "lang").dropna()
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    known = sizes.collect()
+    known = rows.groupBy("lang").count().collect()  # one row a language, as the model that is learned
     if not known:
         return {}
-    share = F.broadcast(rows.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in known], "lang string, share double"))
-    chosen = rows.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    share = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in known], "lang string, share double")
+    chosen = rows.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= top)
     out: dict[str, list[int]] = {}
@@ -119,7 +118,8 @@ class Profiles:
 def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP) -> DataFrame:
     """doc_id, lang_pred, score of every whole text; ``und`` and 0 where it is null, has no letter, or nothing was learned.
 
-    Only the text is used. Repeated rows give repeated rows; other columns are ignored.
+    Only the text is used. A text as near to several profiles goes to the first language in code point order. Repeated rows give
+    repeated rows, an empty table gives none; other columns are ignored.
     """
     model = Profiles(profiles, top)
 
