@@ -49,13 +49,13 @@ _SHOWN = "length({x}) + CASE WHEN hard THEN length({x}) - length(replace({x}, ch
 
 CHAT = f"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM conversations
+  UNION ALL SELECT *, NULL FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
 h AS (SELECT *, regexp_matches(role || chr(1) || text, '{_CONTROL}') OR contains(role, chr(10)) OR regexp_matches(role || chr(1) || text, '\\\\(\\\\|~)') OR contains(role, chr(92) || '%') AS hard FROM c),
 f AS (SELECT *, {_SHOWN.format(x="role")} + CASE WHEN hard THEN length(role) - length(replace(role, chr(10), '')) ELSE 0 END AS role_size, {_SHOWN.format(x="text")} AS text_size FROM h),
 a AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss, sum(role_size + text_size + 24)::BIGINT AS formatted_chars FROM f GROUP BY conv_id)
-SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a
+  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss, sum(role_size + text_size + 24)::BIGINT AS formatted_chars FROM f GROUP BY conv_id, lone)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, true AS intact FROM a
 """
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
