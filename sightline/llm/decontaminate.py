@@ -7,7 +7,8 @@ segment) at most e apart. Hits are counted in bands of diagonals that are 2 * (e
 reach the bound are retained, and a banded alignment decides.
 
 Texts are compared in code points, with case folded in all scripts (a sharp s is ss) and runs of white space as one space. The benchmark is the query
-set: it goes to the tasks in blocks of at most ``block_chars`` characters, one pass over the documents for each block.
+set: it goes to the tasks in blocks of at most ``block_chars`` characters, one pass over the documents for each block. Only one block
+is on the driver, or broadcast, at a time, however large the benchmark is.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sightline.llm.common import _powers, row_key, slices, text_buffers
+from sightline.llm.common import _powers, fresh, materialize, row_key, slices, text_buffers
 
 FIELDS = "doc_id long, item_id long, start long, stop long, edits int"
 BITS = 22
@@ -54,6 +55,15 @@ class Segments:
                 self.item += [item] * len(starts)
             chars.append(x)
             total += len(x)
+        # items below q characters, by length: distinct hashes, and the items of each
+        self.short_hashes: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
+        for n in {len(x) for _, x in self.short}:
+            by: dict[int, list[int]] = {}
+            for item, x in self.short:
+                if len(x) == n:
+                    by.setdefault(int(gram_hashes(x, n)[0]), []).append(item)
+            keys = sorted(by)
+            self.short_hashes[n] = np.array(keys, dtype=np.uint64), [by[k] for k in keys]
         self.chars = np.concatenate(chars) if chars else np.zeros(0, dtype=np.uint32)
         self.at = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
         self.size = np.array(size, dtype=np.int64)
@@ -115,35 +125,25 @@ def gram_hashes(x: np.ndarray, q: int) -> np.ndarray:
 def band_align(segment: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int, int] | None:
     """(edits, start, stop) of the best occurrence of ``segment`` in ``region`` with at most ``most`` edits, else None.
 
-    Free ends in the region. A cell further than the region's slack from the diagonal can't be on a good path.
+    Free ends in the region, which is the band: it is as long as the segment and its edits. A cell holds its edits and, in the low
+    bits, where its path began, so that of equal ones the first wins; a row is one vector, and gaps run along it as a running minimum.
     """
     m, n = len(segment), len(region)
     text = region.astype("<u4").tobytes().find(segment.astype("<u4").tobytes())
     if text >= 0 and text % 4 == 0:
         return 0, text // 4, text // 4 + m
-    far = most + 1
-    slack = n - m + most
-    if slack < 0:
+    if n - m + most < 0:
         return None
-    row, begin = [0] * (n + 1), list(range(n + 1))
-    for i in range(1, m + 1):
-        lo, hi = max(1, i - most), min(n, i + slack)
-        new, start = [far] * (n + 1), [0] * (n + 1)
-        if i <= most:
-            new[0] = i
-        c = segment[i - 1]
-        for j in range(lo, hi + 1):
-            best, at = row[j - 1] + (c != region[j - 1]), begin[j - 1]
-            if row[j] + 1 < best:
-                best, at = row[j] + 1, begin[j]
-            if new[j - 1] + 1 < best:
-                best, at = new[j - 1] + 1, start[j - 1]
-            new[j], start[j] = min(best, far), at
-        row, begin = new, start
-        if min(row[max(0, lo - 1) : hi + 1]) > most:
+    edit, place = np.int64(1 << 32), np.arange(n + 1)
+    gaps, row = place * edit, place.copy()
+    for c in segment:
+        new = row + edit
+        new[1:] = np.minimum(new[1:], row[:-1] + np.where(region != c, edit, 0))
+        row = np.minimum.accumulate(new - gaps) + gaps
+        if row.min() >> 32 > most:
             return None
-    stop = min(range(n + 1), key=lambda j: (row[j], j))
-    return (row[stop], begin[stop], stop) if row[stop] <= most else None
+    stop = int(np.argmin(row >> 32))
+    return int(row[stop] >> 32), int(row[stop] & 0xFFFFFFFF), stop
 
 
 def may_occur(s: Segments, x: np.ndarray, segment: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -218,8 +218,22 @@ def find_hits(x: np.ndarray, row: np.ndarray, bounds: np.ndarray, s: Segments) -
     return [(r, seg, a, z, e) for (r, seg), (e, a, z) in found.items()]
 
 
-def _matcher(s: Segments):
+def short_hits(x: np.ndarray, row: np.ndarray, s: Segments) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, start, stop, 0): where items below q characters occur first in each row."""
+    out = []
+    for n, (hashes, items) in s.short_hashes.items():
+        h = gram_hashes(x, n)
+        k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        at = np.flatnonzero(hashes[k] == h)
+        at = at[row[at] == row[at + n - 1]]
+        _, first = np.unique(row[at] * np.int64(len(hashes)) + k[at], return_index=True)
+        out += [(int(row[p]), item, int(p), int(p) + n, 0) for p in at[first] for item in items[k[p]]]
+    return out
+
+
+def _matcher(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s: Segments = shared.value
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             ids, out = batch.column(0).to_pylist(), []
@@ -233,12 +247,7 @@ def _matcher(s: Segments):
                 bounds = np.searchsorted(place, ends)
                 best: dict[tuple[int, int], tuple[int, int, int]] = {}
                 hits = [(r, s.item[seg], p, z, e) for r, seg, p, z, e in find_hits(x, row, bounds, s)] if s.item else []
-                for item, short in s.short:  # below q characters: exact words only
-                    for r in range(b - a):
-                        own = x[bounds[r] : bounds[r + 1]]
-                        p = np.flatnonzero(np.all(np.lib.stride_tricks.sliding_window_view(own, len(short)) == short, axis=1)) if len(own) >= len(short) else []
-                        hits += [(r, item, int(bounds[r] + p[0]), int(bounds[r] + p[0]) + len(short), 0)] if len(p) else []
-                for r, item, p, z, e in hits:
+                for r, item, p, z, e in hits + short_hits(x, row, s):
                     old = best.get((r, item))
                     best[r, item] = (p, z, e) if old is None else (min(p, old[0]), max(z, old[1]), min(e, old[2]))
                 for (r, item), (p, z, e) in best.items():
@@ -266,12 +275,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 12, length: int = 100,
 
     ``error`` is the share of edits, lowered where a segment is too short for the lemma. Any excerpt of 59 characters of an item (at
     the default length) is found, with edits if at most 3 of them lie in each 50 characters. Items below q characters need
-    exact occurrence, and empty or null ones match nothing. Null and empty texts have no leaks; repeated rows and repeated items
-    give repeated rows; ties take the first place; empty tables give none; other columns are ignored.
+    exact occurrence, and empty or null ones match nothing. Null and empty texts have no leaks; long ones are read whole, in
+    slices; repeated rows and repeated items give repeated rows; ties take the first place; empty tables give none; other columns are
+    ignored. With more than one block, each pass is written before the next block is read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    passes = [rows.mapInArrow(_matcher(Segments(block, q, length, error)), FIELDS) for block in _blocks(benchmark, block_chars)]
-    return reduce(DataFrame.unionByName, passes)
+    context, done, last = docs.sparkSession.sparkContext, [], None
+    for block in _blocks(benchmark, block_chars):
+        if last is not None:
+            done.append(materialize(rows.mapInArrow(_matcher(last), FIELDS), "leaks"))
+            last.destroy()
+        last = context.broadcast(Segments(block, q, length, error))
+    return reduce(DataFrame.unionByName, [*done, rows.mapInArrow(_matcher(last), FIELDS)])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, by_row: bool = False, **options) -> DataFrame:
@@ -280,7 +295,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, by_row: bool = False, **options
     With ``by_row``, each row is judged by its own text, whatever its doc_id is.
     """
     if by_row:
-        keyed = docs.withColumn("_row", row_key("doc_id", "text"))
-        found = leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, **options)
-        return keyed.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(docs.columns)
+        own = fresh(docs.columns, "row")
+        keyed = docs.withColumn(own, row_key("doc_id", "text"))
+        found = leaks(keyed.select(F.col(own).alias("doc_id"), "text"), benchmark, **options)
+        return keyed.join(found.select(F.col("doc_id").alias(own)).distinct(), own, "left_anti").select(docs.columns)
     return docs.join(leaks(docs, benchmark, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)

@@ -1,7 +1,7 @@
 import random
 
 import cases
-from sightline.llm import decontaminate as dec
+from sightline.llm import decontaminate as dec, queries
 
 
 def distance(segment, text):
@@ -123,3 +123,27 @@ def test_excerpts_of_long_items_at_any_place(spark):
     data += [(200 + k, " ".join(rng.choice(words) for _ in range(90)), "en", "a", 1, 0, 0, 0, 0, "", 0) for k in range(40)]
     got = dec.leaks(cases.frame(spark, data), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
+
+
+def test_short_items_are_found_as_they_are(spark):
+    items = [(1, "ab"), (2, "a b"), (3, "AB"), (4, "xyzw"), (5, "b"), (6, "\u00e9t\u00e9")]
+    texts = ["ab", "a  B", "cab", "no", None, "", "x yzw", "XYZW ab", "l'\u00c9T\u00c9", "yab b xyzw"]
+    docs = cases.frame(spark, [(k, t, "en", "a", 1, 0, 0, 0, 0, "", 0) for k, t in enumerate(texts)])
+    want = {(k, i) for k, t in enumerate(texts) for i, x in items if " ".join(x.split()).lower() in " ".join((t or "").split()).lower()}
+    for block_chars in (3, 1000):
+        got = [(r.doc_id, r.item_id) for r in dec.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), block_chars=block_chars).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_query_finds_every_whole_item_and_nothing_unlike(spark):
+    """Whole items by plain search; each leak of the query is aligned again in full."""
+    folder = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    items = {r.item_id: norm(r.text).casefold() for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
+    got = {(r.doc_id, r.item_id): r for r in queries.queries()["op1_decontamination"](spark, folder).collect()}
+    whole = {(d, i) for d, t in docs.items() for i, x in items.items() if x and x in norm(t).casefold()}
+    assert whole and whole <= set(got)
+    for (d, i), r in got.items():
+        found = norm(docs[d][r.start : r.stop]).casefold().strip()
+        parts = [items[i][a : a + 50] for a in range(0, max(len(items[i]) - 50, 0) + 1)]
+        assert any(p in found or found in p for p in parts) or min(distance(p, found) for p in parts) <= 3
