@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from sightline.llm.common import MIX1, MIX2, materialize, mix64, row_key, slices, text_buffers, window_hashes, words_of
+from sightline.llm.common import MIX1, MIX2, fresh, materialize, mix64, row_key, slices, text_buffers, window_hashes, words_of
 from sightline.llm.components import components
 
 TREES = 32
@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
 
     Documents are linked if 100 * shared >= percent * united shingles; component_id is the least doc_id reachable, kept whether
     that is the document itself. Null and empty texts have no shingles and no links. Rows of one doc_id are one document of
-    the graph; a null doc_id stands alone, with a null component, and is kept. Other columns are ignored; empty tables give none.
+    the graph; a null doc_id stands alone, with a null component, and is kept. Long texts are read whole; ties do not arise, since
+    all links count. Other columns are ignored; empty tables give none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = materialize(summaries(rows, size, trees, levels), "near-summaries")
@@ -264,7 +265,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, trees: in
 
     by_class = classes.select("k1", "k2", "n", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     by_class = by_class.select("k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("c"))
-    out = known.join(by_class, ["k1", "k2", "n_shingles"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")))
+    alone = known.filter("n_shingles = 0").withColumn("c", F.lit(None).cast("long"))  # they would all meet at one key
+    out = known.filter("n_shingles > 0").join(by_class, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "c").unionByName(alone.select("doc_id", "n_shingles", "c"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
@@ -276,18 +279,19 @@ def one_of_each(docs: DataFrame, by_row: bool = False, **options) -> DataFrame:
     doc_ids are, too (they come last in a group), and rows without words all stay.
     """
     rest = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and t[:3] != "map"]
+    row, group, nth = (fresh(docs.columns, c) for c in ("row", "group", "first"))
     if by_row:
-        keyed = docs.withColumn("_row", row_key("doc_id", "text"))
-        found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), **options)
-        found = found.select(F.col("doc_id").alias("_row"), "n_shingles", F.col("component_id").alias("_group")).distinct()
+        keyed = docs.withColumn(row, row_key("doc_id", "text"))
+        found = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), **options)
+        found = found.select(F.col("doc_id").alias(row), F.col("n_shingles").alias(nth), F.col("component_id").alias(group)).distinct()
         found = materialize(found, "near-rows")
-        ids = keyed.select("_row", "doc_id").distinct().join(found.filter("n_shingles > 0"), "_row")
-        least = ids.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least")).select("least._row")
-        first = F.row_number().over(W.partitionBy("_row").orderBy(*[F.col(c) for c in ["text", *rest]]))
-        some = keyed.join(least, "_row", "left_semi").withColumn("_first", first).filter("_first = 1")
-        none = keyed.join(found.filter("n_shingles = 0"), "_row", "left_semi")
+        ids = keyed.select(row, "doc_id").distinct().join(found.filter(F.col(nth) > 0), row)
+        least = ids.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("least")).select(f"least.{row}")
+        first = F.row_number().over(W.partitionBy(row).orderBy(*[F.col(c) for c in ["text", *rest]]))
+        some = keyed.join(least, row, "left_semi").withColumn(nth, first).filter(F.col(nth) == 1)
+        none = keyed.join(found.filter(F.col(nth) == 0), row, "left_semi")
         return some.select(docs.columns).unionByName(none.select(docs.columns))
     kept = near_duplicates(docs, **options).filter("kept and doc_id is not null").select("doc_id").distinct()
     first = F.row_number().over(W.partitionBy("doc_id").orderBy(*[F.col(c) for c in ["text", *rest]]))
-    real = docs.join(kept, "doc_id", "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first")
+    real = docs.join(kept, "doc_id", "left_semi").withColumn(nth, first).filter(F.col(nth) == 1).drop(nth)
     return real.select(docs.columns).unionByName(docs.filter("doc_id is null"))
