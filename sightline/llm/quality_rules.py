@@ -66,7 +66,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of STATS for each whole text. Null text counts as empty; repeated rows stay; other columns are ignored.
+    """doc_id and the counts of STATS for each whole text. Null text counts as empty; a null doc_id and repeated rows stay; long
+    texts are counted in one piece; an empty table gives none; other columns are ignored.
 
     Lines and windows are compared by 64-bit hashes.
     """
@@ -134,6 +135,16 @@ def _worth(rule: Rule, x: pd.DataFrame, bad: np.ndarray) -> float:
     return (p - n) / (p + n) if p + n else -1.0
 
 
+def simplified(rule: Rule) -> Rule:
+    """``rule`` without the tests that a tighter one on the same side of the same feature implies."""
+    best: dict[tuple[str, bool], Test] = {}
+    for t in rule:
+        old = best.get((t.feature, t.above))
+        if old is None or (t.threshold > old.threshold if t.above else t.threshold < old.threshold):
+            best[t.feature, t.above] = t
+    return tuple(best.values())
+
+
 def learn_rules(x: pd.DataFrame, bad: np.ndarray, max_rules: int = 16, max_tests: int = 4, precision: float = 0.97, min_cover: int = 5, cuts: int = 64) -> list[Rule]:
     """Rules for bad rows. Each grows on two rows of three by information gain, loses last tests while the held-out third
     likes it better, and stays if its precision there is high enough; the rows it covers then leave."""
@@ -150,6 +161,7 @@ def learn_rules(x: pd.DataFrame, bad: np.ndarray, max_rules: int = 16, max_tests
         rule = _grow(x[grow], bad[grow], middle, max_tests)
         while len(rule) > 1 and _worth(rule[:-1], x[prune], bad[prune]) >= _worth(rule, x[prune], bad[prune]):
             rule = rule[:-1]
+        rule = simplified(rule)
         hit = _covers(rule, x) & live
         p, n = (hit & bad & prune).sum(), (hit & ~bad & prune).sum()
         if not rule or p < 1 or (hit & bad).sum() < min_cover or p / (p + n) < precision:
@@ -162,7 +174,8 @@ def learn_rules(x: pd.DataFrame, bad: np.ndarray, max_rules: int = 16, max_tests
 def learn(stats: DataFrame, labels: DataFrame, sample_rows: int = 20000) -> list[Rule]:
     """Fits on at most ``sample_rows`` labelled rows, those with the lowest hash of doc_id; labels has doc_id, quality (0: bad).
 
-    Rows without a label or with a null one are left out. Without bad or without good rows the list is empty.
+    Rows without a label or with a null one are left out; of several labels of one doc_id the least counts. Without bad or without
+    good rows, as in an empty table, the list is empty.
     """
     chosen = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)

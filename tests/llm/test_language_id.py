@@ -4,7 +4,7 @@ from collections import Counter
 
 import cases
 import pytest
-from sightline.llm import language_id as ident
+from sightline.llm import language_id as ident, queries
 
 
 def brute_grams(text):
@@ -69,3 +69,22 @@ def test_held_out_accuracy(spark):
 def test_nothing_to_learn(spark, data):
     docs = cases.frame(spark, data)
     assert [(r.lang_pred, r.score) for r in ident.predict(docs, ident.fit(docs)).collect()] == [("und", 0.0)] * len(data)
+
+
+def test_query_equals_brute_force(spark):
+    """All labelled documents are below the bound of the fit, so that the query's profiles can be counted again."""
+    folder = "/root/testdata/sf0.001"
+    data = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    counts = {}
+    for k, text, lang in data:
+        if lang is not None and zlib.crc32(str(k).encode()) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(brute_grams(text))
+    place = {lang: {g: k for k, g in enumerate(ranked(c, 300))} for lang, c in counts.items()}
+    want = []
+    for k, text, _ in data:
+        own = ranked(brute_grams(text), 300)
+        far = {lang: sum(abs(n - p[g]) if g in p else 300 for n, g in enumerate(own)) for lang, p in place.items()}
+        lang = min(sorted(far), key=far.get)
+        want.append((k, zlib.crc32(str(k).encode()) % 4 == 2, lang if own else "und", round(1 - far[lang] / (300 * len(own)), 9) if own else 0.0))
+    got = queries.queries()["op6_language_id"](spark, folder).collect()
+    assert sorted((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in got) == sorted(want)

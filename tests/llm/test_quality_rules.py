@@ -3,7 +3,7 @@ import random
 import cases
 import numpy as np
 import pandas as pd
-from sightline.llm import quality_rules as q
+from sightline.llm import quality_rules as q, queries
 
 
 def brute(text):
@@ -53,3 +53,21 @@ def test_without_labels_nothing_is_learned(spark):
         assert q.learn(stats, spark.createDataFrame(rows, "doc_id long, quality int")) == []
     judged = q.judge(stats, []).collect()
     assert all(r.kept == (not r.base_failed) and r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in judged)
+
+
+def test_implied_tests_are_dropped():
+    a, b, c = q.Test("mark_share", True, 0.1), q.Test("mark_share", True, 0.3), q.Test("mark_share", False, 0.9)
+    assert q.simplified((a, c, b)) == (b, c) or q.simplified((a, c, b)) == (c, b)
+
+
+def test_query_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    got = queries.queries()["op8_quality_rules"](spark, folder).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        want = brute(texts[r.doc_id])
+        assert [r[c] for c in columns] == [want[c] for c in columns]
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.kept and r.base_failed)
+    assert any(r.kept for r in got)
