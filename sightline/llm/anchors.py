@@ -169,20 +169,24 @@ def repeated_anchors(docs: DataFrame, units: Units, window: int, k: int, buckets
     makes later steps look at a place in vain.
     """
     bits = min(64, 14 + int(buckets * ANCHORS).bit_length())
-    sent = docs.select("rid", "key", "text").mapInArrow(_send(units, window, k, buckets, bits), "bucket int, way int, blob binary")
+    sent = docs.select("rid", precedence(), "text").mapInArrow(_send(units, window, k, buckets, bits), "bucket int, way int, blob binary")
     told = shuffled(sent).mapInArrow(_answer, "rid long, place int")
     return told.groupBy("rid").agg(F.collect_set("place").alias("places"))
 
 
+def precedence() -> Column:
+    """doc_id as an order of documents; a null one counts as the largest long."""
+    return F.coalesce("doc_id", F.lit(int(NO_ID))).alias("key")
+
+
 def keyed(docs: DataFrame, bucket_bytes: int) -> tuple[DataFrame, int, int]:
-    """(doc_id, key, tag, rid, text; number of buckets; bits of rid). key orders documents, a null doc_id as the largest long; tag is a hash of
-    key and text; rid is as many of its bits as tell most rows apart."""
+    """(doc_id, tag, rid, text; number of buckets; bits of rid). tag is a hash of doc_id and text; rid is as many of its bits as tell
+    most rows apart."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
-    bits = min(62, int(size["rows"]).bit_length() + 6)
+    bits = min(62, int(size["rows"]).bit_length() + 4)
     text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(int(NO_ID)))).withColumn("tag", F.xxhash64("key", "text"))
-    return docs.select("doc_id", "key", "tag", rid_of("tag", bits).alias("rid"), "text"), max(8, -(-(size["bytes"] or 0) // bucket_bytes)), bits
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tag", F.xxhash64(precedence(), "text"))
+    return docs.select("doc_id", "tag", rid_of("tag", bits).alias("rid"), "text"), max(8, -(-(size["bytes"] or 0) // bucket_bytes)), bits
 
 
 def rid_of(tag: str, bits: int) -> Column:
@@ -195,7 +199,7 @@ SPANS = "tag long, start int, stop int"
 def with_spans(docs: DataFrame, spans: DataFrame, bits: int) -> DataFrame:
     """doc_id, tag, text of ``keyed`` and spans, array<struct<tag,start,stop>>, of all rows with its rid.
 
-    Both this join and the one with ``repeated_anchors`` are on rid alone, so Spark moves the texts once.
+    Both this join and the one with ``repeated_anchors`` are on rid alone and of the same columns, so Spark moves the texts once.
     """
     lists = spans.groupBy(rid_of("tag", bits).alias("rid")).agg(F.collect_set(F.struct("tag", "start", "stop")).alias("spans"))
     return docs.join(lists, "rid", "left").select("doc_id", "tag", "text", "spans")

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sightline.llm.anchors import SPANS, by_bucket, covered, groups_of, keyed, once_each, pack, repeated_anchors, shuffled, span_lists, unpack, with_spans
+from sightline.llm.anchors import SPANS, by_bucket, covered, groups_of, keyed, once_each, pack, precedence, repeated_anchors, shuffled, span_lists, unpack, with_spans
 from sightline.llm.common import slices, text_buffers, window_hashes, words_of
 
 WINDOW = 50
@@ -244,7 +244,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(rows: DataFrame, shards: int) -> DataFrame:
     """Word spans (tag, start, stop) of ``keyed`` rows that windows of documents with smaller keys cover."""
     places = repeated_anchors(rows, word_units, WINDOW, K, shards)
-    passages = rows.join(places, "rid").select("key", "tag", "text", "places").mapInArrow(_passages(shards), "bucket int, way int, blob binary")
+    passages = rows.join(places, "rid").select(precedence(), "tag", "text", "places").mapInArrow(_passages(shards), "bucket int, way int, blob binary")
     return shuffled(passages).mapInArrow(_search, SPANS)
 
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sightline.llm.anchors import SPANS, by_bucket, covered, groups_of, keyed, once_each, pack, repeated_anchors, shuffled, span_lists, unpack, with_spans
+from sightline.llm.anchors import SPANS, by_bucket, covered, groups_of, keyed, once_each, pack, precedence, repeated_anchors, shuffled, span_lists, unpack, with_spans
 from sightline.llm.common import _powers, mix64, slices, text_buffers
 
 WINDOW = 50
@@ -306,7 +306,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(rows: DataFrame, buckets: int) -> DataFrame:
     """Byte spans (tag, start, stop) of ``keyed`` rows that windows of documents with smaller keys cover."""
     places = repeated_anchors(rows, byte_units, WINDOW, K, buckets)
-    runs = rows.join(places, "rid").select("key", "tag", "text", "places").mapInArrow(_runs(buckets), "bucket int, way int, blob binary")
+    runs = rows.join(places, "rid").select(precedence(), "tag", "text", "places").mapInArrow(_runs(buckets), "bucket int, way int, blob binary")
     return shuffled(runs).mapInArrow(_merge, SPANS)
 
 
