@@ -78,6 +78,22 @@ def places(data: np.ndarray, offsets: np.ndarray, units: Units, window: int, k:
     return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out)
 
 
+def extents(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right): for how many k-grams on each side of the places ``at``, ``width - 1`` at most, none is less than theirs. These are
+    the windows that have their least k-gram there; the others find an anchor elsewhere."""
+    reach = width - 1
+    pad = np.full(reach, NONE)
+    padded = np.concatenate((pad, h, pad))
+    left, right = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
+    side = np.arange(1, reach + 1)
+    for a in range(0, len(at), 8192):
+        z = at[a : a + 8192, None] + reach
+        for out, sign in ((left, -1), (right, 1)):
+            less = padded[z + sign * side] < padded[z]
+            out[a : a + 8192] = np.where(less.any(axis=1), less.argmax(axis=1), reach)
+    return left, right
+
+
 def groups_of(sorted_keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys begins."""
     return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.zeros(0, dtype=np.int64)
@@ -168,7 +184,7 @@ def repeated_anchors(docs: DataFrame, units: Units, window: int, k: int, buckets
     Hashes are cut to what tells the anchors of all buckets apart but for one in some thousands; a chance meeting only
     makes later steps look at a place in vain.
     """
-    bits = min(64, 14 + int(buckets * ANCHORS).bit_length())
+    bits = min(64, 10 + int(buckets * ANCHORS).bit_length())
     sent = docs.select("rid", precedence(), "text").mapInArrow(_send(units, window, k, buckets, bits), "bucket int, way int, blob binary")
     told = shuffled(sent).mapInArrow(_answer, "rid long, place int")
     return told.groupBy("rid").agg(F.collect_set("place").alias("places"))

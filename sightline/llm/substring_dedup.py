@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sightline.llm.anchors import SPANS, by_bucket, covered, groups_of, keyed, once_each, pack, precedence, repeated_anchors, shuffled, span_lists, unpack, with_spans
+from sightline.llm.anchors import SPANS, by_bucket, covered, extents, groups_of, keyed, once_each, pack, precedence, repeated_anchors, shuffled, span_lists, unpack, with_spans
 from sightline.llm.common import slices, text_buffers, window_hashes, words_of
 
 WINDOW = 50
@@ -44,7 +44,7 @@ def word_units(data: np.ndarray, offsets: np.ndarray):
 def _passages(shards: int):
     """(key, tag, text, places) -> passages for the shards (way 0) and spans that are already sure (way 1).
 
-    A passage is up to LEFT words before an anchor and WINDOW from it on. Of equal passages in a batch only that of the least key is
+    A passage is the windows that have their anchor at one place: up to LEFT words before it and WINDOW from it on. Of equal passages in a batch only that of the least key is
     sent; all windows of the others repeat.
     """
 
@@ -59,12 +59,18 @@ def _passages(shards: int):
             for a, b in slices(offsets, SLICE):
                 seen: dict[tuple[bytes, int], list] = {}
                 sure: list[tuple[int, int, int]] = []
+                base = offsets[a]
+                h, _, _, sizes = word_units(data[base : offsets[b]], offsets[a : b + 1] - base)
+                first = np.concatenate(([0], np.cumsum(sizes)))
                 for r in np.flatnonzero(single[a:b]) + a:
                     words = data[offsets[r] : offsets[r + 1]].tobytes().split()
                     key, tag = int(keys[r]), int(tags[r])
-                    for at in np.unique(spots[ends[r] : ends[r + 1]]).tolist():
-                        begin, end = max(0, at - LEFT), min(len(words), at + WINDOW)
-                        if at + K > len(words) or end - begin < WINDOW:  # rows with one rid share their places
+                    places = np.unique(spots[ends[r] : ends[r + 1]]).astype(np.int64)
+                    places = places[places + K <= len(words)]  # rows with one rid share their places
+                    left, right = extents(h[first[r - a] : first[r - a + 1]], places, LEFT + 1)
+                    for at, x, y in zip(places.tolist(), left.tolist(), right.tolist(), strict=True):
+                        begin, end = max(0, at - x), min(len(words), at + K + y)
+                        if end - begin < WINDOW:
                             continue
                         name = (b" ".join(words[begin:end]), at - begin)
                         old = seen.get(name)

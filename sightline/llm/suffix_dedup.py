@@ -1,7 +1,7 @@
 """Exact substring deduplication by a distributed, common-prefix-aware merge sort of suffixes.
 
 Every ``WINDOW``-byte string that a document shares with another holds one of their common anchors (see ``anchors``), so only suffixes
-that begin at repeated anchors are sorted. Each carries what may share a window with it: up to WINDOW bytes from the anchor on,
+that begin at repeated anchors are sorted. Each carries the windows that have their anchor there: up to WINDOW bytes from the anchor on,
 then up to WINDOW - K bytes before the anchor, read backwards. A task sorts its suffixes into a run for each bucket of anchors and sends it
 front-coded: how many bytes a suffix shares with the one before, and the rest. A bucket merges its runs with a loser
 tree whose players know how much they share with the last winner; they compare bytes only from there on. The merge also
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sightline.llm.anchors import SPANS, by_bucket, covered, groups_of, keyed, once_each, pack, precedence, repeated_anchors, shuffled, span_lists, unpack, with_spans
+from sightline.llm.anchors import SPANS, by_bucket, covered, extents, groups_of, keyed, once_each, pack, precedence, repeated_anchors, shuffled, span_lists, unpack, with_spans
 from sightline.llm.common import _powers, mix64, slices, text_buffers
 
 WINDOW = 50
@@ -46,9 +46,8 @@ def byte_units(data: np.ndarray, offsets: np.ndarray):
     return h, row[:n], np.arange(n) - offsets[row[:n]], size
 
 
-def pieces(data: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n x WIDTH bytes, bytes after, bytes before) around the places ``at``, within their rows [start, stop)."""
-    after, before = np.minimum(WINDOW, stop - at), np.minimum(LEFT, at - start)
+def pieces(data: np.ndarray, at: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """n x WIDTH bytes around the places ``at``: those ``after`` (from the place on), then those ``before``, read backwards."""
     out = np.empty((len(at), WIDTH), dtype=np.uint8)
     for a in range(0, len(at), CHUNK):  # index tables are many times the bytes they fetch
         z = slice(a, a + CHUNK)
@@ -56,7 +55,7 @@ def pieces(data: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray
         left = at[z, None] - 1 - np.arange(LEFT)
         out[z, :WINDOW] = np.where(np.arange(WINDOW) < after[z, None], data[np.minimum(right, len(data) - 1)], PAD)
         out[z, WINDOW:] = np.where(np.arange(LEFT) < before[z, None], data[np.maximum(left, 0)], PAD)
-    return out, after, before
+    return out
 
 
 def as_words(x: np.ndarray) -> np.ndarray:
@@ -103,7 +102,10 @@ def _runs(buckets: int):
                 row, at = row[inside], at[inside]
                 if not len(at):
                     continue
-                x, after, before = pieces(data, offsets[row], offsets[row + 1], at)
+                base = offsets[a]
+                left, right = extents(byte_units(data[base : offsets[b]], offsets[a : b + 1] - base)[0], at - base, LEFT + 1)
+                after, before = np.minimum(K + right, offsets[row + 1] - at), np.minimum(left, at - offsets[row])
+                x = pieces(data, at, after, before)
                 words = as_words(x)
                 key = keys[row]
                 h = words[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ mix64(words[:, 1])
