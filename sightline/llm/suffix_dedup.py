@@ -102,8 +102,10 @@ def _runs(buckets: int):
                 row, at = row[inside], at[inside]
                 if not len(at):
                     continue
-                base = offsets[a]
-                left, right = extents(byte_units(data[base : offsets[b]], offsets[a : b + 1] - base)[0], at - base, LEFT + 1)
+                left, right = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
+                for c, d in slices(offsets[a : b + 1]):  # k-gram hashes are many times the bytes
+                    base, own = offsets[a + c], slice(*np.searchsorted(row, (a + c, a + d)))
+                    left[own], right[own] = extents(byte_units(data[base : offsets[a + d]], offsets[a + c : a + d + 1] - base)[0], at[own] - base, LEFT + 1)
                 after, before = np.minimum(K + right, offsets[row + 1] - at), np.minimum(left, at - offsets[row])
                 x = pieces(data, at, after, before)
                 words = as_words(x)
