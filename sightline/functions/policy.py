@@ -16,7 +16,8 @@ FRONTIER_CLASSES = [
 ]
 # Referral values too common to mean anything.
 GENERIC_REFERRALS = ["", "0", "1", "code", "default", "none", "null", "ref", "test", "unknown"]
-SENSITIVE_KEYS = r"(?i)(token|key|secret|pass|auth|session|sig|code|utm_source)"
+# Query keys that must not be shown, local names and metadata hosts.
+SENSITIVE_KEYS = r"(?i)(?:api[-_]?key|auth(?:orization)?|code|credential|pass(?:word)?|secret|session|sid|token)"
 LOCAL_NAMES = r"(^|\.)(localhost|local|internal|localdomain)$"
 METADATA_HOSTS = ["169.254.169.254", "metadata.google.internal", "metadata"]
 #: Ranges of IPv4 addresses that are not global: (first address, prefix length).
@@ -96,18 +97,74 @@ def url_policy(url: Column) -> Column:
     )
 
 
+def shortened(text: Column, limit: int) -> Column:
+    """Without controls; what is beyond the limit becomes an ellipsis."""
+    visible = F.regexp_replace(text, r"[\x00-\x1F\x7F]", "")
+    return F.when(F.length(visible) > limit, F.concat(F.substring(visible, 1, limit), F.lit("…"))).otherwise(visible)
+
+
+def _quoted(text: Column) -> Column:
+    return F.replace(urls.encode(text), F.lit("+"), F.lit("%20"))
+
+
 def redact_url(url: Column) -> Column:
-    """Display form: no userinfo or fragment, values of sensitive keys and long values replaced, 30 pairs, 512 characters."""
+    """Display form: no userinfo, default port or fragment, values of sensitive keys and long values replaced, 30 pairs, 512 characters."""
     hide = lambda p: p["key"].rlike(SENSITIVE_KEYS) | (F.length(p["value"]) > 64)
-    shown = F.transform(F.slice(urls.pairs(urls.query(url)), 1, 30), lambda p: F.struct(p["key"].alias("key"), F.when(hide(p), F.lit("[redacted]")).otherwise(p["value"]).alias("value")))
-    text = F.array_join(F.transform(shown, lambda p: F.concat(p["key"], F.lit("="), p["value"])), "&")
-    front = F.concat(urls.scheme(url), F.lit("://"), F.regexp_replace(urls.authority(url), "^.*@", ""), urls.path(url))
-    return F.substring(F.concat(front, F.when(text == "", F.lit("")).otherwise(F.concat(F.lit("?"), text))), 1, 512)
+    shown = lambda p: F.concat(_quoted(shortened(p["key"], 64)), F.lit("="), F.when(hide(p), F.lit("[redacted]")).otherwise(_quoted(shortened(p["value"], 96))))
+    text = F.array_join(F.transform(F.slice(urls.pairs(urls.query(url)), 1, 30), shown), "&")
+    host = F.lower(F.regexp_replace(urls.raw_host(url), r"\.+$", ""))
+    default = F.when(urls.scheme(url) == "https", F.lit("443")).otherwise(F.lit("80"))
+    port = F.when(urls.port(url).isNull() | (urls.port(url) == default), F.lit("")).otherwise(F.concat(F.lit(":"), urls.port(url)))
+    path = F.when(urls.path(url) == "", F.lit("/")).otherwise(urls.path(url))
+    front = F.concat(urls.scheme(url), F.lit("://"), host, port, path)
+    whole = shortened(F.concat(front, F.when(text == "", F.lit("")).otherwise(F.concat(F.lit("?"), text))), 512)
+    return F.when(url.isNotNull(), F.when(urls.scheme(url).isin("http", "https") & (host != ""), whole).otherwise("[invalid URL]"))
 
 
 def redact_phone(text: Column) -> Column:
-    """First four and last four characters of a long number, dots between."""
-    return F.when(F.length(text) > 8, F.concat(F.substring(text, 1, 4), F.lit("••••"), F.substring(text, -4, 4))).otherwise(F.lit("••••"))
+    """First two and last four characters of a number, dots between; short ones stay."""
+    compact = F.regexp_replace(text, r"\s+", "")
+    return F.when(F.length(compact) > 4, F.concat(F.substring(compact, 1, 2), F.lit("••••"), F.substring(compact, -4, 4))).otherwise(shortened(text, 256))
+
+
+# Entity and observation types that are shown as URLs, as numbers, as key=[redacted].
+URL_TYPES = ["external_link", "external_asset_url", "public_outgoing_link", "public_redirect_target", "public_download_destination", "public_whatsapp_link"]
+PHONE_TYPES = ["whatsapp_or_phone", "public_phone_number"]
+CODE_TYPES = ["referral", "public_referral_code", "public_tracking_identifier"]
+
+
+def redact_entity(kind: Column, value: Column) -> Column:
+    """Display form of an entity's or observation's value, by its type."""
+    code = F.when(F.instr(value, "=") > 0, F.concat(shortened(F.substring_index(value, "=", 1), 64), F.lit("=[redacted]"))).otherwise("[redacted referral]")
+    return F.when(kind.isin(URL_TYPES), redact_url(value)).when(kind.isin(PHONE_TYPES), redact_phone(value)).when(kind.isin(CODE_TYPES), code).otherwise(shortened(value, 256))
+
+
+def redact_label(node_type: Column, label: Column) -> Column:
+    """Display form of a graph node's label."""
+    return F.when(node_type.isin("page", "external_asset_url"), redact_url(label)).when(node_type.isin("whatsapp_or_phone", "referral"), redact_entity(node_type, label)).otherwise(shortened(label, 256))
+
+
+def target_class(target: Column, source: Column, token: Column) -> Column:
+    """How near a target host is to a source host by the source's brand token: 0 product family, 1 same beginning, 2 other, 3 below the source."""
+    own = token != ""
+    family = own & target.startswith(token) & F.substr(target, F.length(token) + 1).rlike(r"^(?:casino|poker|sport)\.")
+    return F.when(family, 0).when(own & target.startswith(token), 1).when(F.endswith(target, F.concat(F.lit("."), source)), 3).otherwise(2)
+
+
+# Failures that a policy causes, and the response headers that are kept.
+POLICY_FAILURES = ["unsafe_destination", "external_host", "unsupported_content_type", "redirect_limit", "request_budget", "response_budget"]
+ALLOWED_HEADERS = ["cache-control", "content-language", "content-length", "content-type", "date", "etag", "last-modified", "location", "server", "x-robots-tag"]
+
+
+def navigation_status(reason: Column) -> Column:
+    """How a navigation that failed for ``reason`` is recorded; a null reason is a capture."""
+    return F.when(reason.isNull(), "captured").when(F.lower(reason).contains("timeout"), "timed_out").when(reason.isin(POLICY_FAILURES), "blocked_by_policy").otherwise("failed")
+
+
+def allowed_headers(headers: Column) -> Column:
+    """Map of the allowed headers under lower-case keys, without nulls, values cut to 1000 characters."""
+    named = F.transform_keys(F.map_filter(headers, lambda k, v: F.lower(k).isin(ALLOWED_HEADERS) & v.isNotNull()), lambda k, v: F.lower(k))
+    return F.transform_values(named, lambda k, v: F.substring(v, 1, 1000))
 
 
 def brand_token(host: Column) -> Column:

@@ -175,3 +175,17 @@ def crawl_url(raw: Column, base: Column) -> Column:
 def comparable(url: Column) -> Column:
     """Key under which two URLs are the same public page: scheme, authority, path without final slashes, query."""
     return F.concat_ws("|", scheme(url), F.lower(authority(url)), F.regexp_replace(path(url), "/+$", ""), query(url))
+
+
+def folded(url: Column) -> Column:
+    """Key of the plainest comparison: without final slashes, in lower case."""
+    return F.lower(F.regexp_replace(url, "/+$", ""))
+
+
+def evaluated(url: Column) -> Column:
+    """Key under which an evaluation compares URLs: lower-case scheme and host without final dots or default port, / for an empty path, the
+    query, no fragment."""
+    name = F.lower(F.regexp_replace(raw_host(url), r"\.+$", ""))
+    default = F.when(scheme(url) == "https", F.lit("443")).otherwise(F.lit("80"))
+    shown = F.when(port(url).isNull() | (port(url) == default), name).otherwise(F.concat(name, F.lit(":"), port(url)))
+    return _with_query(F.concat(scheme(url), F.lit("://"), shown, F.when(path(url) == "", F.lit("/")).otherwise(path(url))), query(url))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from sightline.functions import policy, urls
@@ -72,14 +74,20 @@ def frontier_promotion(links: DataFrame, known: DataFrame) -> DataFrame:
     return rows.filter(F.col("known") | same)
 
 
+# Hosts that are never candidates.
+NON_CANDIDATES = ["facebook.com", "google.com", "googleapis.com", "googletagmanager.com", "instagram.com", "livechatinc.com", "t.me", "telegram.me", "twitter.com", "wa.me", "whatsapp.com", "youtube.com"]
+
+
 def lead_candidates(links: DataFrame, known: DataFrame, most: int = 5) -> DataFrame:
-    """case_id, host, place: new hosts of a case's links, first link of each, links to its own family of hosts first."""
-    rows = links.withColumn("host", urls.host(F.col("target"))).filter("host is not null and host <> case_id").join(known.select("host").distinct(), "host", "left_anti")
-    rows = rows.filter(~policy.host_in(F.col("host"), COMMON_REFERENCES + ASSET_PROVIDERS))
-    family = F.substring_index(F.col("case_id"), ".", -2) == F.substring_index("host", ".", -2)
-    first = rows.groupBy("case_id", "host").agg(F.min("page_id").alias("page_id"), F.max(family).alias("family"))
-    order = W.partitionBy("case_id").orderBy(F.desc("family"), "page_id", "host")
-    return first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("case_id", "host", "place")
+    """case_id, host, target, class, place: outgoing links (case_id, source_host, target, ord) to new hosts that hold the source's brand token, the
+    first link of each host, ordered by ``policy.target_class`` and target, ``most`` at most. Known and non-candidate hosts are left out."""
+    rows = links.withColumns({"host": urls.bare_host(F.col("target")), "source": F.regexp_replace("source_host", r"^www\.", "")})
+    rows = rows.withColumn("token", policy.brand_token(F.col("source"))).filter((F.col("host") != F.col("source")) & (F.col("token") != "") & F.contains("host", F.col("token")))
+    first = rows.groupBy("case_id", "host", "source", "token").agg(F.min_by("target", "ord").alias("target"))
+    new = first.filter(~policy.host_in(F.col("host"), NON_CANDIDATES)).join(known.select("host").distinct(), "host", "left_anti")
+    new = new.withColumn("class", policy.target_class(F.col("host"), F.col("source"), F.col("token")))
+    place = F.row_number().over(W.partitionBy("case_id").orderBy("class", "target"))
+    return new.withColumn("place", place).filter(F.col("place") <= most).select("case_id", "host", "target", "class", "place")
 
 
 def destination_projection(links: DataFrame, redirects: DataFrame, known: DataFrame) -> DataFrame:
@@ -90,24 +98,61 @@ def destination_projection(links: DataFrame, redirects: DataFrame, known: DataFr
     return out.join(known.select("host").distinct().withColumn("known", F.lit(True)), "host", "left").na.fill(False, ["known"])
 
 
-def capture_adequacy(last: DataFrame) -> DataFrame:
-    """page_id, adequacy, limitations of a page's last checkpoint (n_chars, n_links, entropy)."""
-    low = (F.col("n_chars") < 200) & (F.col("n_links") == 0)
-    mismatch = (F.col("n_chars") >= 200) & (F.col("entropy") < 0.05)
-    limits = F.array_compact(F.array(F.when(low, F.lit("low_information")), F.when(mismatch, F.lit("visual_dom_mismatch")), F.when(F.col("n_links") == 0, F.lit("no_links"))))
-    return last.select("page_id", F.when(F.size(limits) == 0, "adequate").otherwise("limited").alias("adequacy"), F.array_join(limits, ",").alias("limitations"))
+# Below these a capture says nothing, or its pixels do not show its text; and what makes a capture inadequate.
+LOW_CHARS, LOW_TILES = 24, 0.01
+MISMATCHES = [(80, 0.01), (1000, 0.10)]
+MAX_HTML_BYTES, MAX_EXTRACTED_BYTES = 5_000_000, 2_000_000
+
+
+def low_information() -> Column:
+    """Of a checkpoint (n_chars, n_links, n_images, n_iframes, n_canvases, tile_ratio): next to nothing to see."""
+    nothing = F.lit(True)
+    for c in ("n_links", "n_images", "n_iframes", "n_canvases"):
+        nothing = nothing & (F.col(c) == 0)
+    return (F.col("n_chars") < LOW_CHARS) & nothing & (F.col("tile_ratio") < LOW_TILES)
+
 
+def visual_dom_mismatch() -> Column:
+    """Of a checkpoint: text that its pixels do not show."""
+    return reduce(lambda x, y: x | y, [(F.col("n_chars") >= n) & (F.col("tile_ratio") < r) for n, r in MISMATCHES])
 
-def extraction_tier(rows: DataFrame) -> DataFrame:
-    """``rows`` (outcome, adequacy) with tier: verified, provisional or none."""
-    tier = F.when(F.col("outcome") != "content", "none").when(F.col("adequacy") == "adequate", "verified").otherwise("provisional")
-    return rows.withColumn("tier", tier)
+
+def capture_adequacy(last: DataFrame, max_html_bytes: int = MAX_HTML_BYTES) -> DataFrame:
+    """``last`` with adequacy and limitations (array, in fixed order) of a page's last checkpoint: also html_bytes, changed (whether rendering
+    still changed), navigation_status."""
+    limits = F.array_compact(F.array(
+        F.when(F.col("changed"), F.lit("rendering_changed_at_budget_end")), F.when(low_information(), F.lit("low_information_capture")),
+        F.when(visual_dom_mismatch(), F.lit("visual_dom_mismatch")), F.when(F.col("html_bytes") > max_html_bytes, F.lit("canonical_html_exceeds_5_mb_persistence_limit")),
+    ))
+    rows = last.withColumn("limitations", limits)
+    return rows.withColumn("adequacy", F.when(F.col("navigation_status") != "captured", "failed").when(F.size("limitations") > 0, "limited").otherwise("adequate"))
+
+
+def extraction_tier(rows: DataFrame, max_html_bytes: int = MAX_HTML_BYTES, max_bytes: int = MAX_EXTRACTED_BYTES) -> DataFrame:
+    """``rows`` (access_outcome, content_usable and the columns of ``capture_adequacy``, n_words) with tier (verified, provisional, none) and skip_reason."""
+    content = F.coalesce(F.col("content_usable") & (F.col("access_outcome") == "content"), F.lit(False))
+    kept, small = F.col("html_bytes") <= max_html_bytes, F.col("html_bytes") <= max_bytes
+    barred = F.arrays_overlap("limitations", F.array(F.lit("visual_dom_mismatch"), F.lit("low_information_capture")))
+    some = (F.col("adequacy") == "limited") & (F.col("n_chars") >= 80) & ((F.col("tile_ratio") >= 0.02) | (F.col("n_words") >= 15)) & ~barred
+    tier = F.when(content & kept & small & (F.col("adequacy") == "adequate"), "verified").when(content & kept & small & some, "provisional").otherwise("none")
+    reason = (
+        F.when(F.coalesce(F.col("access_outcome"), F.lit("")) != "content", "access_outcome_is_not_content")
+        .when(~kept, "canonical_html_not_persisted")
+        .when(~small, "direct_extractor_input_exceeds_2_mb")
+        .when(F.col("adequacy") != "adequate", "capture_adequacy_is_not_adequate")
+    )
+    return rows.withColumn("tier", tier).withColumn("skip_reason", F.when(F.col("tier") == "none", reason))
 
 
 def tier_adjustment(rows: DataFrame) -> DataFrame:
-    """``rows`` (tier, confidence, method) with confidence capped: .85 for provisional pages, .72 for OCR."""
-    ocr = F.col("method").startswith("ocr_")
-    return rows.withColumn("confidence", F.least("confidence", F.when(F.col("tier") == "provisional", 0.85).otherwise(1.0), F.when(ocr, 0.72).otherwise(1.0)))
+    """``rows`` (tier, by_ocr, confidence, method, limitations of the observation, capture_limitations) with confidence capped (.85 provisional,
+    .72 by OCR), the method marked, and the limitations that follow."""
+    ocr, provisional = F.col("by_ocr"), (F.col("tier") == "provisional") & ~F.col("by_ocr")
+    more = F.when(ocr, F.array(F.lit("provisional_observation_from_local_ocr"), F.lit("ocr_text_requires_human_visual_confirmation"))).when(provisional, F.concat(F.array(F.lit("provisional_observation_from_limited_capture")), "capture_limitations")).otherwise(F.array().cast("array<string>"))
+    return rows.withColumns({
+        "confidence": F.least("confidence", F.when(ocr, 0.72).when(provisional, 0.85).otherwise(1.0)), "method": F.when(ocr, F.concat(F.lit("ocr_"), "method")).otherwise(F.col("method")),
+        "limitations": F.concat("limitations", more),
+    })
 
 
 def corpus_exclusions(cases: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from sightline.functions import policy, urls
+from sightline.operators.log_windows import status_case
 
 # What counts as an e-mail address, a phone number, an alias.
 EMAIL = r"(?<![\w.+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
@@ -12,6 +13,8 @@ PHONE = r"(?<!\w)(\+?\d[\d\s().-]{7,}\d)(?!\w)"
 ALIAS = r"(?<!\w)@([A-Za-z][A-Za-z0-9_]{3,31})"
 HANDLE = r"(?<![\w@])@([A-Za-z][A-Za-z0-9_]{4,31})\b"
 CHANNEL_PHONE = r"(?i)(whats\s*app|telegram)\s*[:\-]?\s*(\+?\d[\d\s().-]{7,}\d)"
+WHATSAPP_PHONE = r"(?i)whats\s*app\s*[:\-]?\s*(\+?\d[\d\s().-]{7,}\d)"
+TELEGRAM_PHONE = r"(?i)telegram\s*[:\-]?\s*(\+?\d[\d\s().-]{7,}\d)"
 REFERRAL_KEYS = ["ref", "referral", "affiliate", "aff", "invite"]
 OBSERVED_REFERRALS = ["ref", "referral", "affiliate", "aff", "invite", "promo", "refcode"]
 TRACKING = ["gclid", "fbclid", "clickid", "campaign", "cid", "source"]
@@ -28,6 +31,14 @@ INDICATORS = {
     "game_mechanics": ["baccarat", "blackjack", "free spin", "gacor", "jackpot", "live casino", "maxwin", "roulette", "rtp", "slot", "slots"],
     "betting_promotion": ["bonus deposit", "bonus new member", "cashback", "parlay", "promo deposit", "turnover"],
 }
+# Types that count only beside direct terms on their page, and the evidence group of each type.
+CONTEXTUAL = {"public_offer_claim": "gambling_offer", "public_payment_method": "transaction_enablement", "public_payment_provider": "transaction_enablement", "public_referral_code": "referral_or_tracking", "public_tracking_identifier": "referral_or_tracking"}
+OSINT_GROUPS = {
+    "public_telegram_alias": "public_contacts", "public_telegram_contact": "public_contacts", "public_whatsapp_link": "public_contacts", "public_phone_number": "public_contacts", "public_email_address": "public_contacts",
+    "public_outgoing_link": "links_and_destinations", "public_redirect_target": "links_and_destinations", "public_download_destination": "links_and_destinations",
+    "public_payment_method": "payments_and_offers", "public_payment_provider": "payments_and_offers", "public_offer_claim": "payments_and_offers",
+    "public_referral_code": "referrals_and_tracking", "public_tracking_identifier": "referrals_and_tracking", "claimed_brand_identity": "public_claims", "public_legal_or_license_claim": "public_claims",
+}
 
 
 def _found(pattern: str, group: int) -> Column:
@@ -103,9 +114,8 @@ def indicator_rows(observations: DataFrame) -> DataFrame:
     rows = observations.withColumn("terms", terms)
     page = rows.filter(F.size("terms") > 0).select("page_id", F.explode("terms").alias("t")).groupBy("page_id").agg(F.array_sort(F.collect_set("t")).alias("page_terms"))
     rows = rows.join(page, "page_id", "left")
-    context = {"public_offer_claim": "gambling_offer", "public_payment_method": "transaction_enablement", "public_payment_provider": "transaction_enablement", "public_referral_code": "referral_or_tracking", "public_tracking_identifier": "referral_or_tracking"}
     in_context = None
-    for k, v in context.items():
+    for k, v in CONTEXTUAL.items():
         in_context = F.when(F.col("observation_type") == k, v) if in_context is None else in_context.when(F.col("observation_type") == k, v)
     has = lambda group: F.arrays_overlap("terms", F.array(*[F.lit(t) for t in INDICATORS[group]]))
     direct = (
@@ -121,10 +131,21 @@ def indicator_rows(observations: DataFrame) -> DataFrame:
     return rows.select("page_id", "observation_type", "value", category.alias("category"), F.array_join(matched, ",").alias("matched"))
 
 
-def indicator_summary(indicators: DataFrame) -> DataFrame:
-    """page_id, n_observations, n_indicators, status."""
-    out = indicators.groupBy("page_id").agg(F.count("*").alias("n_observations"), F.count("category").alias("n_indicators"))
-    return out.withColumn("status", F.when(F.col("n_indicators") > 0, "indicators_observed").otherwise("no_indicators_observed"))
+def indicator_summary(indicators: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_id, n_observations, n_indicators, categories and groups (name=count, by name), status of every page."""
+    group = status_case(F.col("observation_type"), OSINT_GROUPS, "other_observations")
+    rows = indicators.withColumn("group", group)
+
+    def counts(key: str, name: str) -> DataFrame:
+        each = rows.filter(F.col(key).isNotNull()).groupBy("page_id", key).agg(F.count("*").alias("n"))
+        text = F.array_join(F.array_sort(F.collect_list(F.concat(F.col(key), F.lit("="), F.col("n").cast("string")))), ",")
+        return each.groupBy("page_id").agg(text.alias(name))
+
+    totals = rows.groupBy("page_id").agg(F.count("*").alias("n_observations"), F.count("category").alias("n_indicators"))
+    out = pages.select("page_id").join(totals, "page_id", "left").join(counts("category", "categories"), "page_id", "left").join(counts("group", "groups"), "page_id", "left")
+    status = F.when(F.col("n_observations").isNull(), "insufficient_evidence").when(F.col("n_indicators") > 0, "indicators_observed").otherwise("no_indicators_observed")
+    zero, none = (lambda c: F.coalesce(c, F.lit(0)).alias(c)), (lambda c: F.coalesce(c, F.lit("")).alias(c))
+    return out.select("page_id", zero("n_observations"), zero("n_indicators"), none("categories"), none("groups"), status.alias("status"))
 
 
 def distinct_observations(rows: DataFrame, *order: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from sightline.functions import urls
+from sightline.operators import html, markup
+from sightline.plans.web import WEB_HTML
 from sightline.sources import read_table
 
 
@@ -13,12 +15,18 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "pages").select("page_id", "url", "html", urls.host(F.col("url")).alias("case_id"))
 
 
+def web(spark: SparkSession, d: str) -> DataFrame:
+    """page_id, url, html, case_id: the pages with the markup of ``web.WEB_HTML``."""
+    return pages(spark, d).withColumn("html", F.expr(WEB_HTML))
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    return html.nodes(web(spark, d))
+
+
 def anchors(spark: SparkSession, d: str) -> DataFrame:
-    """page_id, url, case_id, elem_ord, href, label: the anchors of each page in document order."""
-    found = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), F.lit(1))
-    texts = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), F.lit(2))
-    rows = pages(spark, d).select("page_id", "url", "case_id", F.posexplode(F.arrays_zip(found.alias("href"), texts.alias("label"))).alias("elem_ord", "a"))
-    return rows.select("page_id", "url", "case_id", "elem_ord", "a.href", "a.label")
+    """page_id, url, case_id, elem_ord, href, label and more: the links of each page in document order, from its markup."""
+    return markup.numbered(markup.anchors(nodes(spark, d)))
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:

@@ -2,41 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, Window as W
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from sightline.functions import policy, urls
-from sightline.operators import cases, html, observations as ob, similarity as sim
+from sightline.operators import cases, html, leads, markup, observations as ob, similarity as sim
 from sightline.plans import bindings as b
-from sightline.plans.html_queries import SEGMENTS
+from sightline.plans.markup_queries import ENTITIES, OUTCOMES, SEMANTIC, TX, entities, outcomes, semantic
 from sightline.plans.registry import register
 from sightline.plans.url_queries import ANCHORS, CRAWL, HOST, ROOT, _MATERIAL, _priorities
+from sightline.plans.web import THOST, WEB
 from sightline.sources import read_table
 
 
+def _entities(s, d):
+    """Usable entities with case_id, domain (the host), url."""
+    rows = cases.usable_entities(entities(s, d), outcomes(s, d))
+    return rows.join(b.pages(s, d).select("page_id", "case_id", F.col("case_id").alias("domain"), "url"), "page_id")
+
+
 def _signals(s, d):
-    """Anchor paths as the signals of a host."""
-    return b.anchors(s, d).select("case_id", F.col("case_id").alias("domain"), F.lit("asset").alias("type"), F.col("href").alias("value"))
-
-
-SIG = f"{ANCHORS}, sig AS (SELECT {HOST} AS case_id, href AS value FROM anchors)"
-SHARED = f"""{SIG}, one AS (SELECT DISTINCT * FROM sig), dom AS (SELECT value, count(*) - 1 AS n_domains FROM one GROUP BY value),
-  sh AS (SELECT a.case_id, 'asset' AS type, a.value, o.case_id AS other_case, n_domains, CASE WHEN n_domains = 1 THEN 'strong' ELSE 'medium' END AS strength, CASE WHEN n_domains = 1 THEN 20 ELSE 13 END AS weight
-  FROM one a JOIN dom USING (value) JOIN one o ON a.value = o.value AND a.case_id <> o.case_id WHERE n_domains BETWEEN 1 AND 3)"""
-register("corpus_metrics", lambda s, d: cases.corpus_metrics(_signals(s, d)), f"WITH {SIG} SELECT 'asset' AS type, value, count(*) AS frequency, count(DISTINCT case_id) AS n_cases, count(DISTINCT case_id) AS n_domains FROM sig GROUP BY value")
-register("shared_signals", lambda s, d: cases.shared_signals(_signals(s, d)), f"WITH {SHARED} SELECT * FROM sh")
-REASONS = f"{SHARED}, re AS (SELECT case_id, other_case AS host, type AS reason, count(DISTINCT value) AS n_values, string_agg(DISTINCT value, '|' ORDER BY value) AS values, max(weight) AS weight FROM sh GROUP BY ALL)"
-register("candidate_reasons", lambda s, d: cases.candidate_reasons(cases.shared_signals(_signals(s, d))), f"WITH {REASONS} SELECT * FROM re")
-SCORES = f"{REASONS}, sc AS (SELECT case_id, host, least(100, sum(weight))::BIGINT AS score FROM re GROUP BY ALL)"
-register("candidate_scores", lambda s, d: cases.candidate_scores(cases.candidate_reasons(cases.shared_signals(_signals(s, d)))), f"WITH {SCORES} SELECT * FROM sc")
+    return cases.signal_exclusions(_entities(s, d), leads.ASSET_PROVIDERS).filter("excluded is null").drop("excluded")
+
+
+USABLE = f"{OUTCOMES}, {ENTITIES.replace(TX + ', ', '')}, us AS (SELECT en.page_id, type, value, {HOST} AS case_id, url FROM en JOIN pages USING (page_id) WHERE page_id IN (SELECT page_id FROM oc WHERE outcome = 'content'))"
+SIG = f"{USABLE}, sig AS (SELECT * FROM us WHERE type IN ('telegram', 'whatsapp_or_phone') OR type = 'external_asset_url' AND value NOT LIKE '%//cdnjs.cloudflare.com/%' OR type = 'referral' AND length(regexp_extract(value, '=(.*)$', 1)) >= 4)"
+SHARED = f"""{SIG}, pr AS (SELECT a.case_id, a.type, a.value, o.case_id AS other_case, o.page_id FROM (SELECT DISTINCT case_id, type, value FROM sig) a JOIN sig o ON a.type = o.type AND a.value = o.value AND a.case_id <> o.case_id),
+  mt AS (SELECT case_id, type, value, count(*) AS frequency, count(DISTINCT other_case) AS n_cases, count(DISTINCT other_case) AS n_domains FROM pr GROUP BY ALL),
+  mq AS (SELECT *, CASE WHEN type = 'referral' THEN CASE WHEN frequency = 1 THEN 'medium' ELSE 'weak' END WHEN frequency = 1 THEN 'strong' ELSE 'medium' END AS quality FROM mt WHERE n_domains <= 3),
+  sh AS (SELECT DISTINCT mq.*, other_case, CASE type || '/' || quality WHEN 'telegram/strong' THEN 35 WHEN 'telegram/medium' THEN 23 WHEN 'whatsapp_or_phone/strong' THEN 30 WHEN 'whatsapp_or_phone/medium' THEN 20 WHEN 'external_asset_url/strong' THEN 20 WHEN 'external_asset_url/medium' THEN 13 WHEN 'referral/medium' THEN 10 ELSE 5 END AS weight
+    FROM mq JOIN pr USING (case_id, type, value))"""
+_shared = lambda s, d: cases.shared_signals(_signals(s, d))
+register("corpus_metrics", lambda s, d: cases.corpus_metrics(_signals(s, d)), f"WITH {SIG} SELECT type, value, count(*) AS frequency, count(DISTINCT case_id) AS n_cases, count(DISTINCT case_id) AS n_domains FROM sig GROUP BY type, value")
+
+
+def _shared_and_excluded(s, d):
+    """Shared signals, and the signals that are left out with the reason."""
+    every = cases.signal_exclusions(_entities(s, d), leads.ASSET_PROVIDERS)
+    good = every.filter("excluded is null")
+    common = cases.signal_counts(good).filter(F.col("n_domains") > cases.MAX_DOMAINS)
+    reasons = common.withColumn("excluded", F.concat(F.lit("common_signal_across_"), F.col("n_domains").cast("string"), F.lit("_corpus_domains"))).select("case_id", "type", "value", "excluded")
+    out = reasons.unionByName(every.filter("excluded is not null").select("case_id", "type", "value", "excluded").distinct())
+    return _shared(s, d).unionByName(out, allowMissingColumns=True)
+
+
+register(
+    "shared_signals",
+    _shared_and_excluded,
+    f"""WITH {SHARED} SELECT case_id, type, value, other_case, frequency, n_cases, n_domains, quality, weight, NULL::VARCHAR AS excluded FROM sh
+    UNION ALL SELECT case_id, type, value, NULL, NULL, NULL, NULL, NULL, NULL, 'common_signal_across_' || n_domains || '_corpus_domains' FROM mt WHERE n_domains > 3
+    UNION ALL SELECT DISTINCT case_id, type, value, NULL, NULL, NULL, NULL, NULL, NULL, 'common_asset_provider' FROM us WHERE type = 'external_asset_url' AND value LIKE '%//cdnjs.cloudflare.com/%'
+    UNION ALL SELECT DISTINCT case_id, type, value, NULL, NULL, NULL, NULL, NULL, NULL, 'generic_referral_signal' FROM us WHERE type = 'referral' AND length(regexp_extract(value, '=(.*)$', 1)) < 4""",
+)
+REASONS = f"""{SHARED}, re AS (SELECT case_id, other_case AS host, CASE type WHEN 'external_asset_url' THEN 'shared_exact_asset_url' ELSE 'shared_' || type END AS reason, value, quality, weight,
+  (SELECT string_agg(DISTINCT page_id::VARCHAR, ',' ORDER BY page_id::VARCHAR) FROM sig g WHERE g.type = sh.type AND g.value = sh.value AND g.case_id IN (sh.case_id, sh.other_case)) AS pages, (SELECT count(DISTINCT url) FROM sig g WHERE g.type = sh.type AND g.value = sh.value AND g.case_id IN (sh.case_id, sh.other_case)) AS n_urls FROM sh)"""
+_reasons = lambda s, d: cases.candidate_reasons(_shared(s, d), _signals(s, d))
 register(
-    "ranked_candidates",
-    lambda s, d: cases.ranked_candidates(cases.candidate_scores(cases.candidate_reasons(cases.shared_signals(_signals(s, d))))),
-    f"WITH {SCORES} SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, host) AS place FROM sc",
+    "candidate_reasons",
+    lambda s, d: _reasons(s, d).withColumn("pages", F.array_join(F.array_sort(F.transform("pages", lambda p: p.cast("string"))), ",")).withColumn("n_urls", F.size("urls").cast("long")).drop("urls"),
+    f"WITH {REASONS} SELECT * FROM re",
 )
+
+
+def _scores(s, d):
+    """Scores over shared signals and over the outward links of the same cases."""
+    link = leads.external_link_candidates(markup.anchor_links(markup.anchors(b.nodes(s, d))).select("page_id", "case_id", "target"), b.pages(s, d).select("case_id", F.col("case_id").alias("host")))
+    links = link.filter("excluded is null").select("case_id", "host", F.lit("external_link").alias("reason"), "weight").distinct()
+    return cases.candidate_scores(_reasons(s, d).select("case_id", "host", "reason", "weight").unionByName(links))
+
+
+SCORES = f"""{REASONS}, lk AS (SELECT DISTINCT case_id, {THOST} AS host, 'external_link' AS reason, 10 AS weight FROM anchors WHERE target IS NOT NULL AND {THOST} <> case_id AND NOT regexp_matches({THOST}, '(^|[.])(t[.]me|wa[.]me|whatsapp[.]com)$')),
+  sc AS (SELECT case_id, host, least(100, sum(w))::BIGINT AS score FROM (SELECT case_id, host, reason, max(weight) AS w FROM (SELECT case_id, host, reason, weight FROM re UNION ALL SELECT * FROM lk) GROUP BY ALL) GROUP BY case_id, host)"""
+register("candidate_scores", _scores, f"WITH {SCORES} SELECT * FROM sc")
+register("ranked_candidates", lambda s, d: cases.ranked_candidates(_scores(s, d)), f"WITH {SCORES} SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, host) AS place FROM sc")
+_RELATION = "CASE observation_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in cases.RELATIONS.items()) + " END"
 register(
     "exact_cross_case_matches",
-    lambda s, d: cases.first_matches(cases.shared_signals(_signals(s, d))),
-    f"WITH {SHARED}, m AS (SELECT case_id, other_case, min(value) AS value FROM sh GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY value, other_case) AS place FROM m) SELECT * FROM r WHERE place <= 12",
+    lambda s, d: cases.cross_case_matches(semantic(s, d).join(b.pages(s, d).select("page_id", "case_id"), "page_id")),
+    f"""WITH {SEMANTIC}, ob AS (SELECT {HOST} AS case_id, {_RELATION} AS relation, observation_type AS t, value, page_id, 'observation-' || lpad(place::VARCHAR, 4, '0') AS o FROM sem JOIN pages USING (page_id)),
+    m AS (SELECT a.case_id, x.case_id AS other_case, a.relation, a.value, max((a.page_id, a.o)) AS l FROM ob a JOIN (SELECT DISTINCT case_id, t, value FROM ob) x ON a.t = x.t AND a.value = x.value AND a.case_id <> x.case_id WHERE a.relation IS NOT NULL GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY other_case, relation, value) AS place FROM m) SELECT case_id, other_case, relation, value, l[1] AS page_id, l[2] AS observation_id, place FROM r WHERE place <= 12""",
 )
 
 
@@ -74,73 +120,29 @@ register(
 
 def _frontier(s, d):
     p = policy.frontier_priority(F.col("label"), F.col("crawl_url"))
-    rows = b.anchors(s, d).withColumn("crawl_url", urls.crawl_url(F.col("href"), F.col("url"))).withColumn("host", urls.host(F.col("crawl_url")))
+    depth = (F.col("page_id") > F.min("page_id").over(W.partitionBy("case_id"))).cast("int")
+    rows = b.anchors(s, d).join(b.pages(s, d).select("page_id", depth.alias("depth")), "page_id").withColumn("crawl_url", urls.crawl_url(F.col("href"), F.col("url"))).withColumn("host", urls.host(F.col("crawl_url")))
     return rows.withColumn("score", p["score"])
 
 
 FRONTIER = (
-    f"{ANCHORS}, f0 AS (SELECT {HOST} AS case_id, page_id, elem_ord, href, label, lower({ROOT}) || CASE WHEN rtrim(href, '/') = '' THEN '/' ELSE rtrim(href, '/') END AS crawl_url, CASE "
+    f"{ANCHORS}, f0 AS (SELECT case_id, page_id, elem_ord, href, label, CASE WHEN href LIKE '%u:p@%' THEN NULL ELSE crawl_url END AS crawl_url, CASE "
     + " ".join(f"WHEN regexp_matches({_MATERIAL}, '{p}') THEN {k}" for p, k, _ in policy.FRONTIER_CLASSES)
-    + " ELSE 4 END AS score FROM anchors), f1 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score, crawl_url, elem_ord) AS nth FROM f0)"
+    + " ELSE 4 END AS score FROM anchors), f1 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score, crawl_url ASC NULLS LAST, href, label, elem_ord) AS nth FROM f0)"
 )
 register(
     "frontier_admission",
-    lambda s, d: cases.frontier_admission(_frontier(s, d)).groupBy("case_id", "page_id", "elem_ord").agg(F.first("decision").alias("decision")),
-    f"""WITH {FRONTIER}, f2 AS (SELECT *, CASE WHEN nth > 200 THEN 'frontier_limit' END AS e1 FROM f1), f3 AS (SELECT *, coalesce(e1, CASE WHEN row_number() OVER (PARTITION BY case_id, crawl_url ORDER BY e1 IS NOT NULL, page_id, nth) > 1 THEN 'duplicate_url' END) AS e2 FROM f2)
-    SELECT case_id, page_id, elem_ord, coalesce(e2, CASE WHEN row_number() OVER (PARTITION BY case_id ORDER BY e2 IS NOT NULL, score, crawl_url) > 5 THEN 'page_budget' END, 'queued') AS decision FROM f3""",
+    lambda s, d: cases.frontier_admission(_frontier(s, d)).select("case_id", "page_id", "elem_ord", "decision"),
+    f"""WITH {FRONTIER}, dp AS (SELECT page_id, page_id > min(page_id) OVER (PARTITION BY {HOST}) AS deep FROM pages),
+    f2 AS (SELECT f1.*, CASE WHEN nth > 200 THEN 'frontier_limit' WHEN crawl_url IS NULL THEN 'malformed_url' WHEN deep THEN 'depth_limit' WHEN regexp_extract(crawl_url, '^[a-z]+://([^/?#:]*)', 1) <> case_id THEN 'external_host' WHEN contains(crawl_url, ':8443') THEN 'unsafe_destination' END AS early FROM f1 JOIN dp USING (page_id)),
+    f3 AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY page_id, nth) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY case_id, crawl_url ORDER BY page_id, nth) AS k FROM f2 WHERE early IS NULL) WHERE k = 1)
+    SELECT f2.case_id, f2.page_id, f2.elem_ord, coalesce(early, CASE WHEN rk > 5 THEN 'page_budget' WHEN f3.elem_ord = f2.elem_ord AND f3.page_id = f2.page_id THEN 'queued' ELSE 'duplicate_url' END) AS decision FROM f2 LEFT JOIN f3 USING (case_id, crawl_url)""".replace("SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY page_id, nth) AS rk", "SELECT case_id, crawl_url, page_id, elem_ord, row_number() OVER (PARTITION BY case_id ORDER BY page_id, nth) AS rk"),
 )
 register(
     "ranked_frontier",
     lambda s, d: _frontier(s, d).groupBy("page_id", "href", "crawl_url", "label", "score").agg(F.min("elem_ord").alias("o")).withColumn("place", F.row_number().over(W.partitionBy("page_id").orderBy("score", F.col("crawl_url").asc_nulls_last(), "href", "label"))).select("page_id", "href", "label", "place"),
     f"WITH {FRONTIER} SELECT page_id, href, label, row_number() OVER (PARTITION BY page_id ORDER BY score, crawl_url, href, label) AS place FROM (SELECT DISTINCT page_id, href, crawl_url, label, score FROM f0)",
 )
-register(
-    "interactive_elements",
-    lambda s, d: cases.interactive_elements(b.anchors(s, d)).select("page_id", "label", "href", "element", "fingerprint"),
-    f"""WITH {ANCHORS}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id, label, href ORDER BY elem_ord) AS k FROM anchors)
-    SELECT page_id, label, href, row_number() OVER (PARTITION BY page_id ORDER BY elem_ord) AS element, sha256(label || chr(31) || href) AS fingerprint FROM r WHERE k = 1""",
-)
-register(
-    "interaction_policy",
-    lambda s, d: cases.interaction_policy(b.anchors(s, d)).select("page_id", "elem_ord", "allowed", "reason"),
-    f"""WITH {ANCHORS}, r AS (SELECT page_id, elem_ord, CASE WHEN regexp_matches(lower(href), '\\.(apk|bin|dmg|exe|iso|msi|pkg|zip)$') THEN 'download' WHEN regexp_matches(lower(label), '\\b(login|log in|sign in|register|sign up|deposit|withdraw|pay|buy|submit)\\b') THEN 'forbidden_word'
-    WHEN NOT starts_with(href, '/') THEN 'unsafe_link' WHEN trim(label) = '' THEN 'ambiguous' ELSE 'allowed' END AS reason FROM anchors) SELECT page_id, elem_ord, reason = 'allowed' AS allowed, reason FROM r""",
-)
-
-
-def _ranked_elements(s, d):
-    """The first allowed element of each page: label terms first, then order."""
-    low = F.lower("label")
-    rank = F.when(low.contains("the"), 0).when(low.contains("de"), 2).otherwise(10)
-    rows = cases.interaction_policy(b.anchors(s, d)).filter("allowed").withColumn("rank", rank)
-    return rows.groupBy("page_id").agg(F.min(F.struct("rank", "elem_ord")).alias("m")).select("page_id", "m.rank", "m.elem_ord")
-
-
-register(
-    "ranked_elements",
-    _ranked_elements,
-    f"""WITH {ANCHORS}, r AS (SELECT page_id, elem_ord, CASE WHEN contains(lower(label), 'the') THEN 0 WHEN contains(lower(label), 'de') THEN 2 ELSE 10 END AS rank FROM anchors WHERE starts_with(href, '/') AND trim(label) <> ''
-    AND NOT regexp_matches(lower(label), '\\b(login|log in|sign in|register|sign up|deposit|withdraw|pay|buy|submit)\\b') AND NOT regexp_matches(lower(href), '\\.(apk|bin|dmg|exe|iso|msi|pkg|zip)$'))
-    SELECT page_id, min(rank) AS rank, arg_min(elem_ord, (rank, elem_ord)) AS elem_ord FROM r GROUP BY page_id""",
-)
-
-
-def _outcomes(s, d):
-    return cases.capture_outcome(html.visible_text(b.pages(s, d)).select("page_id", policy.normalize_text(F.col("text")).alias("text")))
-
-
-_T = f"(SELECT page_id, left(replace(lower(trim(regexp_replace(regexp_replace(array_to_string({SEGMENTS}, ' '), '[\\x00-\\x1F\\x7F]', ' ', 'g'), '\\s+', ' ', 'g'))), 'ß', 'ss'), 50000) AS text FROM pages)"
-_ANY = lambda terms: " OR ".join(f"contains(text, '{t}')" for t in terms)
-_SUM = lambda terms: " + ".join(f"contains(text, '{t}')::INT" for t in terms)
-register(
-    "capture_outcome",
-    _outcomes,
-    f"""SELECT page_id, CASE WHEN {_ANY(cases.STRONG_CHALLENGE)} OR {_SUM(cases.WEAK_CHALLENGE)} >= 2 THEN 'bot_challenge' WHEN {_ANY(cases.GEO)} THEN 'geo_restricted' WHEN {_ANY(cases.UNAVAILABLE)} THEN 'unavailable_page'
-    WHEN {_ANY(cases.UNKNOWN)} OR length(text) < 24 OR len(regexp_extract_all(text, '\\S+')) < 4 THEN 'unknown_restriction' ELSE 'content' END AS outcome,
-    {_SUM(cases.STRONG_CHALLENGE + cases.WEAK_CHALLENGE + cases.GEO + cases.UNAVAILABLE + cases.UNKNOWN)} AS n_reasons FROM {_T}""",
-)
-
-
 def _pairs(rows, key):
     return rows.filter(F.col(key) % 2 == 0).select(F.col(key).alias("left"), (F.col(key) + 1).alias("right"))
 
@@ -152,19 +154,18 @@ register(
     p AS (SELECT doc_id AS l, doc_id + 1 AS r FROM documents WHERE doc_id % 2 = 0), dt AS (SELECT l, r, sum(a.n * b.n) AS dot FROM p JOIN t a ON a.id = l JOIN t b ON b.id = r AND a.token = b.token GROUP BY l, r)
     SELECT p.l AS "left", p.r AS "right", round(coalesce(dot / (sqrt(x.sq) * sqrt(y.sq)), 0), 6) AS similarity, coalesce(x.total, 0) < 6 OR coalesce(y.total, 0) < 6 AS low_information FROM p LEFT JOIN q x ON x.id = p.l LEFT JOIN q y ON y.id = p.r LEFT JOIN dt ON dt.l = p.l AND dt.r = p.r""",
 )
-register(
-    "dom_similarity",
-    lambda s, d: sim.set_similarity(_pairs(b.pages(s, d), "page_id"), html.dom_features(b.pages(s, d)).select(F.col("page_id").alias("id"), F.col("pair").alias("item"))).select("left", "right", "shared", "united"),
-    r"""WITH e AS (SELECT page_id, list_transform(regexp_extract_all(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>', '', 'g'), '<[a-z][a-z0-9]*[^>]*>'), lambda t: regexp_extract(t, '<([a-z0-9]+)', 1) || '[' || array_to_string(list_sort(regexp_extract_all(t, ' ([a-z-]+)=', 1)), ',') || ']') AS l FROM pages),
-    f AS (SELECT page_id, list_distinct(list_transform(range(1, len(l)), lambda k: l[k] || '>' || l[k + 1])) AS x FROM e)
-    SELECT a.page_id AS "left", a.page_id + 1 AS "right", len(list_intersect(a.x, coalesce(b.x, []))) AS shared, len(a.x) + len(coalesce(b.x, [])) - len(list_intersect(a.x, coalesce(b.x, []))) AS united FROM f a LEFT JOIN f b ON b.page_id = a.page_id + 1 WHERE a.page_id % 2 = 0""",
-)
+_dom = lambda s, d: sim.dom_similarity(_pairs(b.pages(s, d), "page_id"), html.dom_features(b.web(s, d)).select(F.col("page_id").alias("id"), F.col("pair").alias("item")))
+DOM = rf"""{WEB}, de AS (SELECT page_id, list_transform(regexp_extract_all(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[a-z][a-z0-9]*[^>]*>'), lambda t: regexp_extract(t, '<([a-z0-9]+)', 1) || '[' || array_to_string(list_sort(regexp_extract_all(t, ' ([a-z-]+)=', 1)), ',') || ']') AS l FROM web),
+  df AS (SELECT page_id, len(l) AS n, list_distinct(list_transform(range(1, len(l)), lambda k: l[k] || '>' || l[k + 1])) AS x FROM de),
+  dm AS (SELECT a.page_id AS l, a.page_id + 1 AS r, len(list_intersect(a.x, coalesce(b.x, []))) AS shared, len(a.x) + len(coalesce(b.x, [])) - len(list_intersect(a.x, coalesce(b.x, []))) AS united, CASE WHEN b.n IS NULL THEN 'not_applicable' WHEN least(a.n, b.n) < 3 THEN 'low_information' ELSE 'scored' END AS status FROM df a LEFT JOIN df b ON b.page_id = a.page_id + 1 WHERE a.page_id % 2 = 0)"""
+register("dom_similarity", lambda s, d: _dom(s, d).select("left", "right", "shared", "united", F.round("similarity", 6).alias("similarity"), "status"), f"WITH {DOM} SELECT l AS \"left\", r AS \"right\", shared, united, round(CASE WHEN status = 'scored' THEN shared / united ELSE 0 END, 6) AS similarity, status FROM dm")
 register(
     "entity_similarity",
-    lambda s, d: sim.set_similarity(_host_pairs(s, d).select(F.col("left_case").alias("left"), F.col("right_case").alias("right")), _signals(s, d).select(F.col("case_id").alias("id"), F.col("value").alias("item"))).select("left", "right", "shared", "united", F.round("similarity", 6).alias("similarity")),
-    f"""WITH {SIG}, {HOSTPAIRS}, v AS (SELECT case_id, list(DISTINCT value) AS x FROM sig GROUP BY case_id)
-    SELECT left_case AS "left", right_case AS "right", len(list_intersect(a.x, b.x)) AS shared, len(a.x) + len(b.x) - len(list_intersect(a.x, b.x)) AS united, round(len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))), 6) AS similarity
-    FROM hp JOIN v a ON a.case_id = left_case JOIN v b ON b.case_id = right_case""",
+    lambda s, d: sim.entity_similarity(_host_pairs(s, d).select(F.col("left_case").alias("left"), F.col("right_case").alias("right")), _entities(s, d).filter(~((F.col("type") == "referral") & policy.is_generic_referral(F.col("value")))).select(F.col("case_id").alias("id"), "type", F.col("value").alias("item"))).select("left", "right", "n_types", F.round("similarity", 6).alias("similarity")),
+    f"""WITH {USABLE}, {HOSTPAIRS}, v AS (SELECT DISTINCT case_id, type, value FROM us WHERE NOT (type = 'referral' AND length(regexp_extract(value, '=(.*)$', 1)) < 4)),
+    l AS (SELECT left_case, right_case, type, value, 1 AS k FROM hp JOIN v ON left_case = case_id UNION ALL SELECT left_case, right_case, type, value, 2 FROM hp JOIN v ON right_case = case_id),
+    j AS (SELECT left_case, right_case, type, count(*) FILTER (k = 3) / count(*) AS jaccard FROM (SELECT left_case, right_case, type, value, sum(k) AS k FROM l GROUP BY ALL) GROUP BY ALL)
+    SELECT hp.left_case AS "left", hp.right_case AS "right", count(jaccard) AS n_types, round(coalesce(avg(jaccard), 0), 6) AS similarity FROM hp LEFT JOIN j USING (left_case, right_case) GROUP BY 1, 2""",
 )
 
 
@@ -172,31 +173,42 @@ def _hashes(s, d):
     return sim.average_hash(read_table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
 
 
-HASH = "hs AS (SELECT vec_id AS id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x::DOUBLE >= m THEN '1' ELSE '0' END), '') AS bits FROM (SELECT vec_id, embedding, list_reduce(list_prepend(0::DOUBLE, list_transform(embedding, lambda x: x::DOUBLE)), lambda a, x: a + x) / len(embedding) AS m FROM embeddings))"
-register("average_hash", lambda s, d: _hashes(s, d).select("id", "bits"), f"WITH {HASH} SELECT id, bits FROM hs")
-register(
-    "hash_similarity",
-    lambda s, d: sim.hash_similarity(_pairs(_hashes(s, d), "id"), _hashes(s, d)).select("left", "right", F.round("similarity", 6).alias("similarity")),
-    f"""WITH {HASH} SELECT a.id AS "left", b.id AS "right", round(1 - list_sum(list_transform(range(1, length(a.bits) + 1), lambda k: CASE WHEN a.bits[k] = b.bits[k] THEN 0 ELSE 1 END)) / length(a.bits), 6) AS similarity FROM hs a JOIN hs b ON b.id = a.id + 1 WHERE a.id % 2 = 0""",
-)
+HASH = """hs AS (SELECT vec_id AS id, list_transform(embedding, lambda x: (x::DOUBLE >= m)::INT) AS bits, list_reduce(list_prepend(0::DOUBLE, list_transform(embedding, lambda x: (x::DOUBLE - m) * (x::DOUBLE - m))), lambda a, x: a + x) / len(embedding) AS variance
+  FROM (SELECT vec_id, embedding, list_reduce(list_prepend(0::DOUBLE, list_transform(embedding, lambda x: x::DOUBLE)), lambda a, x: a + x) / len(embedding) AS m FROM embeddings)),
+  hv AS (SELECT a.id AS l, a.id + 1 AS r, CASE WHEN b.id IS NULL THEN 'not_applicable' WHEN least(a.variance, b.variance) < 0.0001 THEN 'low_information' ELSE 'scored' END AS status, CASE WHEN b.id IS NULL OR least(a.variance, b.variance) < 0.0001 THEN 0 ELSE 1 - list_sum(list_transform(range(1, len(a.bits) + 1), lambda k: (a.bits[k] <> b.bits[k])::INT)) / len(a.bits) END AS v
+  FROM hs a LEFT JOIN hs b ON b.id = a.id + 1 WHERE a.id % 2 = 0)"""
+_bits = lambda w, k: F.lpad(F.bin(w), F.least(F.lit(64), F.col("n_bits") - k * 64), F.lit("0"))
+register("average_hash", lambda s, d: _hashes(s, d).select("id", F.array_join(F.transform("words", _bits), "").alias("bits"), "n_bits", F.round("variance", 6).alias("variance")), f"WITH {HASH} SELECT id, array_to_string(bits, '') AS bits, len(bits)::INT AS n_bits, round(variance, 6) AS variance FROM hs")
+_visual = lambda s, d: sim.hash_similarity(_pairs(_hashes(s, d), "id"), _hashes(s, d))
+register("hash_similarity", lambda s, d: _visual(s, d).select("left", "right", F.round("similarity", 6).alias("similarity"), "status"), f"""WITH {HASH} SELECT l AS "left", r AS "right", round(v, 6) AS similarity, status FROM hv""")
 
 
 def _mirror(s, d):
-    """Pairs of neighbouring pages over markup and vectors of the same number."""
-    dom = sim.set_similarity(_pairs(b.pages(s, d), "page_id"), html.dom_features(b.pages(s, d)).select(F.col("page_id").alias("id"), F.col("pair").alias("item")))
-    visual = sim.hash_similarity(_pairs(_hashes(s, d), "id"), _hashes(s, d))
-    parts = dom.select("left", "right", F.lit("dom").alias("name"), "similarity").unionByName(visual.select("left", "right", F.lit("visual").alias("name"), "similarity"))
-    return sim.mirror_score(parts)
+    """Pairs of neighbouring pages over the entities, text, markup and assets of these pages and the vectors of the same number."""
+    pairs, nodes = _pairs(b.pages(s, d), "page_id"), b.nodes(s, d)
+    ids = entities(s, d).select(F.col("page_id").alias("id"), "type", F.col("value").alias("item"))
+    entity = sim.entity_similarity(pairs, ids.filter(F.col("type").isin("telegram", "whatsapp_or_phone", "referral")))
+    asset = sim.set_similarity(pairs, ids.filter("type = 'external_asset_url'"))
+    tokens = ob.text_tokens(html.text_of(nodes)).withColumnRenamed("page_id", "id")
+    text = sim.text_similarity(pairs, tokens)
+    scored = lambda test: F.when(test, "scored").otherwise("not_applicable").alias("status")
+    part = lambda rows, name, status: rows.select("left", "right", F.lit(name).alias("name"), "similarity", status)
+    parts = [part(entity, "entity", scored(F.col("n_types") > 0)), part(asset, "asset", scored(F.col("united") > 0)), part(text, "text", F.when(F.col("low_information"), "low_information").otherwise("scored").alias("status")), part(_dom(s, d), "dom", F.col("status")), part(_visual(s, d), "visual", F.col("status"))]
+    return sim.mirror_score(pairs, reduce(DataFrame.unionByName, parts))
 
 
 register(
     "mirror_score",
     _mirror,
-    rf"""WITH e AS (SELECT page_id, list_transform(regexp_extract_all(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>', '', 'g'), '<[a-z][a-z0-9]*[^>]*>'), lambda t: regexp_extract(t, '<([a-z0-9]+)', 1) || '[' || array_to_string(list_sort(regexp_extract_all(t, ' ([a-z-]+)=', 1)), ',') || ']') AS l FROM pages),
-    f AS (SELECT page_id, list_distinct(list_transform(range(1, len(l)), lambda k: l[k] || '>' || l[k + 1])) AS x FROM e),
-    dm AS (SELECT a.page_id AS l, len(list_intersect(a.x, coalesce(b.x, []))) / (len(a.x) + len(coalesce(b.x, [])) - len(list_intersect(a.x, coalesce(b.x, [])))) AS v FROM f a LEFT JOIN f b ON b.page_id = a.page_id + 1 WHERE a.page_id % 2 = 0),
-    {HASH}, vs AS (SELECT a.id AS l, 1 - list_sum(list_transform(range(1, length(a.bits) + 1), lambda k: CASE WHEN a.bits[k] = b.bits[k] THEN 0 ELSE 1 END)) / length(a.bits) AS v FROM hs a JOIN hs b ON b.id = a.id + 1 WHERE a.id % 2 = 0),
-    u AS (SELECT * FROM dm UNION ALL SELECT * FROM vs) SELECT l AS "left", l + 1 AS "right", round(100 * sum(0.2 * v), 2) AS score FROM u GROUP BY l""",
+    rf"""WITH {ENTITIES}, {DOM.replace(WEB + ", ", "")}, {HASH}, pp AS (SELECT page_id AS l, page_id + 1 AS r FROM pages WHERE page_id % 2 = 0),
+    ej AS (SELECT l, r, type, count(*) FILTER (k = 3) / count(*) AS j FROM (SELECT l, r, type, value, sum(k) AS k FROM (SELECT l, r, type, value, 1 AS k FROM pp JOIN en ON page_id = l UNION ALL SELECT l, r, type, value, 2 FROM pp JOIN en ON page_id = r) WHERE type IN ('telegram', 'whatsapp_or_phone', 'referral', 'external_asset_url') GROUP BY ALL) GROUP BY ALL),
+    tk AS (SELECT page_id, token, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\pL\pM\pN_]{{2,}}')) AS token FROM tx) GROUP BY ALL), tq AS (SELECT page_id, sum(n * n) AS sq, sum(n) AS total FROM tk GROUP BY page_id),
+    td AS (SELECT l, r, sum(a.n * b.n) AS dot FROM pp JOIN tk a ON a.page_id = l JOIN tk b ON b.page_id = r AND a.token = b.token GROUP BY l, r),
+    cm AS (SELECT l, r, 0 AS k, 'entity' AS name, 0.30 AS w, avg(j) AS v, 'scored' AS status FROM ej WHERE type <> 'external_asset_url' GROUP BY l, r
+      UNION ALL SELECT pp.l, pp.r, 1, 'text', 0.20, coalesce(dot / (sqrt(x.sq) * sqrt(y.sq)), 0), CASE WHEN coalesce(x.total, 0) < 6 OR coalesce(y.total, 0) < 6 THEN 'low_information' ELSE 'scored' END FROM pp LEFT JOIN tq x ON x.page_id = pp.l LEFT JOIN tq y ON y.page_id = pp.r LEFT JOIN td ON td.l = pp.l AND td.r = pp.r
+      UNION ALL SELECT l, r, 2, 'dom', 0.20, CASE WHEN status = 'scored' THEN shared / united ELSE 0 END, status FROM dm UNION ALL SELECT l, r, 3, 'visual', 0.20, v, status FROM hv UNION ALL SELECT l, r, 4, 'asset', 0.10, j, 'scored' FROM ej WHERE type = 'external_asset_url'),
+    nm AS (SELECT l, r, k, name FROM pp, (VALUES (0, 'entity'), (1, 'text'), (2, 'dom'), (3, 'visual'), (4, 'asset')) v(k, name))
+    SELECT nm.l AS "left", nm.r AS "right", round(100 * sum(CASE WHEN status = 'scored' THEN v * w ELSE 0 END), 2) AS score, coalesce(string_agg(CASE WHEN status IS NULL OR status <> 'scored' THEN nm.name || ' ' || coalesce(status, 'not_applicable') END, '; ' ORDER BY nm.k), '') AS warnings FROM nm LEFT JOIN cm ON nm.l = cm.l AND nm.r = cm.r AND nm.name = cm.name GROUP BY nm.l, nm.r""",
 )
 register(
     "reference_violations",
@@ -208,15 +220,10 @@ register(
     lambda s, d: b.event_log(s, d).filter(~F.col("kind").isin("click", "view", "purchase", "signup") | ~F.col("value").between(0, 100)).select("event_id", "kind"),
     "SELECT event_id, event_type AS kind FROM events WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup') OR value NOT BETWEEN 0 AND 100",
 )
-register(
-    "usable_entities",
-    lambda s, d: b.anchors(s, d).join(_outcomes(s, d).filter("outcome = 'content'"), "page_id", "left_semi").select("page_id", "elem_ord", "href"),
-    f"WITH {ANCHORS} SELECT page_id, elem_ord, href FROM anchors WHERE page_id IN (SELECT page_id FROM {_T} WHERE NOT ({_ANY(cases.STRONG_CHALLENGE + cases.GEO + cases.UNAVAILABLE + cases.UNKNOWN)}) AND length(text) >= 24 AND len(regexp_extract_all(text, '\\S+')) >= 4)",
-)
 register(
     "case_summary",
     lambda s, d: b.pages(s, d).groupBy("case_id").agg(F.count("*").alias("n_pages"), F.sum(F.length("html")).alias("n_chars")).join(b.anchors(s, d).groupBy("case_id").agg(F.count("*").alias("n_links"), F.count_distinct("href").alias("n_targets")), "case_id", "left").na.fill(0),
-    f"WITH {ANCHORS} SELECT * FROM (SELECT {HOST} AS case_id, count(*) AS n_pages, sum(length(html))::BIGINT AS n_chars FROM pages GROUP BY 1) JOIN (SELECT {HOST} AS case_id, count(*) AS n_links, count(DISTINCT href) AS n_targets FROM anchors GROUP BY 1) USING (case_id)",
+    f"WITH {ANCHORS} SELECT case_id, n_pages, n_chars, coalesce(n_links, 0) AS n_links, coalesce(n_targets, 0) AS n_targets FROM (SELECT {HOST} AS case_id, count(*) AS n_pages, sum(length(html))::BIGINT AS n_chars FROM pages GROUP BY 1) LEFT JOIN (SELECT case_id, count(*) AS n_links, count(DISTINCT href) AS n_targets FROM anchors GROUP BY 1) USING (case_id)",
 )
 register(
     "case_manifest",

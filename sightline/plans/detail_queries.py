@@ -6,35 +6,14 @@ from pyspark.sql import functions as F
 
 from sightline.operators import details, observations as ob, similarity as sim
 from sightline.plans import bindings as b
-from sightline.plans.case_queries import HOSTPAIRS, _hashes, _host_pairs, _outcomes, _pairs, HASH
+from sightline.plans.case_queries import HOSTPAIRS, SIG, _host_pairs, _signals
+from sightline.plans.markup_queries import OUTCOMES, outcomes as _outcomes
 from sightline.plans.graph_queries import NODES, nodes
 from sightline.plans.lead_queries import OUT, PG, _out
 from sightline.plans.registry import register
 from sightline.plans.url_queries import ANCHORS, HOST, PATH
 
 
-def _links(s, d):
-    """The phone numbers of documents as WhatsApp and Telegram links."""
-    rows = ob.phones(b.texts(s, d)).withColumn("n", F.regexp_replace("value", r"\+", ""))
-    return rows.select("page_id", F.explode(F.array(F.concat(F.lit("https://wa.me/"), "n"), F.concat(F.lit("https://api.whatsapp.com/send?phone="), "n"), F.concat(F.lit("https://t.me/@Desk"), F.substring("n", 1, 4)), F.concat(F.lit("https://t.me/"), "n"))).alias("href"))
-
-
-PHONES = r"""ph AS (SELECT DISTINCT page_id, regexp_replace(m, '[^0-9]', '', 'g') AS n FROM (SELECT doc_id AS page_id, unnest(regexp_extract_all(text, '(?:^|[^\w+\pL])(\+?[0-9][0-9\s().-]{7,}[0-9])(?:\W|$)', 1)) AS m FROM documents) WHERE length(regexp_replace(m, '[^0-9]', '', 'g')) >= 8)"""
-register("whatsapp_signals", lambda s, d: details.whatsapp_signals(_links(s, d)), f"WITH {PHONES} SELECT DISTINCT page_id, CASE WHEN length(n) <= 15 THEN '+' || n ELSE u || n END AS value FROM ph, (VALUES ('https://wa.me/'), ('https://api.whatsapp.com/send?phone=')) v(u)")
-register(
-    "obs_messaging_links",
-    lambda s, d: details.telegram_links(_links(s, d)),
-    f"WITH {PHONES} SELECT DISTINCT page_id, 'public_telegram_alias' AS observation_type, '@desk' || left(n, 4) AS value FROM ph UNION ALL SELECT DISTINCT page_id, 'public_telegram_contact', '+' || n FROM ph",
-)
-register(
-    "asset_signals",
-    lambda s, d: details.asset_signals(_out(s, d, 1).select("page_id", F.col("case_id").alias("page_host"), F.col("target").alias("url"))),
-    f"""WITH {PG}, a AS (SELECT page_id, host, target AS url FROM {OUT(1)} WHERE host <> case_id) SELECT DISTINCT page_id, 'external_asset_domain' AS type, host AS value FROM a
-    UNION ALL SELECT DISTINCT page_id, 'external_asset_url', regexp_replace(url, '#.*$', '') FROM a""",
-)
-register("obs_downloads", lambda s, d: details.downloads(b.pages(s, d).select("page_id", F.col("url").alias("href")), "html|zip").select("page_id"), f"SELECT page_id FROM pages WHERE regexp_matches(lower({PATH}), '\\.(html|zip)$')")
-
-
 def _boxes(s, d):
     anchors = b.anchors(s, d)
     snaps = anchors.filter("elem_ord % 2 = 0").select("page_id", "href", F.col("elem_ord").alias("snap"), (F.col("elem_ord") * 150).alias("x"), (F.col("elem_ord") * 20).alias("y"), (F.length("label") * 8).alias("w"), F.lit(16).alias("h"))
@@ -51,7 +30,7 @@ register(
 register(
     "nonexpanded_links",
     lambda s, d: details.nonexpanded_links(b.anchors(s, d).select("page_id", "elem_ord"), _outcomes(s, d).withColumn("depth", F.col("page_id") % 2)),
-    f"WITH {ANCHORS} SELECT page_id, elem_ord, 'depth_limit' AS reason FROM anchors WHERE page_id % 2 = 1",
+    f"WITH {OUTCOMES}, {ANCHORS} SELECT page_id, elem_ord, CASE WHEN outcome <> 'content' THEN 'parent_not_usable' ELSE 'depth_limit' END AS reason FROM anchors JOIN oc USING (page_id) WHERE outcome <> 'content' OR page_id % 2 = 1",
 )
 
 
@@ -81,12 +60,7 @@ register(
 )
 register(
     "asset_similarity",
-    lambda s, d: sim.set_similarity(_host_pairs(s, d).select(F.col("left_case").alias("left"), F.col("right_case").alias("right")), _out(s, d, 1).select(F.col("case_id").alias("id"), F.col("target").alias("item"))).select("left", "right", "shared", "united"),
-    f"""WITH {PG}, {HOSTPAIRS}, v AS (SELECT case_id, list(DISTINCT target) AS x FROM {OUT(1)} GROUP BY case_id) SELECT left_case AS "left", right_case AS "right", len(list_intersect(coalesce(a.x, []), coalesce(b.x, []))) AS shared,
+    lambda s, d: sim.set_similarity(_host_pairs(s, d).select(F.col("left_case").alias("left"), F.col("right_case").alias("right")), _signals(s, d).filter("type = 'external_asset_url'").select(F.col("case_id").alias("id"), F.col("value").alias("item"))).select("left", "right", "shared", "united"),
+    f"""WITH {SIG}, {HOSTPAIRS}, v AS (SELECT case_id, list(DISTINCT value) AS x FROM sig WHERE type = 'external_asset_url' GROUP BY case_id) SELECT left_case AS "left", right_case AS "right", len(list_intersect(coalesce(a.x, []), coalesce(b.x, []))) AS shared,
     len(coalesce(a.x, [])) + len(coalesce(b.x, [])) - len(list_intersect(coalesce(a.x, []), coalesce(b.x, []))) AS united FROM hp LEFT JOIN v a ON a.case_id = left_case LEFT JOIN v b ON b.case_id = right_case""",
 )
-register(
-    "visual_score",
-    lambda s, d: sim.mirror_score(sim.hash_similarity(_pairs(_hashes(s, d), "id"), _hashes(s, d)).select("left", "right", F.lit("visual").alias("name"), "similarity")),
-    f"""WITH {HASH} SELECT a.id AS "left", b.id AS "right", round(100 * 0.2 * (1 - list_sum(list_transform(range(1, length(a.bits) + 1), lambda k: CASE WHEN a.bits[k] = b.bits[k] THEN 0 ELSE 1 END)) / length(a.bits)), 2) AS score FROM hs a JOIN hs b ON b.id = a.id + 1 WHERE a.id % 2 = 0""",
-)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F, Window as W
 
 from sightline.operators import evaluation as ev, graph as g
 from sightline.plans import bindings as b
-from sightline.plans.html_queries import SEMANTIC, _semantic
+from sightline.plans.markup_queries import SEMANTIC, semantic
 from sightline.plans.log_queries import LOG
 from sightline.plans.registry import register
 from sightline.plans.url_queries import ANCHORS, HOST
@@ -100,7 +100,7 @@ register("nondeterminism", lambda s, d: ev.nondeterminism(_attempts(s, d).filter
 register("failure_breakdown", lambda s, d: ev.failure_breakdown(_attempts(s, d)), f"WITH {ATT} SELECT approach, coalesce(failure, 'none') AS failure, count(*) AS n FROM att GROUP BY ALL")
 register("policy_safety", lambda s, d: ev.policy_safety(_attempts(s, d)), f"WITH {ATT} SELECT sum(unsafe)::BIGINT AS unsafe, sum(blocked)::BIGINT AS blocked, round(sum(blocked) / sum(unsafe), 4) AS rate FROM att WHERE attempt = 1")
 register("run_summary", lambda s, d: ev.run_summary(b.event_log(s, d)), f"WITH {LOG} SELECT run_id, count(*) AS n_events, count(*) FILTER (kind = 'purchase') AS n_verified, count(*) FILTER (kind = 'view') AS n_pending, CASE WHEN arg_max(kind, sequence) = 'error' THEN 'failed' WHEN count(*) FILTER (kind = 'view') > 0 THEN 'awaiting_review' ELSE 'completed' END AS status FROM log GROUP BY run_id")
-register("claim_groups", lambda s, d: ev.claim_groups(_semantic(s, d).withColumnRenamed("observation_type", "category")), f"WITH {SEMANTIC} SELECT page_id, observation_type AS category, count(DISTINCT value)::INT AS n_values, array_to_string(list_sort(list(DISTINCT value))[1:4], ', ') AS label FROM sem GROUP BY ALL")
+register("claim_groups", lambda s, d: ev.claim_groups(semantic(s, d).withColumnRenamed("observation_type", "category")), f"WITH {SEMANTIC} SELECT page_id, observation_type AS category, count(DISTINCT value)::INT AS n_values, array_to_string(list_sort(list(DISTINCT value))[1:4], ', ') AS label FROM sem GROUP BY ALL")
 
 
 def _labels(s, d):

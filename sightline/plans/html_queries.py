@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, Window as W
+from pyspark.sql import functions as F
 
-from sightline.functions import urls
 from sightline.operators import html, observations as ob
 from sightline.plans import bindings as b
 from sightline.plans.registry import register
-from sightline.plans.url_queries import ANCHORS, CRAWL, HOST, QUERY, ROOT
-
-BODY = r"regexp_replace(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>', '<i>', 'g'), '(?s)<!--.*?-->', '<i>', 'g')"
-SEGMENTS = f"list_filter(list_transform(regexp_extract_all({BODY}, '>([^<]+)', 1), lambda t: trim(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&'), chr(10), ' '))), lambda t: t <> '')"
-TEXTS = "texts AS (SELECT doc_id AS page_id, text FROM documents)"
-EMAIL_SQL = r"(?:^|[^\w.+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
+from sightline.plans.sql import EMAIL_SQL, SEGMENTS, TEXTS
 
 register(
     "html_elements",
@@ -29,51 +23,9 @@ register(
 )
 
 
-def _links(s, d):
-    nodes = html.nodes(b.pages(s, d))
-    rows = html.element_text(nodes, "a").join(b.pages(s, d).select("page_id", "url", "case_id"), "page_id").filter("attrs['href'] is not null")
-    rows = rows.withColumn("target", urls.http_url(F.col("attrs")["href"], F.col("url"))).filter("target is not null")
-    return rows.withColumn("kind", F.when(urls.host(F.col("target")) == F.col("case_id"), "internal_link").otherwise("external_link"))
-
-
-register(
-    "anchor_links",
-    lambda s, d: _links(s, d).select("page_id", "target", "kind", F.col("text").alias("label"), "region"),
-    f"WITH {ANCHORS} SELECT page_id, lower({ROOT}) || href AS target, 'internal_link' AS kind, trim(label) AS label, 'nav' AS region FROM anchors",
-)
-register(
-    "discovered_links",
-    lambda s, d: b.anchors(s, d).select("page_id", "elem_ord", "href", urls.crawl_url(F.col("href"), F.col("url")).alias("crawl_url")),
-    f"WITH {ANCHORS} SELECT page_id, elem_ord, href, lower({ROOT}) || CASE WHEN rtrim(href, '/') = '' THEN '/' ELSE rtrim(href, '/') END AS crawl_url FROM anchors",
-)
 register("page_title", lambda s, d: html.first_text(html.nodes(b.pages(s, d)), "title"), "SELECT page_id, trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', chr(34)), '&amp;', '&')) AS text FROM pages")
 
 
-def _brands(s, d):
-    nodes = html.nodes(b.pages(s, d))
-    h1 = html.first_text(nodes, "h1").select("page_id", F.lit("dom_h1").alias("method"), F.lower(F.regexp_replace("text", r"\s+", " ")).alias("value"))
-    title = html.first_text(nodes, "title").select("page_id", F.lit("document_title").alias("method"), F.lower(F.regexp_replace("text", r"\s+", " ")).alias("value"))
-    return h1.unionByName(title)
-
-
-register(
-    "obs_brand",
-    _brands,
-    """SELECT page_id, 'dom_h1' AS method, lower(trim(regexp_replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g'))) AS value FROM pages
-    UNION ALL SELECT page_id, 'document_title', lower(trim(regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g'))) FROM pages""",
-)
-register(
-    "obs_outgoing_link",
-    lambda s, d: _links(s, d).groupBy("page_id", "target").agg(F.min("elem_ord").alias("o"), F.min_by("text", "elem_ord").alias("label")).select("page_id", "target", "label", F.lit(False).alias("new_tab")),
-    f"WITH {ANCHORS} SELECT page_id, lower({ROOT}) || href AS target, arg_min(trim(label), elem_ord) AS label, false AS new_tab FROM anchors GROUP BY page_id, lower({ROOT}) || href",
-)
-register("referral_signals", lambda s, d: ob.referral_signals(b.pages(s, d)), f"SELECT DISTINCT page_id, 'ref=' || regexp_extract({QUERY}, '(?:^|&)ref=([^&]*)', 1) AS value FROM pages WHERE regexp_matches({QUERY}, '(^|&)ref=[^&]')")
-register(
-    "obs_referral_tracking",
-    lambda s, d: ob.tracking_observations(b.pages(s, d)),
-    f"""SELECT page_id, 'public_referral_code' AS observation_type, lower(regexp_extract({QUERY}, '(?:^|&)ref=([^&]*)', 1)) AS value FROM pages WHERE regexp_matches({QUERY}, '(^|&)ref=[^&]')
-    UNION ALL SELECT page_id, 'public_tracking_identifier', 'utm_source=' || lower(regexp_extract({QUERY}, '(?:^|&)utm_source=([^&]*)', 1)) FROM pages WHERE regexp_matches({QUERY}, '(^|&)utm_source=[^&]')""",
-)
 register("obs_emails", lambda s, d: ob.emails(b.texts(s, d)), f"WITH {TEXTS} SELECT DISTINCT page_id, lower(m) AS value FROM (SELECT page_id, unnest(regexp_extract_all(text, '{EMAIL_SQL}', 1)) AS m FROM texts)")
 register(
     "obs_phones",
@@ -81,14 +33,6 @@ register(
     rf"""WITH {TEXTS}, m AS (SELECT page_id, unnest(regexp_extract_all(text, '(?:^|[^\w+\pL])(\+?[0-9][0-9\s().-]{{7,}}[0-9])(?:\W|$)', 1)) AS m FROM texts)
     SELECT DISTINCT page_id, CASE WHEN starts_with(m, '+') THEN '+' ELSE '' END || regexp_replace(m, '[^0-9]', '', 'g') AS value FROM m WHERE length(regexp_replace(m, '[^0-9]', '', 'g')) >= 8""",
 )
-register("obs_text_aliases", lambda s, d: ob.aliases(b.texts(s, d)), rf"WITH {TEXTS} SELECT DISTINCT page_id, '@' || lower(m) AS value FROM (SELECT page_id, unnest(regexp_extract_all(text, '(?:^|[^\w\pL])@([A-Za-z][A-Za-z0-9_]{{3,31}})', 1)) AS m FROM texts)")
-register("telegram_signals", lambda s, d: ob.aliases(b.texts(s, d), ob.HANDLE), rf"WITH {TEXTS} SELECT DISTINCT page_id, '@' || lower(m) AS value FROM (SELECT page_id, unnest(regexp_extract_all(text, '(?:^|[^\w@\pL])@([A-Za-z][A-Za-z0-9_]{{4,31}})\b', 1)) AS m FROM texts)")
-register(
-    "obs_channel_phones",
-    lambda s, d: ob.channel_phones(b.texts(s, d)),
-    rf"""WITH {TEXTS}, m AS (SELECT page_id, lower(unnest(regexp_extract_all(text, '(?i)(whats\s*app|telegram)\s*[:\-]?\s*(\+?\d[\d\s().-]{{7,}}\d)', 1))) AS l, regexp_replace(unnest(regexp_extract_all(text, '(?i)(whats\s*app|telegram)\s*[:\-]?\s*(\+?\d[\d\s().-]{{7,}}\d)', 2)), '[^0-9]', '', 'g') AS n FROM texts)
-    SELECT DISTINCT page_id, CASE WHEN l = 'telegram' THEN 'public_telegram_contact' ELSE 'public_whatsapp_link' END AS observation_type, CASE WHEN l = 'telegram' THEN '+' || n ELSE 'https://wa.me/' || n END AS value FROM m WHERE length(n) >= 8""",
-)
 _TERMS = ", ".join(f"('{k}', '{t}')" for k, v in ob.CLAIMS.items() for t in v)
 register(
     "obs_claim_terms",
@@ -103,53 +47,3 @@ register(
     f AS (SELECT page_id, list_transform(l, lambda t: regexp_extract(t, '<([a-z0-9]+)', 1) || '[' || array_to_string(list_sort(regexp_extract_all(t, ' ([a-z-]+)=', 1)), ',') || ']') AS l FROM e),
     p AS (SELECT unnest(list_transform(range(1, len(l)), lambda k: l[k] || '>' || l[k + 1])) AS pair FROM f) SELECT pair, count(*) AS n FROM p GROUP BY pair""",
 )
-
-
-def _entities(s, d):
-    """Entities of each page: seed and final URL, title, links, referenced hosts, referrals; one per (type, value), numbered."""
-    pages = b.pages(s, d)
-    links = _links(s, d)
-    title = html.first_text(html.nodes(pages), "title").select("page_id", F.lit("page_title").alias("type"), F.lower("text").alias("value"))
-    seeds = pages.select("page_id", F.explode(F.array(F.lit("seed_url"), F.lit("final_url"))).alias("type"), F.col("url").alias("value"))
-    parts = [seeds, title, links.select("page_id", F.col("kind").alias("type"), F.col("target").alias("value")), links.select("page_id", F.lit("referenced_domain").alias("type"), urls.host(F.col("target")).alias("value")), ob.referral_signals(pages).select("page_id", F.lit("referral").alias("type"), "value")]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    rank = F.row_number().over(W.partitionBy("page_id").orderBy("type", "value"))
-    return every.distinct().withColumn("entity_id", F.concat(F.lit("entity-"), F.lpad(rank.cast("string"), 3, "0")))
-
-
-ENTITIES = f"""{ANCHORS}, ent AS (SELECT DISTINCT page_id, type, value FROM (SELECT page_id, 'seed_url' AS type, url AS value FROM pages UNION ALL SELECT page_id, 'final_url', url FROM pages
-  UNION ALL SELECT page_id, 'page_title', lower(trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', chr(34)), '&amp;', '&'))) FROM pages UNION ALL SELECT page_id, 'internal_link', lower({ROOT}) || href FROM anchors
-  UNION ALL SELECT page_id, 'referenced_domain', {HOST} FROM anchors UNION ALL SELECT page_id, 'referral', 'ref=' || regexp_extract({QUERY}, '(?:^|&)ref=([^&]*)', 1) FROM pages WHERE regexp_matches({QUERY}, '(^|&)ref=[^&]')))"""
-register("extract_entities", lambda s, d: _entities(s, d), f"WITH {ENTITIES} SELECT page_id, type, value, 'entity-' || lpad((row_number() OVER (PARTITION BY page_id ORDER BY type, value))::VARCHAR, 3, '0') AS entity_id FROM ent")
-register("entity_type_counts", lambda s, d: _entities(s, d).join(b.pages(s, d).select("page_id", "case_id"), "page_id").groupBy("case_id", "type").agg(F.count("*").alias("n")), f"WITH {ENTITIES} SELECT {HOST} AS case_id, type, count(*) AS n FROM ent JOIN pages USING (page_id) GROUP BY ALL")
-
-
-def _semantic(s, d):
-    texts = b.texts(s, d)
-    parts = [ob.claim_terms(texts).select("page_id", "observation_type", "value"), ob.emails(texts).select("page_id", F.lit("public_email_address").alias("observation_type"), "value"), ob.aliases(texts).select("page_id", F.lit("public_telegram_alias").alias("observation_type"), "value")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-SEMANTIC = f"""{TEXTS}, terms(observation_type, value) AS (VALUES {_TERMS}), sem AS (SELECT page_id, observation_type, value FROM texts JOIN terms ON contains(lower(text), value)
-  UNION ALL SELECT DISTINCT page_id, 'public_email_address', lower(m) FROM (SELECT page_id, unnest(regexp_extract_all(text, '{EMAIL_SQL}', 1)) AS m FROM texts)
-  UNION ALL SELECT DISTINCT page_id, 'public_telegram_alias', '@' || lower(m) FROM (SELECT page_id, unnest(regexp_extract_all(text, '(?:^|[^\\w\\pL])@([A-Za-z][A-Za-z0-9_]{{3,31}})', 1)) AS m FROM texts))"""
-register("semantic_observations", _semantic, f"WITH {SEMANTIC} SELECT page_id, observation_type, value FROM sem")
-register("distinct_observations", lambda s, d: ob.distinct_observations(_semantic(s, d), "page_id"), f"WITH {SEMANTIC} SELECT min(page_id) AS page_id, observation_type, value FROM sem GROUP BY observation_type, value")
-_IND = [(t, g) for g, v in ob.INDICATORS.items() for t in v]
-_DIRECT = """CASE WHEN observation_type = 'public_offer_claim' THEN 'gambling_offer' WHEN observation_type IN ('public_payment_method', 'public_payment_provider') THEN 'transaction_enablement'
-  WHEN list_has_any(terms, [{0}]) THEN 'game_mechanics' WHEN list_has_any(terms, [{1}]) THEN 'gambling_offer' ELSE 'wagering_language' END""".format(*(", ".join(f"'{t}'" for t in ob.INDICATORS[g]) for g in ("game_mechanics", "betting_promotion")))
-INDICATOR_ROWS = f"""{SEMANTIC}, o AS (SELECT sem.page_id, observation_type, value, list_filter([{", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9]){t}($|[^a-z0-9])') THEN '{t}' END" for t, _ in _IND)}], lambda x: x IS NOT NULL) AS terms FROM sem JOIN texts USING (page_id)),
-  pg AS (SELECT page_id, list_sort(list_distinct(flatten(list(terms)))) AS pt FROM o WHERE len(terms) > 0 GROUP BY page_id),
-  ind AS (SELECT o.page_id, observation_type, value, CASE WHEN len(terms) > 0 THEN {_DIRECT} WHEN pt IS NOT NULL THEN CASE observation_type WHEN 'public_offer_claim' THEN 'gambling_offer' WHEN 'public_payment_method' THEN 'transaction_enablement' WHEN 'public_payment_provider' THEN 'transaction_enablement' END END AS category,
-  CASE WHEN len(terms) > 0 THEN array_to_string(list_sort(terms), ',') WHEN pt IS NOT NULL AND observation_type IN ('public_offer_claim', 'public_payment_method', 'public_payment_provider') THEN array_to_string(pt, ',') ELSE '' END AS matched FROM o LEFT JOIN pg USING (page_id))"""
-register("indicator_rows", lambda s, d: ob.indicator_rows(_semantic(s, d).join(b.texts(s, d).select("page_id", "text"), "page_id")), f"WITH {INDICATOR_ROWS} SELECT * FROM ind")
-register(
-    "indicator_summary",
-    lambda s, d: ob.indicator_summary(ob.indicator_rows(_semantic(s, d).join(b.texts(s, d).select("page_id", "text"), "page_id"))),
-    f"WITH {INDICATOR_ROWS} SELECT page_id, count(*) AS n_observations, count(category) AS n_indicators, CASE WHEN count(category) > 0 THEN 'indicators_observed' ELSE 'no_indicators_observed' END AS status FROM ind GROUP BY page_id",
-)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions import policy, urls
 from sightline.operators import evaluation as ev, html, leads
 from sightline.plans import bindings as b
-from sightline.plans.case_queries import _outcomes
+from sightline.plans.markup_queries import outcomes as _outcomes
 from sightline.plans.log_queries import LOG
 from sightline.plans.registry import register
 from sightline.plans.url_queries import ANCHORS, HOST, PATH

@@ -9,12 +9,9 @@ from sightline.operators import suffixes
 from sightline.operators.log_windows import status_case
 from sightline.plans import bindings as b
 from sightline.plans.registry import register
+from sightline.plans.web import ANCHORS, ROOT
 
-ANCHORS = """anchors AS (SELECT page_id, url, ord - 1 AS elem_ord, h[ord] AS href, l[ord] AS label FROM
-  (SELECT page_id, url, h, l, unnest(range(1, len(h) + 1)) AS ord FROM
-    (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS l FROM pages)))"""
 HOST = "regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1)"
-ROOT = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
 PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 QUERY = "regexp_extract(url, '^[^?#]*[?]([^#]*)', 1)"
 KEPT = f"list_sort(list_filter(string_split({QUERY}, '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND NOT regexp_matches(lower(p), '^(fbclid|gclid)(=|$)')))"
@@ -22,7 +19,7 @@ CRAWL = f"lower({ROOT}) || CASE WHEN rtrim({PATH}, '/') = '' THEN '/' ELSE rtrim
 SUFFIXES = [("com", "icann"), ("net", "icann"), ("org", "icann"), ("co.uk", "icann"), ("*.ck", "icann"), ("!www.ck", "icann"), ("github.io", "private"), ("example.org", "private")]
 LISTED = ["spam-farm.example.org", "example.net", "cheap-pills.example.com"]
 
-register("resolve_url", lambda s, d: b.anchors(s, d).select("page_id", "elem_ord", urls.resolve(F.col("url"), F.col("href")).alias("resolved")), f"WITH {ANCHORS} SELECT page_id, elem_ord, {ROOT} || href AS resolved FROM anchors")
+register("resolve_url", lambda s, d: b.anchors(s, d).select("page_id", "elem_ord", urls.resolve(F.col("url"), F.col("href")).alias("resolved")), f"WITH {ANCHORS} SELECT page_id, elem_ord, resolved FROM anchors")
 register(
     "normalize_http_url",
     lambda s, d: b.pages(s, d).select("page_id", urls.http_url(F.col("url"), F.col("url")).alias("normalized")),
@@ -91,7 +88,7 @@ def _priorities(s, d):
     return b.anchors(s, d).withColumn("target", urls.crawl_url(F.col("href"), F.col("url"))).select("page_id", "elem_ord", p["score"].alias("score"), p["reason"].alias("reason"))
 
 
-_MATERIAL = "lower(label || ' ' || replace(href, '/', ' '))"
+_MATERIAL = "lower(label || ' ' || replace(regexp_extract(coalesce(crawl_url, ''), '^[a-z]+://[^/?#]*([^?#]*)', 1), '/', ' '))"
 register(
     "frontier_priority",
     _priorities,

@@ -85,7 +85,7 @@ def test_markup_and_observations(spark):
     pages = spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "page_id long, html string")
     nodes = html.nodes(pages)
     link = html.element_text(nodes, "a").first()
-    assert (link["text"], link["region"], link["attrs"]["href"]) == ("In", "nav", "/in")
+    assert (link["text"], link["region"], link["attrs"]["href"]) == ("In side", "nav", "/in")
     assert html.first_text(nodes, "title").first()["text"] == "Fixture evidence landing"
     texts = html.visible_text(pages)
     text = texts.first()["text"]
@@ -115,23 +115,51 @@ def test_capture_outcome(spark, text, want):
     assert cases.capture_outcome(spark.createDataFrame([(1, text)], "page_id long, text string")).first()["outcome"] == want
 
 
+def test_capture_outcome_of_navigations(spark):
+    long = "an ordinary landing page with words enough"
+    rows = [(1, "", "https://a.test/", "verify you are human", "timed_out", None), (2, "", None, "", "failed", "ConnectionError: reset"), (3, None, "https://a.test/?__cf_chl_tk=1", long, "captured", None), (4, "Just a moment", "", long, "completed", ""), (5, "", "", long, "captured", "ReadTimeout")]
+    got = {r.page_id: (r.outcome, r.access_outcome, r.content_usable, list(r.reasons)) for r in cases.capture_outcome(spark.createDataFrame(rows, "page_id long, title string, final_url string, text string, navigation_status string, error_type string")).collect()}
+    assert got == {
+        1: ("timeout", None, False, ["navigation timed out"]), 2: ("navigation_error", None, False, ["navigation error type: connectionerror"]), 3: ("bot_challenge", "access_challenge", False, ["bot-challenge URL marker: __cf_chl_"]),
+        4: ("bot_challenge", "access_challenge", False, ["bot-challenge indicator: just a moment"]), 5: ("timeout", None, False, ["navigation timed out"]),
+    }
+
+
 def test_shared_signals(spark):
-    rows = [("a", "a", "telegram", "@x"), ("b", "b", "telegram", "@x"), ("a", "a", "asset", "u"), *[(f"c{k}", f"c{k}", "asset", "u") for k in range(4)], ("a", "a", "phone", "+1"), ("b1", "b", "phone", "+1"), ("b2", "b", "phone", "+1")]
-    shared = cases.shared_signals(spark.createDataFrame(rows, "case_id string, domain string, type string, value string"))
-    got = {(r.case_id, r.type, r.other_case): (r.strength, r.weight) for r in shared.collect()}
-    assert got["a", "telegram", "b"] == ("strong", 35) and got["a", "phone", "b1"] == ("strong", 30)
-    assert got["b1", "phone", "a"] == ("medium", 20)  # the sister case of its own domain counts as another domain's case
-    assert not any(kind == "asset" and case == "a" for case, kind, _ in got)  # on four other domains
-    scores = {(r.case_id, r.host): r.score for r in cases.candidate_scores(cases.candidate_reasons(shared)).collect()}
-    assert scores["a", "b"] == 35
+    rows = [("a", "a", "telegram", "@x"), ("b", "b", "telegram", "@x"), ("a", "a", "external_asset_url", "u"), *[(f"c{k}", f"c{k}", "external_asset_url", "u") for k in range(4)]]
+    rows += [("a", "a", "whatsapp_or_phone", "+1"), ("b1", "b", "whatsapp_or_phone", "+1"), ("b2", "b", "whatsapp_or_phone", "+1"), ("a", "a", "referral", "ref=PART"), ("b", "b", "referral", "ref=PART")]
+    rows += [("a", "a", "telegram", "@two"), ("b", "b", "telegram", "@two"), ("b", "b", "telegram", "@two")]
+    entities = spark.createDataFrame([(*r, k, f"https://{r[0]}/{k}") for k, r in enumerate(rows)], "case_id string, domain string, type string, value string, page_id long, url string")
+    shared = cases.shared_signals(entities)
+    got = {(r.case_id, r.value, r.other_case): (r.quality, r.weight) for r in shared.collect()}
+    assert got["a", "@x", "b"] == ("strong", 35) and got["a", "ref=PART", "b"] == ("medium", 10)
+    assert got["a", "+1", "b1"] == ("medium", 20)  # found in two cases
+    assert got["b1", "+1", "a"] == ("medium", 20)  # the sister case of its own domain counts as another domain's case
+    assert got["a", "@two", "b"] == ("medium", 23) and got["b", "@two", "a"] == ("strong", 35)  # twice there, once here
+    assert not any(value == "u" and case == "a" for case, value, _ in got)  # on four other domains
+    reasons = cases.candidate_reasons(shared, entities)
+    first = reasons.filter("case_id = 'a' and host = 'b' and value = '@x'").first()
+    assert (first["reason"], first["pages"], first["urls"]) == ("shared_telegram", [0, 1], ["https://a/0", "https://b/1"])
+    scores = {(r.case_id, r.host): r.score for r in cases.candidate_scores(reasons).collect()}
+    assert scores["a", "b"] == 45  # two handles count once
+
+
+def test_cross_case_matches(spark):
+    rows = [(f"c{k:02d}", 1, "observation-0001", "public_email_address", "x@y.test") for k in range(20)] + [("c00", 2, "observation-0009", "public_email_address", "x@y.test"), ("c00", 1, "o", "claimed_brand_identity", "b"), ("c01", 1, "o", "claimed_brand_identity", "b")]
+    got = cases.cross_case_matches(spark.createDataFrame(rows, "case_id string, page_id int, observation_id string, observation_type string, value string")).collect()
+    assert [r.other_case for r in sorted(got, key=lambda r: r.place) if r.case_id == "c00"] == [f"c{k:02d}" for k in range(1, 13)]
+    assert {(r.relation, r.page_id) for r in got if r.case_id == "c00"} == {("shares_public_contact_with", 2)} and len(got) == 240
 
 
 def test_similarity_edges(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 9)], "left long, right long")
     items = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, "z")], "id long, item string")
     assert {(r.right): r.similarity for r in sim(pairs, items)} == {2: 1.0, 3: 0.0, 9: 0.0}
-    parts = spark.createDataFrame([(1, 2, n, 1.0) for n in similarity.WEIGHTS], "left long, right long, name string, similarity double")
-    assert similarity.mirror_score(parts).first()["score"] == 100.0
+    parts = spark.createDataFrame([(1, 2, n, 1.0, "scored") for n in similarity.WEIGHTS] + [(1, 3, "text", 0.5, "scored"), (1, 3, "visual", 0.0, "low_information")], "left long, right long, name string, similarity double, status string")
+    scores = {r.right: (r.score, r.warnings) for r in similarity.mirror_score(pairs, parts).collect()}
+    assert scores[2] == (100.0, "") and scores[3] == (10.0, "entity not_applicable; dom not_applicable; visual low_information; asset not_applicable") and scores[9][0] == 0.0
+    hashes = similarity.average_hash(spark.createDataFrame([(1, [0.0, 1.0] * 40), (2, [0.0, 1.0] * 39 + [1.0, 0.0]), (3, [1.0] * 80), (9, [0.0, 1.0])], "id long, v array<double>"))
+    assert {r.right: (round(r.similarity, 6), r.status) for r in similarity.hash_similarity(pairs, hashes).collect()} == {2: (0.975, "scored"), 3: (0.0, "low_information"), 9: (0.0, "not_applicable")}
 
 
 def sim(pairs, items):
