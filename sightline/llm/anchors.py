@@ -28,6 +28,7 @@ NO_ID = np.int64((1 << 63) - 1)
 #: (bytes, offsets) of some rows -> (k-gram hashes, row of each, place of each in its row, units of each row); hash 2**64-1: none.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 NONE = np.uint64((1 << 64) - 1)
+PIECE = 1 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -66,16 +67,30 @@ def minimizers(h: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero((sliding(np.concatenate((pad, least, pad)), width, np.maximum) == h) & (h != NONE))
 
 
-def places(data: np.ndarray, offsets: np.ndarray, units: Units, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, place) of the anchors of all rows with at least one window."""
+def places(data: np.ndarray, offsets: np.ndarray, units: Units, window: int, k: int, pieces: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, place) of the anchors of all rows with at least one window. With ``pieces`` (bytes are units), a long row is read in pieces
+    that overlap by a window, so that hashes, many times the bytes, are never made of all of it."""
     out: list[list[np.ndarray]] = [[], [], []]
     for a, b in slices(offsets):
-        h, row, place, size = units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        at = minimizers(h, window - k + 1)
-        at = at[size[row[at]] >= window]
-        for x, y in zip(out, (h[at], row[at] + a, place[at]), strict=True):
-            x.append(y)
-    return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out)
+        begin, end = offsets[a], offsets[b]
+        step = PIECE if pieces and b - a == 1 and end - begin > 2 * PIECE else end - begin
+        for c in range(begin, max(end, begin + 1), max(step, 1)):
+            d = min(c + step + window - 1, end)
+            own = offsets[a : b + 1] - begin if step == end - begin else np.array([0, d - c])
+            h, row, place, size = units(data[c:d], own)
+            at = minimizers(h, window - k + 1)
+            at = at[size[row[at]] >= window]
+            for x, y in zip(out, (h[at], row[at] + a, place[at] + (c - begin)), strict=True):
+                x.append(y)
+            if d == end:
+                break
+    h, row, place = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out)
+    if len(row) and pieces:  # two pieces may name the same place
+        key = row * np.int64(1 << 32) + place
+        if (key[1:] <= key[:-1]).any():
+            keep = np.unique(key, return_index=True)[1]
+            h, row, place = h[keep], row[keep], place[keep]
+    return h, row, place
 
 
 def extents(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,11 +114,11 @@ def groups_of(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.zeros(0, dtype=np.int64)
 
 
-def _send(units: Units, window: int, k: int, buckets: int, bits: int):
+def _send(units: Units, window: int, k: int, buckets: int, bits: int, pieces: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            h, row, place = places(*text_buffers(batch.column(2)), units, window, k)
+            h, row, place = places(*text_buffers(batch.column(2)), units, window, k, pieces)
             row, place = row.astype(np.int64), place.astype(np.int32)
             h = h >> np.uint64(64 - bits)
             order = np.argsort(h, kind="stable")
@@ -178,14 +193,14 @@ def shuffled(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "way")
 
 
-def repeated_anchors(docs: DataFrame, units: Units, window: int, k: int, buckets: int) -> DataFrame:
+def repeated_anchors(docs: DataFrame, units: Units, window: int, k: int, buckets: int, pieces: bool = False) -> DataFrame:
     """rid, places: where the rows of ``keyed`` have an anchor whose k-gram also occurs in another document.
 
     Hashes are cut to what tells the anchors of all buckets apart but for one in some thousands; a chance meeting only
     makes later steps look at a place in vain.
     """
     bits = min(64, 10 + int(buckets * ANCHORS).bit_length())
-    sent = docs.select("rid", precedence(), "text").mapInArrow(_send(units, window, k, buckets, bits), "bucket int, way int, blob binary")
+    sent = docs.select("rid", precedence(), "text").mapInArrow(_send(units, window, k, buckets, bits, pieces), "bucket int, way int, blob binary")
     told = shuffled(sent).mapInArrow(_answer, "rid long, place int")
     return told.groupBy("rid").agg(F.collect_set("place").alias("places"))
 
@@ -209,15 +224,26 @@ def rid_of(tag: str, bits: int) -> Column:
     return F.shiftrightunsigned(F.col(tag), 64 - bits)
 
 
-SPANS = "tag long, start int, stop int"
+SPANS = "rid long, span binary"
+SPAN = np.dtype([("tag", "<i8"), ("start", "<i4"), ("stop", "<i4")])
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, bits: int) -> DataFrame:
-    """doc_id, tag, text of ``keyed`` and spans, array<struct<tag,start,stop>>, of all rows with its rid.
+def span_batch(tag: np.ndarray, start: np.ndarray, stop: np.ndarray, bits: int) -> pa.RecordBatch:
+    """SPANS rows: a span is 16 bytes, so that lists of them stay small."""
+    spans = np.empty(len(tag), dtype=SPAN)
+    spans["tag"], spans["start"], spans["stop"] = tag, start, stop
+    ends = pa.array(np.arange(len(tag) + 1, dtype=np.int32) * SPAN.itemsize).buffers()[1]
+    blobs = pa.Array.from_buffers(pa.binary(), len(tag), [None, ends, pa.py_buffer(spans.tobytes())])
+    rid = np.asarray(tag, dtype=np.int64).view(np.uint64) >> np.uint64(64 - bits)
+    return pa.RecordBatch.from_arrays([pa.array(rid.astype(np.int64)), blobs], names=["rid", "span"])
+
+
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, tag, text of ``keyed`` and spans, the distinct spans of all rows with its rid.
 
     Both this join and the one with ``repeated_anchors`` are on rid alone and of the same columns, so Spark moves the texts once.
     """
-    lists = spans.groupBy(rid_of("tag", bits).alias("rid")).agg(F.collect_set(F.struct("tag", "start", "stop")).alias("spans"))
+    lists = spans.groupBy("rid").agg(F.collect_set("span").alias("spans"))
     return docs.join(lists, "rid", "left").select("doc_id", "tag", "text", "spans")
 
 
@@ -239,7 +265,8 @@ def covered(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
 def span_lists(tags: pa.Array, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(starts, stops) of the spans with each row's tag; none where the list is null."""
     ends = column.offsets.to_numpy()
-    tag, starts, stops = (column.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    spans = np.frombuffer(text_buffers(column.values)[0].tobytes(), dtype=SPAN)
     for own, a, b, there in zip(tags.to_numpy(), ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True):
-        mine = np.flatnonzero(tag[a:b] == own) + a if there else slice(0, 0)
-        yield starts[mine], stops[mine]
+        mine = spans[a:b] if there else spans[:0]
+        mine = mine[mine["tag"] == own]
+        yield mine["start"].astype(np.int64), mine["stop"].astype(np.int64)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sightline.llm.anchors import SPANS, by_bucket, covered, extents, groups_of, keyed, once_each, pack, precedence, repeated_anchors, shuffled, span_lists, unpack, with_spans
+from sightline.llm.anchors import SPANS, by_bucket, covered, extents, groups_of, keyed, once_each, pack, precedence, repeated_anchors, shuffled, span_batch, span_lists, unpack, with_spans
 from sightline.llm.common import slices, text_buffers, window_hashes, words_of
 
 WINDOW = 50
@@ -190,9 +190,13 @@ class FMIndex:
         return [row[width - n : width - WINDOW + 1] for row, n in zip(out, sizes, strict=True)]
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(bits: int):
+    return lambda batches: _found(batches, bits)
+
+
+def _found(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     def spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["tag", "start", "stop"])
+        return span_batch(*(np.array([x[k] for x in rows], dtype=np.int64) for k in range(3)), bits)
 
     for _, blobs, passing in by_bucket(batches):
         for blob in passing:
@@ -247,11 +251,11 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_spans(rows: DataFrame, shards: int) -> DataFrame:
-    """Word spans (tag, start, stop) of ``keyed`` rows that windows of documents with smaller keys cover."""
+def repeated_spans(rows: DataFrame, shards: int, bits: int) -> DataFrame:
+    """SPANS of words of ``keyed`` rows that windows of documents with smaller keys cover."""
     places = repeated_anchors(rows, word_units, WINDOW, K, shards)
     passages = rows.join(places, "rid").select(precedence(), "tag", "text", "places").mapInArrow(_passages(shards), "bucket int, way int, blob binary")
-    return shuffled(passages).mapInArrow(_search, SPANS)
+    return shuffled(passages).mapInArrow(_search(bits), SPANS)
 
 
 def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -262,4 +266,4 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     length are read whole, in slices; other columns are ignored; an empty table gives none.
     """
     rows, shards, bits = keyed(docs, bucket_bytes)
-    return with_spans(rows, repeated_spans(rows, shards), bits).mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_spans(rows, repeated_spans(rows, shards, bits)).mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -1,7 +1,7 @@
 """Exact substring deduplication by a distributed, common-prefix-aware merge sort of suffixes.
 
 Every ``WINDOW``-byte string that a document shares with another holds one of their common anchors (see ``anchors``), so only suffixes
-that begin at repeated anchors are sorted. Each carries the windows that have their anchor there: up to WINDOW bytes from the anchor on,
+that begin at repeated anchors are sorted. Each carries what may share a window with it: up to WINDOW bytes from the anchor on,
 then up to WINDOW - K bytes before the anchor, read backwards. A task sorts its suffixes into a run for each bucket of anchors and sends it
 front-coded: how many bytes a suffix shares with the one before, and the rest. A bucket merges its runs with a loser
 tree whose players know how much they share with the last winner; they compare bytes only from there on. The merge also
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sightline.llm.anchors import SPANS, by_bucket, covered, extents, groups_of, keyed, once_each, pack, precedence, repeated_anchors, shuffled, span_lists, unpack, with_spans
+from sightline.llm.anchors import SPANS, by_bucket, covered, groups_of, keyed, once_each, pack, precedence, repeated_anchors, shuffled, span_batch, span_lists, unpack, with_spans
 from sightline.llm.common import _powers, mix64, slices, text_buffers
 
 WINDOW = 50
@@ -102,11 +102,7 @@ def _runs(buckets: int):
                 row, at = row[inside], at[inside]
                 if not len(at):
                     continue
-                left, right = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
-                for c, d in slices(offsets[a : b + 1]):  # k-gram hashes are many times the bytes
-                    base, own = offsets[a + c], slice(*np.searchsorted(row, (a + c, a + d)))
-                    left[own], right[own] = extents(byte_units(data[base : offsets[a + d]], offsets[a + c : a + d + 1] - base)[0], at[own] - base, LEFT + 1)
-                after, before = np.minimum(K + right, offsets[row + 1] - at), np.minimum(left, at - offsets[row])
+                after, before = np.minimum(WINDOW, offsets[row + 1] - at), np.minimum(LEFT, at - offsets[row])
                 x = pieces(data, at, after, before)
                 words = as_words(x)
                 key = keys[row]
@@ -242,12 +238,13 @@ def window_spans(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return piece, low, high
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (np.uint8, np.uint8, np.uint8, np.uint8, np.int64, np.int32, np.int64, np.int32)
+def _merge(bits: int):
+    return lambda batches: _merged(batches, bits)
 
-    def spans(tag, start, stop) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(tag, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["tag", "start", "stop"])
 
+def _merged(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    kinds = (np.uint8, np.uint8, np.uint8, np.uint8, np.int64, np.int32, np.int64, np.int32)
+    spans = lambda *x: span_batch(*x, bits)
     for _, blobs, sure in by_bucket(batches):
         for blob in sure:
             yield spans(*unpack(blob, np.int64, np.int64, np.int64))
@@ -307,11 +304,11 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(rows: DataFrame, buckets: int) -> DataFrame:
-    """Byte spans (tag, start, stop) of ``keyed`` rows that windows of documents with smaller keys cover."""
-    places = repeated_anchors(rows, byte_units, WINDOW, K, buckets)
+def repeated_spans(rows: DataFrame, buckets: int, bits: int) -> DataFrame:
+    """SPANS of bytes of ``keyed`` rows that windows of documents with smaller keys cover."""
+    places = repeated_anchors(rows, byte_units, WINDOW, K, buckets, pieces=True)
     runs = rows.join(places, "rid").select(precedence(), "tag", "text", "places").mapInArrow(_runs(buckets), "bucket int, way int, blob binary")
-    return shuffled(runs).mapInArrow(_merge, SPANS)
+    return shuffled(runs).mapInArrow(_merge(bits), SPANS)
 
 
 def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -322,4 +319,4 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     length are read whole, in slices; other columns are ignored; an empty table gives none.
     """
     rows, buckets, bits = keyed(docs, bucket_bytes)
-    return with_spans(rows, repeated_spans(rows, buckets), bits).mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(rows, repeated_spans(rows, buckets, bits)).mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -108,3 +108,17 @@ def test_null_and_repeated_ids_cost_what_others_cost(spark, operator):
     base = seconds(range(4000))
     assert seconds([None] * 4000) < 2 * base + 1
     assert seconds([7] * 4000) < 2 * base + 1
+
+
+def test_long_rows_are_read_in_pieces(monkeypatch):
+    import numpy as np
+    from sightline.llm import anchors
+
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"abc \xc3\xa9") for _ in range(n)) for n in (0, 30, 5000, 70, 49, 50, 9000)]
+    data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    monkeypatch.setattr(anchors, "slices", lambda o: ((k, k + 1) for k in range(len(o) - 1)))
+    found = lambda pieces: sorted(zip(*(x.tolist() for x in anchors.places(data, offsets, suffix_dedup.byte_units, 50, 20, pieces)), strict=True))
+    whole = found(False)
+    monkeypatch.setattr(anchors, "PIECE", 333)
+    assert found(True) == whole and len(whole) > 300
