@@ -8,12 +8,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from sightline.functions import policy, urls
-from sightline.operators import evaluation as ev, html, leads
+from sightline.operators import html, leads, markup
 from sightline.plans import bindings as b
-from sightline.plans.markup_queries import outcomes as _outcomes
+from sightline.plans.markup_queries import NAVIGATION, OUTCOMES, SEMANTIC, TX, outcomes, semantic
 from sightline.plans.log_queries import LOG
 from sightline.plans.registry import register
-from sightline.plans.url_queries import ANCHORS, HOST, PATH
+from sightline.plans.url_queries import ANCHORS, HOST
+from sightline.plans.web import WHOLE
 from sightline.sources import cases as src, read_table
 from sightline.streaming.log import shared_folder
 
@@ -73,12 +74,6 @@ register(
     f"WITH {SEARCH} SELECT case_id, result, place, host, CASE WHEN host = case_id THEN 'same_observed_host_as_source' END AS excluded, CASE WHEN host = case_id THEN 0 ELSE 5 END AS weight FROM sr",
 )
 register("frontier_promotion", lambda s, d: leads.frontier_promotion(_out(s, d, 1), _known(s, d)).select("page_id", "host", "known"), f"WITH {PG} SELECT page_id, host, true AS known FROM {OUT(1)} WHERE host IN (SELECT h FROM pg WHERE page_id % 2 = 0)")
-register(
-    "lead_candidates",
-    lambda s, d: leads.lead_candidates(_out(s, d, 1), _known(s, d)),
-    f"""WITH {PG}, f AS (SELECT case_id, host, min(page_id) AS page_id, bool_or(array_to_string(string_split(case_id, '.')[-2:], '.') = array_to_string(string_split(host, '.')[-2:], '.')) AS family FROM {OUT(1)} WHERE host <> case_id AND host NOT IN (SELECT h FROM pg WHERE page_id % 2 = 0) GROUP BY ALL),
-    r AS (SELECT case_id, host, row_number() OVER (PARTITION BY case_id ORDER BY family DESC, page_id, host) AS place FROM f) SELECT * FROM r WHERE place <= 5""",
-)
 register(
     "destination_projection",
     lambda s, d: leads.destination_projection(_out(s, d, 1), _redirects(s, d), _known(s, d)).select("case_id", "host", "n_urls", "by_redirect", "known"),
@@ -86,50 +81,105 @@ register(
 )
 
 
-def _last(s, d):
-    """The last checkpoint of a page: its characters and links."""
-    links = b.anchors(s, d).groupBy("page_id").agg(F.count("*").alias("n_links"))
-    return b.pages(s, d).join(links, "page_id", "left").select("page_id", F.length("html").alias("n_chars"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.pmod("page_id", F.lit(20)) / 20.0).alias("entropy"))
+TILES = "CAST(page_id % 13 AS DOUBLE) / 50.0"
+CHANGED = "page_id % 17 = 5"
+MAX_BYTES, MAX_EXTRACTED = 14000, 12000
 
 
-ADEQ = f"{ANCHORS}, la AS (SELECT p.page_id, length(html) AS c, coalesce(n, 0) AS n, (p.page_id % 20) / 20.0 AS e FROM pages p LEFT JOIN (SELECT page_id, count(*) AS n FROM anchors GROUP BY 1) USING (page_id)), ad AS (SELECT page_id, array_to_string(list_filter([CASE WHEN c < 200 AND n = 0 THEN 'low_information' END, CASE WHEN c >= 200 AND e < 0.05 THEN 'visual_dom_mismatch' END, CASE WHEN n = 0 THEN 'no_links' END], lambda x: x IS NOT NULL), ',') AS limitations FROM la)"
-register("capture_adequacy", lambda s, d: leads.capture_adequacy(_last(s, d)), f"WITH {ADEQ} SELECT page_id, CASE WHEN limitations = '' THEN 'adequate' ELSE 'limited' END AS adequacy, limitations FROM ad")
-register("low_information", lambda s, d: _last(s, d).select("page_id", ((F.col("n_chars") < 2000) & (F.col("n_links") < 5)).alias("low")), f"WITH {ADEQ} SELECT page_id, c < 2000 AND n < 5 AS low FROM la")
-register("visual_dom_mismatch", lambda s, d: leads.capture_adequacy(_last(s, d)).filter("contains(limitations, 'visual_dom_mismatch')").select("page_id"), f"WITH {ADEQ} SELECT page_id FROM ad WHERE contains(limitations, 'visual_dom_mismatch')")
+def _last(s, d):
+    """The last checkpoint of each page: what its markup shows; how its pixels vary and whether it still changed are derived from page_id."""
+    nodes = b.nodes(s, d)
+    text = html.text_of(nodes).select("page_id", markup.collapsed(F.col("text")).alias("text"))
+    tags = nodes.filter("kind = 'element'").groupBy("page_id").agg(F.count_if((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()).alias("n_links"), *[F.count_if(F.col("tag") == t).alias(n) for t, n in (("img", "n_images"), ("iframe", "n_iframes"), ("canvas", "n_canvases"))])
+    rows = b.web(s, d).select("page_id", F.octet_length("html").alias("html_bytes"), F.expr(TILES).alias("tile_ratio"), F.expr(CHANGED).alias("changed"), F.expr(NAVIGATION).alias("navigation_status"))
+    rows = rows.join(text, "page_id", "left").join(tags, "page_id", "left").na.fill(0, ["n_links", "n_images", "n_iframes", "n_canvases"]).na.fill("", ["text"])
+    return rows.withColumns({"n_chars": F.length("text"), "n_words": F.regexp_count("text", F.lit(r"\S+"))}).drop("text")
+
+
+LAST = f"""{OUTCOMES}, {ANCHORS}, la AS (SELECT page_id, strlen(html) AS bytes, {TILES} AS tiles, {CHANGED} AS changed, {NAVIGATION} AS nav, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') AS t, coalesce(n, 0) AS links, ({WHOLE} AND page_id % 5 = 3)::INT AS images, ({WHOLE} AND page_id % 7 = 0)::INT AS iframes
+  FROM web LEFT JOIN tx USING (page_id) LEFT JOIN (SELECT page_id, count(*) AS n FROM anchors GROUP BY 1) USING (page_id)),
+  lb AS (SELECT *, length(t) < 24 AND links = 0 AND images = 0 AND iframes = 0 AND tiles < 0.01 AS low, length(t) >= 80 AND tiles < 0.01 OR length(t) >= 1000 AND tiles < 0.1 AS mismatch, len(regexp_extract_all(t, '\\S+')) AS words FROM la),
+  lc AS (SELECT *, list_filter([CASE WHEN changed THEN 'rendering_changed_at_budget_end' END, CASE WHEN low THEN 'low_information_capture' END, CASE WHEN mismatch THEN 'visual_dom_mismatch' END, CASE WHEN bytes > {MAX_BYTES} THEN 'canonical_html_exceeds_5_mb_persistence_limit' END], lambda x: x IS NOT NULL) AS limits FROM lb),
+  ad AS (SELECT *, CASE WHEN nav <> 'captured' THEN 'failed' WHEN len(limits) > 0 THEN 'limited' ELSE 'adequate' END AS adequacy FROM lc),
+  ti AS (SELECT page_id, outcome, adequacy, limits, CASE WHEN outcome = 'content' AND bytes <= {MAX_EXTRACTED} AND adequacy = 'adequate' THEN 'verified' WHEN outcome = 'content' AND bytes <= {MAX_EXTRACTED} AND adequacy = 'limited' AND length(t) >= 80 AND (tiles >= 0.02 OR words >= 15) AND NOT mismatch AND NOT low THEN 'provisional' ELSE 'none' END AS tier,
+    CASE WHEN outcome <> 'content' THEN 'access_outcome_is_not_content' WHEN bytes > {MAX_BYTES} THEN 'canonical_html_not_persisted' WHEN bytes > {MAX_EXTRACTED} THEN 'direct_extractor_input_exceeds_2_mb' WHEN adequacy <> 'adequate' THEN 'capture_adequacy_is_not_adequate' END AS why FROM ad JOIN oc USING (page_id))"""
+_adequacy = lambda s, d: leads.capture_adequacy(_last(s, d), MAX_BYTES)
+register("capture_adequacy", lambda s, d: _adequacy(s, d).select("page_id", "adequacy", F.array_join("limitations", ",").alias("limitations")), f"WITH {LAST} SELECT page_id, adequacy, array_to_string(limits, ',') AS limitations FROM ad")
+register("low_information", lambda s, d: _last(s, d).select("page_id", leads.low_information().alias("low")), f"WITH {LAST} SELECT page_id, low FROM lb")
+register("visual_dom_mismatch", lambda s, d: _last(s, d).filter(leads.visual_dom_mismatch()).select("page_id"), f"WITH {LAST} SELECT page_id FROM lb WHERE mismatch")
 
 
 def _tiers(s, d):
-    return leads.extraction_tier(_outcomes(s, d).join(leads.capture_adequacy(_last(s, d)), "page_id"))
+    return leads.extraction_tier(outcomes(s, d).join(_adequacy(s, d), "page_id"), MAX_BYTES, MAX_EXTRACTED)
+
+
+register("extraction_tier", lambda s, d: _tiers(s, d).select("page_id", "tier", "skip_reason"), f"WITH {LAST} SELECT page_id, tier, CASE WHEN tier = 'none' THEN why END AS skip_reason FROM ti")
+
+
+def _adjusted(s, d):
+    """The observations of each page by its tier; those of every fourth page come by OCR."""
+    tiers = _tiers(s, d).select("page_id", "tier", F.col("limitations").alias("capture_limitations"))
+    rows = semantic(s, d).join(tiers, "page_id").withColumns({"by_ocr": F.col("page_id") % 4 == 0, "limitations": F.array().cast("array<string>")})
+    return leads.tier_adjustment(rows)
 
 
-register("extraction_tier", lambda s, d: _tiers(s, d).groupBy("tier").agg(F.count("*").alias("n")), f"WITH {ADEQ} SELECT CASE WHEN limitations = '' THEN 'verified' ELSE 'provisional' END AS tier, count(*) AS n FROM ad GROUP BY 1")
 register(
     "tier_adjustment",
-    lambda s, d: leads.tier_adjustment(_tiers(s, d).select("page_id", "tier", F.lit(0.9).alias("confidence"), F.when(F.col("page_id") % 4 == 0, "ocr_line").otherwise("dom_text").alias("method"))).select("page_id", "confidence"),
-    f"WITH {ADEQ} SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 0.72::DOUBLE WHEN limitations = '' THEN 0.9::DOUBLE ELSE 0.85::DOUBLE END AS confidence FROM ad",
+    lambda s, d: _adjusted(s, d).select("page_id", "observation_id", "tier", "confidence", (F.substring("method", 1, 4) == "ocr_").alias("by_ocr"), F.array_join("limitations", ",").alias("limitations")),
+    f"""WITH {LAST}, {SEMANTIC.replace(ANCHORS + ", ", "").replace(TX + ", ", "")} SELECT page_id, 'observation-' || lpad(place::VARCHAR, 4, '0') AS observation_id, tier,
+    least(CASE WHEN page_id % 4 = 0 THEN 0.72 WHEN tier = 'provisional' THEN 0.85 ELSE 1 END, CASE WHEN stage = 0 THEN CASE sub WHEN 0 THEN 0.95 ELSE 0.85 END WHEN stage IN (2, 3, 6) THEN 0.9 WHEN stage >= 7 THEN 0.75 ELSE 1 END)::DOUBLE AS confidence, page_id % 4 = 0 AS by_ocr,
+    CASE WHEN page_id % 4 = 0 THEN 'provisional_observation_from_local_ocr,ocr_text_requires_human_visual_confirmation' WHEN tier = 'provisional' THEN concat_ws(',', 'provisional_observation_from_limited_capture', nullif(array_to_string(limits, ','), '')) ELSE '' END AS limitations
+    FROM (SELECT page_id, observation_type, value, stage, sub, row_number() OVER (PARTITION BY page_id ORDER BY stage, ord, sub) AS place FROM se1 WHERE nth = 1) JOIN ti USING (page_id)""",
 )
 
 
 def _exclusions(s, d):
-    rows = b.pages(s, d).select("case_id", F.col("page_id").alias("record"), "url", (F.col("page_id") % 6 != 0).alias("completed"), (F.length("html") > 1500).alias("usable"), (F.col("page_id") % 9 != 1).alias("intact"))
+    """One record for each case and month of capture: its host as source, the state of its captures and of its stored markup."""
+    rows = _tiers(s, d).join(b.pages(s, d).select("page_id", "case_id", "url", "html"), "page_id").join(verified(s, d), "page_id")
+    url = F.when(F.col("page_id") % 29 == 3, None).when(F.col("page_id") % 29 == 4, "http://10.1.2.3/x").otherwise(F.col("url"))
+    rows = rows.select("case_id", F.col("page_id").alias("record"), url.alias("url"), (F.col("navigation_status") == "captured").alias("completed"), F.col("content_usable").alias("usable"), (F.col("state") == "ok").alias("intact"))
     return leads.corpus_exclusions(rows).select("record", "reason")
 
 
+def verified(s, d):
+    """page_id and state of the stored markup of each page: files written for each page and read back as binary files. Some are missing, cut or changed,
+    by the length of the page's URL."""
+    folder = f"{shared_folder(s)}/artifacts-{uuid.uuid4().hex}"
+    pages, odd = b.pages(s, d), F.length("url") % 11
+    stored = pages.filter(odd != 4).select("page_id", F.when(odd == 3, F.concat("html", F.lit("<!-- -->"))).otherwise(F.col("html")).alias("value"))
+    stored.write.partitionBy("page_id").option("lineSep", "\x01").text(folder)
+    files = src.read_artifacts(s, folder).select(F.regexp_extract("path", "page_id=([0-9]+)", 1).alias("id"), F.expr("substring(content, 1, length(content) - 1)").alias("content"))
+    evidence = pages.select(F.col("page_id").cast("string").alias("id"), F.sha2("html", 256).alias("sha256"))
+    return leads.verify_artifacts(evidence, files, max_bytes=15000).select(F.col("id").cast("long").alias("page_id"), "state")
+
+
+STATE = "CASE WHEN length(url) % 11 = 4 THEN 'missing' WHEN strlen(html) + CASE WHEN length(url) % 11 = 3 THEN 8 ELSE 0 END > 15000 THEN 'too_large' WHEN length(url) % 11 = 3 THEN 'modified' ELSE 'ok' END"
 register(
     "corpus_exclusions",
     _exclusions,
-    f"WITH x AS (SELECT page_id AS record, CASE WHEN row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) > 1 THEN 'duplicate_id' WHEN page_id % 6 = 0 THEN 'not_completed' WHEN length(html) <= 1500 THEN 'no_usable_html' WHEN page_id % 9 = 1 THEN 'modified_artifact' END AS reason FROM pages) SELECT * FROM x WHERE reason IS NOT NULL",
+    f"""WITH {LAST}, st AS (SELECT page_id, {HOST} AS host, {STATE} AS state FROM pages), x AS (SELECT page_id AS record, CASE WHEN page_id % 29 = 3 THEN 'malformed' WHEN row_number() OVER (PARTITION BY host ORDER BY page_id) > 1 THEN 'duplicate_id' WHEN {NAVIGATION} <> 'captured' THEN 'not_completed'
+    WHEN page_id % 29 = 4 THEN 'no_registrable_target' WHEN outcome <> 'content' THEN 'no_usable_html' WHEN state <> 'ok' THEN 'modified_artifact' END AS reason FROM st JOIN ti USING (page_id)) SELECT * FROM x WHERE reason IS NOT NULL""",
 )
+register("verify_artifacts", lambda s, d: verified(s, d).select(F.col("page_id").cast("string").alias("id"), "state"), f"SELECT page_id::VARCHAR AS id, {STATE} AS state FROM pages")
 
 
-def _artifacts(s, d):
-    pages = b.pages(s, d)
-    evidence = pages.select(F.col("page_id").cast("string").alias("id"), F.when(F.col("page_id") % 10 == 3, F.sha2("url", 256)).otherwise(F.sha2("html", 256)).alias("sha256"))
-    stored = pages.filter("page_id % 10 <> 4").select(F.col("page_id").cast("string").alias("id"), F.encode("html", "UTF-8").alias("content"))
-    return leads.verify_artifacts(evidence, stored, max_bytes=15000)
+def _outward(s, d):
+    """http(s) links of each page, and for each page a link to a host of its family by brand token."""
+    rows = markup.anchor_links(markup.anchors(b.nodes(s, d))).select("page_id", "case_id", "target", "ord")
+    token = F.concat(F.lit("site"), (F.col("page_id") % 40).cast("string"))
+    family = F.array(*[F.concat(F.lit("https://"), x, F.lit("/")) for x in (F.concat(token, F.lit("casino.test")), F.concat(token, F.lit("b.test")), F.concat(F.lit("my"), token, F.lit(".test")), F.concat(F.lit("m."), token, F.lit(".example.org")), F.concat(F.lit("www."), token, F.lit("poker.test")))])
+    own = b.pages(s, d).select("page_id", F.concat(token, F.lit(".example.org")).alias("source_host"), F.posexplode(family).alias("ord", "target"))
+    return own.select(F.col("source_host").alias("case_id"), "source_host", "target", "ord").unionByName(rows.select("case_id", F.col("case_id").alias("source_host"), "target", (F.col("ord") + 100).alias("ord")))
 
 
-register("verify_artifacts", _artifacts, "SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 10 = 4 THEN 'missing' WHEN strlen(html) > 15000 THEN 'too_large' WHEN page_id % 10 = 3 THEN 'modified' ELSE 'ok' END AS state FROM pages")
+register(
+    "lead_candidates",
+    lambda s, d: leads.lead_candidates(_outward(s, d), b.pages(s, d).filter("page_id % 40 < 10").select(F.concat(F.lit("site"), (F.col("page_id") % 40).cast("string"), F.lit("b.test")).alias("host"))),
+    f"""WITH {ANCHORS}, tk AS (SELECT DISTINCT 'site' || (page_id % 40) AS t, page_id % 40 AS n FROM pages),
+    fm AS (SELECT t || '.example.org' AS case_id, t || 'casino.test' AS host, 'https://' || t || 'casino.test/' AS target, 0 AS class FROM tk UNION ALL SELECT t || '.example.org', t || 'b.test', 'https://' || t || 'b.test/', 1 FROM tk WHERE n >= 10 UNION ALL SELECT t || '.example.org', 'my' || t || '.test', 'https://my' || t || '.test/', 2 FROM tk
+      UNION ALL SELECT t || '.example.org', 'm.' || t || '.example.org', 'https://m.' || t || '.example.org/', 3 FROM tk UNION ALL SELECT t || '.example.org', t || 'poker.test', 'https://www.' || t || 'poker.test/', 0 FROM tk),
+    r AS (SELECT case_id, host, target, class, row_number() OVER (PARTITION BY case_id ORDER BY class, target) AS place FROM fm) SELECT * FROM r WHERE place <= 5""",
+)
 
 
 def _case_files(s, d):

@@ -36,19 +36,6 @@ register(
     lambda s, d: b.pages(s, d).select("page_id", F.lower(urls.raw_host(F.col("url"))).alias("raw_host"), urls.host(F.col("url")).alias("host"), urls.bare_host(F.col("url")).alias("bare_host")),
     f"SELECT page_id, {HOST} AS raw_host, rtrim({HOST}, '.') AS host, regexp_replace({HOST}, '^www\\.', '') AS bare_host FROM pages",
 )
-register(
-    "comparable_url",
-    lambda s, d: b.pages(s, d).groupBy(urls.comparable(F.col("url")).alias("same_page")).agg(F.count("*").alias("n_pages")),
-    f"SELECT regexp_extract(url, '^([a-z]+)', 1) || '|' || {HOST} || '|' || rtrim({PATH}, '/') || '|' || {QUERY} AS same_page, count(*) AS n_pages FROM pages GROUP BY 1",
-)
-register(
-    "registrable_domain",
-    lambda s, d: suffixes.registrable_domains(b.pages(s, d).select("page_id", "url"), s.createDataFrame(SUFFIXES, "rule string, kind string")).select("page_id", "registrable_domain", "suffix_type", "reason"),
-    f"""WITH r(rule, kind) AS (VALUES ('com', 'icann'), ('net', 'icann'), ('org', 'icann'), ('example.org', 'private')), h AS (SELECT page_id, {HOST} AS host FROM pages),
-    m AS (SELECT page_id, host, rule, kind, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS k FROM h JOIN r ON ends_with(host, '.' || rule) OR host = rule)
-    SELECT page_id, CASE WHEN host = rule THEN NULL ELSE list_last(string_split(left(host, length(host) - length(rule) - 1), '.')) || '.' || rule END AS registrable_domain,
-    CASE WHEN host = rule THEN NULL ELSE kind END AS suffix_type, CASE WHEN host = rule THEN 'not_registrable_domain' END AS reason FROM m WHERE k = 1""",
-)
 register(
     "host_suffix_filter",
     lambda s, d: b.pages(s, d).filter(policy.host_in(F.col("case_id"), LISTED)).select("page_id", "case_id"),
@@ -60,21 +47,6 @@ register(
     f"""SELECT page_id, pair, NOT contains(pair, '=') OR length(v) < 4 OR v IN ('', '0', '1', 'code', 'default', 'none', 'null', 'ref', 'test', 'unknown') AS generic
     FROM (SELECT page_id, pair, lower(trim(regexp_extract(pair, '^[^=]*=(.*)$', 1))) AS v FROM (SELECT page_id, unnest(string_split({QUERY}, '&')) AS pair FROM pages))""",
 )
-register(
-    "url_policy",
-    lambda s, d: b.pages(s, d).select("page_id", F.coalesce(policy.url_policy(F.regexp_replace(F.col("url"), r"^http://www\.", "http://10.1.2.3/")), F.lit("allowed")).alias("decision")),
-    "SELECT page_id, CASE WHEN starts_with(url, 'http://www.') THEN 'non_global_address' ELSE 'allowed' END AS decision FROM pages",
-)
-register(
-    "redact_url",
-    lambda s, d: b.pages(s, d).select("page_id", policy.redact_url(F.col("url")).alias("shown")),
-    f"SELECT page_id, {ROOT} || {PATH} || CASE WHEN {QUERY} = '' THEN '' ELSE '?' || regexp_replace({QUERY}, 'utm_source=[^&]*', 'utm_source=[redacted]') END AS shown FROM pages",
-)
-register(
-    "redact_entity",
-    lambda s, d: b.texts(s, d).select("page_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\+?\d[\d\s().-]{7,}\d)"), F.lit(1))).alias("phone")).select("page_id", policy.redact_phone(F.col("phone")).alias("shown")),
-    r"SELECT doc_id AS page_id, CASE WHEN length(p) > 8 THEN left(p, 4) || '••••' || right(p, 4) ELSE '••••' END AS shown FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(\+?\d[\d\s().-]{7,}\d)', 1)) AS p FROM documents)",
-)
 register(
     "normalize_text",
     lambda s, d: b.texts(s, d).select("page_id", F.sha2(policy.normalize_text(F.col("text")), 256).alias("sha"), F.length(policy.digits(F.col("text"))).alias("n_digits"), policy.bounded(F.col("text"), 120).alias("head")),
@@ -98,47 +70,8 @@ register(
     + " ".join(f"WHEN regexp_matches({_MATERIAL}, '{p}') THEN '{r}'" for p, _, r in policy.FRONTIER_CLASSES)
     + " ELSE 'generic' END AS reason FROM anchors",
 )
-register(
-    "brand_token",
-    lambda s, d: b.pages(s, d).select("page_id", policy.brand_token(F.concat("case_id", urls.path(F.col("url")))).alias("token")),
-    f"SELECT page_id, regexp_extract({HOST} || lower({PATH}), '([a-z]+[0-9]+|[0-9]+[a-z]+|[0-9]{{3,}})', 1) AS token FROM pages",
-)
 register(
     "content_ids",
     lambda s, d: b.anchors(s, d).select("page_id", "elem_ord", policy.content_id("edge", 20, F.col("case_id"), F.col("href"), F.col("label")).alias("edge_id"), policy.content_id("observation", 16, F.col("href")).alias("observation_id")),
     f"WITH {ANCHORS} SELECT page_id, elem_ord, 'edge-' || left(sha256({HOST} || chr(31) || href || chr(31) || label), 20) AS edge_id, 'observation-' || left(sha256(href), 16) AS observation_id FROM anchors",
 )
-
-
-def _statuses(s, d):
-    rows = b.event_log(s, d)
-    nav = F.when(F.col("kind") == "error", "timed_out").when(F.col("kind") == "signup", "failed").otherwise("captured")
-    access = F.when(F.col("value") > 60, "geo_restriction").otherwise("content")
-    adequacy = F.when(F.col("kind") == "purchase", "limited").otherwise("adequate")
-    return rows.select("event_id", policy.public_status(nav, access, adequacy).alias("status"))
-
-
-register(
-    "public_status",
-    _statuses,
-    """SELECT event_id, CASE WHEN event_type = 'error' THEN 'timeout' WHEN event_type = 'signup' THEN 'collection_failed' WHEN value > 60 THEN 'geo_restriction_observed'
-    WHEN event_type = 'purchase' THEN 'captured_with_limitations' ELSE 'captured' END AS status FROM events""",
-)
-
-
-def _headers(s, d):
-    """props as a header map: lower-case keys that are allowed, nulls dropped, values cut."""
-    parsed = F.from_json("payload", "map<string,string>")
-    kept = F.map_filter(F.transform_keys(parsed, lambda k, v: F.lower(k)), lambda k, v: k.isin("k", "content-type", "server") & v.isNotNull())
-    return b.event_log(s, d).select("event_id", F.map_values(F.transform_values(kept, lambda k, v: F.substring(v, 1, 1000)))[0].alias("k"))
-
-
-register("header_allowlist", _headers, "SELECT event_id, left(json_extract_string(props, '$.k'), 1000) AS k FROM events")
-
-
-def _relations(s, d):
-    relation = status_case(F.col("kind"), {"click": "links_to", "view": "captured_as"}, "mentions")
-    return b.event_log(s, d).groupBy(relation.alias("relation")).agg(F.count("*").alias("n"))
-
-
-register("label_maps", _relations, "SELECT CASE event_type WHEN 'click' THEN 'links_to' WHEN 'view' THEN 'captured_as' ELSE 'mentions' END AS relation, count(*) AS n FROM events GROUP BY 1")

@@ -17,9 +17,9 @@ def case_states(rows: DataFrame, key: str) -> DataFrame:
 
 
 def read_artifacts(spark: SparkSession, folder: str) -> DataFrame:
-    """id (file name), content of binary files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("id"), "content")
+    """path, id (file name), content of binary files, in folders of any depth."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[!_.]*").load(folder)
+    return files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("id"), "content")
 
 
 def write_case_tables(df: DataFrame, path: str, kind: str = "parquet") -> None:
