@@ -6,35 +6,91 @@ import uuid
 
 from pyspark.sql import functions as F, Window as W
 
+from sightline.functions import labels
 from sightline.operators import evaluation as ev, graph as g
 from sightline.plans import bindings as b
-from sightline.plans.markup_queries import SEMANTIC, semantic
+from sightline.plans.markup_queries import ENTITIES, SEMANTIC, entities, semantic
 from sightline.plans.log_queries import LOG
 from sightline.plans.registry import register
-from sightline.plans.url_queries import ANCHORS, HOST
+from sightline.plans.url_queries import HOST
 from sightline.sources import read_table
 from sightline.streaming import log as st
 
-NODES = f"""{ANCHORS}, nd AS (SELECT case_id, node_id, arg_min(type, (k, o, label)) AS type, arg_min(label, (k, o, label)) AS label FROM (SELECT {HOST} AS case_id, 'case:' || {HOST} AS node_id, 'case' AS type, {HOST} AS label, 0 AS k, 0 AS o FROM pages
-  UNION ALL SELECT {HOST}, 'page:' || page_id, 'page', url, 1, page_id FROM pages UNION ALL SELECT {HOST}, 'target:' || href, 'target', label, 2, page_id * 100000 + elem_ord FROM anchors) GROUP BY case_id, node_id)"""
-EDGES = f"""{NODES}, ed AS (SELECT *, 'edge-' || left(sha256(source || chr(31) || target || chr(31) || type || chr(31) || coalesce(evidence, '')), 20) AS edge_id FROM (SELECT {HOST} AS case_id, 'case:' || {HOST} AS source, 'page:' || min(page_id) AS target, 'started_from' AS type, NULL::VARCHAR AS evidence FROM pages GROUP BY 1, 2
-  UNION ALL SELECT {HOST}, 'case:' || {HOST}, 'page:' || page_id, 'contains_page', NULL FROM pages UNION ALL SELECT {HOST}, 'page:' || page_id, 'target:' || href, 'links_to', 'html:' || page_id || '#' || elem_ord FROM anchors))"""
-nodes = lambda s, d: g.case_nodes(b.pages(s, d), b.anchors(s, d))
-edges = lambda s, d: g.case_edges(b.pages(s, d), b.anchors(s, d))
-register("case_graph_nodes", nodes, f"WITH {NODES} SELECT * FROM nd")
-register("case_graph_edges", lambda s, d: edges(s, d).select("case_id", "edge_id", "source", "target", "type", "evidence"), f"WITH {EDGES} SELECT case_id, edge_id, source, target, type, evidence FROM ed")
-register("edge_evidence_violations", lambda s, d: g.evidence_violations(edges(s, d).withColumn("evidence", F.when(F.length("target") % 2 == 0, F.col("evidence")))).select("edge_id"), f"WITH {EDGES} SELECT edge_id FROM ed WHERE type = 'links_to' AND length(target) % 2 = 1")
+FINAL_URL = "CASE WHEN length(url) % 3 = 0 THEN replace(url, '://', '://www.') ELSE url END"
+
+
+def _cases(s, d):
+    """Each host with the URL of its first page as seed; every third one ended on a www host."""
+    first = b.pages(s, d).groupBy("case_id").agg(F.min_by("url", "page_id").alias("url"))
+    return first.select("case_id", F.col("url").alias("seed_url"), F.expr(FINAL_URL).alias("final_url"))
+
+
+def _pages(s, d):
+    """Pages with the one before on their host as parent; every fourth has no screenshot."""
+    order = W.partitionBy("case_id").orderBy("page_id")
+    shot = F.when(F.col("page_id") % 4 != 3, F.concat(F.lit("shots/"), F.col("page_id").cast("string"), F.lit(".png")))
+    return b.pages(s, d).select("case_id", "page_id", "url", shot.alias("screenshot"), F.lag("page_id").over(order).alias("parent_page_id"), F.lag("url").over(order).alias("parent_url"))
+
+
+def _entities(s, d):
+    return entities(s, d).join(b.pages(s, d).select("page_id", "case_id"), "page_id")
+
+
+_TH = "regexp_extract({0}, '^[a-z]+://([^/?#:]*)', 1)"
+NODES = f"""{ENTITIES}, gp AS (SELECT {HOST} AS case_id, page_id, url, CASE WHEN page_id % 4 <> 3 THEN 'shots/' || page_id || '.png' END AS shot, lag(page_id) OVER w AS pp, lag(url) OVER w AS pu FROM pages WINDOW w AS (PARTITION BY {HOST} ORDER BY page_id)),
+  gc AS (SELECT case_id, url AS seed, {FINAL_URL} AS final FROM (SELECT case_id, arg_min(url, page_id) AS url FROM gp GROUP BY case_id)),
+  ge AS (SELECT case_id, en.page_id, type, value, gp.url FROM en JOIN gp ON gp.page_id = en.page_id WHERE type IN ('internal_link', 'external_link', 'telegram', 'whatsapp_or_phone', 'referral', 'external_asset_domain', 'external_asset_url')),
+  gt AS (SELECT *, CASE WHEN type LIKE '%_link' THEN 'domain:' || {_TH.format("value")} ELSE type || ':' || value END AS node FROM ge),
+  nd AS (SELECT DISTINCT case_id, 'case:' || case_id AS node_id, 'case' AS type, case_id AS label FROM gc UNION SELECT case_id, 'domain:' || h, 'domain', h FROM (SELECT case_id, {_TH.format("lower(seed)")} AS h FROM gc UNION SELECT case_id, {_TH.format("lower(final)")} FROM gc UNION SELECT case_id, {_TH.format("lower(url)")} FROM gp UNION SELECT case_id, {_TH.format("value")} FROM ge WHERE type LIKE '%_link')
+    UNION SELECT case_id, 'page:' || page_id, 'page', url FROM gp UNION SELECT case_id, 'screenshot:' || page_id, 'screenshot', shot FROM gp WHERE shot IS NOT NULL UNION SELECT case_id, node, type, value FROM gt WHERE type NOT LIKE '%_link')"""
+_METHOD = "CASE WHEN type IN ('internal_link', 'external_link', 'whatsapp_or_phone') THEN 'html_anchor' WHEN type = 'referral' THEN 'url_query_parameter' END"
+EDGES = f"""{NODES}, ed0 AS (SELECT case_id, 'case:' || case_id AS source, 'domain:' || {_TH.format("lower(seed)")} AS target, 'started_from' AS type, NULL::VARCHAR AS evidence_id, NULL::VARCHAR AS source_url FROM gc UNION SELECT case_id, 'domain:' || {_TH.format("lower(seed)")}, 'domain:' || {_TH.format("lower(final)")}, 'resolved_to', NULL, NULL FROM gc WHERE seed <> final
+    UNION SELECT case_id, 'domain:' || {_TH.format("lower(url)")}, 'page:' || page_id, 'contains_page', NULL, NULL FROM gp UNION SELECT case_id, 'page:' || page_id, 'screenshot:' || page_id, 'captured_as', NULL, NULL FROM gp WHERE shot IS NOT NULL UNION SELECT case_id, 'page:' || pp, 'page:' || page_id, 'discovered_via_link', 'evidence-html-' || pp, pu FROM gp WHERE pp IS NOT NULL
+    UNION SELECT case_id, 'page:' || page_id, node, CASE WHEN type LIKE '%_link' THEN 'links_to' WHEN type IN ('telegram', 'whatsapp_or_phone') THEN 'mentions' WHEN type = 'referral' THEN 'uses_referral' ELSE 'loads_asset_from' END, 'evidence-html-' || page_id, url FROM gt),
+  ed AS (SELECT *, 'edge-' || left(sha256(concat_ws('|', source, target, type, coalesce(evidence_id, 'structural'))), 16) AS edge_id FROM ed0)"""
+nodes = lambda s, d: g.case_nodes(_cases(s, d), _pages(s, d), _entities(s, d))
+edges = lambda s, d: g.case_edges(_cases(s, d), _pages(s, d), _entities(s, d))
+register("case_graph_nodes", lambda s, d: nodes(s, d).drop("first_page"), f"WITH {NODES} SELECT * FROM nd")
+register("case_graph_edges", lambda s, d: edges(s, d).select("case_id", "edge_id", "source", "target", "type", "evidence_id", "source_url", "confidence"), f"WITH {EDGES} SELECT case_id, edge_id, source, target, type, evidence_id, source_url, CASE WHEN evidence_id IS NOT NULL THEN 1::DOUBLE END AS confidence FROM ed")
+
+
+def _torn(s, d):
+    """Edges that lost fields of their evidence, by the length of their target."""
+    n = F.length("target")
+    return edges(s, d).withColumns({"evidence_id": F.when(n % 3 != 0, F.col("evidence_id")), "source_url": F.when(n % 4 != 1, F.col("source_url")), "method": F.when(n % 5 != 2, F.col("method")), "confidence": F.when(n % 7 != 3, F.col("confidence"))})
+
+
+register(
+    "edge_evidence_violations",
+    lambda s, d: g.evidence_violations(_torn(s, d)).select("edge_id", F.array_join("missing", ",").alias("missing")),
+    f"""WITH {EDGES}, m AS (SELECT edge_id, concat_ws(',', CASE WHEN length(target) % 3 = 0 THEN 'evidence_id' END, CASE WHEN length(target) % 4 = 1 THEN 'source_url' END, CASE WHEN length(target) % 5 = 2 THEN 'method' END, CASE WHEN length(target) % 7 = 3 THEN 'confidence' END) AS missing FROM ed WHERE evidence_id IS NOT NULL)
+    SELECT * FROM m WHERE missing <> ''""",
+)
 register(
     "graph_counts",
     lambda s, d: nodes(s, d).groupBy("case_id", "type").agg(F.count("*").alias("n")).unionByName(edges(s, d).groupBy("case_id", "type").agg(F.count("*").alias("n"))),
     f"WITH {EDGES} SELECT case_id, type, count(*) AS n FROM nd GROUP BY ALL UNION ALL SELECT case_id, type, count(*) FROM ed GROUP BY ALL",
 )
-register("graph_view", lambda s, d: g.visible(nodes(s, d), edges(s, d), ["case", "page"])[1].select("case_id", "edge_id"), f"WITH {EDGES} SELECT case_id, edge_id FROM ed WHERE type <> 'links_to'")
-register("graph_search", lambda s, d: nodes(s, d).filter(F.lower(F.concat_ws(" ", "label", "type")).contains("the")).select("case_id", "node_id"), f"WITH {NODES} SELECT case_id, node_id FROM nd WHERE contains(lower(label || ' ' || type), 'the')")
+CUTOFF = 120
+
+
+def _shown(s, d):
+    """Nodes as a view shows them: pages and cases as pages, domains as destinations, the rest by their type; first seen with their first page."""
+    kind = F.when(F.col("type").isin("case", "page"), "page").when(F.col("type") == "domain", "destination").when(F.col("type").isin("telegram", "whatsapp_or_phone"), "contact").otherwise("other")
+    return nodes(s, d).select("case_id", "node_id", "label", F.initcap(F.replace("type", F.lit("_"), F.lit(" "))).alias("kind_label"), kind.alias("visual_kind"), (F.col("type") == "case").alias("primary"), F.col("first_page").alias("sequence"))
+
+
+register(
+    "graph_view",
+    lambda s, d: g.visible(_shown(s, d), edges(s, d), ["page", "destination", "other"], CUTOFF, "navigation")[1].select("case_id", "edge_id"),
+    f"""WITH {EDGES}, fp AS (SELECT case_id, node_id, min(page_id) AS q FROM (SELECT case_id, 'page:' || page_id AS node_id, page_id FROM gp UNION ALL SELECT case_id, 'domain:' || {_TH.format("lower(url)")}, page_id FROM gp UNION ALL SELECT case_id, node, page_id FROM gt) GROUP BY ALL),
+    v AS (SELECT nd.case_id, nd.node_id FROM nd LEFT JOIN fp USING (case_id, node_id) WHERE type IN ('case', 'page', 'domain') AND coalesce(q, 0) <= {CUTOFF}) SELECT ed.case_id, edge_id FROM ed SEMI JOIN v x ON ed.case_id = x.case_id AND ed.source = x.node_id SEMI JOIN v y ON ed.case_id = y.case_id AND ed.target = y.node_id""",
+)
+register("graph_search", lambda s, d: g.search(_shown(s, d), " Example.NET ").unionByName(g.search(_shown(s, d), "phone")).select("case_id", "node_id"), f"WITH {NODES} SELECT case_id, node_id FROM nd WHERE contains(lower(label), 'example.net') UNION ALL SELECT case_id, node_id FROM nd WHERE contains(lower(label) || ' ' || replace(type, '_', ' '), 'phone')")
 register(
     "node_neighborhood",
     lambda s, d: g.neighborhood(edges(s, d), nodes(s, d).filter("type = 'page'").select("case_id", "node_id")),
-    f"WITH {EDGES} SELECT DISTINCT case_id, target AS node_id, source AS neighbor FROM ed WHERE type <> 'links_to' UNION ALL SELECT DISTINCT case_id, source, target FROM ed WHERE type = 'links_to'",
+    f"""WITH {EDGES} SELECT DISTINCT case_id, target AS node_id, source AS neighbor FROM ed WHERE starts_with(target, 'page:') UNION SELECT DISTINCT case_id, source, target FROM ed WHERE starts_with(source, 'page:')""",
 )
 
 
@@ -81,26 +137,55 @@ register("stream_replay_graph", _stream_replay, f"WITH {RUNS} {REPLAY} GROUP BY
 
 
 def _attempts(s, d):
-    """Events as attempts: the kind is the approach, the user the scenario."""
+    """Events as attempts: the kind is the approach, the user the scenario; what was observed and found follows from event_id and value."""
     k = F.pmod("event_id", F.lit(5))
+    seen = F.slice(F.array(F.lit("alias"), F.lit("phone"), F.lit("link"), F.lit("offer")), 1, k.cast("int"))
+    expected = F.when(F.col("event_id") % 6 != 0, F.when(F.col("event_id") % 2 == 0, "phone").otherwise("offer"))
     rows = b.event_log(s, d)
     return rows.select(
-        F.col("kind").alias("approach"), F.col("run_id").alias("scenario"), F.row_number().over(W.partitionBy("kind", "run_id").orderBy("sequence")).alias("attempt"), F.lit(3).alias("expected"), F.least(k, F.lit(3)).alias("found"),
-        (F.col("value") > 30).alias("task_success"), k.alias("actions"), F.lit(1).alias("unsafe"), (k != 0).cast("int").alias("blocked"), F.when(F.col("value") > 80, "timeout").alias("failure"),
+        F.col("kind").alias("approach"), F.col("run_id").alias("scenario_id"), F.row_number().over(W.partitionBy("kind", "run_id").orderBy("sequence")).alias("attempt"), expected.alias("expected_observable"), seen.alias("observed"),
+        F.coalesce(F.array_contains(seen, expected), F.lit(False)).alias("observable_found"), (F.col("value") > 30).alias("task_success"), k.cast("int").alias("actions"), F.floor("value").cast("int").alias("runtime_ms"), F.lit(1).alias("unsafe_controls"),
+        (k != 0).cast("int").alias("unsafe_blocked"), (F.col("event_id") % 7 != 0).alias("provenance_complete"), F.when(F.col("event_id") % 3 == 0, F.col("value") > 50).alias("candidate_relation_supported"), F.when(F.col("value") > 80, "timeout").alias("failure"),
     )
 
 
-ATT = f"{LOG}, att AS (SELECT kind AS approach, run_id AS scenario, row_number() OVER (PARTITION BY kind, run_id ORDER BY sequence) AS attempt, 3 AS expected, least(event_id % 5, 3) AS found, value > 30 AS ok, event_id % 5 AS actions, 1 AS unsafe, (event_id % 5 <> 0)::INT AS blocked, CASE WHEN value > 80 THEN 'timeout' END AS failure FROM log)"
+ATT = f"""{LOG}, att AS (SELECT kind AS approach, run_id AS scenario_id, row_number() OVER (PARTITION BY kind, run_id ORDER BY sequence) AS attempt, CASE WHEN event_id % 6 <> 0 THEN CASE WHEN event_id % 2 = 0 THEN 'phone' ELSE 'offer' END END AS want, ['alias', 'phone', 'link', 'offer'][1:event_id % 5] AS seen, value > 30 AS ok, event_id % 5 AS actions,
+  floor(value)::INT AS ms, 1 AS unsafe, (event_id % 5 <> 0)::INT AS blocked, (event_id % 7 <> 0)::INT AS prov, CASE WHEN event_id % 3 = 0 THEN value > 50 END AS rel, CASE WHEN value > 80 THEN 'timeout' END AS failure FROM log)"""
 register(
     "approach_metrics",
     lambda s, d: ev.approach_metrics(_attempts(s, d)),
-    f"WITH {ATT} SELECT approach, count(*) AS n, round(sum(found) / sum(expected), 4) AS recall, round(avg(ok::INT), 4) AS success, round(avg(actions), 4) AS mean_actions, round(sum(blocked) / sum(unsafe), 4) AS block_rate FROM att GROUP BY approach",
+    f"""WITH {ATT} SELECT approach, count(*) AS scenario_attempts, round(count(*) FILTER (list_contains(seen, want)) / greatest(1, count(want)), 4) AS observable_recall, round(count(*) FILTER (list_contains(seen, want)) / greatest(1, sum(len(seen))), 4) AS observable_precision, round(avg(ok::INT), 4) AS task_success_rate, round(avg(prov), 4) AS provenance_completeness,
+    round(sum(blocked) / greatest(1, sum(unsafe)), 4) AS unsafe_action_block_rate, round(avg(actions), 4) AS mean_actions, round(avg(ms), 4) AS mean_runtime_ms, round(count(*) FILTER (rel) / greatest(1, count(rel)), 4) AS candidate_relation_support_rate FROM att GROUP BY approach""",
 )
-register("nondeterminism", lambda s, d: ev.nondeterminism(_attempts(s, d).filter("attempt <= 2"), "found", "task_success"), f"WITH {ATT} SELECT scenario, count(DISTINCT (found, ok)) AS n_signatures, count(DISTINCT (found, ok)) = 1 AS stable FROM att WHERE attempt <= 2 GROUP BY scenario")
+register("nondeterminism", lambda s, d: ev.nondeterminism(_attempts(s, d).filter("attempt <= 3"), "task_success", "observed", "actions", "failure"), f"WITH {ATT} SELECT scenario_id, count(*) AS attempts, count(DISTINCT (ok, seen, actions, coalesce(failure, ''))) AS n_signatures, count(DISTINCT (ok, seen, actions, coalesce(failure, ''))) = 1 AS stable FROM att WHERE attempt <= 3 GROUP BY scenario_id")
 register("failure_breakdown", lambda s, d: ev.failure_breakdown(_attempts(s, d)), f"WITH {ATT} SELECT approach, coalesce(failure, 'none') AS failure, count(*) AS n FROM att GROUP BY ALL")
-register("policy_safety", lambda s, d: ev.policy_safety(_attempts(s, d)), f"WITH {ATT} SELECT sum(unsafe)::BIGINT AS unsafe, sum(blocked)::BIGINT AS blocked, round(sum(blocked) / sum(unsafe), 4) AS rate FROM att WHERE attempt = 1")
-register("run_summary", lambda s, d: ev.run_summary(b.event_log(s, d)), f"WITH {LOG} SELECT run_id, count(*) AS n_events, count(*) FILTER (kind = 'purchase') AS n_verified, count(*) FILTER (kind = 'view') AS n_pending, CASE WHEN arg_max(kind, sequence) = 'error' THEN 'failed' WHEN count(*) FILTER (kind = 'view') > 0 THEN 'awaiting_review' ELSE 'completed' END AS status FROM log GROUP BY run_id")
-register("claim_groups", lambda s, d: ev.claim_groups(semantic(s, d).withColumnRenamed("observation_type", "category")), f"WITH {SEMANTIC} SELECT page_id, observation_type AS category, count(DISTINCT value)::INT AS n_values, array_to_string(list_sort(list(DISTINCT value))[1:4], ', ') AS label FROM sem GROUP BY ALL")
+register("policy_safety", lambda s, d: ev.policy_safety(_attempts(s, d)), f"WITH {ATT} SELECT sum(unsafe)::BIGINT AS unsafe_controls, sum(blocked)::BIGINT AS unsafe_blocked, round(sum(blocked) / sum(unsafe), 4) AS rate FROM att WHERE attempt = 1")
+
+
+def _assertions(s, d):
+    """Orders as assertions of runs (customers): pending, verified and rejected ones; some runs have a lead that waits for approval."""
+    o = read_table(s, d, "orders")
+    rows = o.select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("assertion_id"), F.when(F.col("o_orderstatus") == "F", "verified").when(F.col("o_orderstatus") == "O", "proposed").otherwise("rejected").alias("status"))
+    return rows, o.filter("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("run_id"), F.when(F.col("o_orderkey") % 2 == 0, "approval_required").otherwise("collected").alias("status"))
+
+
+register(
+    "run_summary",
+    lambda s, d: ev.run_summary(*_assertions(s, d)),
+    """WITH a AS (SELECT o_custkey AS run_id, count(*) AS n_assertions, count(*) FILTER (o_orderstatus = 'F') AS n_verified, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS n_rejected, count(*) FILTER (o_orderstatus = 'O') AS n_pending, bool_or(o_orderkey % 22 = 0) AS waits FROM orders GROUP BY 1)
+    SELECT run_id, n_assertions, n_verified, n_rejected, n_pending, CASE WHEN waits THEN 'approval_required' WHEN n_pending > 0 THEN 'review_required' ELSE 'completed' END AS status FROM a""",
+)
+register(
+    "image_information",
+    lambda s, d: ev.image_information(read_table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("k", "v")).select("id", (F.col("k") % 8).alias("x"), F.floor(F.col("k") / 8).cast("int").alias("y"), F.floor(F.col("v").cast("double") * 50).alias("value")), tile=4),
+    """WITH p AS (SELECT vec_id AS id, unnest(range(len(embedding))) AS k, floor(unnest(embedding)::DOUBLE * 50)::BIGINT AS value FROM embeddings), h AS (SELECT id, count(*) / sum(count(*)) OVER (PARTITION BY id) AS p FROM p GROUP BY id, value),
+    e AS (SELECT id, -sum(p * log2(p)) AS entropy FROM h GROUP BY id), t AS (SELECT id, (max(value) - min(value) >= 12)::INT AS a FROM p GROUP BY id, k % 8 // 4, k // 8 // 4) SELECT e.id, round(entropy, 6) AS entropy_bits, round(entropy / 8, 6) AS entropy, informative_tile_ratio FROM e JOIN (SELECT id, round(avg(a), 6) AS informative_tile_ratio FROM t GROUP BY id) q USING (id)""",
+)
+register(
+    "claim_groups",
+    lambda s, d: ev.claim_groups(semantic(s, d).filter(labels.node_kind(F.col("observation_type")) == "public_claim").withColumn("category", labels.claim_category(F.col("observation_type")))),
+    f"WITH {SEMANTIC}, c AS (SELECT page_id, value, CASE WHEN observation_type IN ('public_payment_method', 'public_payment_provider') THEN 'payment_indicators' WHEN observation_type = 'public_offer_claim' THEN 'offer_claims' WHEN observation_type = 'public_legal_or_license_claim' THEN 'legal_claims' WHEN observation_type = 'public_referral_code' THEN 'referral_markers' WHEN observation_type = 'public_tracking_identifier' THEN 'tracking_markers' WHEN observation_type = 'public_download_destination' THEN 'download_references' END AS category FROM sem) SELECT page_id, category, count(DISTINCT value)::INT AS n_values, array_to_string(list_sort(list(DISTINCT value))[1:4], ', ') AS label FROM c WHERE category IS NOT NULL GROUP BY ALL",
+)
 
 
 def _labels(s, d):
@@ -118,9 +203,3 @@ def _invariants(s, d):
 
 
 register("invariant_report", _invariants, "WITH o AS (SELECT event_type AS name, count(*) AS observed FROM events GROUP BY 1), e AS (SELECT name, CASE WHEN name = 'click' THEN 'equals' ELSE 'less_or_equal' END AS operator, observed // 100 * 100 AS value FROM o) SELECT name, operator, value, observed, CASE WHEN operator = 'equals' THEN observed = value ELSE observed <= value END AS passed FROM e JOIN o USING (name)")
-register(
-    "image_information",
-    lambda s, d: ev.image_information(read_table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("x", "v")).select("id", "x", F.floor(F.col("v").cast("double") * 50).alias("value"))),
-    """WITH p AS (SELECT vec_id AS id, unnest(range(len(embedding))) AS x, floor(unnest(embedding)::DOUBLE * 50)::BIGINT AS value FROM embeddings), h AS (SELECT id, count(*) / sum(count(*)) OVER (PARTITION BY id) AS p FROM p GROUP BY id, value),
-    e AS (SELECT id, round(-sum(p * log2(p)), 6) AS entropy FROM h GROUP BY id), t AS (SELECT id, (max(value) - min(value) >= 12)::INT AS a FROM p GROUP BY id, x // 8) SELECT e.id, entropy, active_tiles FROM e JOIN (SELECT id, round(avg(a), 6) AS active_tiles FROM t GROUP BY id) q USING (id)""",
-)
