@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from sightline.functions import labels
-from sightline.operators import evaluation as ev, graph as g
+from sightline.operators import evaluation as ev, graph as g, replay as rp
 from sightline.plans import bindings as b
 from sightline.plans.markup_queries import ENTITIES, SEMANTIC, entities, semantic
 from sightline.plans.log_queries import LOG
@@ -94,19 +95,76 @@ register(
 )
 
 
-def _runs(s, d):
-    """The event log with the node that each event is about."""
-    return b.event_log(s, d).withColumn("node", F.concat(F.lit("node-"), F.pmod(F.floor("value"), F.lit(7)).cast("string"))).select("run_id", "sequence", "event_id", "kind", "node")
+def run_log(s, d):
+    """The log of a run for each host: start, pages, their observations, leads to partner hosts, matches of addresses, collected candidate pages,
+    assertions and reviews."""
+    pages = _pages(s, d)
+    page = lambda c: F.concat(F.lit("page:"), F.col(c).cast("string"))
 
+    def events(rows: DataFrame, phase: int, kind: str | Column, order: list, **payload) -> DataFrame:
+        return rows.select("case_id", F.lit(phase).alias("phase"), order[0].cast("long").alias("k1"), order[1].cast("string").alias("k2"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.to_json(F.struct(*[v.alias(k) for k, v in payload.items()])).alias("payload"))
 
-RUNS = f"{LOG}, runs AS (SELECT run_id, sequence, event_id, kind, 'node-' || (floor(value)::BIGINT % 7) AS node FROM log)"
-_STATUS = "CASE WHEN bool_or(kind = 'purchase') THEN 'collected' ELSE CASE arg_max(kind, sequence) WHEN 'click' THEN 'candidate' WHEN 'error' THEN 'rejected' ELSE 'observed' END END"
-REPLAY = f"SELECT run_id, node, {_STATUS} AS status, count(*)::INT AS n_events, min(sequence)::INT AS first_sequence, max(sequence)::INT AS last_sequence FROM runs"
-_OUT = ["run_id", "node", "status", "n_events", "first_sequence", "last_sequence"]
-register("first_seen_sequence", lambda s, d: g.first_seen(_runs(s, d)), f"WITH {RUNS} SELECT run_id, node, min(sequence) AS first_sequence, count(*) AS n_events FROM runs GROUP BY ALL")
-register("replay_graph", lambda s, d: g.replay(_runs(s, d)).select(_OUT), f"WITH {RUNS} {REPLAY} GROUP BY run_id, node")
-register("replay_graph_sql", lambda s, d: g.replay_in_sql(_runs(s, d)).select(_OUT), f"WITH {RUNS} {REPLAY} GROUP BY run_id, node")
-register("replay_as_of", lambda s, d: g.replay(_runs(s, d).filter("sequence <= 30")).select(_OUT), f"WITH {RUNS} {REPLAY} WHERE sequence <= 30 GROUP BY run_id, node")
+    zero, blank = F.lit(0), F.lit("")
+    first = pages.withColumn("nth", F.row_number().over(W.partitionBy("case_id").orderBy("page_id")))
+    found = semantic(s, d).join(b.pages(s, d).select("page_id", "case_id"), "page_id").withColumn("o", F.concat(F.col("page_id").cast("string"), F.lit("/"), "observation_id"))
+    host = F.regexp_extract("value", r"^https://(partner[0-9]\.example\.net)/", 1)
+    leads = found.filter("observation_type = 'public_outgoing_link'").withColumn("host", host).filter("host <> ''").select("case_id", "host").distinct()
+    number, url = F.substring("host", 8, 1).cast("int"), F.concat(F.lit("https://"), "host", F.lit("/page"))
+    taken, named = leads.filter(number % 2 == 0), F.concat("case_id", F.lit("/"), "host")
+    parts = [
+        events(first.filter("nth = 1"), 0, "run.started", [zero, blank], seed_url=F.col("url")),
+        events(first, 1, "artifact.captured", [F.col("page_id"), blank], node_id=page("page_id"), label=F.col("url"), root=F.col("nth") == 1, parent_node_id=page("parent_page_id")),
+        events(found, 2, "observation.created", [F.col("page_id"), F.col("observation_id")], observation_id=F.col("o"), node_id=F.concat(F.lit("obs:"), "o"), source_node_id=page("page_id"), observation_type=F.col("observation_type"), normalized_value=F.col("value")),
+        events(leads, 3, "search.lead.discovered", [zero, F.col("host")], lead_id=F.col("host"), url=F.concat(F.lit("https://www."), "host", F.lit("/lead"))),
+        events(found.filter("observation_type = 'public_email_address'"), 4, "entity.matched", [F.col("page_id"), F.col("observation_id")], observation_id=F.col("o")),
+        events(taken, 5, "candidate_page.collected", [zero, F.col("host")], node_id=F.concat(F.lit("candidate-page:"), "host"), url=url),
+        events(taken, 6, "assertion.proposed", [zero, F.col("host")], assertion_id=named, subject=F.lit("nowhere"), object=url),
+        events(taken.filter(number < 6), 7, F.when(number == 2, "assertion.rejected").otherwise("assertion.verified"), [zero, F.col("host")], assertion_id=named),
+        events(first.filter("nth = 1"), 8, "run.completed", [zero, blank]),
+    ]
+    rows = reduce(DataFrame.unionByName, parts).withColumn("sequence", F.row_number().over(W.partitionBy("case_id").orderBy("phase", "k1", "k2")))
+    return rows.select(F.col("case_id").alias("run_id"), "case_id", "sequence", F.concat("case_id", F.lit("#"), F.col("sequence").cast("string")).alias("event_id"), "kind", "payload")
+
+
+_COMP = lambda c: f"lower({_TH.format(c)}) || '|' || rtrim(regexp_extract({c}, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') || '|' || regexp_extract({c}, '^[^?#]*[?]([^#]*)', 1)"
+_BARE = lambda c: f"regexp_replace(lower({_TH.format(c)}), '^www[.]', '')"
+RUN = f"""{SEMANTIC}, rp AS (SELECT {HOST} AS case_id, page_id, url, row_number() OVER w AS nth, lag(page_id) OVER w AS pp, count(*) OVER (PARTITION BY {HOST}) AS n, first_value(url) OVER w AS u0 FROM pages WINDOW w AS (PARTITION BY {HOST} ORDER BY page_id)),
+  rq AS (SELECT *, nth = 1 OR {_COMP("url")} = {_COMP("u0")} AS root FROM rp), ra AS (SELECT *, CASE WHEN root THEN 'seed:' || case_id ELSE 'page:' || page_id END AS node FROM rq),
+  ro AS (SELECT a.case_id, a.node AS source, a.url AS page_url, sem.page_id, sem.place, observation_type AS t, value, sem.page_id || '/observation-' || lpad(place::VARCHAR, 4, '0') AS o, 1 + n + row_number() OVER (PARTITION BY a.case_id ORDER BY sem.page_id, place) AS sequence,
+    CASE WHEN observation_type = 'claimed_brand_identity' THEN 'claimed_brand' WHEN observation_type = 'public_outgoing_link' THEN 'external_destination' WHEN observation_type IN ('public_telegram_alias', 'public_telegram_contact', 'public_whatsapp_link', 'public_phone_number', 'public_email_address') THEN 'public_contact' ELSE 'public_claim' END AS kind FROM sem JOIN ra a ON a.page_id = sem.page_id),
+  rc AS (SELECT *, CASE WHEN t IN ('public_payment_method', 'public_payment_provider') THEN 'payment_indicators' WHEN t = 'public_offer_claim' THEN 'offer_claims' WHEN t = 'public_legal_or_license_claim' THEN 'legal_claims' WHEN t = 'public_referral_code' THEN 'referral_markers' WHEN t = 'public_tracking_identifier' THEN 'tracking_markers' ELSE 'download_references' END AS category FROM ro WHERE NOT (kind = 'external_destination' AND {_BARE("value")} = {_BARE("page_url")})),
+  rn AS (SELECT *, CASE kind WHEN 'external_destination' THEN 'external_destination:' || {_BARE("value")} WHEN 'public_claim' THEN 'claim:' || source || ':' || category ELSE 'obs:' || first_value(o) OVER (PARTITION BY case_id, kind, value, CASE WHEN kind = 'public_contact' THEN t END ORDER BY sequence) END AS node,
+    CASE kind WHEN 'claimed_brand' THEN 'claims_brand' WHEN 'external_destination' THEN 'publicly_links_to' WHEN 'public_contact' THEN 'publishes_public_contact' ELSE 'displays_public_claim' END AS relation, regexp_extract(node, '^external_destination:partner([0-9])[.]example[.]net$', 1) AS pm FROM rc),
+  rno AS (SELECT case_id, node, any_value(kind) AS kind, any_value(category) AS category, any_value(value) AS value, any_value(pm) AS pm, bool_or(t = 'public_email_address') AS mail, list_sort(list(DISTINCT value)) AS vals, min(sequence) AS sequence FROM rn GROUP BY case_id, node),
+  rnode AS (SELECT case_id AS run_id, 'seed:' || case_id AS id, 'seed_page' AS kind, arg_max(url, page_id) AS label, 'collected' AS status, '' AS facts, 1 AS sequence FROM ra WHERE root GROUP BY case_id UNION ALL SELECT case_id, node, 'collected_page', url, 'collected', '', 1 + nth FROM ra WHERE NOT root
+    UNION ALL SELECT case_id, node, CASE WHEN pm = '' THEN kind WHEN pm::INT % 2 = 0 THEN 'collected_page' ELSE 'candidate_domain' END, CASE WHEN kind = 'public_claim' THEN (SELECT string_agg(upper(left(w, 1)) || substr(w, 2), ' ') FROM (SELECT unnest(string_split(category, '_')) AS w)) || ' · ' || array_to_string(vals[1:4], ', ') WHEN pm <> '' AND pm::INT % 2 = 0 THEN 'https://partner' || pm || '.example.net/page' WHEN kind = 'external_destination' THEN substr(node, 22) ELSE value END,
+      CASE WHEN pm <> '' THEN CASE WHEN pm::INT % 2 = 0 THEN 'collected' ELSE 'lead' END WHEN mail THEN 'collected' ELSE 'observed' END, CASE WHEN kind IN ('public_claim', 'external_destination') THEN array_to_string(vals, '|') ELSE '' END, sequence FROM rno),
+  redge AS (SELECT case_id AS run_id, 'crawl:' || p.node || ':' || c.node AS id, 'crawled_same_site_page' AS kind, 'solid' AS status, p.node AS source, c.node AS target, 1 AS n_events, 0 AS n_observations, 1 + c.nth AS sequence FROM ra c JOIN ra p USING (case_id) WHERE NOT c.root AND c.pp = p.page_id
+    UNION ALL SELECT case_id, relation || ':' || source || ':' || node, relation, CASE WHEN any_value(pm) <> '' THEN 'dashed' ELSE 'solid' END, source, node, count(*), count(*), min(sequence) FROM rn GROUP BY case_id, relation, source, node
+    UNION ALL SELECT DISTINCT case_id, 'assertion:' || case_id || '/partner' || pm || '.example.net', 'candidate_related_to', CASE pm::INT WHEN 2 THEN 'hidden' WHEN 6 THEN 'dashed' ELSE 'solid_emphasized' END, 'seed:' || case_id, node, CASE pm::INT WHEN 6 THEN 1 ELSE 2 END, 0, NULL FROM rn WHERE pm <> '' AND pm::INT % 2 = 0)"""
+_ITEMS = "SELECT run_id, 'node' AS item, id, kind, label, status, NULL::VARCHAR AS source, NULL::VARCHAR AS target, facts, 0 AS n_events, 0 AS n_observations FROM rnode UNION ALL SELECT run_id, 'edge', id, kind, NULL, status, source, target, '', n_events, n_observations FROM redge"
+
+
+def _flat(items):
+    return items.filter("item <> 'animation'").select("run_id", "item", "id", "kind", "label", "status", "source", "target", F.array_join("facts", "|").alias("facts"), F.size("events").alias("n_events"), F.size("observations").alias("n_observations"))
+
+
+def _twice(s, d):
+    """The log with every event in it twice, in no order."""
+    log = run_log(s, d)
+    return log.unionByName(log).repartition("event_id")
+
+
+register("replay_graph", lambda s, d: _flat(rp.replay(_twice(s, d))), f"WITH {RUN} {_ITEMS}")
+register("replay_as_of", lambda s, d: _flat(rp.replay(run_log(s, d).filter("sequence <= 3 and kind in ('run.started', 'artifact.captured')"))).select("run_id", "item", "id", "kind", "label", "status"), f"WITH {RUN}, z AS (SELECT * FROM ra WHERE nth <= 2) SELECT case_id AS run_id, 'node' AS item, 'seed:' || case_id AS id, 'seed_page' AS kind, arg_max(url, page_id) AS label, 'collected' AS status FROM z WHERE root GROUP BY case_id UNION ALL SELECT case_id, 'node', node, 'collected_page', url, 'collected' FROM z WHERE NOT root UNION ALL SELECT case_id, 'edge', 'crawl:seed:' || case_id || ':' || node, 'crawled_same_site_page', NULL, 'solid' FROM z WHERE NOT root")
+
+
+def _first_seen(s, d):
+    log = run_log(s, d)
+    return rp.first_seen(rp.replay(log), log).filter("not startswith(id, 'assertion:')")
+
+
+register("first_seen_sequence", _first_seen, f"WITH {RUN} SELECT run_id, id, sequence FROM rnode UNION ALL SELECT run_id, id, sequence FROM redge WHERE sequence IS NOT NULL")
 
 
 def _stream(s, d):
@@ -126,14 +184,14 @@ register("stream_review_status", lambda s, d: st.run_to_table(st.review_status(_
 
 
 def _stream_replay(s, d):
-    """The numbered log, written to a folder and read back as a stream of files."""
+    """The log, every event twice, written to a folder in no order and read back as a stream of files."""
     folder = f"{st.shared_folder(s)}/log-{uuid.uuid4().hex}"
-    _runs(s, d).repartition(4, "event_id").write.parquet(folder)
+    _twice(s, d).repartition(4).write.parquet(folder)
     stream = s.readStream.schema(s.read.parquet(folder).schema).option("maxFilesPerTrigger", 2).parquet(folder)
-    return st.run_to_table(st.replay(stream), "update", ["run_id", "node"]).select(_OUT)
+    return _flat(st.run_to_table(st.replay(stream), "update", ["run_id", "item", "id"]))
 
 
-register("stream_replay_graph", _stream_replay, f"WITH {RUNS} {REPLAY} GROUP BY run_id, node")
+register("stream_replay_graph", _stream_replay, f"WITH {RUN} {_ITEMS}")
 
 
 def _attempts(s, d):

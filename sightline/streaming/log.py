@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -9,11 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sightline.operators import graph
+from sightline.operators.replay import COLUMNS, ITEMS, RunGraph
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one under the warehouse where it is unset."""
+    """The folder that spark.checkpoint.dir names; one under the warehouse, which executors share too, where it is unset."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/sightline").rstrip("/")
 
@@ -59,30 +60,22 @@ def review_status(stream: DataFrame) -> DataFrame:
 
 
 def replay(stream: DataFrame) -> DataFrame:
-    """The graph of each run (run_id, sequence, event_id, node, kind), kept as state: rows that come before their turn wait until
-    the sequence has no hole, so any order of arrival gives the graph of ``graph.replay``."""
+    """ITEMS of each run as they change, with the graph kept as state: events (columns as for ``operators.replay``) that come before their turn wait
+    until the sequence has no hole, so any order of arrival, and any repeats, give the graph of the batch replay. The last row of an id counts."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        nodes, waiting, last = {}, {}, 0
-        if state.exists:
-            names, statuses, visuals, counts, firsts, lasts, seqs, kinds, held, last = state.get
-            nodes = dict(zip(names, zip(statuses, visuals, counts, firsts, lasts, strict=True), strict=True))
-            waiting = dict(zip(seqs, zip(held, kinds, strict=True), strict=True))
-        changed = set()
+        kept = json.loads(state.get[0]) if state.exists else {"last": 0, "waiting": {}, "graph": None}
+        graph, last, waiting = RunGraph(kept["graph"]), kept["last"], kept["waiting"]
         for rows in batches:
-            for sequence, node, kind in zip(rows["sequence"], rows["node"], rows["kind"], strict=True):
-                if sequence > last:
-                    waiting.setdefault(int(sequence), (node, kind))
-        while last + 1 in waiting:
+            for r in rows.itertuples():
+                if r.sequence > last:
+                    waiting.setdefault(str(r.sequence), [r.case_id, int(r.sequence), r.event_id, r.kind, r.payload])
+        while str(last + 1) in waiting:
             last += 1
-            node, kind = waiting.pop(last)
-            graph.fold_rows(nodes, iter([(last, node, kind)]))
-            changed.add(node)
-        held = sorted(waiting.items())
-        order = sorted(nodes)
-        columns = [[nodes[n][k] for n in order] for k in range(5)]
-        state.update((order, *columns, [s for s, _ in held], [k for _, (_, k) in held], [n for _, (n, _) in held], last))
-        yield pd.DataFrame([(key[0], n, *nodes[n]) for n in sorted(changed)], columns=["run_id", "node", "status", "visual", "n_events", "first_sequence", "last_sequence"])
-
-    state = "names array<string>, statuses array<string>, visuals array<string>, counts array<int>, firsts array<int>, lasts array<int>, seqs array<int>, kinds array<string>, held array<string>, last int"
-    return stream.groupBy("run_id").applyInPandasWithState(fold, graph.FOLD_SCHEMA, state, "update", GroupStateTimeout.NoTimeout)
+            *event, payload = waiting.pop(str(last))
+            graph.apply(*event, json.loads(payload or "{}"))
+        graph.animations.clear()  # shown once, by the batch that made them
+        state.update((json.dumps({"last": last, "waiting": waiting, "graph": graph.state()}),))
+        yield pd.DataFrame(list(graph.rows(str(key[0]), graph.changed)), columns=COLUMNS)
+
+    return stream.groupBy("run_id").applyInPandasWithState(fold, ITEMS, "state string", "update", GroupStateTimeout.NoTimeout)

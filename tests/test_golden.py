@@ -1,12 +1,13 @@
 """Values fixed by the behaviour that the operators must have."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import policy, urls
-from sightline.operators import cases, graph, html, log_windows, observations, similarity, suffixes
+from sightline.operators import cases, evaluation, html, log_windows, observations, replay, similarity, suffixes
 
 SITE = "https://fixture.test/"
 
@@ -166,15 +167,35 @@ def sim(pairs, items):
     return similarity.set_similarity(pairs, items).collect()
 
 
-def test_replay_is_idempotent_and_order_free(spark):
-    rng = random.Random(3)
-    log = [(run, k + 1, run * 100 + k, f"n{rng.randrange(4)}", rng.choice(list(graph.STATUS))) for run in range(3) for k in range(30)]
-    schema = "run_id long, sequence int, event_id long, node string, kind string"
-    once = sorted(map(tuple, graph.replay(spark.createDataFrame(log, schema)).collect()))
+def taxonomy():
+    """A root page with nine observations, a verified assertion and two kinds that change nothing."""
+    seen = [("link-one", "public_outgoing_link", "https://www.888casino.com/slots"), ("link-two", "public_outgoing_link", "https://888casino.com/blackjack"), ("same-host", "public_outgoing_link", "https://888.com/about-us"), ("deposit", "public_payment_method", "deposit"), ("withdrawal", "public_payment_method", "withdrawal"), ("bonus", "public_offer_claim", "bonus"), ("tracking", "public_tracking_identifier", "utm_source=cmp"), ("phone", "public_phone_number", "+639543355092"), ("telegram", "public_telegram_contact", "+639543355092")]
+    events = [("run.started", {"seed_url": "https://888.com/"}), ("artifact.captured", {"node_id": "page:root", "root": True, "label": "https://888.com/"})]
+    events += [("observation.created", {"observation_id": o, "node_id": f"observable:{o}", "source_node_id": "page:root", "observation_type": t, "normalized_value": v}) for o, t, v in seen]
+    events += [("agent.stopped", {}), ("assertion.proposed", {"assertion_id": "a1", "object": "888casino.com", "supporting_observation_ids": ["link-one"]}), ("run.completed", {}), ("assertion.verified", {"assertion_id": "a1"})]
+    return [("run", "case", k + 1, f"e{k}", kind, json.dumps(payload)) for k, (kind, payload) in enumerate(events)]
+
+
+def test_replay_of_a_run(spark):
+    schema = "run_id string, case_id string, sequence int, event_id string, kind string, payload string"
+    log = taxonomy()
+    once = sorted(map(str, replay.replay(spark.createDataFrame(log, schema)).collect()))
     mixed = log + log
-    rng.shuffle(mixed)
-    assert sorted(map(tuple, graph.replay(spark.createDataFrame(mixed, schema)).collect())) == once
-    assert {r[:3] for r in once} == {(r.run_id, r.node, r.status) for r in graph.replay_in_sql(spark.createDataFrame(mixed, schema)).collect()}
+    random.Random(3).shuffle(mixed)
+    items = replay.replay(spark.createDataFrame(mixed, schema)).collect()
+    assert sorted(map(str, items)) == once
+    nodes, edges = {r.id: r for r in items if r["item"] == "node"}, {r.id: r for r in items if r["item"] == "edge"}
+    destination = nodes["external_destination:888casino.com"]
+    assert (destination.label, destination.facts) == ("888casino.com", ["https://888casino.com/blackjack", "https://www.888casino.com/slots"])
+    assert [n.label for n in nodes.values() if n.kind == "external_destination"] == ["888casino.com"]
+    assert nodes["claim:seed:case:payment_indicators"].facts == ["deposit", "withdrawal"] and nodes["claim:seed:case:payment_indicators"].label == "Payment Indicators · deposit, withdrawal"
+    assert sorted(n.id for n in nodes.values() if n.kind == "public_contact") == ["observable:phone", "observable:telegram"]
+    edge = edges["publicly_links_to:seed:case:external_destination:888casino.com"]
+    assert edge.observations == ["link-one", "link-two"] and edge.status == "solid"
+    assert (edges["assertion:a1"].status, edges["assertion:a1"].target, edges["assertion:a1"].source) == ("solid_emphasized", destination.id, "seed:case")
+    frame = spark.createDataFrame(log, schema)
+    first = {r.id: r.sequence for r in replay.first_seen(replay.replay(frame), frame).collect()}
+    assert first["seed:case"] == 1 and first[destination.id] == 3 and first["assertion:a1"] == 13
 
 
 def test_append_events(spark):
@@ -185,3 +206,20 @@ def test_append_events(spark):
     assert [(r.event_id, r.sequence) for r in appended.collect()] == [(11, 2)] and conflicts.count() == 0
     changed = spark.createDataFrame([(1, 0, 10, "z", None, 1.0, "{}")], schema).drop("sequence")
     assert [r.event_id for r in log_windows.append_events(log, changed)[1].collect()] == [10]
+
+
+def test_metrics_of_approaches(spark):
+    """Ten scenarios, seven with an observable to find: the counts that give the published rates."""
+    schema = "approach string, scenario_id string, attempt int, expected_observable string, observed array<string>, observable_found boolean, task_success boolean, actions int, runtime_ms int, unsafe_controls int, unsafe_blocked int, provenance_complete boolean, candidate_relation_supported boolean, failure string"
+    rows = []
+    for approach, found, success, related, actions, repeats in (("static", 2, 5, 1, 0, 1), ("rule_based", 6, 9, 5, 6, 1), ("agent_assisted", 7, 10, 6, 7, 3)):
+        for n in range(repeats):
+            for k in range(10):
+                hit = k < found
+                rows.append((approach, f"s{k}", n + 1, f"v{k}" if k < 7 else None, [f"v{k}"] if hit else [], hit, k < success, int(k < actions), 0, int(k in (7, 8, 9) or k == 0), int(k in (7, 8, 9) or k == 0), True, (k < related) if k < 6 else None, None if k < success else "observable_not_found"))
+    frame = spark.createDataFrame(rows, schema)
+    got = {r.approach: (r.observable_recall, r.observable_precision, r.task_success_rate, r.candidate_relation_support_rate, r.mean_actions, r.provenance_completeness, r.mean_runtime_ms) for r in evaluation.approach_metrics(frame).collect()}
+    assert got == {"static": (0.2857, 1.0, 0.5, 0.1667, 0.0, 1.0, 0.0), "rule_based": (0.8571, 1.0, 0.9, 0.8333, 0.6, 1.0, 0.0), "agent_assisted": (1.0, 1.0, 1.0, 1.0, 0.7, 1.0, 0.0)}
+    assert tuple(evaluation.policy_safety(frame).first()) == (12, 12, 1.0)
+    assert {r.n_signatures for r in evaluation.nondeterminism(frame.filter("approach = 'agent_assisted'"), "task_success", "observed", "actions", "failure").collect()} == {1}
+    assert {(r.approach, r.failure): r.n for r in evaluation.failure_breakdown(frame).collect() if r.failure != "none"} == {("static", "observable_not_found"): 5, ("rule_based", "observable_not_found"): 1}
