@@ -141,14 +141,17 @@ def page_pairs(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     return left.join(right, ["left_case", "right_case", "place"], "full_outer")
 
 
-def snapshot_diff(captures: DataFrame) -> DataFrame:
-    """host, page_id, previous, added, removed, unchanged: values of a capture against the one before of its host."""
+def snapshot_diff(captures: DataFrame, most: int = 50) -> DataFrame:
+    """host, page_id, previous, added, removed, unchanged, first_added, first_removed: values of a capture against the one before of its host; of the added
+    and removed ones the first ``most`` in order."""
     order = captures.select("host", "page_id").distinct().withColumn("previous", F.lag("page_id").over(W.partitionBy("host").orderBy("page_id"))).filter("previous is not null")
     one = captures.select("host", "page_id", "value").distinct()
     now = order.join(one, ["host", "page_id"]).select("host", "page_id", "previous", "value", F.lit(1).alias("now"))
     old = order.join(one.withColumnRenamed("page_id", "previous"), ["host", "previous"]).select("host", "page_id", "previous", "value", F.lit(1).alias("old"))
     both = now.join(old, ["host", "page_id", "previous", "value"], "full_outer")
-    return both.groupBy("host", "page_id", "previous").agg(F.count_if(F.col("old").isNull()).alias("added"), F.count_if(F.col("now").isNull()).alias("removed"), F.count_if(F.col("now").isNotNull() & F.col("old").isNotNull()).alias("unchanged"))
+    new, gone = F.col("old").isNull(), F.col("now").isNull()
+    first = lambda test: F.slice(F.array_sort(F.collect_list(F.when(test, F.col("value")))), 1, most)
+    return both.groupBy("host", "page_id", "previous").agg(F.count_if(new).alias("added"), F.count_if(gone).alias("removed"), F.count_if(~new & ~gone).alias("unchanged"), first(new).alias("first_added"), first(gone).alias("first_removed"))
 
 
 def frontier_admission(links: DataFrame, page_budget: int = 5, per_page: int = 200, max_depth: int = 1) -> DataFrame:
@@ -277,3 +280,27 @@ def manifest(records: DataFrame) -> DataFrame:
     out = records.groupBy("case_id").agg(F.array_sort(F.collect_list(line)).alias("l"))
     text = F.array_join(F.transform("l", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["sha"])), "\n")
     return out.select("case_id", F.size("l").alias("n"), F.sha2(text, 256).alias("sha"))
+
+
+def corpus_manifest(manifests: DataFrame) -> DataFrame:
+    """case_id ("corpus"), n, sha: a hash over the hashes of all cases, in order of case_id. One row a case meets in one task, its hash only."""
+    line = F.concat("case_id", F.lit(":"), "sha")
+    out = manifests.agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("case_id", line.alias("line")))).alias("l"))
+    return out.select(F.lit("corpus").alias("case_id"), "n", F.sha2(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), 256).alias("sha"))
+
+
+def scope_violations(completed: DataFrame, allowed: DataFrame, candidates: DataFrame) -> DataFrame:
+    """evaluation, rule, host: completed hosts (evaluation, host) that were not allowed, and those that are candidates."""
+    pair = lambda df: df.select("evaluation", "host")
+    outside = pair(completed).subtract(pair(allowed)).withColumn("rule", F.lit("host_out_of_scope"))
+    return outside.unionByName(pair(completed).intersect(pair(candidates)).withColumn("rule", F.lit("candidate_was_completed")))
+
+
+def schema_violations(rows: DataFrame, key: str, schema: dict[str, list | tuple]) -> DataFrame:
+    """id, field, found: values outside the schema, which gives a column's allowed values (a list) or its bounds (a pair). Nulls are outside too."""
+    checks = []
+    for field, rule in schema.items():
+        good = F.col(field).isin(rule) if isinstance(rule, list) else F.col(field).between(*rule)
+        checks.append(F.when(~F.coalesce(good, F.lit(False)), F.struct(F.lit(field).alias("field"), F.col(field).cast("string").alias("found"))))
+    found = rows.select(F.col(key).cast("string").alias("id"), F.explode(F.array_compact(F.array(*checks))).alias("v"))
+    return found.select("id", "v.field", "v.found")

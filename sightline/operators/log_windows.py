@@ -4,21 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-MIN_BYTES, MIN_CHARS, MIN_ELEMENTS, MIN_PIXELS = 32, 4, 1, 8
+from sightline.functions import labels, policy, urls
 
+# From which change on a checkpoint counts as changed, by what is measured.
+MATERIAL = {"html_bytes": 32, "n_chars": 4, "n_elements": 1, "height": 8}
 
-def checkpoint_deltas(rows: DataFrame, threshold: float = MIN_BYTES) -> DataFrame:
-    """Difference of each checkpoint to the one before on its page; material from ``threshold`` on or when the image changed."""
+
+def _deltas(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds <column>_delta for each column and image_changed, against the checkpoint before on the page; the first one of a page is left out."""
     order = W.partitionBy("page_id").orderBy("elapsed", "event_id")
-    rows = rows.withColumns({"delta": F.col("size") - F.lag("size").over(order), "changed": F.col("image_hash") != F.lag("image_hash").over(order)})
-    return rows.filter("delta is not null").withColumn("material", (F.abs("delta") >= threshold) | F.col("changed"))
+    new = {f"{c}_delta": F.col(c) - F.lag(c).over(order) for c in columns} | {"image_changed": F.col("image_hash") != F.lag("image_hash").over(order), "nth": F.row_number().over(order)}
+    return rows.withColumns(new).filter("nth > 1").drop("nth")
+
 
+def checkpoint_deltas(rows: DataFrame, thresholds: dict[str, int] | None = None) -> DataFrame:
+    """Difference of each checkpoint (page_id, elapsed, event_id, image_hash and the columns of ``thresholds``, MATERIAL by default) to the one before on
+    its page; material where one reaches its threshold or the image changed."""
+    thresholds = thresholds or MATERIAL
+    rows, any_ = _deltas(rows, list(thresholds)), F.col("image_changed")
+    for c, n in thresholds.items():
+        any_ = any_ | (F.abs(F.col(f"{c}_delta")) >= n)
+    return rows.withColumn("material", any_)
 
-def diagnostic_deltas(rows: DataFrame) -> DataFrame:
+
+def diagnostic_deltas(rows: DataFrame, columns: tuple[str, ...] = tuple(MATERIAL)) -> DataFrame:
     """As ``checkpoint_deltas``, but any difference counts."""
-    order = W.partitionBy("page_id").orderBy("elapsed", "event_id")
-    rows = rows.withColumns({"delta": F.col("size") - F.lag("size").over(order), "other": F.col("image_hash") != F.lag("image_hash").over(order)})
-    return rows.filter("delta is not null").withColumn("changed", (F.col("delta") != 0) | F.col("other"))
+    return checkpoint_deltas(rows, dict.fromkeys(columns, 1))
 
 
 def render_status(deltas: DataFrame, low: DataFrame) -> DataFrame:
@@ -62,11 +73,27 @@ def duplicate_content(rows: DataFrame) -> DataFrame:
     return hashed.join(first, "sha").filter(F.col("page_id") > F.col("duplicate_of")).select("page_id", "duplicate_of")
 
 
-def per_type_caps(log: DataFrame, caps: dict[str, int]) -> DataFrame:
-    """The first events of each kind in a run, up to the kind's cap; kinds without a cap are left out."""
-    table = log.sparkSession.createDataFrame(list(caps.items()), "kind string, cap int")
-    place = F.row_number().over(W.partitionBy("run_id", "kind").orderBy("sequence"))
-    return log.join(F.broadcast(table), "kind").withColumn("place", place).filter(F.col("place") <= F.col("cap"))
+# How many observations of each type a run takes up.
+CAPS = {
+    "claimed_brand_identity": 3, "public_outgoing_link": 18, "public_redirect_target": 6, "public_telegram_alias": 10, "public_telegram_contact": 10, "public_whatsapp_link": 10, "public_phone_number": 10, "public_email_address": 10,
+    "public_payment_provider": 12, "public_payment_method": 6, "public_offer_claim": 6, "public_referral_code": 10, "public_tracking_identifier": 10, "public_download_destination": 10, "public_legal_or_license_claim": 6,
+}
+
+
+def per_type_caps(observations: DataFrame, captured: DataFrame, non_candidates: list[str], caps: dict[str, int] | None = None) -> DataFrame:
+    """``observations`` (run_id, ord, observation_type, value) with place: the first of each value, up to the cap of their type. Links and redirects to captured
+    URLs (``captured``: run_id, url) and to hosts that are no candidates are left out, as are types without a cap."""
+    leads_on = F.col("observation_type").isin("public_outgoing_link", "public_redirect_target")
+    known = captured.select("run_id", urls.folded(F.col("url")).alias("folded")).distinct()
+    rows = observations.withColumn("folded", F.when(leads_on, urls.folded(F.col("value")))).join(known, ["run_id", "folded"], "left_anti")
+    rows = rows.filter(~(leads_on & policy.host_in(urls.bare_host(F.col("value")), non_candidates))).drop("folded")
+    first = F.row_number().over(W.partitionBy("run_id", "observation_type", "value").orderBy("ord"))
+    rows = rows.withColumn("again", first).filter("again = 1").drop("again")
+    cap = None
+    for kind, n in (caps or CAPS).items():
+        cap = F.when(F.col("observation_type") == kind, n) if cap is None else cap.when(F.col("observation_type") == kind, n)
+    place = F.row_number().over(W.partitionBy("run_id", "observation_type").orderBy("ord"))
+    return rows.withColumn("place", place).filter(F.col("place") <= cap.otherwise(0))
 
 
 def budget_cutoff(log: DataFrame, max_requests: int, max_bytes: float) -> DataFrame:
@@ -77,30 +104,35 @@ def budget_cutoff(log: DataFrame, max_requests: int, max_bytes: float) -> DataFr
     return rows.groupBy("run_id").agg(F.min(F.struct("sequence", "reason")).alias("f")).select("run_id", "f.sequence", "f.reason")
 
 
-def timeline_rows(log: DataFrame, dropped: list[str], collapsed: str, labels: dict[str, str]) -> DataFrame:
-    """Replay timeline: some kinds left out, all events of one kind shown once with their number, labels put on."""
-    kept = log.filter(~F.col("kind").isin(dropped))
-    of_kind = W.partitionBy("run_id", "kind")
-    kept = kept.withColumns({"total": F.count("*").over(of_kind), "nth": F.row_number().over(of_kind.orderBy("sequence"))})
-    kept = kept.filter((F.col("kind") != collapsed) | (F.col("nth") == 1))
-    text = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in labels.items()], F.col("kind"))
-    text = F.when(F.col("kind") == collapsed, F.concat(F.col("total").cast("string"), F.lit(" "), text)).otherwise(text)
-    return kept.select("run_id", "sequence", "kind", text.alias("label"))
+def timeline_rows(log: DataFrame) -> DataFrame:
+    """run_id, sequence, kind, label, detail: the replay timeline of a log (run_id, sequence, kind, preflight, executed, interaction). Discoveries, matches
+    and requests that were never executed are left out; all observations make one row, all controls blocked before use another, at the first of them."""
+    preflight = (F.col("kind") == "tool.blocked") & F.coalesce("preflight", F.lit(False))
+    dropped = F.col("kind").isin("interactive_element.discovered", "entity.matched") | ((F.col("kind") == "tool.requested") & (F.coalesce("preflight", F.lit(False)) | ~F.coalesce("executed", F.lit(True))))
+    kept = log.withColumn("group", F.when(preflight, "blocked").when(F.col("kind") == "observation.created", "observed")).filter(~dropped)
+    of_group = W.partitionBy("run_id", "group")
+    kept = kept.withColumns({"total": F.count("*").over(of_group).cast("string"), "nth": F.row_number().over(of_group.orderBy("sequence"))}).filter(F.col("group").isNull() | (F.col("nth") == 1))
+    label = F.when(F.col("group") == "blocked", F.concat("total", F.lit(" unsafe controls blocked"))).when(F.col("group") == "observed", "Semantic evidence extracted").otherwise(labels.event_label(F.col("kind"), F.col("interaction")))
+    detail = F.when(F.col("group") == "blocked", "Policy preflight only · never executed").when(F.col("group") == "observed", F.concat("total", F.lit(" evidence-backed observations")))
+    return kept.select("run_id", "sequence", "kind", label.alias("label"), detail.alias("detail")).filter("label is not null")
 
 
-def job_progress(log: DataFrame, stages: int = 48) -> DataFrame:
-    """Last stage changes of each run, latest first: rows whose kind differs from the one before."""
+def job_progress(log: DataFrame, stages: int = 48, previews: int = 8) -> DataFrame:
+    """run_id, sequence, kind, place, what: the last stage changes of each run (rows whose kind differs from the one before), latest first, the first of them
+    being its status; and its last previews (rows with ``preview``), latest first."""
     order = W.partitionBy("run_id").orderBy("sequence")
-    before = F.lag("kind").over(order)
-    moved = log.withColumn("before", before).filter(F.col("before").isNull() | (F.col("before") != F.col("kind")))
-    ranked = moved.withColumn("place", F.row_number().over(W.partitionBy("run_id").orderBy(F.desc("sequence"))))
-    return ranked.filter(F.col("place") <= stages)
+    place = F.row_number().over(W.partitionBy("run_id").orderBy(F.desc("sequence")))
+    moved = log.withColumn("before", F.lag("kind").over(order)).filter(F.col("before").isNull() | (F.col("before") != F.col("kind")))
+    changes = moved.withColumn("place", place).filter(F.col("place") <= stages).withColumn("what", F.when(F.col("place") == 1, "status").otherwise("stage"))
+    shown = log.filter("preview").withColumn("place", place).filter(F.col("place") <= previews).withColumn("what", F.lit("preview"))
+    columns = ["run_id", "sequence", "kind", "place", "what"]
+    return changes.select(columns).unionByName(shown.select(columns))
 
 
 def recent_runs(log: DataFrame) -> DataFrame:
-    """Runs newest first."""
+    """run_id, last_at, n_events of each run, newest first: a sort that Spark deals by range, without a rank over all rows."""
     runs = log.groupBy("run_id").agg(F.max("occurred_at").alias("last_at"), F.count("*").alias("n_events"))
-    return runs.withColumn("place", F.row_number().over(W.orderBy(F.desc("last_at"), "run_id"))).orderBy("place")
+    return runs.orderBy(F.desc("last_at"), "run_id")
 
 
 def append_events(log: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,13 +148,21 @@ def append_events(log: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]
     return fresh.withColumn("sequence", F.coalesce("last", F.lit(0)) + place).drop("last"), conflicts
 
 
-def event_causes(log: DataFrame) -> DataFrame:
-    """run_id, sequence, cause_event_id: each event's cause is the latest earlier event of another kind in its run."""
-    order = W.partitionBy("run_id").orderBy("sequence")
-    start = F.when(F.lag("kind").over(order).isNull() | (F.lag("kind").over(order) != F.col("kind")), F.lag("event_id").over(order))
-    marked = log.withColumns({"turn": F.lag("kind").over(order).isNull() | (F.lag("kind").over(order) != F.col("kind")), "start": start})
-    cause = F.max(F.when(F.col("turn"), F.struct("sequence", "start"))).over(order.rowsBetween(W.unboundedPreceding, 0))
-    return marked.withColumn("cause", cause).select("run_id", "sequence", "event_id", F.col("cause.start").alias("cause_event_id"))
+def event_causes(log: DataFrame, rounds: int = 6) -> DataFrame:
+    """run_id, event_id, cause_event_id, root_event_id, depth: the recorded cause of each event (column causation_event_id), the event at the root of its chain and
+    how far away that is.
+
+    Every round lets each event jump to where its ancestor points, so ``rounds`` of them follow chains of up to 2 ** rounds events; longer ones, and
+    events whose cause is not there, end at the last ancestor found.
+    """
+    known = log.select("run_id", F.col("event_id").alias("up_id")).distinct()
+    here = log.select("run_id", "event_id", F.col("causation_event_id").alias("up_id")).distinct()
+    rows = here.join(known.withColumn("there", F.lit(True)), ["run_id", "up_id"], "left")
+    rows = rows.select("run_id", "event_id", F.when(F.col("there"), F.col("up_id")).alias("cause_event_id")).withColumns({"root": F.coalesce("cause_event_id", "event_id"), "depth": F.col("cause_event_id").isNotNull().cast("int")})
+    for _ in range(rounds):
+        step = rows.select("run_id", F.col("event_id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        rows = rows.join(step, ["run_id", "root"]).select("run_id", "event_id", "cause_event_id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"))
+    return rows.select("run_id", "event_id", "cause_event_id", F.col("root").alias("root_event_id"), "depth")
 
 
 def status_case(column: Column, table: dict[str, str], other: str) -> Column:

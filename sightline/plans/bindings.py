@@ -41,10 +41,14 @@ def event_log(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("user_id").alias("run_id"), "sequence", "event_id", F.col("event_type").alias("kind"), F.col("ts").alias("occurred_at"), "value", F.col("props").alias("payload"))
 
 
+#: What a checkpoint measures, made of an event's value and id, in SQL that Spark and DuckDB read.
+MEASURES = {"html_bytes": "CAST(floor(value * 3) AS BIGINT)", "n_chars": "CAST(floor(value) AS BIGINT) % 9", "n_elements": "CAST(floor(value / 40) AS BIGINT)", "height": "CAST(floor(value * 2) AS BIGINT) % 17"}
+
+
 def checkpoints(spark: SparkSession, d: str) -> DataFrame:
-    """page_id, elapsed, size, image_hash: each user's events as the checkpoints of one page."""
+    """page_id, elapsed, event_id, size, image_hash and MEASURES: each user's events as the checkpoints of one page."""
     rows = read_table(spark, d, "events")
-    return rows.select(F.col("user_id").alias("page_id"), F.col("ts").alias("elapsed"), "event_id", F.col("value").alias("size"), F.col("event_type").alias("image_hash"))
+    return rows.select(F.col("user_id").alias("page_id"), F.col("ts").alias("elapsed"), "event_id", F.col("value").alias("size"), F.when(F.col("event_type").isin("click", "view"), "a").otherwise("b").alias("image_hash"), *[F.expr(v).alias(k) for k, v in MEASURES.items()])
 
 
 def reviews(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from sightline.functions import policy, urls
 from sightline.operators import cases, html, leads, markup, observations as ob, similarity as sim
 from sightline.plans import bindings as b
+from sightline.plans.log_queries import LOG
 from sightline.plans.markup_queries import ENTITIES, OUTCOMES, SEMANTIC, TX, entities, outcomes, semantic
 from sightline.plans.registry import register
 from sightline.plans.url_queries import ANCHORS, CRAWL, HOST, ROOT, _MATERIAL, _priorities
@@ -96,12 +97,13 @@ register("known_host_match", _known, f"WITH h AS (SELECT page_id, {HOST} AS case
 
 
 def _host_pairs(s, d):
-    """Each host with the next one in order."""
-    hosts = b.pages(s, d).select("case_id").distinct()
-    return hosts.withColumn("right_case", F.lead("case_id").over(W.orderBy("case_id"))).filter("right_case is not null").withColumnRenamed("case_id", "left_case")
+    """Hosts whose pages follow each other: each pair of hosts of page n and page n + 1, once, in order of name."""
+    pages = b.pages(s, d).select("page_id", F.col("case_id").alias("x"))
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("x").alias("y"))
+    return pages.join(after, "page_id").filter("x <> y").select(F.least("x", "y").alias("left_case"), F.greatest("x", "y").alias("right_case")).distinct()
 
 
-HOSTPAIRS = f"hp AS (SELECT * FROM (SELECT case_id AS left_case, lead(case_id) OVER (ORDER BY case_id) AS right_case FROM (SELECT DISTINCT {HOST} AS case_id FROM pages)) WHERE right_case IS NOT NULL)"
+HOSTPAIRS = f"hp AS (SELECT DISTINCT least(x, y) AS left_case, greatest(x, y) AS right_case FROM (SELECT page_id, {HOST} AS x FROM pages) JOIN (SELECT page_id - 1 AS page_id, {HOST} AS y FROM pages) USING (page_id) WHERE x <> y)"
 register(
     "page_pairs",
     lambda s, d: cases.page_pairs(b.pages(s, d), _host_pairs(s, d)),
@@ -109,15 +111,6 @@ register(
     l AS (SELECT left_case, right_case, place, page_id AS left_page FROM hp JOIN r ON left_case = case_id), q AS (SELECT left_case, right_case, place, page_id AS right_page FROM hp JOIN r ON right_case = case_id)
     SELECT * FROM l FULL JOIN q USING (left_case, right_case, place)""",
 )
-register(
-    "snapshot_diff",
-    lambda s, d: cases.snapshot_diff(b.anchors(s, d).select(F.col("case_id").alias("host"), "page_id", F.col("href").alias("value"))),
-    f"""WITH {ANCHORS}, c AS (SELECT DISTINCT {HOST} AS host, page_id, href AS value FROM anchors), o AS (SELECT host, page_id, lag(page_id) OVER (PARTITION BY host ORDER BY page_id) AS previous FROM (SELECT DISTINCT host, page_id FROM c)),
-    n AS (SELECT o.host, o.page_id, previous, value, 1 AS nw FROM o JOIN c ON o.page_id = c.page_id WHERE previous IS NOT NULL), p AS (SELECT o.host, o.page_id, previous, value, 1 AS od FROM o JOIN c ON o.previous = c.page_id)
-    SELECT host, page_id, previous, count(*) FILTER (od IS NULL) AS added, count(*) FILTER (nw IS NULL) AS removed, count(*) FILTER (od = 1 AND nw = 1) AS unchanged FROM n FULL JOIN p USING (host, page_id, previous, value) GROUP BY ALL""",
-)
-
-
 def _frontier(s, d):
     p = policy.frontier_priority(F.col("label"), F.col("crawl_url"))
     depth = (F.col("page_id") > F.min("page_id").over(W.partitionBy("case_id"))).cast("int")
@@ -215,23 +208,55 @@ register(
     lambda s, d: cases.violations(read_table(s, d, "labels"), read_table(s, d, "documents").filter("doc_id % 7 <> 0"), "doc_id", "label_without_document").unionByName(cases.duplicates(read_table(s, d, "lineitem").filter("l_linenumber <= 2").withColumnRenamed("l_orderkey", "id"), "id", "repeated_id")),
     "SELECT 'label_without_document' AS rule, doc_id::VARCHAR AS id FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0) UNION ALL SELECT 'repeated_id', l_orderkey::VARCHAR FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey HAVING count(*) > 1",
 )
-register(
-    "enum_violations",
-    lambda s, d: b.event_log(s, d).filter(~F.col("kind").isin("click", "view", "purchase", "signup") | ~F.col("value").between(0, 100)).select("event_id", "kind"),
-    "SELECT event_id, event_type AS kind FROM events WHERE event_type NOT IN ('click', 'view', 'purchase', 'signup') OR value NOT BETWEEN 0 AND 100",
-)
 register(
     "case_summary",
     lambda s, d: b.pages(s, d).groupBy("case_id").agg(F.count("*").alias("n_pages"), F.sum(F.length("html")).alias("n_chars")).join(b.anchors(s, d).groupBy("case_id").agg(F.count("*").alias("n_links"), F.count_distinct("href").alias("n_targets")), "case_id", "left").na.fill(0),
     f"WITH {ANCHORS} SELECT case_id, n_pages, n_chars, coalesce(n_links, 0) AS n_links, coalesce(n_targets, 0) AS n_targets FROM (SELECT {HOST} AS case_id, count(*) AS n_pages, sum(length(html))::BIGINT AS n_chars FROM pages GROUP BY 1) LEFT JOIN (SELECT case_id, count(*) AS n_links, count(DISTINCT href) AS n_targets FROM anchors GROUP BY 1) USING (case_id)",
 )
+
+register(
+    "snapshot_diff",
+    lambda s, d: cases.snapshot_diff(b.anchors(s, d).select(F.col("case_id").alias("host"), "page_id", F.col("href").alias("value"))).withColumns({c: F.array_join(c, " ") for c in ("first_added", "first_removed")}),
+    f"""WITH {ANCHORS}, c AS (SELECT DISTINCT case_id AS host, page_id, href AS value FROM anchors), o AS (SELECT host, page_id, lag(page_id) OVER (PARTITION BY host ORDER BY page_id) AS previous FROM (SELECT DISTINCT host, page_id FROM c)),
+    n AS (SELECT o.host, o.page_id, previous, value, 1 AS nw FROM o JOIN c ON o.page_id = c.page_id WHERE previous IS NOT NULL), p AS (SELECT o.host, o.page_id, previous, value, 1 AS od FROM o JOIN c ON o.previous = c.page_id)
+    SELECT host, page_id, previous, count(*) FILTER (od IS NULL) AS added, count(*) FILTER (nw IS NULL) AS removed, count(*) FILTER (od = 1 AND nw = 1) AS unchanged, array_to_string(list_sort(coalesce(list(value) FILTER (od IS NULL), []))[1:50], ' ') AS first_added,
+    array_to_string(list_sort(coalesce(list(value) FILTER (nw IS NULL), []))[1:50], ' ') AS first_removed FROM n FULL JOIN p USING (host, page_id, previous, value) GROUP BY ALL""",
+)
+
+
+def _manifests(s, d):
+    """One hash for each case, and the hash of the corpus over these."""
+    own = cases.manifest(b.pages(s, d).select("case_id", F.col("page_id").alias("id"), F.col("html").alias("content")))
+    return own.unionByName(cases.corpus_manifest(own))
+
+
 register(
     "case_manifest",
-    lambda s, d: cases.manifest(b.pages(s, d).select("case_id", F.col("page_id").alias("id"), F.col("html").alias("content"))),
-    f"SELECT {HOST} AS case_id, count(*)::INT AS n, sha256(string_agg(page_id || ':' || sha256(html), chr(10) ORDER BY page_id)) AS sha FROM pages GROUP BY 1",
+    _manifests,
+    f"WITH m AS (SELECT {HOST} AS case_id, count(*)::INT AS n, sha256(string_agg(page_id || ':' || sha256(html), chr(10) ORDER BY page_id)) AS sha FROM pages GROUP BY 1) SELECT * FROM m UNION ALL SELECT 'corpus', count(*)::INT, sha256(string_agg(case_id || ':' || sha, chr(10) ORDER BY case_id)) FROM m",
 )
+
+
+def _scopes(s, d):
+    """Evaluations by label length of the hosts: the first pages of hosts are allowed, linked partner hosts are candidates, hosts of captured pages are done."""
+    pages = b.pages(s, d).withColumn("evaluation", F.length("case_id") % 5)
+    done = pages.select("evaluation", F.col("case_id").alias("host")).unionByName(pages.filter("page_id % 10 = 0").select("evaluation", F.lit("partner1.example.net").alias("host")))
+    allowed = pages.groupBy("evaluation").agg(F.sort_array(F.collect_set("case_id")).alias("h")).select("evaluation", F.explode(F.slice("h", 1, 4)).alias("host"))
+    linked = markup.anchor_links(markup.anchors(b.nodes(s, d))).join(pages.select("page_id", "evaluation"), "page_id").filter("kind = 'external_link'").select("evaluation", "host")
+    return cases.scope_violations(done, allowed, linked)
+
+
 register(
     "scope_violations",
-    lambda s, d: b.pages(s, d).select("case_id").distinct().subtract(b.pages(s, d).filter("page_id % 3 = 0").select("case_id")).select(F.lit("host_out_of_scope").alias("rule"), "case_id").unionByName(b.pages(s, d).filter("page_id % 3 = 1").select("case_id").intersect(b.pages(s, d).filter("page_id % 3 = 2").select("case_id")).select(F.lit("candidate_was_completed").alias("rule"), "case_id")),
-    f"WITH h AS (SELECT page_id, {HOST} AS case_id FROM pages) SELECT 'host_out_of_scope' AS rule, case_id FROM (SELECT case_id FROM h EXCEPT SELECT case_id FROM h WHERE page_id % 3 = 0) UNION ALL SELECT 'candidate_was_completed', case_id FROM (SELECT case_id FROM h WHERE page_id % 3 = 1 INTERSECT SELECT case_id FROM h WHERE page_id % 3 = 2)",
+    _scopes,
+    f"""WITH {ANCHORS}, p AS (SELECT page_id, {HOST} AS host, length({HOST}) % 5 AS evaluation FROM pages), dn AS (SELECT evaluation, host FROM p UNION SELECT evaluation, 'partner1.example.net' FROM p WHERE page_id % 10 = 0), al AS (SELECT evaluation, unnest(list_sort(list(DISTINCT host))[1:4]) AS host FROM p GROUP BY evaluation),
+    ln AS (SELECT DISTINCT evaluation, {THOST} AS host FROM anchors JOIN p USING (page_id) WHERE target IS NOT NULL AND {THOST} <> case_id)
+    SELECT evaluation, 'host_out_of_scope' AS rule, host FROM (SELECT * FROM dn EXCEPT SELECT * FROM al) UNION ALL SELECT evaluation, 'candidate_was_completed', host FROM (SELECT * FROM dn INTERSECT SELECT * FROM ln)""",
+)
+#: Allowed values and bounds of the checked columns.
+SCHEMA = {"kind": ["click", "view", "purchase", "signup"], "value": (0, 100), "sequence": (1, 60)}
+register(
+    "enum_violations",
+    lambda s, d: cases.schema_violations(b.event_log(s, d), "event_id", SCHEMA),
+    "WITH " + LOG + " SELECT event_id::VARCHAR AS id, 'kind' AS field, kind AS found FROM log WHERE kind NOT IN ('click', 'view', 'purchase', 'signup') UNION ALL SELECT event_id::VARCHAR, 'value', value::VARCHAR FROM log WHERE value NOT BETWEEN 0 AND 100 UNION ALL SELECT event_id::VARCHAR, 'sequence', sequence::VARCHAR FROM log WHERE sequence NOT BETWEEN 1 AND 60",
 )
