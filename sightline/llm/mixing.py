@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 PRIME = 2147483647
 ROUNDS = 12
 CHUNK = 1024
-BUCKETS = 65536  # of a source's stream, whatever its size
+BUCKET_DIGITS = 3  # 4096 buckets of a source's stream, whatever its size
 SLOTS_PER_SHARD = 4096
 
 
@@ -142,7 +142,7 @@ def source_streams(docs: DataFrame) -> DataFrame:
     Offsets add a bucket's own running sum to the words of the buckets before it, so that a source with a third of all rows
     is not summed by one task. Equal rows follow each other.
     """
-    docs = docs.withColumn("bucket", F.conv(F.substring("hash", 1, 4), 16, 10).cast("int"))
+    docs = docs.withColumn("bucket", F.conv(F.substring("hash", 1, BUCKET_DIGITS), 16, 10).cast("int"))
     totals = docs.groupBy("source_rank", "bucket").agg(F.sum("size").alias("words"))
     before = W.partitionBy("source_rank").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select("source_rank", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
