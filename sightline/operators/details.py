@@ -1,4 +1,4 @@
-"""Signals in element attributes, boxes of elements, and rows for display."""
+"""Boxes of elements, references between records, and rows for display."""
 
 from __future__ import annotations
 
@@ -6,52 +6,21 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from sightline.functions import policy, urls
 
-# Hosts of messaging links.
-WHATSAPP_HOSTS = ["wa.me", "www.wa.me", "api.whatsapp.com", "web.whatsapp.com"]
-TELEGRAM_HOSTS = ["t.me", "www.t.me", "telegram.me", "www.telegram.me"]
 MAX_CROP_PIXELS = 2_000_000
 
 
-def asset_signals(assets: DataFrame) -> DataFrame:
-    """page_id, type, value of passive resources (page_id, page_host, url) on hosts other than the page's."""
-    rows = assets.withColumn("observed", urls.http_url(F.col("url"), F.col("url"))).filter("observed is not null").withColumn("host", urls.host(F.col("observed"))).filter("host <> page_host")
-    both = F.explode(F.array(F.struct(F.lit("external_asset_domain").alias("type"), F.col("host").alias("value")), F.struct(F.lit("external_asset_url").alias("type"), urls.asset_url(F.col("observed")).alias("value"))))
-    return rows.select("page_id", both.alias("s")).select("page_id", "s.type", "s.value").distinct()
-
-
-def whatsapp_signals(links: DataFrame) -> DataFrame:
-    """page_id, value: +digits of WhatsApp links (page_id, href), or the link where it carries no number of 6 to 15 digits."""
-    rows = links.filter(urls.host(F.col("href")).isin(WHATSAPP_HOSTS) | (urls.scheme(F.col("href")) == "whatsapp"))
-    phone = F.filter(urls.pairs(urls.query(F.col("href"))), lambda p: p["key"] == "phone")
-    raw = F.when(F.size(phone) > 0, phone[0]["value"]).otherwise(F.split(F.regexp_replace(urls.path(F.col("href")), "^/+", ""), "/")[0])
-    rows = rows.withColumn("number", policy.digits(raw))
-    number = F.when(F.length("number").between(6, 15), F.concat(F.lit("+"), "number"))
-    return rows.select("page_id", F.coalesce(number, F.lower(F.regexp_replace("href", "#.*$", ""))).alias("value")).distinct()
-
-
-def telegram_links(links: DataFrame) -> DataFrame:
-    """page_id, observation_type, value of Telegram links: a contact if the name has 8 digits or more, else an alias."""
-    rows = links.filter(urls.host(F.col("href")).isin(TELEGRAM_HOSTS)).withColumn("name", F.lower(F.regexp_extract(urls.path(F.col("href")), r"^/+@?([^/]+)", 1))).filter("name <> ''")
-    contact = F.length(policy.digits(F.col("name"))) >= 8
-    kind = F.when(contact, "public_telegram_contact").otherwise("public_telegram_alias")
-    return rows.select("page_id", kind.alias("observation_type"), F.when(contact, F.concat(F.lit("+"), policy.digits(F.col("name")))).otherwise(F.concat(F.lit("@"), "name")).alias("value")).distinct()
-
-
-def downloads(links: DataFrame, extensions: str) -> DataFrame:
-    """Links (page_id, href) whose path ends in one of the extensions (a pattern such as ``apk|exe``)."""
-    return links.filter(F.lower(urls.path(F.col("href"))).rlike(rf"\.({extensions})$"))
-
-
 def attach_boxes(observations: DataFrame, snapshots: DataFrame, pad: int, width: int, height: int) -> DataFrame:
-    """page_id, ord, x, y, w, h: the padded and clipped box of the first snapshot whose link has the observation's path.
-
-    Boxes above MAX_CROP_PIXELS give none.
-    """
-    one = snapshots.withColumn("path", urls.path(F.col("href"))).groupBy("page_id", "path").agg(F.min_by(F.struct("x", "y", "w", "h"), "snap").alias("b"))
-    rows = observations.withColumn("path", urls.path(F.col("href"))).join(one, ["page_id", "path"])
+    """page_id, ord, snap, x, y, w, h: the padded and clipped box of the first snapshot (page_id, href, text, snap, x, y, w, h) whose link has the path of the observation's
+    (page_id, ord, href, label), or whose text is its label. Boxes above MAX_CROP_PIXELS give none."""
+    box = F.struct("snap", "x", "y", "w", "h")
+    by_path = snapshots.filter("href <> ''").groupBy("page_id", urls.path(F.col("href")).alias("path")).agg(F.min(box).alias("b"))
+    by_text = snapshots.filter("text <> ''").groupBy("page_id", F.col("text").alias("label")).agg(F.min(box).alias("b"))
+    rows = observations.withColumns({"path": urls.path(F.col("href")), "label": F.substring("label", 1, 200)})
+    found = rows.filter("href <> ''").join(by_path, ["page_id", "path"]).select("page_id", "ord", "b").unionByName(rows.filter("label <> ''").join(by_text, ["page_id", "label"]).select("page_id", "ord", "b"))
+    rows = found.groupBy("page_id", "ord").agg(F.min("b").alias("b"))
     x0, y0 = F.greatest(F.col("b.x") - pad, F.lit(0)), F.greatest(F.col("b.y") - pad, F.lit(0))
     x1, y1 = F.least(F.col("b.x") + F.col("b.w") + pad, F.lit(width)), F.least(F.col("b.y") + F.col("b.h") + pad, F.lit(height))
-    out = rows.select("page_id", "ord", x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h"))
+    out = rows.select("page_id", "ord", F.col("b.snap").alias("snap"), x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h"))
     return out.filter((F.col("w") > 0) & (F.col("h") > 0) & (F.col("w") * F.col("h") <= MAX_CROP_PIXELS))
 
 

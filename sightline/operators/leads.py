@@ -53,25 +53,25 @@ def orphan_redirects(expected: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def parse_search_results(responses: DataFrame, most: int) -> DataFrame:
-    """case_id, result, place, target of JSON responses: the first ``most`` results, the URL of the task and of the page of each."""
-    schema = "results array<struct<task:struct<uuid:string,url:string>,page:struct<url:string>>>"
-    rows = responses.select("case_id", F.posexplode(F.slice(F.from_json("json", schema)["results"], 1, most)).alias("k", "r")).filter("r is not null")
-    name = F.coalesce("r.task.uuid", F.concat(F.lit("result-"), F.lpad((F.col("k") + 1).cast("string"), 4, "0")))
+    """case_id, result, place, target of JSON responses (case_id, json): of the first ``most`` results that are objects, the URL of the task and of the page."""
+    rows = responses.select("case_id", F.posexplode(F.slice(F.from_json("json", "results array<string>")["results"], 1, most)).alias("k", "text")).filter(F.col("text").startswith("{"))
+    rows = rows.withColumn("r", F.from_json("text", "task struct<uuid:string,url:string>, page struct<url:string>"))
+    name = F.coalesce(F.nullif(F.trim("r.task.uuid"), F.lit("")), F.concat(F.lit("result-"), F.lpad((F.col("k") + 1).cast("string"), 4, "0")))
     both = F.explode(F.array(F.struct(F.lit("task").alias("place"), F.col("r.task.url").alias("target")), F.struct(F.lit("page").alias("place"), F.col("r.page.url").alias("target"))))
     return rows.select("case_id", name.alias("result"), both.alias("x")).select("case_id", "result", "x.place", "x.target").filter("target is not null")
 
 
-def search_candidates(results: DataFrame, sources: DataFrame) -> DataFrame:
-    return _decided(results, sources).withColumn("weight", F.when(F.col("excluded").isNull(), SEARCH_WEIGHT).otherwise(0))
+def search_warnings(responses: DataFrame, most: int) -> DataFrame:
+    """case_id, warning of responses that hold more than ``most`` results, or rows among them that are no objects."""
+    results = F.from_json("json", "results array<string>")["results"]
+    rows = responses.select("case_id", F.size(results).alias("n"), F.size(F.filter(F.slice(results, 1, most), lambda r: ~r.startswith("{"))).alias("odd"))
+    long = F.when(F.col("n") > most, F.concat(F.lit("truncated_to_"), F.lit(most), F.lit("_of_"), F.col("n")))
+    odd = F.when(F.col("odd") > 0, F.concat(F.lit("ignored_rows_"), F.col("odd")))
+    return rows.select("case_id", F.explode(F.array_compact(F.array(long, odd))).alias("warning"))
 
 
-def frontier_promotion(links: DataFrame, known: DataFrame) -> DataFrame:
-    """Links whose host is a known one, or carries the brand token of its case."""
-    rows = links.withColumn("host", urls.host(F.col("target")))
-    rows = rows.join(known.select("host").distinct().withColumn("known", F.lit(True)), "host", "left").na.fill(False, ["known"])
-    token = policy.brand_token(F.col("case_id"))
-    same = (token != "") & F.contains("host", token)
-    return rows.filter(F.col("known") | same)
+def search_candidates(results: DataFrame, sources: DataFrame) -> DataFrame:
+    return _decided(results, sources).withColumn("weight", F.when(F.col("excluded").isNull(), SEARCH_WEIGHT).otherwise(0))
 
 
 # Hosts that are never candidates.
@@ -90,12 +90,29 @@ def lead_candidates(links: DataFrame, known: DataFrame, most: int = 5) -> DataFr
     return new.withColumn("place", place).filter(F.col("place") <= most).select("case_id", "host", "target", "class", "place")
 
 
-def destination_projection(links: DataFrame, redirects: DataFrame, known: DataFrame) -> DataFrame:
-    """case_id, host, n_urls, by_redirect, known of all destinations of a case."""
-    rows = links.select("case_id", "target", F.lit(False).alias("redirect")).unionByName(redirects.select("case_id", "target", F.lit(True).alias("redirect")))
-    rows = rows.withColumn("host", urls.host(F.col("target"))).filter("host is not null")
-    out = rows.groupBy("case_id", "host").agg(F.count_distinct("target").alias("n_urls"), F.bool_or("redirect").alias("by_redirect"))
-    return out.join(known.select("host").distinct().withColumn("known", F.lit(True)), "host", "left").na.fill(False, ["known"])
+def frontier_promotion(links: DataFrame, known: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_id, host, target, known, confidence, strength, limitation of frontier links (case_id, page_id, target) to a known host, or to one with the brand
+    token of their case, whose page (page_id, tier, screenshot) has a screenshot; own and non-candidate hosts are left out."""
+    rows = links.withColumns({"host": urls.bare_host(F.col("target")), "own": F.regexp_replace("case_id", r"^www\.", "")})
+    rows = rows.filter(F.col("host").isNotNull() & (F.col("host") != F.col("own")) & ~policy.host_in(F.col("host"), NON_CANDIDATES))
+    rows = rows.join(known.select("host").distinct().withColumn("known", F.lit(True)), "host", "left").na.fill(False, ["known"])
+    token = policy.brand_token(F.col("own"))
+    rows = rows.filter(F.col("known") | ((token != "") & F.contains("host", token))).join(pages.filter("screenshot is not null").select("page_id", "tier"), "page_id")
+    sure = F.col("tier") == "verified"
+    limit = F.when(~sure, "direct_anchor_from_provisional_or_withheld_semantic_capture")
+    return rows.select("page_id", "host", "target", "known", F.when(sure, 0.9).otherwise(0.75).alias("confidence"), F.when(sure, "strong").otherwise("moderate").alias("strength"), limit.alias("limitation"))
+
+
+def destination_projection(sources: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFrame:
+    """case_id, host, kind, status, url, urls, n_sources, redirect, known of the destinations of a case: its frontier and link observations (case_id, ord, target, redirect)
+    by host. Own hosts, and those that are neither known, nor candidates (case_id, host), nor of the case's brand token, are left out. url is the first one."""
+    rows = sources.withColumns({"host": urls.bare_host(F.col("target")), "own": F.regexp_replace("case_id", r"^www\.", "")}).filter("host is not null and host <> own")
+    out = rows.groupBy("case_id", "own", "host").agg(F.min_by("target", "ord").alias("url"), F.array_sort(F.collect_set("target")).alias("urls"), F.count("*").alias("n_sources"), F.bool_or("redirect").alias("redirect"))
+    out = out.join(known.select("host").distinct().withColumn("known", F.lit(True)), "host", "left").join(candidates.select("case_id", "host").distinct().withColumn("candidate", F.lit(True)), ["case_id", "host"], "left").na.fill(False, ["known", "candidate"])
+    token = policy.brand_token(F.col("own"))
+    kept = out.filter(F.col("known") | F.col("candidate") | ((token != "") & F.contains("host", token)))
+    kind = F.when(F.col("redirect"), "redirect_target").when(F.col("known"), "external_destination").otherwise("candidate_domain")
+    return kept.select("case_id", "host", kind.alias("kind"), F.when(F.col("known"), "collected").otherwise("lead").alias("status"), "url", "urls", "n_sources", "redirect", "known")
 
 
 # Below these a capture says nothing, or its pixels do not show its text; and what makes a capture inadequate.
@@ -191,19 +208,29 @@ def ocr_line_regions(words: DataFrame, scale_x: float, scale_y: float, most: int
     return out.select("page_id", "block", "line", "text", scaled("x", scale_x).alias("x"), scaled("y", scale_y).alias("y"), (scaled("x1", scale_x) - scaled("x", scale_x)).alias("width"), (scaled("y1", scale_y) - scaled("y", scale_y)).alias("height"), F.round("confidence", 6).alias("confidence"))
 
 
-def case_catalog(cases: DataFrame, runs: DataFrame) -> DataFrame:
-    """name, kind, state: runs with their case, and the cases that no run stands for."""
-    with_case = runs.join(cases.select("case_id", "title"), "case_id", "left").select(F.coalesce("title", F.concat(F.lit("run "), "run_id")).alias("name"), F.lit("run").alias("kind"), "state")
-    alone = cases.join(runs.select("case_id").distinct(), "case_id", "left_anti").select(F.col("title").alias("name"), F.lit("case").alias("kind"), F.lit("stored").alias("state"))
-    return with_case.unionByName(alone)
+def case_catalog(cases: DataFrame, runs: DataFrame, state: str | None = None, text: str | None = None, by_time: bool = False) -> DataFrame:
+    """name, kind, state, at: runs (run_id, case_id, state, at) with their case (case_id, title, at), and the cases that no run stands for; those in ``state``
+    and with ``text`` in their name, in order of name, or newest first."""
+    with_case = runs.join(cases.select("case_id", "title"), "case_id", "left").select(F.coalesce("title", F.concat(F.lit("run "), "run_id")).alias("name"), F.lit("run").alias("kind"), "state", "at")
+    alone = cases.join(runs.select("case_id").distinct(), "case_id", "left_anti").select(F.col("title").alias("name"), F.lit("case").alias("kind"), F.lit("stored").alias("state"), "at")
+    rows = with_case.unionByName(alone)
+    if state is not None:
+        rows = rows.filter(F.col("state") == state)
+    if text and text.strip():
+        rows = rows.filter(F.contains(F.lower("name"), F.lit(text.strip().lower())))
+    return rows.orderBy(F.desc("at"), "name") if by_time else rows.orderBy(F.lower("name"), F.desc("at"))
 
 
 def observation_node_link(observations: DataFrame, nodes: DataFrame) -> DataFrame:
-    """observation_id, node_id, rank: the node an observation belongs to in its case: same label, else same host.
+    """observation_id, node_id, rank: the node an observation (case_id, observation_id, value) belongs to in its case: one with that label (0), else one whose label lists
+    the value (1), else one of the same host (2).
 
-    Both are equi-joins; the better one wins, then the least node.
+    A label lists what stands between its separators (a dot or a comma between spaces), so all three are equi-joins; the best one wins, then the least node.
     """
     same = observations.join(nodes.select("case_id", F.col("label").alias("value"), "node_id"), ["case_id", "value"]).select("observation_id", "node_id", F.lit(0).alias("rank"))
+    listed = nodes.select("case_id", "node_id", F.explode(F.array_distinct(F.split("label", " · |, "))).alias("value"))
+    part = observations.join(listed, ["case_id", "value"]).select("observation_id", "node_id", F.lit(1).alias("rank"))
     by_host = observations.withColumn("host", urls.host(F.col("value"))).filter("host is not null")
-    near = by_host.join(nodes.withColumn("host", urls.host(F.col("label"))).filter("host is not null").groupBy("case_id", "host").agg(F.min("node_id").alias("node_id")), ["case_id", "host"]).select("observation_id", "node_id", F.lit(1).alias("rank"))
-    return same.unionByName(near).groupBy("observation_id").agg(F.min(F.struct("rank", "node_id")).alias("m")).select("observation_id", "m.node_id", "m.rank")
+    hosts = nodes.withColumn("host", F.coalesce(urls.host(F.col("label")), F.lower("label"))).groupBy("case_id", "host").agg(F.min("node_id").alias("node_id"))
+    near = by_host.join(hosts, ["case_id", "host"]).select("observation_id", "node_id", F.lit(2).alias("rank"))
+    return same.unionByName(part).unionByName(near).groupBy("observation_id").agg(F.min(F.struct("rank", "node_id")).alias("m")).select("observation_id", "m.node_id", "m.rank")

@@ -15,16 +15,20 @@ from sightline.plans.url_queries import ANCHORS, HOST, PATH
 
 
 def _boxes(s, d):
+    """Every second link as a snapshot; every third of these has lost its link and is known by its text."""
     anchors = b.anchors(s, d)
-    snaps = anchors.filter("elem_ord % 2 = 0").select("page_id", "href", F.col("elem_ord").alias("snap"), (F.col("elem_ord") * 150).alias("x"), (F.col("elem_ord") * 20).alias("y"), (F.length("label") * 8).alias("w"), F.lit(16).alias("h"))
-    return details.attach_boxes(anchors.select("page_id", F.col("elem_ord").alias("ord"), "href"), snaps, 4, 900, 600)
+    k = F.col("elem_ord")
+    snaps = anchors.filter("elem_ord % 2 = 0").select("page_id", F.when(k % 6 == 0, "").otherwise(F.col("href")).alias("href"), F.col("label").alias("text"), k.alias("snap"), (k * 150).alias("x"), (k * 20).alias("y"), (F.length("label") * 8).alias("w"), F.lit(16).alias("h"))
+    return details.attach_boxes(anchors.select("page_id", k.alias("ord"), "href", "label"), snaps, 4, 900, 600)
 
 
+_AP = "regexp_extract({0}, '^(?:[a-z]+:)?(?://[^/?#]*)?([^?#]*)', 1)"
 register(
     "attach_snapshot_boxes",
     _boxes,
-    f"""WITH {ANCHORS}, sn AS (SELECT page_id, href, min(elem_ord) AS k, arg_min(length(label) * 8, elem_ord) AS w FROM anchors WHERE elem_ord % 2 = 0 GROUP BY page_id, href),
-    bx AS (SELECT a.page_id, a.elem_ord AS ord, greatest(k * 150 - 4, 0) AS x, greatest(k * 20 - 4, 0) AS y, least(k * 150 + sn.w + 4, 900) - greatest(k * 150 - 4, 0) AS w, least(k * 20 + 20, 600) - greatest(k * 20 - 4, 0) AS h FROM anchors a JOIN sn ON a.page_id = sn.page_id AND a.href = sn.href)
+    f"""WITH {ANCHORS}, sn AS (SELECT page_id, elem_ord AS k, CASE WHEN elem_ord % 6 = 0 THEN '' ELSE href END AS href, label, length(label) * 8 AS w FROM anchors WHERE elem_ord % 2 = 0),
+    m AS (SELECT a.page_id, a.elem_ord AS ord, min(sn.k) AS k FROM anchors a JOIN sn ON a.page_id = sn.page_id AND (sn.href <> '' AND {_AP.format("a.href")} = {_AP.format("sn.href")} OR sn.label <> '' AND sn.label = a.label) GROUP BY ALL),
+    bx AS (SELECT m.page_id, ord, m.k AS snap, greatest(m.k * 150 - 4, 0) AS x, greatest(m.k * 20 - 4, 0) AS y, least(m.k * 150 + sn.w + 4, 900) - greatest(m.k * 150 - 4, 0) AS w, least(m.k * 20 + 20, 600) - greatest(m.k * 20 - 4, 0) AS h FROM m JOIN sn ON sn.page_id = m.page_id AND sn.k = m.k)
     SELECT * FROM bx WHERE w > 0 AND h > 0""",
 )
 register(

@@ -14,7 +14,7 @@ from sightline.plans.markup_queries import NAVIGATION, OUTCOMES, SEMANTIC, TX, o
 from sightline.plans.log_queries import LOG
 from sightline.plans.registry import register
 from sightline.plans.url_queries import ANCHORS, HOST
-from sightline.plans.web import WHOLE
+from sightline.plans.web import THOST, WHOLE
 from sightline.sources import cases as src, read_table
 from sightline.streaming.log import shared_folder
 
@@ -60,25 +60,26 @@ register("obs_redirect_targets", lambda s, d: _redirects(s, d).select("page_id",
 
 
 def _responses(s, d):
-    """A search response for each host, as JSON."""
-    one = F.struct(F.struct(F.when(F.col("page_id") % 3 == 0, F.col("page_id").cast("string")).alias("uuid"), F.col("target").alias("url")).alias("task"), F.struct(F.col("target").alias("url")).alias("page"))
-    rows = _out(s, d, 1).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("page_id", one.alias("r")))).alias("l"))
-    return rows.select("case_id", F.to_json(F.struct(F.col("l.r").alias("results"))).alias("json"))
+    """A search response for each host, as JSON: a result for each of its pages, and before those of every third page a row that is no object."""
+    one = F.to_json(F.struct(F.struct(F.when(F.col("page_id") % 3 == 0, F.col("page_id").cast("string")).alias("uuid"), F.col("target").alias("url")).alias("task"), F.struct(F.col("target").alias("url")).alias("page")))
+    rows = _out(s, d, 1).withColumn("t", F.when(F.col("page_id") % 3 == 1, F.concat(F.lit('"none",'), one)).otherwise(one))
+    rows = rows.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "t"))), lambda x: x["t"]), ",").alias("l"))
+    return rows.select("case_id", F.concat(F.lit('{"results":['), "l", F.lit("]}")).alias("json"))
 
 
-SEARCH = f"{PG}, k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY page_id) AS n FROM {OUT(1)}), sr AS (SELECT case_id, CASE WHEN page_id % 3 = 0 THEN page_id::VARCHAR ELSE 'result-' || lpad(n::VARCHAR, 4, '0') END AS result, p AS place, target, host FROM k, (VALUES ('task'), ('page')) v(p) WHERE n <= 3)"
-register("read_search_results", lambda s, d: leads.parse_search_results(_responses(s, d), 3), f"WITH {SEARCH} SELECT case_id, result, place, target FROM sr")
+SEARCH = f"""{PG}, k0 AS (SELECT case_id, page_id, target, host, 1 AS obj FROM {OUT(1)} UNION ALL SELECT case_id, page_id, NULL, NULL, 0 FROM {OUT(1)} WHERE page_id % 3 = 1), k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY page_id, obj) AS n FROM k0),
+  sr AS (SELECT case_id, CASE WHEN page_id % 3 = 0 THEN page_id::VARCHAR ELSE 'result-' || lpad(n::VARCHAR, 4, '0') END AS result, p AS place, target, host FROM k, (VALUES ('task'), ('page')) v(p) WHERE n <= 3 AND obj = 1),
+  sw AS (SELECT case_id, count(*) AS n, count(*) FILTER (obj = 0 AND n <= 3) AS odd FROM k GROUP BY case_id)"""
+register(
+    "read_search_results",
+    lambda s, d: leads.parse_search_results(_responses(s, d), 3).unionByName(leads.search_warnings(_responses(s, d), 3).select("case_id", F.lit(None).cast("string").alias("result"), F.lit("warning").alias("place"), F.col("warning").alias("target"))),
+    f"WITH {SEARCH} SELECT case_id, result, place, target FROM sr UNION ALL SELECT case_id, NULL, 'warning', 'truncated_to_3_of_' || n FROM sw WHERE n > 3 UNION ALL SELECT case_id, NULL, 'warning', 'ignored_rows_' || odd FROM sw WHERE odd > 0",
+)
 register(
     "search_candidates",
     lambda s, d: leads.search_candidates(leads.parse_search_results(_responses(s, d), 3), _sources(s, d)).select("case_id", "result", "place", "host", "excluded", "weight"),
     f"WITH {SEARCH} SELECT case_id, result, place, host, CASE WHEN host = case_id THEN 'same_observed_host_as_source' END AS excluded, CASE WHEN host = case_id THEN 0 ELSE 5 END AS weight FROM sr",
 )
-register("frontier_promotion", lambda s, d: leads.frontier_promotion(_out(s, d, 1), _known(s, d)).select("page_id", "host", "known"), f"WITH {PG} SELECT page_id, host, true AS known FROM {OUT(1)} WHERE host IN (SELECT h FROM pg WHERE page_id % 2 = 0)")
-register(
-    "destination_projection",
-    lambda s, d: leads.destination_projection(_out(s, d, 1), _redirects(s, d), _known(s, d)).select("case_id", "host", "n_urls", "by_redirect", "known"),
-    f"WITH {PG}, r AS (SELECT case_id, target, host, false AS rd FROM {OUT(1)} UNION ALL SELECT case_id, target, host, true FROM {OUT(2)}) SELECT case_id, host, count(DISTINCT target) AS n_urls, bool_or(rd) AS by_redirect, host IN (SELECT h FROM pg WHERE page_id % 2 = 0) AS known FROM r GROUP BY case_id, host",
-)
 
 
 TILES = "CAST(page_id % 13 AS DOUBLE) / 50.0"
@@ -133,6 +134,50 @@ register(
 )
 
 
+PARTNERS = ("partner0.example.net", "partner3.example.net")
+
+
+def _partners(s, d):
+    return s.createDataFrame([(h,) for h in PARTNERS], "host string")
+
+
+def _targets(s, d):
+    return markup.anchor_links(markup.anchors(b.nodes(s, d)))
+
+
+def _promoted(s, d):
+    shots = _tiers(s, d).select("page_id", "tier", F.when(F.col("page_id") % 4 != 3, "shot").alias("screenshot"))
+    return leads.frontier_promotion(_targets(s, d).select("case_id", "page_id", "target"), _partners(s, d), shots)
+
+
+_KNOWN = ", ".join(f"'{h}'" for h in PARTNERS)
+register(
+    "frontier_promotion",
+    lambda s, d: _promoted(s, d).select("page_id", "host", "target", "known", "confidence", "strength", "limitation"),
+    f"""WITH {LAST} SELECT page_id, {THOST} AS host, target, true AS known, CASE WHEN tier = 'verified' THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS confidence, CASE WHEN tier = 'verified' THEN 'strong' ELSE 'moderate' END AS strength,
+    CASE WHEN tier <> 'verified' THEN 'direct_anchor_from_provisional_or_withheld_semantic_capture' END AS limitation FROM anchors JOIN ti USING (page_id) WHERE {THOST} IN ({_KNOWN}) AND page_id % 4 <> 3""",
+)
+
+
+def _destinations(s, d):
+    """Links in pages as frontier, redirects after them; other partner hosts are candidates."""
+    links = _targets(s, d).select("case_id", (F.col("page_id") * 100000 + F.col("ord")).alias("ord"), "target", F.lit(False).alias("redirect"))
+    moved = _out(s, d, 2).select("case_id", (F.col("page_id") + F.lit(1 << 50)).alias("ord"), "target", F.lit(True).alias("redirect"))
+    odd = _targets(s, d).filter(F.col("host").rlike("^partner[14]")).select("case_id", "host")
+    known = _partners(s, d).unionByName(b.pages(s, d).filter("page_id % 2 = 0").select(urls.bare_host(F.col("url")).alias("host")))
+    return leads.destination_projection(links.unionByName(moved), known, odd)
+
+
+register(
+    "destination_projection",
+    lambda s, d: _destinations(s, d).withColumn("urls", F.array_join("urls", " ")),
+    f"""WITH {ANCHORS}, {PG}, ds AS (SELECT case_id, page_id * 100000 + elem_ord AS o, target, {THOST} AS host, false AS rd FROM anchors WHERE target IS NOT NULL UNION ALL SELECT case_id, page_id + {1 << 50}, target, host, true FROM {OUT(2)}),
+    db AS (SELECT *, regexp_replace(host, '^www[.]', '') AS h FROM ds), gr AS (SELECT case_id, h AS host, arg_min(target, o) AS url, array_to_string(list_sort(list(DISTINCT target)), ' ') AS urls, count(*) AS n_sources, bool_or(rd) AS redirect FROM db WHERE h <> regexp_replace(case_id, '^www[.]', '') GROUP BY case_id, h),
+    kn AS (SELECT *, host IN ({_KNOWN}) OR host IN (SELECT regexp_replace(h, '^www[.]', '') FROM pg WHERE page_id % 2 = 0) AS known FROM gr)
+    SELECT case_id, host, CASE WHEN redirect THEN 'redirect_target' WHEN known THEN 'external_destination' ELSE 'candidate_domain' END AS kind, CASE WHEN known THEN 'collected' ELSE 'lead' END AS status, url, urls, n_sources, redirect, known FROM kn WHERE known OR regexp_matches(host, '^partner[14][.]')""",
+)
+
+
 def _exclusions(s, d):
     """One record for each case and month of capture: its host as source, the state of its captures and of its stored markup."""
     rows = _tiers(s, d).join(b.pages(s, d).select("page_id", "case_id", "url", "html"), "page_id").join(verified(s, d), "page_id")
@@ -210,14 +255,6 @@ def _report(s, d):
     return src.report_lines(log.groupBy("run_id").agg(F.count("*").alias("n_events")), log.filter("kind = 'purchase'"), log, 50)
 
 
-register(
-    "export_run_report",
-    _report,
-    f"""WITH {LOG} SELECT run_id, 0 AS section, 0 AS ord, '# Run ' || run_id || ': ' || count(*) || ' events' AS line FROM log GROUP BY run_id UNION ALL SELECT run_id, 1, sequence, '- ' || kind FROM log WHERE kind = 'purchase'
-    UNION ALL SELECT run_id, 2, sequence, sequence || ' ' || kind FROM log WHERE sequence <= 50""",
-)
-
-
 def _ocr(s, d):
     """Words of benchmark passages as OCR words, eight to a line."""
     rows = read_table(s, d, "benchmark").select(F.col("item_id").alias("page_id"), F.posexplode(F.split("text", r"\s+")).alias("k", "text"))
@@ -234,23 +271,50 @@ register(
 )
 
 
+def _report_file(s, d):
+    """The report of each run, written as JSON lines and read back."""
+    folder = f"{shared_folder(s)}/report-{uuid.uuid4().hex}"
+    lines = _report(s, d)
+    src.write_report(lines, folder)
+    return s.read.schema(lines.schema).json(folder)
+
+
+register(
+    "export_run_report",
+    _report_file,
+    f"""WITH {LOG} SELECT run_id, 0 AS section, 0 AS ord, '# Run ' || run_id || ': ' || count(*) || ' events' AS line FROM log GROUP BY run_id UNION ALL SELECT run_id, 1, sequence, '- ' || kind FROM log WHERE kind = 'purchase'
+    UNION ALL SELECT run_id, 2, sequence, sequence || ' ' || kind FROM log WHERE sequence <= 50""",
+)
+
+
 def _catalog(s, d):
-    known = b.pages(s, d).select("case_id", F.concat(F.lit("Case "), "case_id").alias("title")).distinct()
-    runs = b.pages(s, d).filter("page_id % 4 = 0").select(F.col("page_id").cast("string").alias("run_id"), "case_id", F.when(F.col("page_id") % 8 == 0, "completed").otherwise("running").alias("state"))
-    return leads.case_catalog(known, runs)
+    at = F.col("page_id")
+    known = b.pages(s, d).groupBy("case_id").agg(F.max("page_id").alias("at")).withColumn("title", F.concat(F.lit("Case "), "case_id"))
+    runs = b.pages(s, d).filter("page_id % 4 = 0").select(at.cast("string").alias("run_id"), "case_id", F.when(at % 8 == 0, "completed").otherwise("running").alias("state"), at.alias("at"))
+    return leads.case_catalog(known, runs, "completed", "ORG").unionByName(leads.case_catalog(known, runs, "stored", by_time=True))
 
 
-register("case_catalog", _catalog, f"WITH {PG} SELECT 'Case ' || h AS name, 'run' AS kind, CASE WHEN page_id % 8 = 0 THEN 'completed' ELSE 'running' END AS state FROM pg WHERE page_id % 4 = 0 UNION ALL SELECT DISTINCT 'Case ' || h, 'case', 'stored' FROM pg WHERE h NOT IN (SELECT h FROM pg WHERE page_id % 4 = 0)")
+register("case_catalog", _catalog, f"WITH {PG} SELECT 'Case ' || h AS name, 'run' AS kind, 'completed' AS state, page_id AS at FROM pg WHERE page_id % 8 = 0 AND contains(lower('Case ' || h), 'org') UNION ALL SELECT 'Case ' || h, 'case', 'stored', max(page_id) FROM pg WHERE h NOT IN (SELECT h FROM pg WHERE page_id % 4 = 0) GROUP BY h")
 
 
 def _node_links(s, d):
-    pages = b.pages(s, d)
-    nodes = pages.filter("page_id % 2 = 0").select("case_id", F.col("url").alias("label"), F.concat(F.lit("page:"), F.lpad(F.col("page_id").cast("string"), 9, "0")).alias("node_id"))
-    return leads.observation_node_link(pages.select("case_id", F.col("page_id").alias("observation_id"), F.col("url").alias("value")), nodes)
+    """Observations of each host against nodes made of its claim groups, its first contacts and the hosts that it links to."""
+    rows = semantic(s, d).join(b.pages(s, d).select("page_id", "case_id"), "page_id").withColumn("observation_id", F.concat(F.col("page_id").cast("string"), F.lit("/"), "observation_id"))
+    t = F.col("observation_type")
+    claims = rows.filter(t.isin("public_payment_method", "public_payment_provider")).groupBy("case_id").agg(F.concat(F.lit("Payment Indicators · "), F.array_join(F.array_sort(F.collect_set("value")), ", ")).alias("label")).withColumn("node_id", F.lit("claim:payment"))
+    mails = rows.filter(t == "public_email_address").select("case_id", F.col("value").alias("label"), F.concat(F.lit("contact:"), "value").alias("node_id")).distinct()
+    hosts = rows.filter(t == "public_outgoing_link").select("case_id", urls.host(F.col("value")).alias("label")).distinct().withColumn("node_id", F.concat(F.lit("destination:"), "label"))
+    nodes = claims.select("case_id", "label", "node_id").unionByName(mails).unionByName(hosts)
+    return leads.observation_node_link(rows.select("case_id", "observation_id", "value"), nodes)
 
 
 register(
     "observation_node_link",
     _node_links,
-    f"WITH {PG}, n AS (SELECT h, url, 'page:' || lpad(page_id::VARCHAR, 9, '0') AS node FROM pg WHERE page_id % 2 = 0), m AS (SELECT h, min(node) AS node FROM n GROUP BY h) SELECT page_id AS observation_id, coalesce((SELECT min(node) FROM n WHERE n.h = pg.h AND n.url = pg.url), m.node) AS node_id, CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.h = pg.h AND n.url = pg.url) THEN 0 ELSE 1 END AS rank FROM pg JOIN m USING (h)",
+    f"""WITH {SEMANTIC}, o AS (SELECT {HOST} AS case_id, page_id || '/observation-' || lpad(place::VARCHAR, 4, '0') AS observation_id, observation_type AS t, value FROM sem JOIN pages USING (page_id)),
+    pay AS (SELECT DISTINCT case_id, value FROM o WHERE t IN ('public_payment_method', 'public_payment_provider')), x AS (SELECT observation_id, 'contact:' || value AS node_id, 0 AS rank FROM o WHERE t = 'public_email_address'
+      UNION ALL SELECT observation_id, 'claim:payment', 1 FROM o JOIN pay USING (case_id, value) UNION ALL SELECT observation_id, 'destination:' || regexp_extract(value, '^[a-z]+://([^/?#:]*)', 1), 2 FROM o WHERE t IN ('public_outgoing_link', 'public_download_destination')
+      UNION ALL SELECT observation_id, 'destination:wa.me', 2 FROM o WHERE t = 'public_whatsapp_link' AND starts_with(value, 'https://wa.me/') AND (case_id, 'wa.me') IN (SELECT case_id, regexp_extract(value, '^[a-z]+://([^/?#:]*)', 1) FROM o WHERE t = 'public_outgoing_link')
+      UNION ALL SELECT observation_id, 'destination:api.whatsapp.com', 2 FROM o WHERE t = 'public_whatsapp_link' AND starts_with(value, 'https://api.whatsapp.com/'))
+    SELECT observation_id, arg_min(node_id, (rank, node_id)) AS node_id, min(rank) AS rank FROM x GROUP BY observation_id""",
 )

@@ -33,3 +33,8 @@ def report_lines(header: DataFrame, assertions: DataFrame, events: DataFrame, mo
     b = assertions.select("run_id", F.lit(1).alias("section"), F.col("sequence").alias("ord"), F.concat(F.lit("- "), "kind").alias("line"))
     c = events.filter(F.col("sequence") <= most).select("run_id", F.lit(2).alias("section"), F.col("sequence").alias("ord"), F.concat_ws(" ", F.col("sequence").cast("string"), "kind").alias("line"))
     return a.unionByName(b).unionByName(c)
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """Report lines as JSON lines, the lines of a run together and in order."""
+    lines.repartition("run_id").sortWithinPartitions("run_id", "section", "ord").write.mode("errorifexists").json(path)
