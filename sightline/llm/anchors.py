@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sightline.llm.common import slices, text_buffers
+from sightline.llm.common import release, slices, text_buffers
 
 ANCHORS = 1 << 20  # about as many meet in a bucket at most
 NO_ID = np.int64((1 << 63) - 1)
@@ -80,13 +80,13 @@ def places(data: np.ndarray, offsets: np.ndarray, units: Units, window: int, k:
             h, row, place, size = units(data[c:d], own)
             at = minimizers(h, window - k + 1)
             at = at[size[row[at]] >= window]
-            for x, y in zip(out, (h[at], row[at] + a, place[at] + (c - begin)), strict=True):
+            for x, y in zip(out, (h[at], (row[at] + a).astype(np.int32), (place[at] + (c - begin)).astype(np.int32)), strict=True):
                 x.append(y)
             if d == end:
                 break
-    h, row, place = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out)
+    h, row, place = (np.concatenate(x) if x else np.zeros(0, dtype=t) for x, t in zip(out, (np.uint64, np.int32, np.int32), strict=True))
     if len(row) and pieces:  # two pieces may name the same place
-        key = row * np.int64(1 << 32) + place
+        key = row.astype(np.int64) * np.int64(1 << 32) + place
         if (key[1:] <= key[:-1]).any():
             keep = np.unique(key, return_index=True)[1]
             h, row, place = h[keep], row[keep], place[keep]
@@ -119,25 +119,27 @@ def _send(units: Units, window: int, k: int, buckets: int, bits: int, pieces: bo
         for batch in batches:
             rids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             h, row, place = places(*text_buffers(batch.column(2)), units, window, k, pieces)
-            row, place = row.astype(np.int64), place.astype(np.int32)
-            h = h >> np.uint64(64 - bits)
+            h >>= np.uint64(64 - bits)
             order = np.argsort(h, kind="stable")
             h, row, place = h[order], row[order], place[order]
-            rid, key = rids[row], keys[row]
+            del order
             first = groups_of(h)
             several = np.zeros(0, dtype=bool)
             if len(first):
+                key = keys[row]
                 several = np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)
+                del key
             size = np.diff(np.append(first, len(h)))
             known = np.repeat(several, size)
             lead = np.zeros(len(h), dtype=bool)
             lead[first] = True
             sent = ~known | lead  # a k-gram known to repeat: one entry, without a place
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            bucket, rid = (h % np.uint64(buckets)).astype(np.int32), rids[row]
+            del row
             out: list[tuple[int, int, bytes]] = []
             for way, mask in ((0, sent), (1, known)):
                 at = np.flatnonzero(mask)
-                to = bucket[at] if way == 0 else (rid[at] % buckets)
+                to = bucket[at] if way == 0 else (rid[at] % buckets).astype(np.int32)
                 at = at[np.argsort(to, kind="stable")]
                 to = bucket[at] if way == 0 else (rid[at] % buckets)
                 bounds = np.append(groups_of(to), len(at))
@@ -146,6 +148,8 @@ def _send(units: Units, window: int, k: int, buckets: int, bits: int, pieces: bo
                     steps = np.diff(h[s], prepend=np.uint64(0)) if way == 0 else np.zeros(0, dtype=np.uint64)
                     out.append((int(to[a]), way, pack(steps, rid[s], np.where(known[s], -1, place[s]).astype(np.int32) if way == 0 else place[s])))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "way", "blob"])
+            del h, place, rid, bucket, known, sent, lead, out
+            release()
 
     return run
 

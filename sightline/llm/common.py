@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,16 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[c for name in columns for c in (F.col(name).isNull(), F.col(name))])
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system, so that a Python worker, which lives for many tasks, holds what one batch needs."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (the splitmix64 finalizer)."""
     x = (x ^ (x >> np.uint64(30))) * MIX1

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sightline.llm.anchors import SPANS, by_bucket, covered, groups_of, keyed, once_each, pack, precedence, repeated_anchors, shuffled, span_batch, span_lists, unpack, with_spans
-from sightline.llm.common import _powers, mix64, slices, text_buffers
+from sightline.llm.common import _powers, mix64, release, slices, text_buffers
 
 WINDOW = 50
 K = 20
@@ -26,7 +26,7 @@ LEFT = WINDOW - K
 WIDTH = WINDOW + LEFT
 PAD = 0xFF  # in no UTF-8 text
 BUCKET_BYTES = 14_000_000
-SLICE = 12 << 20
+SLICE = 8 << 20
 CHUNK = 8192
 
 
@@ -128,6 +128,7 @@ def _runs(buckets: int):
                     blob = pack(shared[own].astype(np.uint8), np.frombuffer(front_code(x[own], shared[own]), dtype=np.uint8), after[own].astype(np.uint8), before[own].astype(np.uint8), key[own], sizes.astype(np.int32), tags[row[k]], place[k].astype(np.int32))
                     out.append((int(bucket[c]), 0, blob))
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "way", "blob"])
+            release()
 
     return run
 
