@@ -71,3 +71,23 @@ def test_rows_are_judged_by_their_text_and_not_their_id(spark, tmp_path):
     # one source of weight 5 and 1.5 times its words: each row stays once or twice, with or without an id
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect())
     assert set(got) == set(data)
+
+
+def test_odd_tables_pass_all_stages(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, a long text and columns with the names that stages use inside; then no rows at all."""
+    rng = random.Random(4)
+    spark.createDataFrame([(1, cases.prose(rng, "en", 30)), (2, None), (None, "tiny item of text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, group string, first int, mixed string, times int, turn int, slot int, shard int, size long"
+    rows = [(k if k % 7 else None, cases.prose(rng, "en" if k % 2 else "de", 40), ("en" if k % 2 else "de") if k % 5 else None, f"s{k % 3}" if k % 4 else None, k, *[None if k % 6 == 0 else v for v in (1, "g", 2, "m", 3, 4, 5, 6, 7)]) for k in range(40)]
+    rows += [(100, None, *[None] * 12), (101, "", *[None] * 12), (None, None, *[None] * 12), rows[3], rows[3], rows[0], (102, cases.prose(rng, "en", 6000), "en", "s1", *[None] * 10)]
+    for data in (rows, []):
+        docs = first = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert sorted(out.columns) == sorted(docs.columns) and out.columns[: len(docs.columns) - 2 * (name == "sharding")] == [c for c in docs.columns if name != "sharding" or c not in ("slot", "shard")]
+            folder = f"{tmp_path}/odd-{len(data)}-{name}"
+            out.write.parquet(folder)
+            docs = spark.read.parquet(folder)
+        got = docs.collect()
+        assert {(r.doc_id, r.text) for r in got} <= {(r.doc_id, r.text) for r in first.collect()} and bool(got) == bool(data)
+        assert not data or {r.doc_id for r in got} > {None, 102}
