@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from sightline.functions import urls
 from sightline.operators import html, markup
 from sightline.plans.web import WEB_HTML
 from sightline.sources import read_table
+from sightline.streaming.log import shared_folder
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
@@ -20,8 +23,17 @@ def web(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).withColumn("html", F.expr(WEB_HTML))
 
 
+_NODES: dict[tuple[str, str], str] = {}
+
+
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    return html.nodes(web(spark, d))
+    """The node table of ``web``: parsed once in an application and kept as a table in the shared folder, which all queries read."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _NODES:
+        folder = f"{shared_folder(spark)}/nodes-{uuid.uuid4().hex}"
+        html.nodes(web(spark, d)).write.parquet(folder)
+        _NODES[key] = folder
+    return spark.read.parquet(_NODES[key])
 
 
 def anchors(spark: SparkSession, d: str) -> DataFrame:
