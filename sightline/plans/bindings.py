@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
@@ -23,17 +24,22 @@ def web(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).withColumn("html", F.expr(WEB_HTML))
 
 
-_NODES: dict[tuple[str, str], str] = {}
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def kept(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that many queries read: built once in an application and kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _KEPT:
+        folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        build().write.parquet(folder)
+        _KEPT[key] = folder
+    return spark.read.parquet(_KEPT[key])
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The node table of ``web``: parsed once in an application and kept as a table in the shared folder, which all queries read."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _NODES:
-        folder = f"{shared_folder(spark)}/nodes-{uuid.uuid4().hex}"
-        html.nodes(web(spark, d)).write.parquet(folder)
-        _NODES[key] = folder
-    return spark.read.parquet(_NODES[key])
+    """The node table of ``web``: pages are parsed once."""
+    return kept(spark, d, "nodes", lambda: html.nodes(web(spark, d)))
 
 
 def anchors(spark: SparkSession, d: str) -> DataFrame:

@@ -43,7 +43,7 @@ ENTITIES = f"""{A}, {TX}, {TG}, {WA}, {RF}, {ASSET_SQL}, en AS (SELECT DISTINCT
   UNION ALL SELECT page_id, 'page_title', replace(lower({TITLE}), 'ß', 'ss') FROM web UNION ALL SELECT page_id, CASE WHEN {THOST} = case_id THEN 'internal_link' ELSE 'external_link' END, target FROM anchors
   UNION ALL SELECT page_id, 'referenced_domain', {THOST} FROM anchors UNION ALL SELECT page_id, 'telegram', value FROM tgs UNION ALL SELECT page_id, 'whatsapp_or_phone', value FROM was UNION ALL SELECT page_id, 'referral', value FROM rfs
   UNION ALL SELECT page_id, type, value FROM asg) WHERE value <> '')"""
-entities = lambda s, d: markup.entities(b.web(s, d), b.nodes(s, d))
+entities = lambda s, d: b.kept(s, d, "entities", lambda: markup.entities(b.web(s, d), b.nodes(s, d)))
 register("extract_entities", lambda s, d: entities(s, d).select("page_id", "entity_id", "type", "value"), f"WITH {ENTITIES} SELECT page_id, 'entity-' || lpad((row_number() OVER (PARTITION BY page_id ORDER BY type, value))::VARCHAR, 3, '0') AS entity_id, type, value FROM en")
 _CASE = "regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1)"
 register("entity_type_counts", lambda s, d: entities(s, d).join(b.pages(s, d).select("page_id", "case_id"), "page_id").groupBy("case_id", "type").agg(F.count("*").alias("n")), f"WITH {ENTITIES} SELECT {_CASE} AS case_id, type, count(*) AS n FROM en JOIN pages USING (page_id) GROUP BY ALL")
@@ -89,7 +89,7 @@ SEMANTIC = f"""{A}, {TX}, {BRAND}, {MSG}, {PRM}, {TOB}, se0 AS (SELECT page_id,
   UNION ALL SELECT page_id, observation_type, value, 1, ord, sub FROM msg UNION ALL SELECT page_id, 'public_download_destination', target, 1, elem_ord, 3 FROM anchors WHERE download UNION ALL SELECT page_id, observation_type, value, 1, ord, sub FROM prm UNION ALL SELECT page_id, observation_type, value, stage, ord, 0 FROM tob),
   se1 AS (SELECT *, row_number() OVER (PARTITION BY page_id, observation_type, value ORDER BY stage, ord, sub) AS nth FROM se0 WHERE value <> ''),
   sem AS (SELECT * FROM (SELECT page_id, observation_type, value, row_number() OVER (PARTITION BY page_id ORDER BY stage, ord, sub) AS place FROM se1 WHERE nth = 1) WHERE place <= 500)"""
-semantic = lambda s, d: markup.semantic_observations(b.nodes(s, d))
+semantic = lambda s, d: b.kept(s, d, "observations", lambda: markup.semantic_observations(b.nodes(s, d)))
 register("semantic_observations", lambda s, d: semantic(s, d).select("page_id", "observation_id", "observation_type", "value"), f"WITH {SEMANTIC} SELECT page_id, 'observation-' || lpad(place::VARCHAR, 4, '0') AS observation_id, observation_type, value FROM sem")
 register("distinct_observations", lambda s, d: ob.distinct_observations(semantic(s, d), "page_id", "observation_id").select("page_id", "observation_id", "observation_type", "value"), f"WITH {SEMANTIC} SELECT page_id, 'observation-' || lpad(place::VARCHAR, 4, '0') AS observation_id, observation_type, value FROM (SELECT *, row_number() OVER (PARTITION BY observation_type, value ORDER BY page_id, place) AS k FROM sem) WHERE k = 1")
 _IND = [(t, g) for g, v in ob.INDICATORS.items() for t in v]
@@ -145,7 +145,7 @@ def captures(s, d):
 
 
 def outcomes(s, d):
-    return cases.capture_outcome(captures(s, d))
+    return b.kept(s, d, "outcomes", lambda: cases.capture_outcome(captures(s, d)))
 
 
 _NORM = lambda x: f"replace(lower(trim(regexp_replace(regexp_replace({x}, '[\\x00-\\x1F\\x7F]', ' ', 'g'), '\\s+', ' ', 'g'))), 'ß', 'ss')"
