@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sightline.llm import chat, decontaminate, language_id, mixing, near_dedup, oracles, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts
+from sightline.llm import chat, decontaminate, language_id, mixing, near_dedup, oracles, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, token_files
 from sightline.llm.common import materialize
 from sightline.sources import read_table
 
@@ -68,8 +68,16 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), size=2)
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    files = token_files.write_ids(docs)
+    places = token_files.lookup(token_files.keys_of(docs), token_files.build_index(spark, files))
+    found = token_files.fetch(places, files)
+    return found.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_sharding": op4_sharding, "op5_suffix_dedup": op5_suffix_dedup, "op6_language_id": op6_language_id, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op9_substring_dedup": op9_substring_dedup, "op10_near_dedup": op10_near_dedup, "pipeline": corpus_pipeline.run}
+    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_sharding": op4_sharding, "op5_suffix_dedup": op5_suffix_dedup, "op6_language_id": op6_language_id, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op9_substring_dedup": op9_substring_dedup, "op10_near_dedup": op10_near_dedup, "op11_token_ids": op11_token_ids, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
