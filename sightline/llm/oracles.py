@@ -96,3 +96,27 @@ reach AS (SELECT a AS id, a AS other FROM edge UNION SELECT reach.id, edge.b FRO
 c AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
 SELECT doc_id, len(g) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id IS NULL OR coalesce(component, doc_id) = doc_id AS kept FROM s LEFT JOIN c ON c.id = s.doc_id
 """
+
+
+def vector_codes(rounds: int = 4) -> str:
+    """Plain sums of squares over all entries, one CTE a step."""
+    square = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT"
+    sql = """WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda v: floor(1024 * v::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+part AS MATERIALIZED (SELECT rid, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, range(4) t(p)),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS j, x AS c FROM part WHERE rid <= 256)"""
+    for r in range(rounds + 1):
+        sql += f""",
+a{r} AS MATERIALIZED (SELECT rid, p, x, m % 256 AS j, m // 256 AS d FROM (SELECT rid, p, any_value(x) AS x, min({square} * 256 + j) AS m FROM part JOIN b{r} USING (p) GROUP BY rid, p))"""
+        if r < rounds:
+            sql += f""",
+m{r} AS (SELECT p, j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT p, j, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r}, unnest(range(1, len(x) + 1)) t(i) GROUP BY p, j, i) GROUP BY p, j),
+b{r + 1} AS MATERIALIZED (SELECT p, j, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (p, j))"""
+    return (
+        sql
+        + f""",
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM b{rounds}),
+code AS (SELECT rid, string_agg(printf('%02x', j), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN code USING (rid), book
+"""
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sightline.llm import chat, decontaminate, language_id, mixing, near_dedup, oracles, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, token_files
+from sightline.llm import chat, decontaminate, language_id, mixing, near_dedup, oracles, periodic_runs, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, token_files, vector_codes
 from sightline.llm.common import materialize
 from sightline.sources import read_table
 
@@ -76,12 +76,21 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(read_table(spark, sf_dir, "documents"), prepare=periodic_runs.repeated_tail))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_sharding": op4_sharding, "op5_suffix_dedup": op5_suffix_dedup, "op6_language_id": op6_language_id, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op9_substring_dedup": op9_substring_dedup, "op10_near_dedup": op10_near_dedup, "op11_token_ids": op11_token_ids, "pipeline": corpus_pipeline.run}
+    return {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op3_chat": op3_chat, "op4_sharding": op4_sharding, "op5_suffix_dedup": op5_suffix_dedup, "op6_language_id": op6_language_id, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op9_substring_dedup": op9_substring_dedup, "op10_near_dedup": op10_near_dedup, "op11_token_ids": op11_token_ids, "op12_vector_codes": op12_vector_codes, "op13_periodic_runs": op13_periodic_runs, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": oracles.MIX, "op3_chat": oracles.CHAT, "op5_suffix_dedup": oracles.SUFFIX_DEDUP, "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
-        "op10_near_dedup": oracles.NEAR_DEDUP,
+        "op10_near_dedup": oracles.NEAR_DEDUP, "op12_vector_codes": oracles.vector_codes(),
     }

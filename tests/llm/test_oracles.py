@@ -12,7 +12,7 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_oracle(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     frame = queries.queries()[name](spark, FOLDER)
     result = db.execute(queries.oracle_sql()[name])
