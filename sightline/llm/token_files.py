@@ -15,6 +15,7 @@ bijection, and nth, so that no absent key is taken for another), the shard and t
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -43,56 +44,106 @@ GAMMA = 2  # bits of a level by keys that reach it
 # A pre-token of byte-level vocabularies never holds white space after another character, so texts can be cut here.
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 PUNCTUATION = ".,;:!?"
+LINE = "\x00"
 
 
 class Encoder:
-    """Ids of whole texts as bytes. A text is cut before white space, where no pre-token can go on, and what a worker has seen before comes from
-    a bounded cache. A key with a space in front stands for the string behind it, any other key for itself after a space."""
-
-    def __init__(self, tokenizer, width: str):
-        self.tokenizer, self.width, self.known = tokenizer, width, {" ": b""}
-
-    def _learn(self, keys: set[str]) -> list[str]:
-        """Encodes the keys, and gives all long strings that are known now; a plain word before punctuation, or lines within a key, are pieces of
-        their own."""
-        parts = {}
-        for key in keys:
-            word = key.rstrip(PUNCTUATION)
-            if key[0] == " ":
-                parts[key] = [key]
-            elif "\n" in key:
-                first, *rest = CUT.split(" " + key)
-                parts[key] = [first[1:], *(" " + p for p in rest)]
+    """Ids of whole texts as bytes. A text is cut before white space, where no pre-token can go on; plain words are told apart from what follows
+    them, and their ids are kept, in two generations of a bounded size of which the older is dropped.
+
+    Pieces are named so that most are parts of the text as they are: " " and a string is that string, LINE and a string is that string after a
+    line feed, any other name is that string after a space."""
+
+    def __init__(self, model: bytes, width: str):
+        import tokenizers
+
+        self.width, self.known, self.older, self.tails = width, {" ": b""}, {}, {}
+        self.whole, self.words = tokenizers.Tokenizer.from_buffer(model), tokenizers.Tokenizer.from_buffer(model)
+        # a plain word is one pre-token, so many of them, one a line, need no pattern
+        lines = tokenizers.pre_tokenizers.Split("\n", "isolated")
+        self.words.pre_tokenizer = tokenizers.pre_tokenizers.Sequence([lines, tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        (self.line,) = self.whole.encode("\n", add_special_tokens=False).ids
+        self.feed = self._ids(["\n"])[0]
+
+    def _ids(self, strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.width).tobytes() for e in self.whole.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _word_ids(self, strings: list[str]) -> list[bytes]:
+        """Ids of plain words, each with or without a space before it."""
+        size, out = int(self.width[2]), []
+        for k in range(0, len(strings), 1024):
+            ids = np.array(self.words.encode_batch_fast(["\n".join(strings[k : k + 1024])], add_special_tokens=False)[0].ids, dtype=self.width)
+            data, ends = ids.tobytes(), [*np.flatnonzero(ids == self.line).tolist(), len(ids)]
+            out += [data[size * begin : size * end] for begin, end in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+        return out
+
+    def _learn(self, names: set[str]) -> list[str]:
+        """Puts the ids of the pieces into ``known``; gives the long ones among them."""
+        known, older, tailed, lines, words, rest = self.known, self.older, [], [], [], []
+        for name in names:
+            if name in older:
+                known[name] = older[name]
+                continue
+            word = name.rstrip(PUNCTUATION)
+            if len(word) < len(name) and word[word[:1] in (" ", LINE) :].isalpha():
+                tailed.append((name, word))
             else:
-                parts[key] = [word, " " + key[len(word) :]] if word != key and word.isalpha() else [key]
-        todo = sorted({p for ps in parts.values() for p in ps} - self.known.keys())
-        found = self.tokenizer.encode_batch_fast([p[1:] if p[0] == " " else " " + p for p in todo], add_special_tokens=False)
-        for piece, e in zip(todo, found, strict=True):
-            self.known[piece] = np.array(e.ids, dtype=self.width).tobytes()
-        for key, ps in parts.items():
-            self.known[key] = b"".join(map(self.known.__getitem__, ps))
-        return [k for k in {*todo, *parts} if len(k) > LONG]
+                word = name
+            if word[0] == LINE:
+                lines.append(word)
+                word = " " + word[1:]
+            if word not in known:
+                string = word[1:] if word[0] == " " else " " + word
+                (words if len(string) <= LONG and string[string[0] == " " :].isalpha() else rest).append(word)
+        for names_, ids in ((words, self._word_ids), (rest, self._ids)):
+            names_ = list(dict.fromkeys(names_))
+            known.update(zip(names_, ids([n[1:] if n[0] == " " else " " + n for n in names_]), strict=True))
+        for name in lines:
+            known[name] = self.feed + known[" " + name[1:]]
+        for name, word in tailed:
+            tail = name[len(word) :]
+            if tail not in self.tails:
+                if len(self.tails) > CACHE >> 4:
+                    self.tails.clear()
+                self.tails[tail] = self._ids([tail])[0]
+            known[name] = known[word] + self.tails[tail]
+        return [n for n in (*names, *rest, *lines) if len(n) > LONG]
+
+    def _slow(self, text: str) -> list[str]:
+        """The pieces of any text."""
+        name = lambda p: p[1:] if p[0] == " " and p[1:2] not in ("", " ", LINE) and not p[1].isspace() else " " + p
+        return [name(p) for p in CUT.split(text) if p]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
-            self.known = {" ": b""}
-        rows = [t.split(" ") for t in texts]
-        for row in rows:
-            row[0] = " " + row[0]
-        new = set().union(*rows) - self.known.keys()
-        # an empty part, or one that ends with white space, does not end where a pre-token ends
-        odd = {p for p in new if not p or p[-1].isspace()}
+            self.known, self.older = {" ": b""}, self.known
+        known = self.known
+        rows = [t.replace("\n", " " + LINE).split(" ") for t in texts]
+        for k, row in enumerate(rows):
+            row[0] = " " + row[0] if row[0][:1] != LINE else row[0]
+            if row[-1] == LINE:
+                row[-1] = " \n"
+            if LINE in texts[k]:
+                rows[k] = self._slow(texts[k])
+        ids = [list(map(known.get, row)) for row in rows]
+        new = {name for row, own in zip(rows, ids, strict=True) if None in own for name, v in zip(row, own, strict=True) if v is None}
+        # a part that is empty, or ends with white space, does not end where a pre-token ends
+        odd = {p for p in new if not p or p == LINE or p[-1].isspace()} - {" \n"}
+        new -= odd
         if odd:
-            new -= odd
             for k, row in enumerate(rows):
-                if not odd.isdisjoint(row):
-                    rows[k] = [" " + p for p in CUT.split(texts[k])]
-                    new |= set(rows[k]) - self.known.keys()
+                if None in ids[k] and not odd.isdisjoint(row):
+                    rows[k] = self._slow(texts[k])
+                    ids[k] = list(map(known.get, rows[k]))
+                    new.update(name for name, v in zip(rows[k], ids[k], strict=True) if v is None)
         long = self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, row)) for row in rows]
-        for key in long:
-            del self.known[key]
-        return out
+        for row, own in zip(rows, ids, strict=True):
+            if None in own:
+                for k in [k for k, v in enumerate(own) if v is None]:
+                    own[k] = known[row[k]]
+        for name in long:
+            known.pop(name, None)
+        return list(map(b"".join, ids))
 
 
 _ENCODERS: dict[tuple[int, str], Encoder] = {}
@@ -101,12 +152,10 @@ _ENCODERS: dict[tuple[int, str], Encoder] = {}
 def encoder(model: bytes, width: str) -> Encoder:
     """The encoder of this Python worker, which lives for many tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    import tokenizers
-
     key = (hash(model), width)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(tokenizers.Tokenizer.from_buffer(model), width)
+        _ENCODERS[key] = Encoder(model, width)
     return _ENCODERS[key]
 
 
@@ -146,8 +195,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str | None = None, end_id: int =
         row = lambda kind, n, data: pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["kind", "block", "value"])
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for start, stop in slices(text_buffers(texts)[1], 1 << 22):
+            for start, stop in slices(text_buffers(texts)[1], 1 << 20):
+                gc.disable()  # a batch makes many lists and no cycles
                 encoded = coder.encode([t or "" for t in texts.slice(start, stop - start).to_pylist()])
+                gc.enable()
                 ids.append(keys.slice(start, stop - start).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 nulls.append(keys.slice(start, stop - start).is_null().to_numpy(zero_copy_only=False).astype("u1"))
                 counts.append(np.array([len(e) // width + 1 for e in encoded], dtype="<u4"))
