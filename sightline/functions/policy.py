@@ -107,6 +107,14 @@ def _quoted(text: Column) -> Column:
     return F.replace(urls.encode(text), F.lit("+"), F.lit("%20"))
 
 
+def _quoted_path(path: Column) -> Column:
+    """A path with all but letters, digits and /%:@-._~ percent-encoded."""
+    out = F.replace(_quoted(path), F.lit("*"), F.lit("%2A"))
+    for code, char in (("%2F", "/"), ("%3A", ":"), ("%40", "@"), ("%7E", "~"), ("%25", "%")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
 def redact_url(url: Column) -> Column:
     """Display form: no userinfo, default port or fragment, values of sensitive keys and long values replaced, 30 pairs, 512 characters."""
     hide = lambda p: p["key"].rlike(SENSITIVE_KEYS) | (F.length(p["value"]) > 64)
@@ -115,7 +123,7 @@ def redact_url(url: Column) -> Column:
     host = F.lower(F.regexp_replace(urls.raw_host(url), r"\.+$", ""))
     default = F.when(urls.scheme(url) == "https", F.lit("443")).otherwise(F.lit("80"))
     port = F.when(urls.port(url).isNull() | (urls.port(url) == default), F.lit("")).otherwise(F.concat(F.lit(":"), urls.port(url)))
-    path = F.when(urls.path(url) == "", F.lit("/")).otherwise(urls.path(url))
+    path = _quoted_path(F.when(urls.path(url) == "", F.lit("/")).otherwise(urls.path(url)))
     front = F.concat(urls.scheme(url), F.lit("://"), host, port, path)
     whole = shortened(F.concat(front, F.when(text == "", F.lit("")).otherwise(F.concat(F.lit("?"), text))), 512)
     return F.when(url.isNotNull(), F.when(urls.scheme(url).isin("http", "https") & (host != ""), whole).otherwise("[invalid URL]"))

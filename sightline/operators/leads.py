@@ -56,7 +56,7 @@ def parse_search_results(responses: DataFrame, most: int) -> DataFrame:
     """case_id, result, place, target of JSON responses (case_id, json): of the first ``most`` results that are objects, the URL of the task and of the page."""
     rows = responses.select("case_id", F.posexplode(F.slice(F.from_json("json", "results array<string>")["results"], 1, most)).alias("k", "text")).filter(F.col("text").startswith("{"))
     rows = rows.withColumn("r", F.from_json("text", "task struct<uuid:string,url:string>, page struct<url:string>"))
-    name = F.coalesce(F.nullif(F.trim("r.task.uuid"), F.lit("")), F.concat(F.lit("result-"), F.lpad((F.col("k") + 1).cast("string"), 4, "0")))
+    name = F.coalesce(F.nullif(F.trim("r.task.uuid"), F.lit("")), F.format_string("result-%04d", F.col("k") + 1))
     both = F.explode(F.array(F.struct(F.lit("task").alias("place"), F.col("r.task.url").alias("target")), F.struct(F.lit("page").alias("place"), F.col("r.page.url").alias("target"))))
     return rows.select("case_id", name.alias("result"), both.alias("x")).select("case_id", "result", "x.place", "x.target").filter("target is not null")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from sightline.functions import labels, policy, urls
+from sightline.sources.tables import written
 
 # From which change on a checkpoint counts as changed, by what is measured.
 MATERIAL = {"html_bytes": 32, "n_chars": 4, "n_elements": 1, "height": 8}
@@ -148,21 +149,25 @@ def append_events(log: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]
     return fresh.withColumn("sequence", F.coalesce("last", F.lit(0)) + place).drop("last"), conflicts
 
 
-def event_causes(log: DataFrame, rounds: int = 6) -> DataFrame:
+def event_causes(log: DataFrame) -> DataFrame:
     """run_id, event_id, cause_event_id, root_event_id, depth: the recorded cause of each event (column causation_event_id), the event at the root of its chain and
-    how far away that is.
+    how far away that is. A cause that is not in the run's log is none. An event whose chain runs into a circle has neither root nor depth.
 
-    Every round lets each event jump to where its ancestor points, so ``rounds`` of them follow chains of up to 2 ** rounds events; longer ones, and
-    events whose cause is not there, end at the last ancestor found.
+    Every round lets each event jump to where its ancestor points, so chains of n events take log2(n) rounds; the rounds end when all events have their root, or
+    when a round brings none home, which leaves events of circles only. Each round's rows are written under ``spark.checkpoint.dir``.
     """
     known = log.select("run_id", F.col("event_id").alias("up_id")).distinct()
     here = log.select("run_id", "event_id", F.col("causation_event_id").alias("up_id")).distinct()
     rows = here.join(known.withColumn("there", F.lit(True)), ["run_id", "up_id"], "left")
-    rows = rows.select("run_id", "event_id", F.when(F.col("there"), F.col("up_id")).alias("cause_event_id")).withColumns({"root": F.coalesce("cause_event_id", "event_id"), "depth": F.col("cause_event_id").isNotNull().cast("int")})
-    for _ in range(rounds):
-        step = rows.select("run_id", F.col("event_id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        rows = rows.join(step, ["run_id", "root"]).select("run_id", "event_id", "cause_event_id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"))
-    return rows.select("run_id", "event_id", "cause_event_id", F.col("root").alias("root_event_id"), "depth")
+    cause = F.when(F.col("there"), F.col("up_id"))
+    rows = rows.select("run_id", "event_id", cause.alias("cause_event_id"), F.coalesce(cause, "event_id").alias("root"), cause.isNotNull().cast("long").alias("depth"), cause.isNull().alias("home"))
+    rows, away, before = written(rows, "causes"), -1, -2
+    while away != before and away != 0:
+        step = rows.select("run_id", F.col("event_id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("home").alias("next_home"))
+        moved = rows.filter("not home").join(step, ["run_id", "root"]).select("run_id", "event_id", "cause_event_id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("next_home").alias("home"))
+        rows = written(rows.filter("home").unionByName(moved), "causes")
+        before, away = away, rows.filter("not home").count()
+    return rows.select("run_id", "event_id", "cause_event_id", F.when(F.col("home"), F.col("root")).alias("root_event_id"), F.when(F.col("home"), F.col("depth")).alias("depth"))
 
 
 def status_case(column: Column, table: dict[str, str], other: str) -> Column:

@@ -125,8 +125,8 @@ def referral_signals(pages: DataFrame, links: DataFrame) -> DataFrame:
     return _signals(pair, "referral", F.concat_ws("=", "k", "v"), "url_query_parameter", 6)
 
 
-def entities(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """page_id, entity_id, type, value, method: one entity for each (type, value) of a page, numbered in that order.
+def entities(pages: DataFrame, nodes: DataFrame, start: int = 1) -> DataFrame:
+    """page_id, entity_id, type, value, method: one entity for each (type, value) of a page, numbered in that order from ``start`` on.
 
     Of several signals with the same type and value the one of least priority counts, then of least method, then the first in the page.
     ``pages`` has page_id and url, which is seed and final URL.
@@ -143,7 +143,7 @@ def entities(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     best = W.partitionBy("page_id", "type", "value").orderBy("priority", "method", "stage", "ord")
     one = reduce(DataFrame.unionByName, every).withColumn("nth", F.row_number().over(best)).filter("nth = 1")
     rank = F.row_number().over(W.partitionBy("page_id").orderBy("type", "value", "method"))
-    return one.select("page_id", F.concat(F.lit("entity-"), F.lpad(rank.cast("string"), 3, "0")).alias("entity_id"), "type", "value", "method")
+    return one.select("page_id", F.format_string("entity-%03d", rank + (start - 1)).alias("entity_id"), "type", "value", "method")
 
 
 OBSERVATION = ["page_id", "observation_type", "value", "method", "confidence", "stage", "ord", "sub"]
@@ -256,7 +256,7 @@ def semantic_observations(nodes: DataFrame, redirects: DataFrame | None = None)
     order = ["stage", "ord", "sub"]
     first = F.row_number().over(W.partitionBy("page_id", "observation_type", "value").orderBy(*order))
     one = every.withColumn("nth", first).filter("nth = 1").withColumn("place", F.row_number().over(W.partitionBy("page_id").orderBy(*order))).filter(F.col("place") <= MAX_OBSERVATIONS)
-    return one.select("page_id", F.concat(F.lit("observation-"), F.lpad(F.col("place").cast("string"), 4, "0")).alias("observation_id"), "observation_type", "value", "method", "confidence")
+    return one.select("page_id", F.format_string("observation-%04d", "place").alias("observation_id"), "observation_type", "value", "method", "confidence")
 
 
 def controls(nodes: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def controls(nodes: DataFrame) -> DataFrame:
     role = F.when(F.col("tag") == "a", "link").otherwise(F.coalesce(F.nullif(_attr("role"), F.lit("")), F.lit("button")))
     number = F.row_number().over(W.partitionBy("page_id").orderBy("ord"))
     out = rows.select(
-        "page_id", F.concat(F.lit("live-"), F.lpad(number.cast("string"), 3, "0")).alias("element_id"), "ord", "tag", role.alias("role"), "label", F.col("shown").alias("text"), "href",
+        "page_id", F.format_string("live-%03d", number).alias("element_id"), "ord", "tag", role.alias("role"), "label", F.col("shown").alias("text"), "href",
         F.nullif(_attr("formaction"), F.lit("")).alias("action"), "form_owner", "form_action", _has("download").alias("download"), (F.lower(F.coalesce(_attr("target"), F.lit(""))) == "_blank").alias("new_tab"),
         behavior.alias("behavior"), "path",
     )

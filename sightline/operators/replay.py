@@ -2,13 +2,14 @@
 
 A run is an ordered list of events; what an event does can depend on all before it (names given to pages, nodes merged by host), so a run is folded
 in order, in one task. Runs are bounded by what a run may collect (a few pages, some hundred observations each), and any number of them fold at
-once. ``RunGraph`` is the state of one run; batch and stream share it.
+once. ``RunGraph`` is the state of one run; batch and stream share it. Its time is linear in the run.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterable, Iterator, MutableMapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -38,48 +39,82 @@ def page_of(url: str) -> tuple[str, ...]:
     return (u.scheme.lower(), u.netloc.lower(), u.path.rstrip("/") or "/", u.query) if u.scheme else (url,)
 
 
+STORES = ("nodes", "edges", "alias", "seen_as", "labels", "hosts", "targets")
+
+
 class RunGraph:
-    """Nodes, edges and animations of one run. Items are plain lists and dicts, so that the state is JSON."""
-
-    def __init__(self, state: dict | None = None):
-        s = state or {}
-        self.nodes: dict[str, dict] = s.get("nodes", {})
-        self.edges: dict[str, dict] = s.get("edges", {})
-        self.alias: dict[str, str] = s.get("alias", {})
-        self.seen_as: dict[str, str] = s.get("seen_as", {})
-        self.animations: list[list] = s.get("animations", [])
-        self.changed: set[str] = set()
+    """Nodes, edges and animations of one run, and where to find them by label, host and target, so that an event costs what it touches and not what the run holds.
 
-    def state(self) -> dict:
-        return {"nodes": self.nodes, "edges": self.edges, "alias": self.alias, "seen_as": self.seen_as, "animations": self.animations}
+    ``store`` makes the mappings by the names of STORES: plain dicts in batch, views of keyed state in a stream. A changed value is put back into its
+    mapping, and values are plain lists and dicts, so that they can be kept as JSON. Ids and labels are fixed formats.
+    """
+
+    def __init__(self, store: Callable[[str], MutableMapping] = lambda name: {}, made: int = 0, shown: int = 0):
+        self.nodes, self.edges, self.alias, self.seen_as, self.labels, self.hosts, self.targets = map(store, STORES)
+        self.made, self.shown = made, shown  # nodes and animations so far
+        self.animations: list[tuple] = []
+        self.changed: set[str] = set()
 
     # helpers
     def _show(self, what: str, target: str) -> None:
-        self.animations.append([self.sequence, what, target])
+        self.animations.append((self.shown, self.sequence, what, target))
+        self.shown += 1
+
+    def _index(self, node: str, x: dict, add: bool) -> None:
+        """Files a node under its label and, where it stands for a host, its host, in order of creation."""
+        places = [(self.labels, x["label"])]
+        if x["kind"] in HOSTED:
+            places.append((self.hosts, host_of(x["label"]) or x["label"].casefold()))
+        for index, key in places:
+            entries = list(index.get(key) or ())
+            (insort if add else list.remove)(entries, [x["n"], node])
+            index[key] = entries
 
     def _put(self, node: str, kind: str, label: str, status: str, facts: Iterable[str] = (), **more) -> None:
-        old = self.nodes.get(node, {})
-        self.nodes[node] = {**old, **more, "kind": kind, "label": label, "status": status, "facts": sorted({*old.get("facts", ()), *facts})}
+        old = self.nodes.get(node)
+        if old is None:
+            old = {"n": self.made, "facts": []}
+            self.made += 1
+        moved = old.get("label") != label or old.get("kind") != kind
+        if moved and "label" in old:
+            self._index(node, old, add=False)
+        known = old["facts"]
+        for fact in facts:
+            at = bisect_left(known, fact)
+            if known[at : at + 1] != [fact]:
+                known.insert(at, fact)
+        new = {**old, **more, "kind": kind, "label": label, "status": status}
+        self.nodes[node] = new
+        if moved:
+            self._index(node, new, add=True)
         self.changed.add(node)
         self._show("spawn-node", node)
 
     def _link(self, edge: str, source: str, target: str, relation: str, look: str, observations: Iterable[str] = ()) -> None:
-        old = self.edges.get(edge, {"events": [], "observations": []})
-        both = lambda name, new: list(dict.fromkeys([*old[name], *new]))
-        self.edges[edge] = {"source": source, "target": target, "relation": relation, "look": look, "events": both("events", [self.event]), "observations": both("observations", observations)}
+        old = self.edges.get(edge) or {"target": None, "events": [], "observations": {}}
+        if old["target"] != target:
+            for node, change in ((old["target"], list.remove), (target, list.append)):
+                if node is not None:
+                    names = self.targets.get(node) or []
+                    change(names, edge)
+                    self.targets[node] = names
+        old["events"].append(self.event)
+        old["observations"].update(dict.fromkeys(observations))
+        self.edges[edge] = {**old, "source": source, "target": target, "relation": relation, "look": look}
         self.changed.add(edge)
         self._show("draw-edge", edge)
 
-    def _best(self, matches: list[str]) -> str | None:
+    def _best(self, entries: list | None) -> str | None:
         """The first collected node, else the first."""
-        return next((n for n in matches if self.nodes[n]["status"] == "collected"), matches[0] if matches else None)
+        names = [name for _, name in entries or ()]
+        return next((n for n in names if self.nodes[n]["status"] == "collected"), names[0] if names else None)
 
     def _labelled(self, label: str) -> str | None:
-        return self._best([n for n, x in self.nodes.items() if x["label"] == label])
+        return self._best(self.labels.get(label))
 
     def _by_url(self, url: str) -> str | None:
         host = host_of(url)
-        return self._labelled(url) or (self._best([n for n, x in self.nodes.items() if x["kind"] in HOSTED and (host_of(x["label"]) or x["label"].casefold()) == host]) if host else None)
+        return self._labelled(url) or (self._best(self.hosts.get(host)) if host else None)
 
     # what events do
     def apply(self, case: str, sequence: int, event: str, kind: str, payload: dict) -> None:
@@ -94,8 +129,8 @@ class RunGraph:
             self._lead(payload)
         elif kind == "entity.matched":
             node = self.seen_as.get(str(payload.get("observation_id", "")))
-            if node in self.nodes:
-                self.nodes[node]["status"] = "collected"
+            if node is not None and (known := self.nodes.get(node)) is not None:
+                self.nodes[node] = {**known, "status": "collected"}
                 self.changed.add(node)
                 self._show("pulse-node", node)
         elif kind == "candidate_page.collected":
@@ -104,13 +139,14 @@ class RunGraph:
             node = self.alias[given] = self._by_url(url) or given
             self._put(node, "collected_page", url, "collected")
         elif kind == "assertion.proposed":
-            end = lambda side, other: self.alias.get(x := str(payload.get(f"{side}_node_id") or self._labelled(str(payload.get(side, ""))) or other), x)
+            named = lambda side, other: str(payload.get(f"{side}_node_id") or self._labelled(str(payload.get(side, ""))) or other)
+            end = lambda side, other: self.alias.get(named(side, other)) or named(side, other)
             self._link(f"assertion:{payload['assertion_id']}", end("subject", self.seed), end("object", f"candidate-page:{sequence}"), str(payload.get("assertion_type", "candidate_related_to")), "dashed", payload.get("supporting_observation_ids") or [])
         elif kind.startswith("assertion."):
             edge = self.edges.get(name := f"assertion:{payload.get('assertion_id', '')}")
             if edge is not None:
-                edge["look"] = REVIEWED.get(kind, "dashed")
-                edge["events"] = [*edge["events"], event]
+                edge["events"].append(event)
+                self.edges[name] = {**edge, "look": REVIEWED.get(kind, "dashed")}
                 self.changed.add(name)
                 self._show("pulse-node", edge["target"])
 
@@ -123,13 +159,13 @@ class RunGraph:
         node = self.seed if root else given
         self._put(node, "seed_page" if root else "collected_page", label, "collected")
         if not root and payload.get("parent_node_id"):
-            parent = self.alias.get(str(payload["parent_node_id"]), str(payload["parent_node_id"]))
+            parent = self.alias.get(str(payload["parent_node_id"])) or str(payload["parent_node_id"])
             self._link(f"crawl:{parent}:{node}", parent, node, str(payload.get("parent_relation", "crawled_same_site_page")), "solid")
 
     def _observed(self, payload: dict) -> None:
         what = str(payload.get("observation_type", "public_contact"))
         kind, label = NODE_KINDS.get(what, "public_claim"), str(payload.get("normalized_value", f"observation:{self.sequence}"))
-        source = self.alias.get(x := str(payload.get("source_node_id", self.seed)), x)
+        source = self.alias.get(x := str(payload.get("source_node_id", self.seed))) or x
         observation, own = str(payload.get("observation_id", "")), self.nodes.get(source)
         given, facts, more = str(payload.get("node_id", f"observation:{self.sequence}")), [], {}
         if kind in ("external_destination", "redirect_target"):
@@ -143,12 +179,12 @@ class RunGraph:
         elif kind == "public_claim":
             category = CLAIM_CATEGORIES.get(what, "public_claims")
             node, facts = f"claim:{source}:{category}", [label]
-            values = sorted({*self.nodes.get(node, {}).get("facts", ()), label})
+            values = sorted({*(self.nodes.get(node) or {"facts": ()})["facts"][:4], label})
             label = f"{category.replace('_', ' ').title()} · {', '.join(values[:4])}"
         else:
-            same = [n for n, x in self.nodes.items() if x["kind"] == kind and x["label"] == label and (kind != "public_contact" or x.get("type") == what)]
+            same = [n for _, n in self.labels.get(label) or () if self.nodes[n]["kind"] == kind and (kind != "public_contact" or self.nodes[n].get("type") == what)]
             node, more = (same[0] if same else given), {"type": what}
-        status = "collected" if payload.get("matched_case_id") or self.nodes.get(node, {}).get("status") == "collected" else "observed"
+        status = "collected" if payload.get("matched_case_id") or (self.nodes.get(node) or {}).get("status") == "collected" else "observed"
         self._put(node, kind, label, status, facts, **more)
         if observation:
             self.seen_as[observation] = node
@@ -159,20 +195,19 @@ class RunGraph:
         url = str(payload.get("url", ""))
         node = self._by_url(url) or f"candidate:{payload.get('lead_id', self.sequence)}"
         self._put(node, "candidate_domain", host_of(url) or url or node, "lead")
-        for name, edge in self.edges.items():
-            if edge["target"] == node:
-                edge["look"] = "dashed"
+        for name in self.targets.get(node) or ():
+            if (edge := self.edges[name])["look"] != "dashed":
+                self.edges[name] = {**edge, "look": "dashed"}
                 self.changed.add(name)
 
-    def rows(self, run: str, only: set[str] | None = None) -> Iterator[tuple]:
-        """ITEMS of the graph: nodes, edges and, unless some ids are asked for, animations."""
-        for name in sorted(self.nodes if only is None else only & self.nodes.keys()):
-            n = self.nodes[name]
-            yield run, "node", name, n["kind"], n["label"], n["status"], None, None, n["facts"], [], []
-        for name in sorted(self.edges if only is None else only & self.edges.keys()):
-            e = self.edges[name]
-            yield run, "edge", name, e["relation"], None, e["look"], e["source"], e["target"], [], e["events"], e["observations"]
-        for k, (sequence, what, target) in enumerate(self.animations if only is None else ()):
+    def rows(self, run: str) -> Iterator[tuple]:
+        """ITEMS: the nodes and edges that changed, and the animations."""
+        for name in sorted(self.changed):
+            if (n := self.nodes.get(name)) is not None:
+                yield run, "node", name, n["kind"], n["label"], n["status"], None, None, n["facts"], [], []
+            if (e := self.edges.get(name)) is not None:
+                yield run, "edge", name, e["relation"], None, e["look"], e["source"], e["target"], [], e["events"], list(e["observations"])
+        for k, sequence, what, target in self.animations:
             yield run, "animation", str(k), what, str(sequence), None, None, target, [], [], []
 
 
@@ -188,6 +223,11 @@ def replay(log: DataFrame) -> DataFrame:
     return log.select("run_id", "case_id", "sequence", "event_id", "kind", "payload").groupBy("run_id").applyInPandas(fold, ITEMS)
 
 
+def as_of(log: DataFrame, last: DataFrame) -> DataFrame:
+    """The events of each run up to a sequence of its own (``last``: run_id, last); runs without one are left out."""
+    return log.join(last, "run_id").filter(F.col("sequence") <= F.col("last")).drop("last")
+
+
 def first_seen(items: DataFrame, log: DataFrame) -> DataFrame:
     """run_id, id, sequence: nodes by their first animation, edges by their first event."""
     nodes = items.filter("item = 'node'").select("run_id", "id")

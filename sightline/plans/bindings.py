@@ -24,17 +24,29 @@ def web(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).withColumn("html", F.expr(WEB_HTML))
 
 
-_KEPT: dict[tuple[str, str, str], str] = {}
+_KEPT: dict[tuple[str, str, str], tuple[str, str]] = {}
 
 
-def kept(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table that many queries read: built once in an application and kept in the shared folder."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _KEPT:
+def files_of(spark: SparkSession, d: str, table: str) -> str:
+    """Names, sizes and times of a table's files, from a listing: the content column is pruned, so no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{d}/{table}.parquet")
+    one = F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")
+    return str(tuple(files.agg(F.count("*"), F.sum("length"), F.sum(one), F.max("modificationTime").cast("string")).first()))
+
+
+def kept(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame], table: str = "pages") -> DataFrame:
+    """A table that many queries read, kept in the shared folder while the files of ``table``, which it is built from, stay what they are."""
+    key, files = (spark.sparkContext.applicationId, d, name), files_of(spark, d, table)
+    if _KEPT.get(key, ("",))[0] != files:
         folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         build().write.parquet(folder)
-        _KEPT[key] = folder
-    return spark.read.parquet(_KEPT[key])
+        _KEPT[key] = (files, folder)
+    return spark.read.parquet(_KEPT[key][1])
+
+
+def forget() -> None:
+    """Kept tables are built again by the next query, as a benchmark of whole queries needs."""
+    _KEPT.clear()
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:

@@ -81,7 +81,7 @@ _RELATION = "CASE observation_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k,
 register(
     "exact_cross_case_matches",
     lambda s, d: cases.cross_case_matches(semantic(s, d).join(b.pages(s, d).select("page_id", "case_id"), "page_id")),
-    f"""WITH {SEMANTIC}, ob AS (SELECT {HOST} AS case_id, {_RELATION} AS relation, observation_type AS t, value, page_id, 'observation-' || lpad(place::VARCHAR, 4, '0') AS o FROM sem JOIN pages USING (page_id)),
+    f"""WITH {SEMANTIC}, ob AS (SELECT {HOST} AS case_id, {_RELATION} AS relation, observation_type AS t, value, page_id, 'observation-' || printf('%04d', place) AS o FROM sem JOIN pages USING (page_id)),
     m AS (SELECT a.case_id, x.case_id AS other_case, a.relation, a.value, max((a.page_id, a.o)) AS l FROM ob a JOIN (SELECT DISTINCT case_id, t, value FROM ob) x ON a.t = x.t AND a.value = x.value AND a.case_id <> x.case_id WHERE a.relation IS NOT NULL GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY other_case, relation, value) AS place FROM m) SELECT case_id, other_case, relation, value, l[1] AS page_id, l[2] AS observation_id, place FROM r WHERE place <= 12""",
 )

@@ -130,7 +130,7 @@ _COMP = lambda c: f"lower({_TH.format(c)}) || '|' || rtrim(regexp_extract({c}, '
 _BARE = lambda c: f"regexp_replace(lower({_TH.format(c)}), '^www[.]', '')"
 RUN = f"""{SEMANTIC}, rp AS (SELECT {HOST} AS case_id, page_id, url, row_number() OVER w AS nth, lag(page_id) OVER w AS pp, count(*) OVER (PARTITION BY {HOST}) AS n, first_value(url) OVER w AS u0 FROM pages WINDOW w AS (PARTITION BY {HOST} ORDER BY page_id)),
   rq AS (SELECT *, nth = 1 OR {_COMP("url")} = {_COMP("u0")} AS root FROM rp), ra AS (SELECT *, CASE WHEN root THEN 'seed:' || case_id ELSE 'page:' || page_id END AS node FROM rq),
-  ro AS (SELECT a.case_id, a.node AS source, a.url AS page_url, sem.page_id, sem.place, observation_type AS t, value, sem.page_id || '/observation-' || lpad(place::VARCHAR, 4, '0') AS o, 1 + n + row_number() OVER (PARTITION BY a.case_id ORDER BY sem.page_id, place) AS sequence,
+  ro AS (SELECT a.case_id, a.node AS source, a.url AS page_url, sem.page_id, sem.place, observation_type AS t, value, sem.page_id || '/observation-' || printf('%04d', place) AS o, 1 + n + row_number() OVER (PARTITION BY a.case_id ORDER BY sem.page_id, place) AS sequence,
     CASE WHEN observation_type = 'claimed_brand_identity' THEN 'claimed_brand' WHEN observation_type = 'public_outgoing_link' THEN 'external_destination' WHEN observation_type IN ('public_telegram_alias', 'public_telegram_contact', 'public_whatsapp_link', 'public_phone_number', 'public_email_address') THEN 'public_contact' ELSE 'public_claim' END AS kind FROM sem JOIN ra a ON a.page_id = sem.page_id),
   rc AS (SELECT *, CASE WHEN t IN ('public_payment_method', 'public_payment_provider') THEN 'payment_indicators' WHEN t = 'public_offer_claim' THEN 'offer_claims' WHEN t = 'public_legal_or_license_claim' THEN 'legal_claims' WHEN t = 'public_referral_code' THEN 'referral_markers' WHEN t = 'public_tracking_identifier' THEN 'tracking_markers' ELSE 'download_references' END AS category FROM ro WHERE NOT (kind = 'external_destination' AND {_BARE("value")} = {_BARE("page_url")})),
   rn AS (SELECT *, CASE kind WHEN 'external_destination' THEN 'external_destination:' || {_BARE("value")} WHEN 'public_claim' THEN 'claim:' || source || ':' || category ELSE 'obs:' || first_value(o) OVER (PARTITION BY case_id, kind, value, CASE WHEN kind = 'public_contact' THEN t END ORDER BY sequence) END AS node,
@@ -141,7 +141,8 @@ RUN = f"""{SEMANTIC}, rp AS (SELECT {HOST} AS case_id, page_id, url, row_number(
       CASE WHEN pm <> '' THEN CASE WHEN pm::INT % 2 = 0 THEN 'collected' ELSE 'lead' END WHEN mail THEN 'collected' ELSE 'observed' END, CASE WHEN kind IN ('public_claim', 'external_destination') THEN array_to_string(vals, '|') ELSE '' END, sequence FROM rno),
   redge AS (SELECT case_id AS run_id, 'crawl:' || p.node || ':' || c.node AS id, 'crawled_same_site_page' AS kind, 'solid' AS status, p.node AS source, c.node AS target, 1 AS n_events, 0 AS n_observations, 1 + c.nth AS sequence FROM ra c JOIN ra p USING (case_id) WHERE NOT c.root AND c.pp = p.page_id
     UNION ALL SELECT case_id, relation || ':' || source || ':' || node, relation, CASE WHEN any_value(pm) <> '' THEN 'dashed' ELSE 'solid' END, source, node, count(*), count(*), min(sequence) FROM rn GROUP BY case_id, relation, source, node
-    UNION ALL SELECT DISTINCT case_id, 'assertion:' || case_id || '/partner' || pm || '.example.net', 'candidate_related_to', CASE pm::INT WHEN 2 THEN 'hidden' WHEN 6 THEN 'dashed' ELSE 'solid_emphasized' END, 'seed:' || case_id, node, CASE pm::INT WHEN 6 THEN 1 ELSE 2 END, 0, NULL FROM rn WHERE pm <> '' AND pm::INT % 2 = 0)"""
+    UNION ALL SELECT case_id, 'assertion:' || case_id || '/partner' || pm || '.example.net', 'candidate_related_to', CASE pm::INT WHEN 2 THEN 'hidden' WHEN 6 THEN 'dashed' ELSE 'solid_emphasized' END, 'seed:' || case_id, node, CASE pm::INT WHEN 6 THEN 1 ELSE 2 END, 0, before + row_number() OVER (PARTITION BY case_id ORDER BY pm) FROM (SELECT DISTINCT case_id, node, pm FROM rn WHERE pm <> '' AND pm::INT % 2 = 0)
+    JOIN (SELECT case_id, 1 + any_value(n) + (SELECT count(*) FROM ro WHERE ro.case_id = ra.case_id) + (SELECT count(*) FROM ro WHERE ro.case_id = ra.case_id AND t = 'public_email_address') + (SELECT count(DISTINCT pm) FROM rn WHERE rn.case_id = ra.case_id AND pm <> '') + (SELECT count(DISTINCT pm) FROM rn WHERE rn.case_id = ra.case_id AND pm <> '' AND pm::INT % 2 = 0) AS before FROM ra GROUP BY case_id) USING (case_id))"""
 _ITEMS = "SELECT run_id, 'node' AS item, id, kind, label, status, NULL::VARCHAR AS source, NULL::VARCHAR AS target, facts, 0 AS n_events, 0 AS n_observations FROM rnode UNION ALL SELECT run_id, 'edge', id, kind, NULL, status, source, target, '', n_events, n_observations FROM redge"
 
 
@@ -156,15 +157,23 @@ def _twice(s, d):
 
 
 register("replay_graph", lambda s, d: _flat(rp.replay(_twice(s, d))), f"WITH {RUN} {_ITEMS}")
-register("replay_as_of", lambda s, d: _flat(rp.replay(run_log(s, d).filter("sequence <= 3 and kind in ('run.started', 'artifact.captured')"))).select("run_id", "item", "id", "kind", "label", "status"), f"WITH {RUN}, z AS (SELECT * FROM ra WHERE nth <= 2) SELECT case_id AS run_id, 'node' AS item, 'seed:' || case_id AS id, 'seed_page' AS kind, arg_max(url, page_id) AS label, 'collected' AS status FROM z WHERE root GROUP BY case_id UNION ALL SELECT case_id, 'node', node, 'collected_page', url, 'collected' FROM z WHERE NOT root UNION ALL SELECT case_id, 'edge', 'crawl:seed:' || case_id || ':' || node, 'crawled_same_site_page', NULL, 'solid' FROM z WHERE NOT root")
+def _as_of(s, d):
+    """Each run up to its last observation, before leads, matches and reviews change what is known."""
+    log = run_log(s, d)
+    last = log.filter("kind = 'observation.created'").groupBy("run_id").agg(F.max("sequence").alias("last"))
+    return _flat(rp.replay(rp.as_of(log, last)))
+
+
+_BEFORE = RUN.replace("regexp_extract(node, '^external_destination:partner([0-9])[.]example[.]net$', 1) AS pm", "'' AS pm").replace("bool_or(t = 'public_email_address') AS mail", "false AS mail")
+register("replay_as_of", _as_of, f"WITH {_BEFORE}, seen AS (SELECT DISTINCT case_id AS run_id FROM ro), items AS ({_ITEMS}) SELECT items.* FROM items JOIN seen USING (run_id)")
 
 
 def _first_seen(s, d):
     log = run_log(s, d)
-    return rp.first_seen(rp.replay(log), log).filter("not startswith(id, 'assertion:')")
+    return rp.first_seen(rp.replay(log), log)
 
 
-register("first_seen_sequence", _first_seen, f"WITH {RUN} SELECT run_id, id, sequence FROM rnode UNION ALL SELECT run_id, id, sequence FROM redge WHERE sequence IS NOT NULL")
+register("first_seen_sequence", _first_seen, f"WITH {RUN} SELECT run_id, id, sequence FROM rnode UNION ALL SELECT run_id, id, sequence FROM redge")
 
 
 def _stream(s, d):
@@ -188,7 +197,7 @@ def _stream_replay(s, d):
     folder = f"{st.shared_folder(s)}/log-{uuid.uuid4().hex}"
     _twice(s, d).repartition(4).write.parquet(folder)
     stream = s.readStream.schema(s.read.parquet(folder).schema).option("maxFilesPerTrigger", 2).parquet(folder)
-    return _flat(st.run_to_table(st.replay(stream), "update", ["run_id", "item", "id"]))
+    return _flat(st.run_to_table(st.replay(stream), "update", ["run_id", "item", "id"], rocksdb=True))
 
 
 register("stream_replay_graph", _stream_replay, f"WITH {RUN} {_ITEMS}")

@@ -68,7 +68,7 @@ def _responses(s, d):
 
 
 SEARCH = f"""{PG}, k0 AS (SELECT case_id, page_id, target, host, 1 AS obj FROM {OUT(1)} UNION ALL SELECT case_id, page_id, NULL, NULL, 0 FROM {OUT(1)} WHERE page_id % 3 = 1), k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY page_id, obj) AS n FROM k0),
-  sr AS (SELECT case_id, CASE WHEN page_id % 3 = 0 THEN page_id::VARCHAR ELSE 'result-' || lpad(n::VARCHAR, 4, '0') END AS result, p AS place, target, host FROM k, (VALUES ('task'), ('page')) v(p) WHERE n <= 3 AND obj = 1),
+  sr AS (SELECT case_id, CASE WHEN page_id % 3 = 0 THEN page_id::VARCHAR ELSE 'result-' || printf('%04d', n) END AS result, p AS place, target, host FROM k, (VALUES ('task'), ('page')) v(p) WHERE n <= 3 AND obj = 1),
   sw AS (SELECT case_id, count(*) AS n, count(*) FILTER (obj = 0 AND n <= 3) AS odd FROM k GROUP BY case_id)"""
 register(
     "read_search_results",
@@ -127,7 +127,7 @@ def _adjusted(s, d):
 register(
     "tier_adjustment",
     lambda s, d: _adjusted(s, d).select("page_id", "observation_id", "tier", "confidence", (F.substring("method", 1, 4) == "ocr_").alias("by_ocr"), F.array_join("limitations", ",").alias("limitations")),
-    f"""WITH {LAST}, {SEMANTIC.replace(ANCHORS + ", ", "").replace(TX + ", ", "")} SELECT page_id, 'observation-' || lpad(place::VARCHAR, 4, '0') AS observation_id, tier,
+    f"""WITH {LAST}, {SEMANTIC.replace(ANCHORS + ", ", "").replace(TX + ", ", "")} SELECT page_id, 'observation-' || printf('%04d', place) AS observation_id, tier,
     least(CASE WHEN page_id % 4 = 0 THEN 0.72 WHEN tier = 'provisional' THEN 0.85 ELSE 1 END, CASE WHEN stage = 0 THEN CASE sub WHEN 0 THEN 0.95 ELSE 0.85 END WHEN stage IN (2, 3, 6) THEN 0.9 WHEN stage >= 7 THEN 0.75 ELSE 1 END)::DOUBLE AS confidence, page_id % 4 = 0 AS by_ocr,
     CASE WHEN page_id % 4 = 0 THEN 'provisional_observation_from_local_ocr,ocr_text_requires_human_visual_confirmation' WHEN tier = 'provisional' THEN concat_ws(',', 'provisional_observation_from_limited_capture', nullif(array_to_string(limits, ','), '')) ELSE '' END AS limitations
     FROM (SELECT page_id, observation_type, value, stage, sub, row_number() OVER (PARTITION BY page_id ORDER BY stage, ord, sub) AS place FROM se1 WHERE nth = 1) JOIN ti USING (page_id)""",
@@ -311,7 +311,7 @@ def _node_links(s, d):
 register(
     "observation_node_link",
     _node_links,
-    f"""WITH {SEMANTIC}, o AS (SELECT {HOST} AS case_id, page_id || '/observation-' || lpad(place::VARCHAR, 4, '0') AS observation_id, observation_type AS t, value FROM sem JOIN pages USING (page_id)),
+    f"""WITH {SEMANTIC}, o AS (SELECT {HOST} AS case_id, page_id || '/observation-' || printf('%04d', place) AS observation_id, observation_type AS t, value FROM sem JOIN pages USING (page_id)),
     pay AS (SELECT DISTINCT case_id, value FROM o WHERE t IN ('public_payment_method', 'public_payment_provider')), x AS (SELECT observation_id, 'contact:' || value AS node_id, 0 AS rank FROM o WHERE t = 'public_email_address'
       UNION ALL SELECT observation_id, 'claim:payment', 1 FROM o JOIN pay USING (case_id, value) UNION ALL SELECT observation_id, 'destination:' || regexp_extract(value, '^[a-z]+://([^/?#:]*)', 1), 2 FROM o WHERE t IN ('public_outgoing_link', 'public_download_destination')
       UNION ALL SELECT observation_id, 'destination:wa.me', 2 FROM o WHERE t = 'public_whatsapp_link' AND starts_with(value, 'https://wa.me/') AND (case_id, 'wa.me') IN (SELECT case_id, regexp_extract(value, '^[a-z]+://([^/?#:]*)', 1) FROM o WHERE t = 'public_outgoing_link')

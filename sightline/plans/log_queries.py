@@ -51,7 +51,7 @@ _CAP = "CASE observation_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lw
 register(
     "per_type_caps",
     lambda s, d: _capped(s, d).select("run_id", "observation_type", "value", "place"),
-    f"""WITH {SEMANTIC}, o AS (SELECT {HOST} AS run_id, lpad(page_id::VARCHAR, 12, '0') || 'observation-' || lpad(place::VARCHAR, 4, '0') AS ord, observation_type, value FROM sem JOIN pages USING (page_id)),
+    f"""WITH {SEMANTIC}, o AS (SELECT {HOST} AS run_id, lpad(page_id::VARCHAR, 12, '0') || 'observation-' || printf('%04d', place) AS ord, observation_type, value FROM sem JOIN pages USING (page_id)),
     k AS (SELECT run_id, observation_type, value, min(ord) AS ord FROM o WHERE observation_type <> 'public_outgoing_link' OR NOT regexp_matches(value, '^https?://(www[.])?(t[.]me|wa[.]me|api[.]whatsapp[.]com)/') AND (run_id, lower(rtrim(value, '/'))) NOT IN (SELECT {HOST}, lower(rtrim(url, '/')) FROM pages) GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY run_id, observation_type ORDER BY ord) AS place FROM k) SELECT run_id, observation_type, value, place FROM r WHERE place <= {_CAP}""",
 )
@@ -84,18 +84,22 @@ register("recent_runs", lambda s, d: lw.recent_runs(b.event_log(s, d)), f"WITH {
 
 
 def _causes(s, d):
-    """Every event was caused by the one half as far into its run; every ninth by one that is not there."""
+    """Every event was caused by the one before it, in every third run by the one half as far into it; some by events that are not there. In some runs the
+    first one names one of the last, which makes circles."""
     log = b.event_log(s, d).select("run_id", "sequence", F.concat("run_id", F.lit("#"), "sequence").alias("event_id"))
-    up = F.floor(F.col("sequence") / 2).cast("int")
-    return lw.event_causes(log.withColumn("causation_event_id", F.when(F.col("sequence") % 9 == 0, "lost").when(up > 0, F.concat("run_id", F.lit("#"), up))))
+    up = F.when(F.col("run_id") % 3 == 0, F.floor(F.col("sequence") / 2)).otherwise(F.col("sequence") - 1).cast("int")
+    last = log.groupBy("run_id").agg(F.max("sequence").alias("last"))
+    cause = F.when(F.col("sequence") % 59 == 0, "lost").when(up > 0, F.concat("run_id", F.lit("#"), up)).when(F.col("run_id") % 7 == 4, F.concat("run_id", F.lit("#"), F.least("last", F.lit(40))))
+    return lw.event_causes(log.join(last, "run_id").withColumn("causation_event_id", cause))
 
 
 register(
     "event_causes",
     _causes,
-    f"""WITH RECURSIVE {LOG}, c AS (SELECT run_id, sequence AS q, CASE WHEN sequence % 9 <> 0 AND sequence > 1 THEN sequence // 2 END AS up FROM log),
-    w AS (SELECT run_id, q, up AS cause, q AS root, 0 AS depth FROM c UNION ALL SELECT w.run_id, w.q, w.cause, c.up, depth + 1 FROM w JOIN c ON w.run_id = c.run_id AND w.root = c.q WHERE c.up IS NOT NULL)
-    SELECT run_id, run_id || '#' || q AS event_id, CASE WHEN cause IS NOT NULL THEN run_id || '#' || cause END AS cause_event_id, run_id || '#' || arg_max(root, depth) AS root_event_id, max(depth) AS depth FROM w GROUP BY run_id, q, cause""",
+    f"""WITH RECURSIVE {LOG}, n AS (SELECT run_id, max(sequence) AS last FROM log GROUP BY run_id),
+    c AS (SELECT run_id, last, sequence AS q, CASE WHEN sequence % 59 = 0 THEN NULL WHEN sequence > 1 THEN CASE WHEN run_id % 3 = 0 THEN sequence // 2 ELSE sequence - 1 END WHEN run_id % 7 = 4 THEN least(last, 40) END AS up FROM log JOIN n USING (run_id)),
+    w AS (SELECT run_id, q, up AS cause, q AS root, 0 AS depth, last FROM c UNION ALL SELECT w.run_id, w.q, w.cause, c.up, depth + 1, w.last FROM w JOIN c ON w.run_id = c.run_id AND w.root = c.q WHERE c.up IS NOT NULL AND depth <= w.last)
+    SELECT run_id, run_id || '#' || q AS event_id, CASE WHEN cause IS NOT NULL THEN run_id || '#' || cause END AS cause_event_id, CASE WHEN max(depth) <= any_value(last) THEN run_id || '#' || arg_max(root, depth) END AS root_event_id, CASE WHEN max(depth) <= any_value(last) THEN max(depth) END AS depth FROM w GROUP BY run_id, q, cause""",
 )
 register("event_sequence", lambda s, d: lw.sequence_gaps(b.event_log(s, d)), f"WITH {LOG} SELECT run_id, count(*) AS n_events, max(sequence) AS last_sequence, max(sequence) - count(*) AS gaps FROM log GROUP BY run_id")
 register(

@@ -44,7 +44,7 @@ ENTITIES = f"""{A}, {TX}, {TG}, {WA}, {RF}, {ASSET_SQL}, en AS (SELECT DISTINCT
   UNION ALL SELECT page_id, 'referenced_domain', {THOST} FROM anchors UNION ALL SELECT page_id, 'telegram', value FROM tgs UNION ALL SELECT page_id, 'whatsapp_or_phone', value FROM was UNION ALL SELECT page_id, 'referral', value FROM rfs
   UNION ALL SELECT page_id, type, value FROM asg) WHERE value <> '')"""
 entities = lambda s, d: b.kept(s, d, "entities", lambda: markup.entities(b.web(s, d), b.nodes(s, d)))
-register("extract_entities", lambda s, d: entities(s, d).select("page_id", "entity_id", "type", "value"), f"WITH {ENTITIES} SELECT page_id, 'entity-' || lpad((row_number() OVER (PARTITION BY page_id ORDER BY type, value))::VARCHAR, 3, '0') AS entity_id, type, value FROM en")
+register("extract_entities", lambda s, d: entities(s, d).select("page_id", "entity_id", "type", "value"), f"WITH {ENTITIES} SELECT page_id, 'entity-' || printf('%03d', row_number() OVER (PARTITION BY page_id ORDER BY type, value)) AS entity_id, type, value FROM en")
 _CASE = "regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1)"
 register("entity_type_counts", lambda s, d: entities(s, d).join(b.pages(s, d).select("page_id", "case_id"), "page_id").groupBy("case_id", "type").agg(F.count("*").alias("n")), f"WITH {ENTITIES} SELECT {_CASE} AS case_id, type, count(*) AS n FROM en JOIN pages USING (page_id) GROUP BY ALL")
 
@@ -90,8 +90,8 @@ SEMANTIC = f"""{A}, {TX}, {BRAND}, {MSG}, {PRM}, {TOB}, se0 AS (SELECT page_id,
   se1 AS (SELECT *, row_number() OVER (PARTITION BY page_id, observation_type, value ORDER BY stage, ord, sub) AS nth FROM se0 WHERE value <> ''),
   sem AS (SELECT * FROM (SELECT page_id, observation_type, value, row_number() OVER (PARTITION BY page_id ORDER BY stage, ord, sub) AS place FROM se1 WHERE nth = 1) WHERE place <= 500)"""
 semantic = lambda s, d: b.kept(s, d, "observations", lambda: markup.semantic_observations(b.nodes(s, d)))
-register("semantic_observations", lambda s, d: semantic(s, d).select("page_id", "observation_id", "observation_type", "value"), f"WITH {SEMANTIC} SELECT page_id, 'observation-' || lpad(place::VARCHAR, 4, '0') AS observation_id, observation_type, value FROM sem")
-register("distinct_observations", lambda s, d: ob.distinct_observations(semantic(s, d), "page_id", "observation_id").select("page_id", "observation_id", "observation_type", "value"), f"WITH {SEMANTIC} SELECT page_id, 'observation-' || lpad(place::VARCHAR, 4, '0') AS observation_id, observation_type, value FROM (SELECT *, row_number() OVER (PARTITION BY observation_type, value ORDER BY page_id, place) AS k FROM sem) WHERE k = 1")
+register("semantic_observations", lambda s, d: semantic(s, d).select("page_id", "observation_id", "observation_type", "value"), f"WITH {SEMANTIC} SELECT page_id, 'observation-' || printf('%04d', place) AS observation_id, observation_type, value FROM sem")
+register("distinct_observations", lambda s, d: ob.distinct_observations(semantic(s, d), "page_id", "observation_id").select("page_id", "observation_id", "observation_type", "value"), f"WITH {SEMANTIC} SELECT page_id, 'observation-' || printf('%04d', place) AS observation_id, observation_type, value FROM (SELECT *, row_number() OVER (PARTITION BY observation_type, value ORDER BY page_id, place) AS k FROM sem) WHERE k = 1")
 _IND = [(t, g) for g, v in ob.INDICATORS.items() for t in v]
 _DIRECT = """CASE WHEN observation_type = 'claimed_brand_identity' THEN 'gambling_brand_claim' WHEN observation_type = 'public_offer_claim' THEN 'gambling_offer' WHEN observation_type IN ('public_payment_method', 'public_payment_provider') THEN 'transaction_enablement'
   WHEN list_has_any(terms, [{0}]) THEN 'game_mechanics' WHEN list_has_any(terms, [{1}]) THEN 'gambling_offer' ELSE 'wagering_language' END""".format(*(", ".join(f"'{t}'" for t in ob.INDICATORS[g]) for g in ("game_mechanics", "betting_promotion")))
@@ -116,7 +116,7 @@ register(
 CONTROL_SQL = f"""{A}, {CF}, co0 AS (SELECT page_id, elem_ord AS pos, 'a' AS tag, label, resolved AS href, NULL::VARCHAR AS form_owner, NULL::VARCHAR AS form_action, download, target_attr = '_blank' AS new_tab, label AS shown FROM anchors WHERE label <> ''
   UNION ALL SELECT page_id, 100000 + k, tag, label, NULL, form_owner, {ROOT} || form_action, false, false, CASE k WHEN 0 THEN 'Hi' ELSE label END FROM cf),
   co AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM (SELECT *, row_number() OVER (PARTITION BY page_id, replace(lower(label), 'ß', 'ss'), href ORDER BY pos) AS again FROM co0) WHERE again = 1),
-  ct AS (SELECT *, 'live-' || lpad(n::VARCHAR, 3, '0') AS element_id, CASE WHEN href IS NOT NULL THEN 'open_public_link' WHEN regexp_matches(lower(label), '\\b(contact|hubungi|kontak|support|promo|promotion|about|information|menu|help|news|event)\\b') THEN 'reveal_tab' ELSE 'none' END AS behavior FROM co)"""
+  ct AS (SELECT *, 'live-' || printf('%03d', n) AS element_id, CASE WHEN href IS NOT NULL THEN 'open_public_link' WHEN regexp_matches(lower(label), '\\b(contact|hubungi|kontak|support|promo|promotion|about|information|menu|help|news|event)\\b') THEN 'reveal_tab' ELSE 'none' END AS behavior FROM co)"""
 _controls = lambda s, d: markup.controls(b.nodes(s, d))
 register(
     "interactive_elements",

@@ -59,7 +59,7 @@ register("redact_url", lambda s, d: b.anchors(s, d).select("page_id", "elem_ord"
 register(
     "redact_entity",
     lambda s, d: entities(s, d).filter("type not in ('seed_url', 'final_url', 'internal_link')").select("page_id", "entity_id", "type", policy.redact_entity(F.col("type"), F.col("value")).alias("shown")),
-    f"""WITH {ENTITIES}, e AS (SELECT *, 'entity-' || lpad((row_number() OVER (PARTITION BY page_id ORDER BY type, value))::VARCHAR, 3, '0') AS entity_id FROM en)
+    f"""WITH {ENTITIES}, e AS (SELECT *, 'entity-' || printf('%03d', row_number() OVER (PARTITION BY page_id ORDER BY type, value)) AS entity_id FROM en)
     SELECT page_id, entity_id, type, CASE WHEN type IN ('external_link', 'external_asset_url') THEN {_SHOWN.format('value')} WHEN type = 'whatsapp_or_phone' THEN left(value, 2) || '••••' || right(value, 4) WHEN type = 'referral' THEN 'ref=[redacted]'
     WHEN length(value) > 256 THEN left(value, 256) || '…' ELSE value END AS shown FROM e WHERE type NOT IN ('seed_url', 'final_url', 'internal_link')""",
 )

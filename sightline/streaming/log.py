@@ -4,19 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sightline.operators.replay import COLUMNS, ITEMS, RunGraph
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one under the warehouse, which executors share too, where it is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/sightline").rstrip("/")
+from sightline.operators.replay import COLUMNS, ITEMS, STORES, RunGraph
+from sightline.sources.tables import shared_folder
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,19 +20,30 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
-def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None, rocksdb: bool = False) -> DataFrame:
     """Runs a stream over what is there and returns its result as a table in the shared folder.
 
     Appended rows stay batch by batch; in complete mode the last batch replaces the table; in update mode the last row of each key counts.
+    ``rocksdb`` keeps the state in RocksDB, which map states need; the session's own setting comes back afterwards.
     """
-    spark = stream.sparkSession
+    spark, provider = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    if rocksdb:
+        spark.conf.set(provider, ROCKSDB)
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/table/batch={0 if mode == 'complete' else number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
+    finally:
+        if rocksdb:
+            spark.conf.set(provider, before) if before else spark.conf.unset(provider)
     rows = spark.read.parquet(f"{folder}/table")
     if mode == "update":
         nth = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("batch")))
@@ -59,23 +65,88 @@ def review_status(stream: DataFrame) -> DataFrame:
     return stream.groupBy("assertion_id").agg(F.max_by("outcome", F.struct("decided_at", "review_id")).alias("status"), F.count("*").alias("n_reviews"))
 
 
-def replay(stream: DataFrame) -> DataFrame:
-    """ITEMS of each run as they change, with the graph kept as state: events (columns as for ``operators.replay``) that come before their turn wait
-    until the sequence has no hole, so any order of arrival, and any repeats, give the graph of the batch replay. The last row of an id counts."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {"last": 0, "waiting": {}, "graph": None}
-        graph, last, waiting = RunGraph(kept["graph"]), kept["last"], kept["waiting"]
-        for rows in batches:
-            for r in rows.itertuples():
+class _Kept(MutableMapping):
+    """A map state as a mapping: values are read once a batch, and only those that were put are written."""
+
+    def __init__(self, state):
+        self.state, self.values_, self.put = state, {}, set()
+
+    def get(self, key, default=None):
+        if key not in self.values_:
+            found = self.state.getValue((key,))
+            self.values_[key] = None if found is None else json.loads(found[0])
+        return default if self.values_[key] is None else self.values_[key]
+
+    def __getitem__(self, key):
+        if (value := self.get(key)) is None:
+            raise KeyError(key)
+        return value
+
+    def __setitem__(self, key, value):
+        self.values_[key] = value
+        self.put.add(key)
+
+    def __delitem__(self, key):
+        self[key] = None
+
+    def __iter__(self):
+        return (k for (k,) in self.state.keys())
+
+    def __len__(self):
+        return sum(1 for _ in self)
+
+    def flush(self) -> None:
+        for key in sorted(self.put):
+            if self.values_[key] is None:
+                self.state.removeKey((key,))
+            else:
+                self.state.updateValue((key,), (json.dumps(self.values_[key]),))
+
+
+class _Replay(StatefulProcessor):
+    """The graph of one run in map states, an entry for each node, edge, name and index entry. Events that come before their turn wait in a map state by sequence."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.maps = {name: handle.getMapState(name, "key string", "value string") for name in STORES}
+        self.waiting = handle.getMapState("waiting", "sequence long", "event string")
+        self.counts = handle.getValueState("counts", "last long, made long, shown long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        last, made, shown = self.counts.get() or (0, 0, 0)
+        kept: dict[str, _Kept] = {}
+        graph = RunGraph(lambda name: kept.setdefault(name, _Kept(self.maps[name])), made, shown)
+        new: dict[int, str] = {}
+        for batch in rows:
+            for r in batch.itertuples():
                 if r.sequence > last:
-                    waiting.setdefault(str(r.sequence), [r.case_id, int(r.sequence), r.event_id, r.kind, r.payload])
-        while str(last + 1) in waiting:
+                    new.setdefault(int(r.sequence), json.dumps([r.case_id, r.event_id, r.kind, r.payload]))
+        while True:
+            event = new.pop(last + 1, None)
+            if (found := self.waiting.getValue((last + 1,))) is not None:
+                event = found[0]  # the first one to come counts
+                self.waiting.removeKey((last + 1,))
+            if event is None:
+                break
             last += 1
-            *event, payload = waiting.pop(str(last))
-            graph.apply(*event, json.loads(payload or "{}"))
-        graph.animations.clear()  # shown once, by the batch that made them
-        state.update((json.dumps({"last": last, "waiting": waiting, "graph": graph.state()}),))
-        yield pd.DataFrame(list(graph.rows(str(key[0]), graph.changed)), columns=COLUMNS)
+            case, event_id, kind, payload = json.loads(event)
+            graph.apply(case, last, event_id, kind, json.loads(payload or "{}"))
+        for sequence, event in new.items():
+            if not self.waiting.containsKey((sequence,)):
+                self.waiting.updateValue((sequence,), (event,))
+        found = list(graph.rows(str(key[0])))
+        for name in kept.values():
+            name.flush()
+        self.counts.update((last, graph.made, graph.shown))
+        yield pd.DataFrame(found, columns=COLUMNS)
 
-    return stream.groupBy("run_id").applyInPandasWithState(fold, ITEMS, "state string", "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def replay(stream: DataFrame) -> DataFrame:
+    """ITEMS of each run as they change, with the graph kept as state (needs the RocksDB state store, as ``run_to_table(..., rocksdb=True)`` sets it).
+
+    Events (columns as for ``operators.replay``) that come before their turn wait until the sequence has no hole, so any order of arrival, and any repeats, give the graph
+    and the animations of the batch replay. A batch reads and writes the entries that its events touch, whatever the run holds. The last row of an id counts.
+    """
+    return stream.groupBy("run_id").transformWithStateInPandas(_Replay(), ITEMS, "Update", "None")
