@@ -265,30 +265,6 @@ def usable_entities(entities: DataFrame, outcomes: DataFrame) -> DataFrame:
     return entities.join(outcomes.filter("content_usable"), "page_id", "left_semi")
 
 
-def violations(rows: DataFrame, parents: DataFrame, key: str, rule: str) -> DataFrame:
-    """rule, id: rows whose key has no parent row."""
-    return rows.select(key).distinct().join(parents.select(key).distinct(), key, "left_anti").select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("id"))
-
-
-def duplicates(rows: DataFrame, key: str, rule: str) -> DataFrame:
-    return rows.groupBy(key).count().filter("count > 1").select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("id"))
-
-
-def manifest(records: DataFrame) -> DataFrame:
-    """case_id, n, sha: a hash over a case's records, (id, content), in order of id."""
-    line = F.struct("id", F.sha2("content", 256).alias("sha"))
-    out = records.groupBy("case_id").agg(F.array_sort(F.collect_list(line)).alias("l"))
-    text = F.array_join(F.transform("l", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["sha"])), "\n")
-    return out.select("case_id", F.size("l").alias("n"), F.sha2(text, 256).alias("sha"))
-
-
-def corpus_manifest(manifests: DataFrame) -> DataFrame:
-    """case_id ("corpus"), n, sha: a hash over the hashes of all cases, in order of case_id. One row a case meets in one task, its hash only."""
-    line = F.concat("case_id", F.lit(":"), "sha")
-    out = manifests.agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("case_id", line.alias("line")))).alias("l"))
-    return out.select(F.lit("corpus").alias("case_id"), "n", F.sha2(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), 256).alias("sha"))
-
-
 def scope_violations(completed: DataFrame, allowed: DataFrame, candidates: DataFrame) -> DataFrame:
     """evaluation, rule, host: completed hosts (evaluation, host) that were not allowed, and those that are candidates."""
     pair = lambda df: df.select("evaluation", "host")

@@ -30,21 +30,6 @@ def nonexpanded_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.join(pages.select("page_id", reason.alias("reason")).filter("reason is not null"), "page_id")
 
 
-def record_mismatches(references: DataFrame, records: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """References that name no record, or differ from it in a field: key, problem."""
-    other = records.select(key, F.lit(True).alias("there"), *[F.col(f).alias(f"_{f}") for f in fields])
-    problem = F.when(F.col("there").isNull(), "missing")
-    for f in fields:
-        problem = problem.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), f"{f}_differs")
-    return references.join(other, key, "left").select(key, problem.alias("problem")).filter("problem is not null")
-
-
-def detail_rows(pages: DataFrame, evidence: DataFrame) -> DataFrame:
-    """case_id, section, id, shown, available: pages for display, URLs redacted, and whether their evidence is there."""
-    rows = pages.join(evidence.select("page_id", F.lit(True).alias("there")).distinct(), "page_id", "left")
-    return rows.select("case_id", F.lit("page").alias("section"), F.col("page_id").alias("id"), policy.redact_url(F.col("url")).alias("shown"), F.col("there").isNotNull().alias("available"))
-
-
 def case_projection(nodes: DataFrame, claims: DataFrame, most: int = 18) -> DataFrame:
     """case_id, node, kind, place: the view of a case: its nodes in order, then its first claim groups."""
     rows = nodes.select("case_id", F.col("node_id").alias("node"), F.col("type").alias("kind"), F.when(F.col("type") == "case", 0).when(F.col("type") == "page", 1).otherwise(2).alias("rank"))

@@ -34,14 +34,19 @@ def files_of(spark: SparkSession, d: str, table: str) -> str:
     return str(tuple(files.agg(F.count("*"), F.sum("length"), F.sum(one), F.max("modificationTime").cast("string")).first()))
 
 
-def kept(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame], table: str = "pages") -> DataFrame:
-    """A table that many queries read, kept in the shared folder while the files of ``table``, which it is built from, stay what they are."""
-    key, files = (spark.sparkContext.applicationId, d, name), files_of(spark, d, table)
+def kept_folder(spark: SparkSession, d: str, name: str, write: Callable[[str], None], tables: tuple[str, ...] = ("pages",)) -> str:
+    """A folder that ``write`` filled, kept in the shared folder while the files of ``tables``, which it is built from, stay what they are."""
+    key, files = (spark.sparkContext.applicationId, d, name), " ".join(files_of(spark, d, t) for t in tables)
     if _KEPT.get(key, ("",))[0] != files:
         folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        build().write.parquet(folder)
+        write(folder)
         _KEPT[key] = (files, folder)
-    return spark.read.parquet(_KEPT[key][1])
+    return _KEPT[key][1]
+
+
+def kept(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table made of ``pages`` that many queries read."""
+    return spark.read.parquet(kept_folder(spark, d, name, lambda folder: build().write.parquet(folder)))
 
 
 def forget() -> None:

@@ -203,16 +203,6 @@ register(
     nm AS (SELECT l, r, k, name FROM pp, (VALUES (0, 'entity'), (1, 'text'), (2, 'dom'), (3, 'visual'), (4, 'asset')) v(k, name))
     SELECT nm.l AS "left", nm.r AS "right", round(100 * sum(CASE WHEN status = 'scored' THEN v * w ELSE 0 END), 2) AS score, coalesce(string_agg(CASE WHEN status IS NULL OR status <> 'scored' THEN nm.name || ' ' || coalesce(status, 'not_applicable') END, '; ' ORDER BY nm.k), '') AS warnings FROM nm LEFT JOIN cm ON nm.l = cm.l AND nm.r = cm.r AND nm.name = cm.name GROUP BY nm.l, nm.r""",
 )
-register(
-    "reference_violations",
-    lambda s, d: cases.violations(read_table(s, d, "labels"), read_table(s, d, "documents").filter("doc_id % 7 <> 0"), "doc_id", "label_without_document").unionByName(cases.duplicates(read_table(s, d, "lineitem").filter("l_linenumber <= 2").withColumnRenamed("l_orderkey", "id"), "id", "repeated_id")),
-    "SELECT 'label_without_document' AS rule, doc_id::VARCHAR AS id FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0) UNION ALL SELECT 'repeated_id', l_orderkey::VARCHAR FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey HAVING count(*) > 1",
-)
-register(
-    "case_summary",
-    lambda s, d: b.pages(s, d).groupBy("case_id").agg(F.count("*").alias("n_pages"), F.sum(F.length("html")).alias("n_chars")).join(b.anchors(s, d).groupBy("case_id").agg(F.count("*").alias("n_links"), F.count_distinct("href").alias("n_targets")), "case_id", "left").na.fill(0),
-    f"WITH {ANCHORS} SELECT case_id, n_pages, n_chars, coalesce(n_links, 0) AS n_links, coalesce(n_targets, 0) AS n_targets FROM (SELECT {HOST} AS case_id, count(*) AS n_pages, sum(length(html))::BIGINT AS n_chars FROM pages GROUP BY 1) LEFT JOIN (SELECT case_id, count(*) AS n_links, count(DISTINCT href) AS n_targets FROM anchors GROUP BY 1) USING (case_id)",
-)
 
 register(
     "snapshot_diff",
@@ -224,19 +214,6 @@ register(
 )
 
 
-def _manifests(s, d):
-    """One hash for each case, and the hash of the corpus over these."""
-    own = cases.manifest(b.pages(s, d).select("case_id", F.col("page_id").alias("id"), F.col("html").alias("content")))
-    return own.unionByName(cases.corpus_manifest(own))
-
-
-register(
-    "case_manifest",
-    _manifests,
-    f"WITH m AS (SELECT {HOST} AS case_id, count(*)::INT AS n, sha256(string_agg(page_id || ':' || sha256(html), chr(10) ORDER BY page_id)) AS sha FROM pages GROUP BY 1) SELECT * FROM m UNION ALL SELECT 'corpus', count(*)::INT, sha256(string_agg(case_id || ':' || sha, chr(10) ORDER BY case_id)) FROM m",
-)
-
-
 def _scopes(s, d):
     """Evaluations by label length of the hosts: the first pages of hosts are allowed, linked partner hosts are candidates, hosts of captured pages are done."""
     pages = b.pages(s, d).withColumn("evaluation", F.length("case_id") % 5)

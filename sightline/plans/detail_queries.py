@@ -38,24 +38,6 @@ register(
 )
 
 
-def _references(s, d):
-    pages = b.pages(s, d)
-    given = pages.select("page_id", F.when(F.col("page_id") % 11 == 0, F.lit("x")).otherwise(F.sha2("html", 256)).alias("sha"), F.when(F.col("page_id") % 13 == 0, F.lit("y")).otherwise(F.col("url")).alias("url"))
-    return details.record_mismatches(given, pages.filter("page_id % 17 <> 0").select("page_id", F.sha2("html", 256).alias("sha"), "url"), "page_id", ["sha", "url"])
-
-
-_MISMATCH = "WITH x AS (SELECT page_id, CASE WHEN page_id % 17 = 0 THEN 'missing' WHEN page_id % 11 = 0 THEN 'sha_differs' WHEN page_id % 13 = 0 THEN 'url_differs' END AS problem FROM pages) SELECT * FROM x WHERE problem IS NOT NULL"
-register("comparison_reference_violations", _references, _MISMATCH)
-register(
-    "diagnostic_reference_violations",
-    lambda s, d: details.record_mismatches(b.checkpoints(s, d).select("event_id", "size"), b.checkpoints(s, d).filter("event_id % 19 <> 0").select("event_id", F.when(F.col("event_id") % 23 == 0, F.lit(-1.0)).otherwise(F.col("size")).alias("size")), "event_id", ["size"]),
-    "SELECT event_id, CASE WHEN event_id % 19 = 0 THEN 'missing' ELSE 'size_differs' END AS problem FROM events WHERE event_id % 19 = 0 OR event_id % 23 = 0",
-)
-register(
-    "case_detail_rows",
-    lambda s, d: details.detail_rows(b.pages(s, d), b.pages(s, d).filter("page_id % 3 <> 0")),
-    f"SELECT {HOST} AS case_id, 'page' AS section, page_id AS id, regexp_replace(regexp_replace(url, '#.*$', ''), 'utm_source=[^&]*', 'utm_source=[redacted]') AS shown, page_id % 3 <> 0 AS available FROM pages",
-)
 register(
     "case_projection",
     lambda s, d: details.case_projection(nodes(s, d), b.pages(s, d).select("case_id", F.concat(F.lit("group"), (F.col("page_id") % 4).cast("string")).alias("category"))),

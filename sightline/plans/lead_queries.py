@@ -227,20 +227,6 @@ register(
 )
 
 
-def _case_files(s, d):
-    """Pages written as JSON files of their case and read back; the files of some cases are cut short."""
-    folder = f"{shared_folder(s)}/cases-{uuid.uuid4().hex}"
-    rows = b.pages(s, d).select("case_id", F.to_json(F.struct("page_id", "url")).alias("line"))
-    bad = F.pmod(F.length("case_id"), F.lit(7)) == 0
-    text = rows.groupBy("case_id").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("line")), ","), F.when(bad, "").otherwise("]")).alias("value"))
-    text.write.partitionBy("case_id").text(folder)
-    return src.read_case_json(s, f"{folder}/*/*.txt", "page_id long, url string")
-
-
-register("read_case_tables", lambda s, d: _case_files(s, d).filter("broken is null").select("case_id", "page_id", "url"), f"SELECT {HOST} AS case_id, page_id, url FROM pages WHERE length({HOST}) % 7 <> 0")
-register("list_cases_with_errors", lambda s, d: src.case_states(_case_files(s, d), "page_id"), f"SELECT {HOST} AS case_id, CASE WHEN length({HOST}) % 7 = 0 THEN 0 ELSE count(*) END AS n, CASE WHEN length({HOST}) % 7 = 0 THEN 'error' ELSE 'verified' END AS integrity FROM pages GROUP BY 1")
-
-
 def _write(s, d):
     path = f"{shared_folder(s)}/tables-{uuid.uuid4().hex}"
     src.write_case_tables(b.pages(s, d), path)

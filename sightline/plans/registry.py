@@ -29,7 +29,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from sightline.plans import case_queries, detail_queries, graph_queries, html_queries, lead_queries, log_queries, markup_queries, scalar_queries, url_queries  # noqa: F401
+    from sightline.plans import case_queries, detail_queries, graph_queries, html_queries, lead_queries, log_queries, markup_queries, package_queries, scalar_queries, url_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -1,21 +1,10 @@
-"""Case packages on disk: JSON arrays per case, binary artifacts, and partitioned tables."""
+"""Binary artifacts, partitioned tables and reports of cases."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def read_case_json(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Rows of per-case JSON files with a fixed schema; case_id comes from the folder; a broken file gives one row with ``broken``."""
-    rows = spark.read.schema(f"{schema}, broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").option("multiLine", True).json(pattern)
-    return rows.withColumn("case_id", F.regexp_extract("_metadata.file_path", r"case_id=([^/]*)/", 1))
-
-
-def case_states(rows: DataFrame, key: str) -> DataFrame:
-    """case_id, n, integrity: cases with a broken file are listed as an error instead of failing the list."""
-    return rows.groupBy("case_id").agg(F.count_if(F.col("broken").isNull() & F.col(key).isNotNull()).alias("n"), F.when(F.count("broken") > 0, "error").otherwise("verified").alias("integrity"))
-
-
 def read_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     """path, id (file name), content of binary files, in folders of any depth."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[!_.]*").load(folder)
