@@ -222,14 +222,24 @@ def case_catalog(cases: DataFrame, runs: DataFrame, state: str | None = None, te
 
 
 def observation_node_link(observations: DataFrame, nodes: DataFrame) -> DataFrame:
-    """observation_id, node_id, rank: the node an observation (case_id, observation_id, value) belongs to in its case: one with that label (0), else one whose label lists
-    the value (1), else one of the same host (2).
+    """observation_id, node_id, rank: the node an observation (case_id, observation_id, value) belongs to in its case: one with that label (0), else one whose label holds
+    the value, which has four characters at least (1), else one of the same host (2). Case and blanks at the ends don't count; the best one wins, then the least node.
 
-    A label lists what stands between its separators (a dot or a comma between spaces), so all three are equi-joins; the best one wins, then the least node.
+    Labels are found by their 4-grams: each distinct value looks up the one of its grams that the fewest labels of its case have, and the labels with it are searched.
+    So no value meets all labels, and a gram that every label has (the start of URLs) is used only for values that have no other.
     """
-    same = observations.join(nodes.select("case_id", F.col("label").alias("value"), "node_id"), ["case_id", "value"]).select("observation_id", "node_id", F.lit(0).alias("rank"))
-    listed = nodes.select("case_id", "node_id", F.explode(F.array_distinct(F.split("label", " · |, "))).alias("value"))
-    part = observations.join(listed, ["case_id", "value"]).select("observation_id", "node_id", F.lit(1).alias("rank"))
+    observations = observations.withColumn("shown", F.lower(F.trim("value")))
+    named = nodes.select("case_id", "node_id", "label", F.lower(F.trim("label")).alias("text"))
+    same = observations.join(named.withColumnRenamed("text", "shown"), ["case_id", "shown"]).select("observation_id", "node_id", F.lit(0).alias("rank"))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda k: F.substr(F.col(c), k, F.lit(4))))
+    texts = named.filter(F.length("text") >= 4).select("case_id", "text").distinct()
+    index = texts.select("case_id", "text", F.explode(grams("text")).alias("gram"))
+    many = index.groupBy("case_id", "gram").agg(F.count("*").alias("n"))
+    values = observations.filter(F.length("shown") >= 4).select("case_id", "shown").distinct()
+    rarest = values.select("case_id", "shown", F.explode(grams("shown")).alias("gram")).join(many, ["case_id", "gram"], "left")
+    rarest = rarest.groupBy("case_id", "shown").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).filter("g.n > 0").select("case_id", "shown", "g.gram")
+    holds = rarest.join(index, ["case_id", "gram"]).filter(F.contains("text", F.col("shown"))).select("case_id", "shown", "text")
+    part = observations.join(holds, ["case_id", "shown"]).join(named, ["case_id", "text"]).select("observation_id", "node_id", F.lit(1).alias("rank"))
     by_host = observations.withColumn("host", urls.host(F.col("value"))).filter("host is not null")
     hosts = nodes.withColumn("host", F.coalesce(urls.host(F.col("label")), F.lower("label"))).groupBy("case_id", "host").agg(F.min("node_id").alias("node_id"))
     near = by_host.join(hosts, ["case_id", "host"]).select("observation_id", "node_id", F.lit(2).alias("rank"))

@@ -67,14 +67,20 @@ register(
 
 
 def _scores(s, d):
-    """Scores over shared signals and over the outward links of the same cases."""
+    """Scores over shared signals, outward links, redirects and search results of the same cases."""
+    from sightline.plans import lead_queries as lq  # which imports this module
+
     link = leads.external_link_candidates(markup.anchor_links(markup.anchors(b.nodes(s, d))).select("page_id", "case_id", "target"), b.pages(s, d).select("case_id", F.col("case_id").alias("host")))
-    links = link.filter("excluded is null").select("case_id", "host", F.lit("external_link").alias("reason"), "weight").distinct()
-    return cases.candidate_scores(_reasons(s, d).select("case_id", "host", "reason", "weight").unionByName(links))
+    found = {"external_link": link, "external_redirect": leads.redirect_candidates(lq._redirects(s, d), lq._sources(s, d)), "external_discovery": leads.search_candidates(leads.parse_search_results(lq._responses(s, d), 3), lq._sources(s, d))}
+    every = [rows.filter("excluded is null").select("case_id", "host", F.lit(reason).alias("reason"), "weight").distinct() for reason, rows in found.items()]
+    return cases.candidate_scores(reduce(DataFrame.unionByName, every, _reasons(s, d).select("case_id", "host", "reason", "weight")))
 
 
 SCORES = f"""{REASONS}, lk AS (SELECT DISTINCT case_id, {THOST} AS host, 'external_link' AS reason, 10 AS weight FROM anchors WHERE target IS NOT NULL AND {THOST} <> case_id AND NOT regexp_matches({THOST}, '(^|[.])(t[.]me|wa[.]me|whatsapp[.]com)$')),
-  sc AS (SELECT case_id, host, least(100, sum(w))::BIGINT AS score FROM (SELECT case_id, host, reason, max(weight) AS w FROM (SELECT case_id, host, reason, weight FROM re UNION ALL SELECT * FROM lk) GROUP BY ALL) GROUP BY case_id, host)"""
+  spg AS (SELECT page_id, url, {HOST} AS h FROM pages), so AS (SELECT a.page_id, a.h AS case_id, x.h AS host, x.page_id - a.page_id AS step FROM spg a JOIN spg x ON x.page_id IN (a.page_id + 1, a.page_id + 2)),
+  rd AS (SELECT DISTINCT case_id, host, 'external_redirect' AS reason, 30 AS weight FROM so WHERE step = 2 AND host <> case_id AND page_id % 5 <> 0 AND page_id % 7 <> 0),
+  sk AS (SELECT case_id, host, row_number() OVER (PARTITION BY case_id ORDER BY page_id, obj) AS n, obj FROM (SELECT case_id, page_id, host, 1 AS obj FROM so WHERE step = 1 UNION ALL SELECT case_id, page_id, NULL, 0 FROM so WHERE step = 1 AND page_id % 3 = 1)), sd AS (SELECT DISTINCT case_id, host, 'external_discovery' AS reason, 5 AS weight FROM sk WHERE n <= 3 AND obj = 1 AND host <> case_id),
+  sc AS (SELECT case_id, host, least(100, sum(w))::BIGINT AS score FROM (SELECT case_id, host, reason, max(weight) AS w FROM (SELECT case_id, host, reason, weight FROM re UNION ALL SELECT * FROM lk UNION ALL SELECT * FROM rd UNION ALL SELECT * FROM sd) GROUP BY ALL) GROUP BY case_id, host)"""
 register("candidate_scores", _scores, f"WITH {SCORES} SELECT * FROM sc")
 register("ranked_candidates", lambda s, d: cases.ranked_candidates(_scores(s, d)), f"WITH {SCORES} SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, host) AS place FROM sc")
 _RELATION = "CASE observation_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in cases.RELATIONS.items()) + " END"

@@ -284,23 +284,24 @@ register("case_catalog", _catalog, f"WITH {PG} SELECT 'Case ' || h AS name, 'run
 
 
 def _node_links(s, d):
-    """Observations of each host against nodes made of its claim groups, its first contacts and the hosts that it links to."""
+    """Observations of each host against nodes made of its claim groups, its contacts, the hosts that it links to and some of the pages there."""
     rows = semantic(s, d).join(b.pages(s, d).select("page_id", "case_id"), "page_id").withColumn("observation_id", F.concat(F.col("page_id").cast("string"), F.lit("/"), "observation_id"))
     t = F.col("observation_type")
     claims = rows.filter(t.isin("public_payment_method", "public_payment_provider")).groupBy("case_id").agg(F.concat(F.lit("Payment Indicators · "), F.array_join(F.array_sort(F.collect_set("value")), ", ")).alias("label")).withColumn("node_id", F.lit("claim:payment"))
     mails = rows.filter(t == "public_email_address").select("case_id", F.col("value").alias("label"), F.concat(F.lit("contact:"), "value").alias("node_id")).distinct()
     hosts = rows.filter(t == "public_outgoing_link").select("case_id", urls.host(F.col("value")).alias("label")).distinct().withColumn("node_id", F.concat(F.lit("destination:"), "label"))
-    nodes = claims.select("case_id", "label", "node_id").unionByName(mails).unionByName(hosts)
+    linked = rows.filter((t == "public_outgoing_link") & F.contains("value", F.lit("/en"))).select("case_id", F.col("value").alias("label"), F.concat(F.lit("page:"), "value").alias("node_id")).distinct()
+    nodes = claims.select("case_id", "label", "node_id").unionByName(mails).unionByName(hosts).unionByName(linked)
     return leads.observation_node_link(rows.select("case_id", "observation_id", "value"), nodes)
 
 
 register(
     "observation_node_link",
     _node_links,
-    f"""WITH {SEMANTIC}, o AS (SELECT {HOST} AS case_id, page_id || '/observation-' || printf('%04d', place) AS observation_id, observation_type AS t, value FROM sem JOIN pages USING (page_id)),
-    pay AS (SELECT DISTINCT case_id, value FROM o WHERE t IN ('public_payment_method', 'public_payment_provider')), x AS (SELECT observation_id, 'contact:' || value AS node_id, 0 AS rank FROM o WHERE t = 'public_email_address'
-      UNION ALL SELECT observation_id, 'claim:payment', 1 FROM o JOIN pay USING (case_id, value) UNION ALL SELECT observation_id, 'destination:' || regexp_extract(value, '^[a-z]+://([^/?#:]*)', 1), 2 FROM o WHERE t IN ('public_outgoing_link', 'public_download_destination')
-      UNION ALL SELECT observation_id, 'destination:wa.me', 2 FROM o WHERE t = 'public_whatsapp_link' AND starts_with(value, 'https://wa.me/') AND (case_id, 'wa.me') IN (SELECT case_id, regexp_extract(value, '^[a-z]+://([^/?#:]*)', 1) FROM o WHERE t = 'public_outgoing_link')
-      UNION ALL SELECT observation_id, 'destination:api.whatsapp.com', 2 FROM o WHERE t = 'public_whatsapp_link' AND starts_with(value, 'https://api.whatsapp.com/'))
+    f"""WITH {SEMANTIC}, o AS (SELECT {HOST} AS case_id, page_id || '/observation-' || printf('%04d', place) AS observation_id, observation_type AS t, value, lower(trim(value)) AS v FROM sem JOIN pages USING (page_id)),
+    nl AS (SELECT case_id, 'claim:payment' AS node_id, 'Payment Indicators · ' || string_agg(DISTINCT value, ', ' ORDER BY value) AS label FROM o WHERE t IN ('public_payment_method', 'public_payment_provider') GROUP BY case_id UNION SELECT case_id, 'contact:' || value, value FROM o WHERE t = 'public_email_address'
+      UNION SELECT case_id, 'destination:' || h, h FROM (SELECT case_id, regexp_extract(value, '^[a-z]+://([^/?#:]*)', 1) AS h FROM o WHERE t = 'public_outgoing_link') UNION SELECT case_id, 'page:' || value, value FROM o WHERE t = 'public_outgoing_link' AND contains(value, '/en')),
+    x AS (SELECT o.observation_id, node_id, CASE WHEN lower(trim(label)) = v THEN 0 ELSE 1 END AS rank FROM o JOIN nl USING (case_id) WHERE lower(trim(label)) = v OR length(v) >= 4 AND contains(lower(trim(label)), v)
+      UNION ALL SELECT observation_id, node_id, 2 FROM o JOIN (SELECT case_id, node_id, CASE WHEN label LIKE '%://%' THEN regexp_extract(label, '^[a-z]+://([^/?#:]*)', 1) ELSE lower(label) END AS lh FROM nl) USING (case_id) WHERE regexp_matches(value, '^https?://') AND lh = regexp_extract(value, '^[a-z]+://([^/?#:]*)', 1))
     SELECT observation_id, arg_min(node_id, (rank, node_id)) AS node_id, min(rank) AS rank FROM x GROUP BY observation_id""",
 )

@@ -4,6 +4,8 @@ URL variants are derived from each page: the rule that a variant must meet is st
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sightline.functions import labels, policy, urls
@@ -12,7 +14,9 @@ from sightline.plans import bindings as b
 from sightline.plans.lead_queries import LAST, _adequacy
 from sightline.plans.markup_queries import ENTITIES, SEMANTIC, entities, outcomes, semantic
 from sightline.plans.registry import register
-from sightline.plans.url_queries import ANCHORS, HOST, PATH, QUERY, ROOT, SUFFIXES
+from sightline.plans.url_queries import ANCHORS, HOST, PATH, QUERY, ROOT
+from sightline.sources import suffix_rules
+from sightline.sources.tables import shared_folder
 
 #: (URL in SQL that Spark and DuckDB read, what the policy says, registrable domain, suffix type, reason of the suffix rules)
 VARIANTS = [
@@ -41,10 +45,37 @@ def _variants(s, d):
     return b.pages(s, d).select("page_id", F.expr(PICKED).alias("url"))
 
 
+RULE_FILE = """// A rule list in the public format; lines before the first section are no rules.
+net.invalid
+// ===BEGIN ICANN DOMAINS===
+// com : https://example.invalid
+com
+net
+org  // what follows a blank is no part of a rule
+
+CO.UK
+*.ck
+!www.ck
+// ===END ICANN DOMAINS===
+example.com
+// ===BEGIN PRIVATE DOMAINS===
+github.io
+example.org
+// ===END PRIVATE DOMAINS===
+"""
+
+
+def _rule_file(s):
+    """The rule list as a file in the shared folder."""
+    folder = f"{shared_folder(s)}/rules-{uuid.uuid4().hex}"
+    s.createDataFrame([(RULE_FILE,)], "value string").write.text(folder)
+    return folder
+
+
 register("url_policy", lambda s, d: _variants(s, d).select("page_id", F.coalesce(policy.url_policy(F.col("url")), F.lit("allowed")).alias("decision")), f"SELECT page_id, coalesce({_pick(1)}, 'allowed') AS decision FROM pages")
 register(
     "registrable_domain",
-    lambda s, d: suffixes.registrable_domains(_variants(s, d).unionByName(b.pages(s, d).select((-F.col("page_id") - 1).alias("page_id"), "url")), s.createDataFrame(SUFFIXES, "rule string, kind string")).select("page_id", "registrable_domain", "suffix_type", "reason"),
+    lambda s, d: suffixes.registrable_domains(_variants(s, d).unionByName(b.pages(s, d).select((-F.col("page_id") - 1).alias("page_id"), "url")), suffix_rules.read_rules(s, _rule_file(s))).select("page_id", "registrable_domain", "suffix_type", "reason"),
     f"""SELECT page_id, {_pick(2, True)} AS registrable_domain, {_pick(3)} AS suffix_type, {_pick(4)} AS reason FROM pages
     UNION ALL SELECT -page_id - 1, CASE WHEN ends_with({HOST}, '.example.org') THEN array_to_string(string_split({HOST}, '.')[-3:], '.') ELSE array_to_string(string_split({HOST}, '.')[-2:], '.') END, CASE WHEN ends_with({HOST}, '.example.org') THEN 'private' ELSE 'icann' END, NULL FROM pages""",
 )
@@ -54,7 +85,8 @@ register(
     f"""SELECT page_id, regexp_extract(url, '^([a-z]+)', 1) || '|' || {HOST} || '|' || rtrim({PATH}, '/') || '|' || {QUERY} AS same_page, lower(rtrim(url, '/')) AS folded,
     lower({ROOT}) || CASE WHEN {PATH} = '' THEN '/' ELSE {PATH} END || CASE WHEN {QUERY} = '' THEN '' ELSE '?' || {QUERY} END AS evaluated FROM pages""",
 )
-_SHOWN = "CASE WHEN {0} IS NULL THEN '[invalid URL]' ELSE regexp_replace(replace(replace(replace({0}, '+', '%20'), 'a*b', 'a%2Ab'), 'a%2ab', 'a%2Ab'), 'token=[^&]*', 'token=[redacted]') END"
+_QUOTED = "replace(replace(replace(replace(url_encode(regexp_extract({0}, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '%2F', '/'), '%3A', ':'), '%40', '@'), '%25', '%')"
+_SHOWN = "CASE WHEN {0} IS NULL THEN '[invalid URL]' ELSE regexp_extract({0}, '^([a-z]+://[^/?#]*)', 1) || " + _QUOTED + " || regexp_replace(replace(replace(replace(regexp_extract({0}, '^[^?#]*(.*)$', 1), '+', '%20'), 'a*b', 'a%2Ab'), 'a%2ab', 'a%2Ab'), 'token=[^&]*', 'token=[redacted]') END"
 register("redact_url", lambda s, d: b.anchors(s, d).select("page_id", "elem_ord", policy.redact_url(urls.resolve(F.col("url"), F.col("href"))).alias("shown")), f"WITH {ANCHORS} SELECT page_id, elem_ord, {_SHOWN.format('target')} AS shown FROM anchors")
 register(
     "redact_entity",

@@ -16,7 +16,6 @@ PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 QUERY = "regexp_extract(url, '^[^?#]*[?]([^#]*)', 1)"
 KEPT = f"list_sort(list_filter(string_split({QUERY}, '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND NOT regexp_matches(lower(p), '^(fbclid|gclid)(=|$)')))"
 CRAWL = f"lower({ROOT}) || CASE WHEN rtrim({PATH}, '/') = '' THEN '/' ELSE rtrim({PATH}, '/') END || CASE WHEN len({KEPT}) = 0 THEN '' ELSE '?' || array_to_string({KEPT}, '&') END"
-SUFFIXES = [("com", "icann"), ("net", "icann"), ("org", "icann"), ("co.uk", "icann"), ("*.ck", "icann"), ("!www.ck", "icann"), ("github.io", "private"), ("example.org", "private")]
 LISTED = ["spam-farm.example.org", "example.net", "cheap-pills.example.com"]
 
 register("resolve_url", lambda s, d: b.anchors(s, d).select("page_id", "elem_ord", urls.resolve(F.col("url"), F.col("href")).alias("resolved")), f"WITH {ANCHORS} SELECT page_id, elem_ord, resolved FROM anchors")

@@ -56,6 +56,12 @@ def dedup(stream: DataFrame) -> DataFrame:
     return stream.dropDuplicates(["event_id"])
 
 
+def dedup_within(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Each event_id once among events that come within ``delay`` (by occurred_at) of each other, with a state that holds no more than that time. A repeat that comes
+    later counts as new, and an event behind the watermark is dropped; ``dedup`` is exact and its state grows with the log."""
+    return stream.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(["event_id"])
+
+
 def event_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("run_id", "kind").agg(F.count("*").alias("n_events"))
 

@@ -85,3 +85,37 @@ def test_stream_equals_batch_with_animations(spark, tmp_path, files):
     got = st.run_to_table(st.replay(stream), "update", ["run_id", "item", "id"], rocksdb=True)
     assert sorted(map(str, got.drop("facts", "events", "observations").collect())) == want
     assert got.filter("item = 'animation'").count() > 400
+
+
+def test_dedup_with_and_without_watermark(spark, tmp_path):
+    """A repeat within the delay goes in both; one long after it stays in the bounded variant only."""
+    at = "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, {0})"
+    batches = [[(1, 0), (2, 1), (1, 20)], [(1, 30), (3, 300)], [(4, 600)], [(1, 601), (2, 602), (5, 5)]]
+    for k, rows in enumerate(batches):
+        spark.sql(" UNION ALL ".join(f"SELECT {i}L AS event_id, {at.format(m)} AS occurred_at" for i, m in rows)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log/{k}")
+        time.sleep(1.1)  # files are taken in order of their times
+    stream = lambda: spark.readStream.schema("event_id long, occurred_at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/log")
+    exact = sorted(r.event_id for r in st.run_to_table(st.dedup(stream()), "append").collect())
+    bounded = sorted(r.event_id for r in st.run_to_table(st.dedup_within(stream(), "1 hour"), "append").collect())
+    assert exact == [1, 2, 3, 4, 5] and bounded == [1, 1, 2, 2, 3, 4]  # event 5 came behind the watermark
+
+
+def test_suffix_rules_of_a_file(spark, tmp_path):
+    from sightline.operators import suffixes
+    from sightline.sources.suffix_rules import read_rules
+
+    (tmp_path / "rules.dat").write_text("out\r\n// ===BEGIN ICANN DOMAINS===\r\ncom\r\n\r\n  // no.rule\r\nJP\r\n*.kobe.jp\r\n!city.kobe.jp x\r\n公司.cn\r\n// ===END ICANN DOMAINS===\r\nbetween\r\n// ===BEGIN PRIVATE DOMAINS===\r\nblogspot.com // hosts\r\n.lead.com\r\n", encoding="utf-8")
+    rules = read_rules(spark, str(tmp_path / "rules.dat"))
+    assert sorted(map(tuple, rules.collect())) == [("!city.kobe.jp", "icann"), ("*.kobe.jp", "icann"), ("blogspot.com", "private"), ("com", "icann"), ("jp", "icann"), ("lead.com", "private"), ("xn--55qx5d.cn", "icann")]
+    hosts = ["a.b.com", "x.blogspot.com", "blogspot.com", "q.w.e.kobe.jp", "z.city.kobe.jp", "kobe.jp", "other"]
+    got = {r.host: (r.registrable_domain, r.suffix_type) for r in suffixes.registrable_domains(spark.createDataFrame([(f"http://{h}/",) for h in hosts], "url string"), rules).collect()}
+    assert got == {"a.b.com": ("b.com", "icann"), "x.blogspot.com": ("x.blogspot.com", "private"), "blogspot.com": (None, None), "q.w.e.kobe.jp": ("w.e.kobe.jp", "icann"), "z.city.kobe.jp": ("city.kobe.jp", "icann"), "kobe.jp": ("kobe.jp", "icann"), "other": (None, None)}
+
+
+def test_node_links_by_containment(spark):
+    from sightline.operators import leads
+
+    nodes = spark.createDataFrame([("a", "n1", "Payment Indicators · DANA pay, ovo"), ("a", "n2", "https://x.example/en/page"), ("b", "n3", "dana pay"), ("a", "n4", "Exact Value"), ("a", "n5", "an exact value inside"), ("a", "n6", "host.example")], "case_id string, node_id string, label string")
+    rows = [("a", "o1", "dana PAY "), ("a", "o2", "ovo"), ("a", "o3", "x.example/en"), ("a", "o4", "exact value"), ("a", "o5", "https://host.example/z"), ("a", "o6", "none of them"), ("b", "o7", "dana"), ("a", "o8", "http"), ("a", "o9", "")]
+    got = {r.observation_id: (r.node_id, r.rank) for r in leads.observation_node_link(spark.createDataFrame(rows, "case_id string, observation_id string, value string"), nodes).collect()}
+    assert got == {"o1": ("n1", 1), "o3": ("n2", 1), "o4": ("n4", 0), "o5": ("n6", 2), "o7": ("n3", 1), "o8": ("n2", 1)}
