@@ -23,6 +23,7 @@ ROUNDS = 12
 CHUNK = 1024
 BUCKET_DIGITS = 3  # 4096 buckets of a source's stream, whatever its size
 SLOTS_PER_SHARD = 4096
+DRAW_CELLS = 1 << 16  # a power of two, so that cells of doubles are exact
 
 
 def word_count(text: Column) -> Column:
@@ -89,19 +90,28 @@ def _sources_with_slots(sources: DataFrame, block_words: int) -> DataFrame:
 
 
 def shard_counts(sources: DataFrame, block_words: int, slots_per_shard: int, seed: int) -> DataFrame:
-    """shard, source (struct of source_rank, source_size, n, want, slots), drawn: how many slots of each shard drew each source."""
-    upto = F.sum("slots").over(W.orderBy("source_rank")).cast("double") / F.sum("slots").over(W.partitionBy(F.lit(0))).cast("double")
-    edges = _sources_with_slots(sources, block_words).select("slots", F.struct(upto.alias("edge"), F.struct("source_rank", "source_size", "n", "want", "slots").alias("source")).alias("e"))
-    one = edges.agg(F.sum("slots").alias("all"), F.array_sort(F.collect_list("e")).alias("edges")).filter("all > 0")
+    """shard, source (struct of source_rank, source_size, n, want, slots), drawn: how many slots of each shard drew each source.
+
+    Every source has an interval of [0, 1), and a slot's draw falls into one. Both are cut into DRAW_CELLS equal cells and joined by cell, so a slot meets the sources of
+    one cell only, however many there are.
+    """
+    own, order = _sources_with_slots(sources, block_words), W.orderBy("source_rank")
+    upto = F.sum("slots").over(order).cast("double") / F.sum("slots").over(W.partitionBy(F.lit(0))).cast("double")
+    edges = own.select(F.struct("source_rank", "source_size", "n", "want", "slots").alias("source"), "source_rank", upto.alias("hi"))
+    edges = edges.withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0)))
+    last = F.least(F.floor(F.col("hi") * DRAW_CELLS), F.lit(DRAW_CELLS - 1).cast("long"))
+    cells = edges.select("source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * DRAW_CELLS), last)).alias("cell"))
+    one = own.agg(F.sum("slots").alias("all")).filter("all > 0")
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that small rows are not drawn together
     shards = F.floor((F.col("all") - 1) / slots_per_shard).cast("long")
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(shards / CHUNK).cast("long")))
     rows = one.select("*", chunk.alias("chunk")).repartition(parts, "chunk")
-    rows = rows.select("all", "edges", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(shards, F.col("chunk") * CHUNK + (CHUNK - 1)))).alias("shard")).repartition(parts, "shard")
+    rows = rows.select("all", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(shards, F.col("chunk") * CHUNK + (CHUNK - 1)))).alias("shard")).repartition(parts, "shard")
     places = F.sequence(F.lit(0).cast("long"), F.least(F.lit(slots_per_shard).cast("long"), F.col("all") - F.col("shard") * slots_per_shard) - 1)
-    rows = rows.select("edges", "shard", F.explode(places).alias("place")).withColumn("u", draw(F.col("shard"), F.col("place"), seed))
-    source = F.element_at(F.filter("edges", lambda e: F.col("u") < e["edge"]), 1)["source"]
-    return rows.groupBy("shard", source.alias("source")).agg(F.count("*").alias("drawn"))
+    rows = rows.select("shard", F.explode(places).alias("place")).withColumn("u", draw(F.col("shard"), F.col("place"), seed))
+    rows = rows.select("shard", "u", F.floor(F.col("u") * DRAW_CELLS).alias("cell"))
+    drawn = rows.join(cells, (rows["cell"] == cells["cell"]) & (rows["u"] >= cells["lo"]) & (rows["u"] < cells["hi"]))
+    return drawn.groupBy("shard", "source").agg(F.count("*").alias("drawn"))
 
 
 def slot_table(sources: DataFrame, block_words: int, slots_per_shard: int, seed: int) -> DataFrame:

@@ -134,3 +134,12 @@ def test_long_documents_keep_their_share_in_a_skewed_source(spark):
     assert 60 < sum(r.source == "c" and r.doc_id < 400 for r in got) < 120
     assert abs(words.pop("c") - 120000) < 0.15 * 120000
     assert words == {s: 2 * n for s, n in size.items()}
+
+
+def test_thousands_of_sources(spark):
+    """Each slot meets the sources of its cell only; every source gets its target to the word."""
+    docs = spark.range(9000).selectExpr("id AS doc_id", "repeat('w ', 1 + cast(id % 40 AS int)) AS text", "concat('s', id % 3000) AS source")
+    slots, placed = mixing.mix(docs, block_words=8, slots_per_shard=64)
+    taken = mixing.taken_words(slots, placed, 8)
+    totals = taken.join(placed.select("doc_id", "source_rank"), "doc_id").groupBy("source_rank").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(totals) == 3000 and all(r.taken == int(r.target) for r in totals)
