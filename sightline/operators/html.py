@@ -129,7 +129,11 @@ def nodes(pages: DataFrame) -> DataFrame:
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    return nodes(pages).filter("kind = 'element'").select("page_id", F.col("ord").alias("elem_ord"), "tag", "attrs", "region", "parent")
+    return elements_of(nodes(pages))
+
+
+def elements_of(all_nodes: DataFrame) -> DataFrame:
+    return all_nodes.filter("kind = 'element'").select("page_id", F.col("ord").alias("elem_ord"), "tag", "attrs", "region", "parent")
 
 
 def text_of(all_nodes: DataFrame) -> DataFrame:
@@ -154,8 +158,12 @@ def first_text(all_nodes: DataFrame, tag: str) -> DataFrame:
 
 
 def dom_features(pages: DataFrame) -> DataFrame:
+    return dom_features_of(nodes(pages))
+
+
+def dom_features_of(all_nodes: DataFrame) -> DataFrame:
     """page_id, pair: adjacent pairs of ``tag[attribute names]`` without scripts, styles, noscripts and templates."""
-    rows = elements(pages).filter(~F.col("tag").isin("script", "style", "noscript", "template"))
+    rows = elements_of(all_nodes).filter(~F.col("tag").isin("script", "style", "noscript", "template"))
     feature = F.concat("tag", F.lit("["), F.array_join(F.array_sort(F.map_keys("attrs")), ","), F.lit("]"))
     rows = rows.select("page_id", "elem_ord", feature.alias("feature"))
     return rows.withColumn("pair", F.concat("feature", F.lit(">"), F.lead("feature").over(W.partitionBy("page_id").orderBy("elem_ord")))).filter("pair is not null")

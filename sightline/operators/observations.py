@@ -105,6 +105,18 @@ def text_tokens(texts: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "token").agg(F.count("*").alias("n"))
 
 
+def text_vectors(texts: DataFrame) -> DataFrame:
+    """id, counts (array of (token, n), by token), sq (sum of n * n), total: the tokens of each text with a token, a row a text.
+
+    Texts are dealt by page_id before they are taken apart, and both groupings below keep that order of partitions, so that tokens never cross the network.
+    """
+    rows = texts.select("page_id", "text").repartition("page_id")
+    rows = rows.select("page_id", F.explode(F.regexp_extract_all(policy.fold(F.col("text")), F.lit(r"(?U)\w{2,}"), F.lit(0))).alias("token"))
+    rows = rows.groupBy("page_id", "token").agg(F.count("*").alias("n"))
+    sums = [F.sum(F.col("n") * F.col("n")).alias("sq"), F.sum("n").alias("total")]
+    return rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("token", "n"))).alias("counts"), *sums).withColumnRenamed("page_id", "id")
+
+
 def indicator_rows(observations: DataFrame) -> DataFrame:
     """page_id, observation_type, value, category, matched: rows (with text) whose text holds whole indicator terms; types that
     only count in context take the terms of their page."""

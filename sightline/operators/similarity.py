@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # What each component of a comparison counts for, and below what a page says too little.
 WEIGHTS = {"entity": 0.30, "text": 0.20, "dom": 0.20, "visual": 0.20, "asset": 0.10}
@@ -41,13 +41,22 @@ def dom_similarity(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return rows.select("left", "right", "shared", "united", F.when(F.col("status") == "scored", F.col("similarity")).otherwise(0.0).alias("similarity"), "status")
 
 
-def text_similarity(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """left, right, similarity, low_information: cosine of the token counts (id, token, n) of each pair."""
-    norm = tokens.groupBy("id").agg(F.sum(F.col("n") * F.col("n")).alias("sq"), F.sum("n").alias("total"))
-    dot = pairs.join(tokens.select(F.col("id").alias("left"), "token", F.col("n").alias("x")), "left").join(tokens.select(F.col("id").alias("right"), "token", F.col("n").alias("y")), ["right", "token"]).groupBy("left", "right").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    rows = pairs.join(norm.select(F.col("id").alias("left"), F.col("sq").alias("p"), F.col("total").alias("m")), "left", "left").join(norm.select(F.col("id").alias("right"), F.col("sq").alias("q"), F.col("total").alias("n")), "right", "left").join(dot, ["left", "right"], "left")
-    value = F.coalesce(F.col("dot") / (F.sqrt("p") * F.sqrt("q")), F.lit(0.0))
-    low = (F.coalesce("m", F.lit(0)) < MIN_TOKENS) | (F.coalesce("n", F.lit(0)) < MIN_TOKENS)
+def _dot(x: Column, y: Column) -> Column:
+    """The product of two lists of (token, n), each with a token once: in the sorted list of both, equal tokens stand side by side."""
+    zero = F.lit(0).cast("long")
+    step = lambda a, e: F.struct(e["token"].alias("token"), e["n"].alias("n"), (a["dot"] + F.when(a["token"] == e["token"], a["n"] * e["n"]).otherwise(zero)).alias("dot"))
+    start = F.struct(F.lit("").alias("token"), zero.alias("n"), zero.alias("dot"))
+    return F.aggregate(F.array_sort(F.concat(x, y)), start, step, lambda a: a["dot"])
+
+
+def text_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """left, right, similarity, low_information: cosine of the token counts (``observations.text_vectors``) of each pair. A pair's vectors meet in its row, after two joins of a row
+    a text each."""
+    side = lambda name: vectors.select(F.col("id").alias(name), F.struct("counts", "sq", "total").alias(f"{name}_vector"))
+    rows = pairs.join(side("left"), "left", "left").join(side("right"), "right", "left")
+    x, y = F.col("left_vector"), F.col("right_vector")
+    value = F.when(x.isNotNull() & y.isNotNull(), _dot(x["counts"], y["counts"]) / (F.sqrt(x["sq"]) * F.sqrt(y["sq"]))).otherwise(0.0)
+    low = F.least(F.coalesce(x["total"], F.lit(0)), F.coalesce(y["total"], F.lit(0))) < MIN_TOKENS
     return rows.select("left", "right", value.alias("similarity"), low.alias("low_information"))
 
 

@@ -148,12 +148,12 @@ def _pairs(rows, key):
 
 register(
     "text_similarity",
-    lambda s, d: sim.text_similarity(_pairs(b.texts(s, d), "page_id"), ob.text_tokens(b.texts(s, d)).withColumnRenamed("page_id", "id")).select("left", "right", F.round("similarity", 6).alias("similarity"), "low_information"),
+    lambda s, d: sim.text_similarity(_pairs(b.texts(s, d), "page_id"), ob.text_vectors(b.texts(s, d))).select("left", "right", F.round("similarity", 6).alias("similarity"), "low_information"),
     r"""WITH t AS (SELECT id, token, count(*) AS n FROM (SELECT doc_id AS id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\pL\pM\pN_]{2,}')) AS token FROM documents) GROUP BY ALL), q AS (SELECT id, sum(n * n) AS sq, sum(n) AS total FROM t GROUP BY id),
     p AS (SELECT doc_id AS l, doc_id + 1 AS r FROM documents WHERE doc_id % 2 = 0), dt AS (SELECT l, r, sum(a.n * b.n) AS dot FROM p JOIN t a ON a.id = l JOIN t b ON b.id = r AND a.token = b.token GROUP BY l, r)
     SELECT p.l AS "left", p.r AS "right", round(coalesce(dot / (sqrt(x.sq) * sqrt(y.sq)), 0), 6) AS similarity, coalesce(x.total, 0) < 6 OR coalesce(y.total, 0) < 6 AS low_information FROM p LEFT JOIN q x ON x.id = p.l LEFT JOIN q y ON y.id = p.r LEFT JOIN dt ON dt.l = p.l AND dt.r = p.r""",
 )
-_dom = lambda s, d: sim.dom_similarity(_pairs(b.pages(s, d), "page_id"), html.dom_features(b.web(s, d)).select(F.col("page_id").alias("id"), F.col("pair").alias("item")))
+_dom = lambda s, d: sim.dom_similarity(_pairs(b.pages(s, d), "page_id"), html.dom_features_of(b.nodes(s, d)).select(F.col("page_id").alias("id"), F.col("pair").alias("item")))
 DOM = rf"""{WEB}, de AS (SELECT page_id, list_transform(regexp_extract_all(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[a-z][a-z0-9]*[^>]*>'), lambda t: regexp_extract(t, '<([a-z0-9]+)', 1) || '[' || array_to_string(list_sort(regexp_extract_all(t, ' ([a-z-]+)=', 1)), ',') || ']') AS l FROM web),
   df AS (SELECT page_id, len(l) AS n, list_distinct(list_transform(range(1, len(l)), lambda k: l[k] || '>' || l[k + 1])) AS x FROM de),
   dm AS (SELECT a.page_id AS l, a.page_id + 1 AS r, len(list_intersect(a.x, coalesce(b.x, []))) AS shared, len(a.x) + len(coalesce(b.x, [])) - len(list_intersect(a.x, coalesce(b.x, []))) AS united, CASE WHEN b.n IS NULL THEN 'not_applicable' WHEN least(a.n, b.n) < 3 THEN 'low_information' ELSE 'scored' END AS status FROM df a LEFT JOIN df b ON b.page_id = a.page_id + 1 WHERE a.page_id % 2 = 0)"""
@@ -188,8 +188,7 @@ def _mirror(s, d):
     ids = entities(s, d).select(F.col("page_id").alias("id"), "type", F.col("value").alias("item"))
     entity = sim.entity_similarity(pairs, ids.filter(F.col("type").isin("telegram", "whatsapp_or_phone", "referral")))
     asset = sim.set_similarity(pairs, ids.filter("type = 'external_asset_url'"))
-    tokens = ob.text_tokens(html.text_of(nodes)).withColumnRenamed("page_id", "id")
-    text = sim.text_similarity(pairs, tokens)
+    text = sim.text_similarity(pairs, ob.text_vectors(html.text_of(nodes)))
     scored = lambda test: F.when(test, "scored").otherwise("not_applicable").alias("status")
     part = lambda rows, name, status: rows.select("left", "right", F.lit(name).alias("name"), "similarity", status)
     parts = [part(entity, "entity", scored(F.col("n_types") > 0)), part(asset, "asset", scored(F.col("united") > 0)), part(text, "text", F.when(F.col("low_information"), "low_information").otherwise("scored").alias("status")), part(_dom(s, d), "dom", F.col("status")), part(_visual(s, d), "visual", F.col("status"))]
