@@ -1,10 +1,10 @@
-"""Boxes of elements, references between records, and rows for display."""
+"""Boxes of elements, and links that don't expand."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F
 
-from sightline.functions import policy, urls
+from sightline.functions import urls
 
 MAX_CROP_PIXELS = 2_000_000
 
@@ -28,12 +28,3 @@ def nonexpanded_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     """``links`` of pages (page_id, outcome, depth) that may not expand, with the one reason of their page."""
     reason = F.when(F.col("outcome") != "content", "parent_not_usable").when(F.col("depth") >= 1, "depth_limit")
     return links.join(pages.select("page_id", reason.alias("reason")).filter("reason is not null"), "page_id")
-
-
-def case_projection(nodes: DataFrame, claims: DataFrame, most: int = 18) -> DataFrame:
-    """case_id, node, kind, place: the view of a case: its nodes in order, then its first claim groups."""
-    rows = nodes.select("case_id", F.col("node_id").alias("node"), F.col("type").alias("kind"), F.when(F.col("type") == "case", 0).when(F.col("type") == "page", 1).otherwise(2).alias("rank"))
-    nth = F.row_number().over(W.partitionBy("case_id").orderBy("category"))
-    groups = claims.select("case_id", "category").distinct().withColumn("nth", nth).filter(F.col("nth") <= most)
-    rows = rows.unionByName(groups.select("case_id", F.concat(F.lit("claim:"), "category").alias("node"), F.lit("claim").alias("kind"), F.lit(3).alias("rank")))
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("case_id").orderBy("rank", "node"))).drop("rank")

@@ -146,12 +146,34 @@ def entities(pages: DataFrame, nodes: DataFrame, start: int = 1) -> DataFrame:
     return one.select("page_id", F.format_string("entity-%03d", rank + (start - 1)).alias("entity_id"), "type", "value", "method")
 
 
-OBSERVATION = ["page_id", "observation_type", "value", "method", "confidence", "stage", "ord", "sub"]
+OBSERVATION = ["page_id", "observation_type", "value", "method", "confidence", "stage", "ord", "sub", "raw", "strength", "context", "attributes", "href", "label"]
 
 
-def _observations(rows: DataFrame, kind: str | Column, value: Column, method: str | Column, stage: int, sub: int | Column = 0, confidence: float = 1.0) -> DataFrame:
+def _observations(
+    rows: DataFrame, kind: str | Column, value: Column, method: str | Column, stage: int, sub: int | Column = 0, confidence: float = 1.0, raw: Column | None = None, strength: str = "strong", context: Column | None = None,
+    attributes: dict[str, Column] | None = None, element: tuple[str | None, str] | None = None,
+) -> DataFrame:
+    """``raw`` is the value as it stands in the page, ``context`` what is around it (of an element, its text), ``element`` the columns of its href and its text."""
     lit = lambda x: F.lit(x) if not isinstance(x, Column) else x
-    return rows.select("page_id", lit(kind).alias("observation_type"), value.alias("value"), lit(method).alias("method"), F.lit(confidence).alias("confidence"), F.lit(stage).alias("stage"), F.col("ord").cast("int").alias("ord"), lit(sub).cast("int").alias("sub"))
+    blank = F.lit(None).cast("string")
+    href, label = (F.col(c) if c else blank for c in element) if element else (blank, blank)
+    pairs = [x for k, v in (attributes or {}).items() for x in (F.lit(k), F.coalesce(v.cast("string"), F.lit("")))]
+    return rows.select(
+        "page_id", lit(kind).alias("observation_type"), bounded(value, 2000).alias("value"), lit(method).alias("method"), F.lit(confidence).alias("confidence"), F.lit(stage).alias("stage"), F.col("ord").cast("int").alias("ord"), lit(sub).cast("int").alias("sub"),
+        bounded(value if raw is None else raw, 2000).alias("raw"), F.lit(strength).alias("strength"), bounded(F.coalesce(context if context is not None else label, F.lit("")), 1000).alias("context"), F.create_map(*pairs).cast("map<string,string>").alias("attributes"), href.alias("href"), label.alias("label"),
+    )
+
+
+def bounded(text: Column, limit: int) -> Column:
+    """Without controls but line ends and tabs, trimmed, cut at a length."""
+    return F.substring(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "), r"^\s+|\s+$", ""), 1, limit)
+
+
+def around(text: Column, found: Column) -> Column:
+    """What stands 120 characters before and after the first place of ``found``."""
+    at = F.instr(text, found)
+    start = F.greatest(at - 120, F.lit(1))
+    return bounded(F.substr(text, start, at + F.length(found) + 120 - start), 300)
 
 
 def normalized_url(url: Column) -> Column:
@@ -169,7 +191,8 @@ def brand_observations(nodes: DataFrame) -> DataFrame:
     site = sites.groupBy("page_id").agg(F.min_by(_attr("content"), "ord").alias("text")).filter("text <> ''")
     out = []
     for sub, (rows, method, confidence) in enumerate([(site, "meta_og_site_name", 0.95), (first_text(nodes, "h1"), "dom_h1", 0.85), (first_text(nodes, "title"), "document_title", 0.85)]):
-        out.append(_observations(rows.withColumn("ord", F.lit(0)), "claimed_brand_identity", policy.fold(collapsed(F.col("text"))), method, 0, sub, confidence))
+        claim = {"entity_class": F.lit("ClaimedBrandIdentity"), "verified_ownership": F.lit("false")}
+        out.append(_observations(rows.withColumn("ord", F.lit(0)), "claimed_brand_identity", policy.fold(collapsed(F.col("text"))), method, 0, sub, confidence, F.col("text"), "moderate", attributes=claim, element=None if sub == 0 else (None, "text")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -181,9 +204,15 @@ def link_rows(links: DataFrame) -> DataFrame:
 
 def outgoing_links(rows: DataFrame) -> DataFrame:
     """OBSERVATION rows with label, new_tab and download: http(s) links of ``link_rows``."""
-    own = rows.filter("is_http")
-    out = _observations(own.select("page_id", "ord", F.struct("norm", "label", "target_attr", "download").alias("x")), "public_outgoing_link", F.col("x"), "dom_anchor", 1)
-    return out.withColumns({"label": F.col("value.label"), "new_tab": F.lower("value.target_attr") == "_blank", "download": F.col("value.download"), "value": F.col("value.norm")})
+    out = _observations(rows.filter("is_http"), "public_outgoing_link", F.col("norm"), "dom_anchor", 1, raw=F.col("to"), attributes=_link_attributes(), element=("href", "label"))
+    return out.withColumns({"new_tab": F.col("attributes")["new_tab"] == "true", "download": F.col("attributes")["download_attribute"] == "true"})
+
+
+def _link_attributes() -> dict[str, Column]:
+    return {
+        "visible_label": bounded(F.col("label"), 500), "destination": F.col("to"), "normalized_destination": F.col("norm"), "relation_type": F.lit("public_anchor"), "target": F.col("target_attr"), "new_tab": F.lower("target_attr") == "_blank",
+        "download_attribute": F.col("download"), "destination_permitted": F.coalesce(F.col("is_http"), F.lit(False)),
+    }
 
 
 def messaging_links(rows: DataFrame) -> DataFrame:
@@ -198,29 +227,31 @@ def messaging_links(rows: DataFrame) -> DataFrame:
     path = F.regexp_replace(urls.path(F.col("to")), "/", "")
     number = policy.digits(F.when(path != "", path).otherwise(_parameter(F.col("to"), "phone")))
     link = F.when(number != "", F.concat(F.lit("https://wa.me/"), number)).otherwise(F.col("norm"))
-    return _observations(telegram, kind, value, "dom_anchor_telegram", 1, 1).unionByName(_observations(whatsapp, "public_whatsapp_link", link, "dom_anchor_whatsapp", 1, 2))
+    own = {"raw": F.trim("href"), "element": ("href", "label")}
+    return _observations(telegram, kind, value, "dom_anchor_telegram", 1, 1, **own).unionByName(_observations(whatsapp, "public_whatsapp_link", link, "dom_anchor_whatsapp", 1, 2, **own))
 
 
 def downloads(rows: DataFrame) -> DataFrame:
     """OBSERVATION rows of links with a download attribute or a binary's extension."""
-    return _observations(rows.filter(F.col("download") | F.lower(urls.path(F.col("to"))).rlike(ob.DOWNLOADS)), "public_download_destination", F.col("norm"), "dom_download_inspection", 1, 3)
+    return _observations(rows.filter(F.col("download") | F.lower(urls.path(F.col("to"))).rlike(ob.DOWNLOADS)), "public_download_destination", F.col("norm"), "dom_download_inspection", 1, 3, raw=F.col("to"), attributes=_link_attributes() | {"navigation_blocked": F.lit("true")}, element=("href", "label"))
 
 
 def parameter_observations(rows: DataFrame) -> DataFrame:
     """OBSERVATION rows of referral codes and tracking identifiers in the queries of links."""
-    pair = rows.select("page_id", "ord", F.posexplode(urls.pairs(urls.query(F.col("to")), blanks=False)).alias("k", "p"))
+    pair = rows.select("page_id", "ord", "to", "href", "label", F.posexplode(urls.pairs(urls.query(F.col("to")), blanks=False)).alias("k", "p"))
     pair = pair.withColumns({"key": F.lower("p.key"), "v": policy.fold(F.trim("p.value"))})
     codes = pair.filter(F.col("key").isin(ob.OBSERVED_REFERRALS) & (F.col("v") != ""))
     marks = pair.filter(F.col("key").startswith("utm_") | F.col("key").isin(ob.TRACKING))
-    out = _observations(codes, "public_referral_code", F.col("v"), F.concat(F.lit("url_query:"), "key"), 1, F.col("k") * 2 + 4)
-    return out.unionByName(_observations(marks, "public_tracking_identifier", F.concat_ws("=", "key", "v"), "url_tracking_parameter", 1, F.col("k") * 2 + 5))
+    own = {"attributes": {"parameter": F.col("key"), "destination": F.col("to")}, "element": ("href", "label")}
+    out = _observations(codes, "public_referral_code", F.col("v"), F.concat(F.lit("url_query:"), "key"), 1, F.col("k") * 2 + 4, raw=F.col("p.value"), **own)
+    return out.unionByName(_observations(marks, "public_tracking_identifier", F.concat_ws("=", "key", "v"), "url_tracking_parameter", 1, F.col("k") * 2 + 5, raw=F.concat_ws("=", "p.key", "p.value"), strength="moderate", **own))
 
 
 def text_observations(texts: DataFrame) -> DataFrame:
     """OBSERVATION rows of visible text (page_id, text): labelled channel numbers, e-mail addresses, other phones, aliases, claim terms."""
 
     def found(source: str, pattern: str, group: int = 1) -> DataFrame:
-        return base.select("page_id", F.posexplode(F.regexp_extract_all(source, F.lit(pattern), F.lit(group))).alias("ord", "m"))
+        return base.select("page_id", "text", F.posexplode(F.regexp_extract_all(source, F.lit(pattern), F.lit(group))).alias("ord", "m"))
 
     # a number that follows a channel's name is no phone number of its own
     base = texts.withColumn("rest", F.regexp_replace("text", ob.CHANNEL_PHONE, "$1 : "))
@@ -228,31 +259,62 @@ def text_observations(texts: DataFrame) -> DataFrame:
     digits, regex = policy.digits(F.col("m")), "visible_text_regex"
     whatsapp, telegram = found("text", ob.WHATSAPP_PHONE).filter(long), found("text", ob.TELEGRAM_PHONE).filter(long)
     phone = F.concat(F.when(F.trim("m").startswith("+"), F.lit("+")).otherwise(F.lit("")), digits)
+    seen = {"raw": F.col("m"), "context": around(F.col("text"), F.col("m"))}
     out = [
-        _observations(whatsapp, "public_whatsapp_link", F.concat(F.lit("https://wa.me/"), digits), "visible_text_channel_label", 2, confidence=0.9),
-        _observations(telegram, "public_telegram_contact", F.concat(F.lit("+"), digits), "visible_text_channel_label", 3, confidence=0.9),
-        _observations(found("text", ob.EMAIL), "public_email_address", policy.fold(F.col("m")), regex, 4),
-        _observations(found("rest", ob.PHONE).filter(long), "public_phone_number", phone, regex, 5),
-        _observations(found("text", ob.ALIAS), "public_telegram_alias", F.concat(F.lit("@"), F.lower("m")), regex, 6, confidence=0.9),
+        _observations(whatsapp, "public_whatsapp_link", F.concat(F.lit("https://wa.me/"), digits), "visible_text_channel_label", 2, confidence=0.9, **seen),
+        _observations(telegram, "public_telegram_contact", F.concat(F.lit("+"), digits), "visible_text_channel_label", 3, confidence=0.9, **seen),
+        _observations(found("text", ob.EMAIL), "public_email_address", policy.fold(F.col("m")), regex, 4, **seen),
+        _observations(found("rest", ob.PHONE).filter(long), "public_phone_number", phone, regex, 5, strength="moderate", **seen),
+        _observations(found("text", ob.ALIAS), "public_telegram_alias", F.concat(F.lit("@"), F.lower("m")), regex, 6, confidence=0.9, raw=F.concat(F.lit("@"), "m"), strength="moderate", context=seen["context"]),
     ]
     for stage, (kind, terms) in enumerate(ob.CLAIMS.items(), 7):
         listed = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(t).alias("m")) for k, t in enumerate(sorted(terms))])
-        hits = texts.select("page_id", F.inline(F.filter(listed, lambda x: F.instr(policy.fold(F.col("text")), x["m"]) > 0)))
-        out.append(_observations(hits, kind, F.col("m"), "visible_text_dictionary", stage, confidence=0.75))
+        hits = texts.select("page_id", "text", F.inline(F.filter(listed, lambda x: F.instr(policy.fold(F.col("text")), x["m"]) > 0)))
+        out.append(_observations(hits, kind, F.col("m"), "visible_text_dictionary", stage, confidence=0.75, strength="weak", context=around(F.lower("text"), F.col("m")), attributes={"public_claim_only": F.lit("true")}))
     return reduce(DataFrame.unionByName, out)
 
 
 def redirect_observations(redirects: DataFrame) -> DataFrame:
-    """OBSERVATION rows of redirects (page_id, hop, target)."""
-    return _observations(redirects.withColumn("ord", F.col("hop")), "public_redirect_target", normalized_url(F.col("target")), "network_redirect", 11)
+    """OBSERVATION rows of redirects (page_id, hop, source, target, status_code, raw_location)."""
+    facts = {"source_url": F.col("source"), "status_code": F.col("status_code"), "raw_location": F.col("raw_location")}
+    return _observations(redirects.withColumn("ord", F.col("hop")), "public_redirect_target", normalized_url(F.col("target")), "network_redirect", 11, raw=F.col("target"), context=F.concat(F.lit("Redirect observed from "), "source"), attributes=facts)
+
 
+def _snapshot_of(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``rows`` with s (snap, selector, x, y, width, height): the first of their page's snapshots (these and href, text) whose link has the path of the row's href, or whose text
+    is the start of the row's label. Two equi-joins over the distinct elements of a page."""
+    s = F.struct("snap", "selector", "x", "y", "width", "height")
+    by_path = snapshots.filter("href <> ''").groupBy("page_id", urls.path(F.col("href")).alias("path")).agg(F.min(s).alias("s"))
+    by_text = snapshots.filter("text <> ''").groupBy("page_id", F.col("text").alias("shown")).agg(F.min(s).alias("s"))
+    one = rows.filter("href is not null or label is not null").select("page_id", "href", "label").distinct().withColumns({"path": urls.path(F.col("href")), "shown": F.substring("label", 1, 200)})
+    found = one.filter("href <> ''").join(by_path, ["page_id", "path"]).select("page_id", "href", "label", "s").unionByName(one.filter("shown <> ''").join(by_text, ["page_id", "shown"]).select("page_id", "href", "label", "s"))
+    best = found.groupBy(F.col("page_id").alias("p"), F.col("href").alias("h"), F.col("label").alias("l")).agg(F.min("s").alias("s"))
+    return rows.join(best, (F.col("page_id") == F.col("p")) & F.col("href").eqNullSafe(F.col("h")) & F.col("label").eqNullSafe(F.col("l")), "left").drop("p", "h", "l")
 
-def semantic_observations(nodes: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
-    """page_id, observation_id, observation_type, value, method, confidence: all observations of a page in their order of emission, one for
-    each (type, value), MAX_OBSERVATIONS at most, numbered."""
+
+def semantic_evidence(nodes: DataFrame, redirects: DataFrame, snapshots: DataFrame, start: int = 1) -> DataFrame:
+    """page_id, observation_id, observation_type, raw, value, selector, box, context, confidence, method, strength, attributes: all observations of a page, redirects included, in their
+    order of emission, one for each (type, value, selector of the element's snapshot), MAX_OBSERVATIONS at most, numbered from ``start`` on.
+
+    Context is the text around a find in visible text, and the element's own text for elements. Snapshots: page_id, snap, href, text, selector, x, y, width, height.
+    """
+    every = _snapshot_of(_every(nodes, redirects).filter("value <> '' and raw <> ''"), snapshots).withColumn("selector", F.col("s.selector"))
+    order = ["stage", "ord", "sub"]
+    first = F.row_number().over(W.partitionBy("page_id", "observation_type", "value", "selector").orderBy(*order))
+    one = every.withColumn("nth", first).filter("nth = 1").withColumn("place", F.row_number().over(W.partitionBy("page_id").orderBy(*order, "selector"))).filter(F.col("place") <= MAX_OBSERVATIONS)
+    box = F.when(F.col("s").isNotNull(), F.struct("s.x", "s.y", "s.width", "s.height"))
+    return one.select("page_id", F.format_string("observation-%04d", F.col("place") + (start - 1)).alias("observation_id"), "observation_type", "raw", "value", "selector", box.alias("box"), "context", "confidence", "method", "strength", "attributes")
+
+
+def _every(nodes: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     rows = link_rows(anchors(nodes))
     parts = [brand_observations(nodes), outgoing_links(rows).select(OBSERVATION), messaging_links(rows), downloads(rows), parameter_observations(rows), text_observations(text_of(nodes))]
-    every = reduce(DataFrame.unionByName, parts if redirects is None else [*parts, redirect_observations(redirects)]).filter("value <> ''")
+    return reduce(DataFrame.unionByName, parts if redirects is None else [*parts, redirect_observations(redirects)])
+
+
+def semantic_observations(nodes: DataFrame) -> DataFrame:
+    """page_id, observation_id, observation_type, value, method, confidence: the observations of a page without snapshots and redirects, one for each (type, value)."""
+    every = _every(nodes).filter("value <> ''")
     order = ["stage", "ord", "sub"]
     first = F.row_number().over(W.partitionBy("page_id", "observation_type", "value").orderBy(*order))
     one = every.withColumn("nth", first).filter("nth = 1").withColumn("place", F.row_number().over(W.partitionBy("page_id").orderBy(*order))).filter(F.col("place") <= MAX_OBSERVATIONS)

@@ -12,7 +12,7 @@ from sightline.plans import bindings as b
 from sightline.plans.log_queries import LOG
 from sightline.plans.markup_queries import ENTITIES, OUTCOMES, SEMANTIC, TX, entities, outcomes, semantic
 from sightline.plans.registry import register
-from sightline.plans.url_queries import ANCHORS, CRAWL, HOST, ROOT, _MATERIAL, _priorities
+from sightline.plans.url_queries import ANCHORS, HOST, _MATERIAL, _priorities
 from sightline.plans.web import THOST, WEB
 from sightline.sources import read_table
 

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sightline.functions import policy, urls
+from sightline.functions import urls
 from sightline.operators import html, leads, markup
 from sightline.plans import bindings as b
 from sightline.plans.markup_queries import NAVIGATION, OUTCOMES, SEMANTIC, TX, outcomes, semantic
@@ -56,7 +56,16 @@ register(
     SELECT *, CASE WHEN excluded IS NULL THEN 30 ELSE 0 END AS weight FROM x""",
 )
 register("orphan_redirects", lambda s, d: leads.orphan_redirects(_out(s, d, 2).select("page_id", "target"), _redirects(s, d).filter("is_top_level")), f"WITH {PG} SELECT page_id, target, 'redirect_without_evidence' AS excluded FROM {OUT(2)} WHERE page_id % 5 = 0")
-register("obs_redirect_targets", lambda s, d: _redirects(s, d).select("page_id", urls.http_url(F.col("target"), F.col("target")).alias("value")), f"WITH {PG} SELECT page_id, regexp_replace(target, '#.*$', '') AS value FROM {OUT(2)}")
+def _hops(s, d):
+    """The redirects with what the network said of them."""
+    return _redirects(s, d).join(b.pages(s, d).select("page_id", F.col("url").alias("source")), "page_id").select("page_id", F.lit(0).alias("hop"), "source", "target", F.lit(302).alias("status_code"), F.col("target").alias("raw_location"))
+
+
+register(
+    "obs_redirect_targets",
+    lambda s, d: markup.redirect_observations(_hops(s, d)).select("page_id", "value", "raw", "context", "method", "confidence", F.col("attributes")["status_code"].alias("status_code")),
+    f"WITH {PG} SELECT page_id, regexp_replace(target, '#.*$', '') AS value, target AS raw, 'Redirect observed from ' || url AS context, 'network_redirect' AS method, 1.0::DOUBLE AS confidence, '302' AS status_code FROM {OUT(2)} JOIN (SELECT page_id, url FROM pages) USING (page_id)",
+)
 
 
 def _responses(s, d):

@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.functions import policy, urls
+from sightline.functions import urls
 from sightline.operators import cases, html, markup, observations as ob
 from sightline.plans import bindings as b
 from sightline.plans.registry import register
-from sightline.plans.sql import BODY, EMAIL_SQL, SEGMENTS
+from sightline.plans.sql import EMAIL_SQL, SEGMENTS
 from sightline.plans.web import ANCHORS, ASSETS, CONTROLS, ROOT, THOST, WEB, facts
 
 A = ANCHORS
@@ -90,7 +90,6 @@ SEMANTIC = f"""{A}, {TX}, {BRAND}, {MSG}, {PRM}, {TOB}, se0 AS (SELECT page_id,
   se1 AS (SELECT *, row_number() OVER (PARTITION BY page_id, observation_type, value ORDER BY stage, ord, sub) AS nth FROM se0 WHERE value <> ''),
   sem AS (SELECT * FROM (SELECT page_id, observation_type, value, row_number() OVER (PARTITION BY page_id ORDER BY stage, ord, sub) AS place FROM se1 WHERE nth = 1) WHERE place <= 500)"""
 semantic = lambda s, d: b.kept(s, d, "observations", lambda: markup.semantic_observations(b.nodes(s, d)))
-register("semantic_observations", lambda s, d: semantic(s, d).select("page_id", "observation_id", "observation_type", "value"), f"WITH {SEMANTIC} SELECT page_id, 'observation-' || printf('%04d', place) AS observation_id, observation_type, value FROM sem")
 register("distinct_observations", lambda s, d: ob.distinct_observations(semantic(s, d), "page_id", "observation_id").select("page_id", "observation_id", "observation_type", "value"), f"WITH {SEMANTIC} SELECT page_id, 'observation-' || printf('%04d', place) AS observation_id, observation_type, value FROM (SELECT *, row_number() OVER (PARTITION BY observation_type, value ORDER BY page_id, place) AS k FROM sem) WHERE k = 1")
 _IND = [(t, g) for g, v in ob.INDICATORS.items() for t in v]
 _DIRECT = """CASE WHEN observation_type = 'claimed_brand_identity' THEN 'gambling_brand_claim' WHEN observation_type = 'public_offer_claim' THEN 'gambling_offer' WHEN observation_type IN ('public_payment_method', 'public_payment_provider') THEN 'transaction_enablement'

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.functions import policy, urls
-from sightline.operators import suffixes
 from sightline.operators.log_windows import status_case
 from sightline.plans import bindings as b
 from sightline.plans.registry import register

@@ -26,7 +26,7 @@ EVIDENCE_FIELDS = {
     "ocr_text_evidence_id": "ocr_text", "ocr_metadata_evidence_id": "ocr_metadata",
 }
 PARTS = {
-    "case": Part(True, "case_id:string,status:string,seed_url:string,final_url:string,page_title:string,started_at:string,completed_at:string,capture_outcome:string,public_status:string,content_usable:boolean,page_count:long,candidate_count:long,limitation_reasons:array<string>,collection_limits:variant", many=False),
+    "case": Part(True, "case_id:string,status:string,seed_url:string,final_url:string,page_title:string,started_at:string,completed_at:string,capture_outcome:string,public_status:string,capture_adequacy:string,content_usable:boolean,page_count:long,candidate_count:long,limitation_reasons:array<string>,collection_limits:variant", many=False),
     "pages": Part(True, "id:string,depth:int,state:string,final_url:string,content_usable:boolean," + ",".join(f"{c}:string" for c in EVIDENCE_FIELDS)),
     "evidence": Part(True, "id:string,type:string,path:string,sha256:string,source_url:string,page_id:string,metadata:variant"),
     "entities": Part(True, "id:string,type:string,normalized_value:string,source_evidence_id:string,confidence:double,details:variant"),
