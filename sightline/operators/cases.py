@@ -108,6 +108,13 @@ def ranked_candidates(scores: DataFrame) -> DataFrame:
     return scores.withColumn("place", F.row_number().over(W.partitionBy("case_id").orderBy(F.desc("score"), "host")))
 
 
+def ranked_frontier(links: DataFrame) -> DataFrame:
+    """page_id, href, crawl_url, label, method, score, place: the distinct links of a page, in order of score, crawl_url (nulls last), href, label and method."""
+    own = ["page_id", "href", "crawl_url", "label", "method", "score"]
+    order = W.partitionBy("page_id").orderBy("score", F.col("crawl_url").asc_nulls_last(), "href", "label", "method")
+    return links.select(own).distinct().withColumn("place", F.row_number().over(order))
+
+
 def cross_case_matches(observations: DataFrame, per_case: int = 12) -> DataFrame:
     """case_id, other_case, relation, value, page_id, observation_id, place: exact values that another case publishes too, one for each (other
     case, relation, value), in that order, ``per_case`` at most, with the case's last observation of the value.

@@ -139,7 +139,7 @@ register(
 )
 register(
     "ranked_frontier",
-    lambda s, d: _frontier(s, d).groupBy("page_id", "href", "crawl_url", "label", "score").agg(F.min("elem_ord").alias("o")).withColumn("place", F.row_number().over(W.partitionBy("page_id").orderBy("score", F.col("crawl_url").asc_nulls_last(), "href", "label"))).select("page_id", "href", "label", "place"),
+    lambda s, d: cases.ranked_frontier(_frontier(s, d).withColumn("method", F.lit("html_anchor"))).select("page_id", "href", "label", "place"),
     f"WITH {FRONTIER} SELECT page_id, href, label, row_number() OVER (PARTITION BY page_id ORDER BY score, crawl_url, href, label) AS place FROM (SELECT DISTINCT page_id, href, crawl_url, label, score FROM f0)",
 )
 def _pairs(rows, key):

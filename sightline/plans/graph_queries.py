@@ -14,7 +14,7 @@ from sightline.plans.markup_queries import ENTITIES, SEMANTIC, entities, semanti
 from sightline.plans.log_queries import LOG
 from sightline.plans.registry import register
 from sightline.plans.url_queries import HOST
-from sightline.sources import read_table
+from sightline.sources import cases as src, read_table
 from sightline.streaming import log as st
 
 FINAL_URL = "CASE WHEN length(url) % 3 = 0 THEN replace(url, '://', '://www.') ELSE url END"
@@ -270,3 +270,31 @@ def _invariants(s, d):
 
 
 register("invariant_report", _invariants, "WITH o AS (SELECT event_type AS name, count(*) AS observed FROM events GROUP BY 1), e AS (SELECT name, CASE WHEN name = 'click' THEN 'equals' ELSE 'less_or_equal' END AS operator, observed // 100 * 100 AS value FROM o) SELECT name, operator, value, observed, CASE WHEN operator = 'equals' THEN observed = value ELSE observed <= value END AS passed FROM e JOIN o USING (name)")
+
+
+def _report(s, d):
+    """The report of each host's run, written as JSON lines and read back; runs of many events show the first 200."""
+    log = run_log(s, d)
+    get = lambda name: F.get_json_object("payload", f"$.{name}")
+    runs = log.groupBy("run_id").agg(F.max(F.when(F.col("kind") == "run.started", get("seed_url"))).alias("seed"), F.count("*").alias("n"), (F.count_if(F.col("kind") == "assertion.proposed") - F.count_if(F.col("kind").isin("assertion.verified", "assertion.rejected"))).alias("pending"))
+    made = log.filter("kind = 'assertion.proposed'").select("run_id", F.col("sequence").alias("ord"), get("subject").alias("subject"), F.coalesce(get("assertion_type"), F.lit("candidate_related_to")).alias("type"), get("object").alias("object"))
+    facts = {"Case": F.col("run_id"), "Seed": F.col("seed"), "Persisted events": F.col("n"), "Pending human reviews": F.col("pending")}
+    lines = src.report_lines(runs, facts, made, log.withColumn("at", F.col("sequence")))
+    folder = f"{st.shared_folder(s)}/report-{uuid.uuid4().hex}"
+    src.write_report(lines, folder)
+    return s.read.schema(lines.schema).json(folder)
+
+
+register(
+    "export_run_report",
+    _report,
+    f"""WITH {RUN}, pk AS (SELECT DISTINCT case_id, pm::INT AS p FROM rn WHERE pm <> ''),
+    k AS (SELECT case_id, any_value(n) AS n, any_value(u0) AS seed, (SELECT count(*) FROM ro WHERE ro.case_id = rp.case_id) AS o, (SELECT count(*) FROM pk WHERE pk.case_id = rp.case_id) AS l, (SELECT count(*) FROM ro WHERE ro.case_id = rp.case_id AND t = 'public_email_address') AS m, (SELECT count(*) FROM pk WHERE pk.case_id = rp.case_id AND p % 2 = 0) AS c, (SELECT count(*) FROM pk WHERE pk.case_id = rp.case_id AND p IN (0, 2, 4)) AS v FROM rp GROUP BY case_id),
+    e AS (SELECT *, unnest(range(1, 3 + n + o + l + m + 2 * c + v)) AS q FROM k),
+    f AS (SELECT *, CASE WHEN q = 1 THEN 'run.started' WHEN q <= 1 + n THEN 'artifact.captured' WHEN q <= 1 + n + o THEN 'observation.created' WHEN q <= 1 + n + o + l THEN 'search.lead.discovered' WHEN q <= 1 + n + o + l + m THEN 'entity.matched' WHEN q <= 1 + n + o + l + m + c THEN 'candidate_page.collected' WHEN q <= 1 + n + o + l + m + 2 * c THEN 'assertion.proposed'
+      WHEN q <= 1 + n + o + l + m + 2 * c + v THEN 'review' ELSE 'run.completed' END AS kind FROM e),
+    w AS (SELECT case_id, p, row_number() OVER (PARTITION BY case_id ORDER BY p) AS r FROM pk WHERE p % 2 = 0), x AS (SELECT case_id, p, row_number() OVER (PARTITION BY case_id ORDER BY p) AS r FROM pk WHERE p IN (0, 2, 4))
+    SELECT case_id AS run_id, 0 AS section, 0 AS ord, '# Run summary' AS line FROM k UNION ALL SELECT case_id, 0, 1, '- Case: `' || case_id || '`' FROM k UNION ALL SELECT case_id, 0, 2, '- Seed: `' || seed || '`' FROM k UNION ALL SELECT case_id, 0, 3, '- Persisted events: `' || (2 + n + o + l + m + 2 * c + v) || '`' FROM k UNION ALL SELECT case_id, 0, 4, '- Pending human reviews: `' || (c - v) || '`' FROM k
+    UNION ALL SELECT case_id, 1, 1 + n + o + l + m + c + r, '- `nowhere` **candidate_related_to** `https://partner' || p || '.example.net/page`' FROM w JOIN k USING (case_id) UNION ALL SELECT case_id, 1, 0, '- No candidate assertion was created.' FROM k WHERE c = 0
+    UNION ALL SELECT f.case_id, 2, q, '- `' || q || '` ' || CASE WHEN kind = 'review' THEN CASE WHEN x.p = 2 THEN 'assertion.rejected' ELSE 'assertion.verified' END ELSE kind END || ' (`' || f.case_id || '#' || q || '`)' FROM f LEFT JOIN x ON x.case_id = f.case_id AND kind = 'review' AND x.r = q - (1 + n + o + l + m + 2 * c) WHERE q <= 200""",
+)

@@ -11,7 +11,6 @@ from sightline.functions import urls
 from sightline.operators import html, leads, markup
 from sightline.plans import bindings as b
 from sightline.plans.markup_queries import NAVIGATION, OUTCOMES, SEMANTIC, TX, outcomes, semantic
-from sightline.plans.log_queries import LOG
 from sightline.plans.registry import register
 from sightline.plans.url_queries import ANCHORS, HOST
 from sightline.plans.web import THOST, WHOLE
@@ -245,11 +244,6 @@ def _write(s, d):
 register("write_case_tables", _write, f"SELECT {HOST} AS case_id, count(*) AS n, max(page_id) AS last FROM pages GROUP BY 1")
 
 
-def _report(s, d):
-    log = b.event_log(s, d)
-    return src.report_lines(log.groupBy("run_id").agg(F.count("*").alias("n_events")), log.filter("kind = 'purchase'"), log, 50)
-
-
 def _ocr(s, d):
     """Words of benchmark passages as OCR words, eight to a line."""
     rows = read_table(s, d, "benchmark").select(F.col("item_id").alias("page_id"), F.posexplode(F.split("text", r"\s+")).alias("k", "text"))
@@ -266,22 +260,6 @@ register(
 )
 
 
-def _report_file(s, d):
-    """The report of each run, written as JSON lines and read back."""
-    folder = f"{shared_folder(s)}/report-{uuid.uuid4().hex}"
-    lines = _report(s, d)
-    src.write_report(lines, folder)
-    return s.read.schema(lines.schema).json(folder)
-
-
-register(
-    "export_run_report",
-    _report_file,
-    f"""WITH {LOG} SELECT run_id, 0 AS section, 0 AS ord, '# Run ' || run_id || ': ' || count(*) || ' events' AS line FROM log GROUP BY run_id UNION ALL SELECT run_id, 1, sequence, '- ' || kind FROM log WHERE kind = 'purchase'
-    UNION ALL SELECT run_id, 2, sequence, sequence || ' ' || kind FROM log WHERE sequence <= 50""",
-)
-
-
 def _catalog(s, d):
     at = F.col("page_id")
     known = b.pages(s, d).groupBy("case_id").agg(F.max("page_id").alias("at")).withColumn("title", F.concat(F.lit("Case "), "case_id"))
