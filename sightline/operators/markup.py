@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from sightline.functions import policy, urls
 from sightline.operators import observations as ob
 from sightline.operators.html import first_text, text_of
+from sightline.sources.tables import written
 
 # Hosts of messaging links.
 WHATSAPP_HOSTS = ["wa.me", "www.wa.me", "api.whatsapp.com", "web.whatsapp.com"]
@@ -298,7 +299,8 @@ def semantic_evidence(nodes: DataFrame, redirects: DataFrame, snapshots: DataFra
 
     Context is the text around a find in visible text, and the element's own text for elements. Snapshots: page_id, snap, href, text, selector, x, y, width, height.
     """
-    every = _snapshot_of(_every(nodes, redirects).filter("value <> '' and raw <> ''"), snapshots).withColumn("selector", F.col("s.selector"))
+    found = written(_every(nodes, redirects).filter("value <> '' and raw <> ''"), "evidence")  # read twice below
+    every = _snapshot_of(found, snapshots).withColumn("selector", F.col("s.selector"))
     order = ["stage", "ord", "sub"]
     first = F.row_number().over(W.partitionBy("page_id", "observation_type", "value", "selector").orderBy(*order))
     one = every.withColumn("nth", first).filter("nth = 1").withColumn("place", F.row_number().over(W.partitionBy("page_id").orderBy(*order, "selector"))).filter(F.col("place") <= MAX_OBSERVATIONS)
