@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from sightline.functions import labels
-from sightline.operators import evaluation as ev, graph as g, replay as rp
+from sightline.operators import evaluation as ev, graph as g, long_replay as lr, replay as rp
 from sightline.plans import bindings as b
 from sightline.plans.markup_queries import ENTITIES, SEMANTIC, entities, semantic
 from sightline.plans.log_queries import LOG
@@ -157,6 +157,9 @@ def _twice(s, d):
 
 
 register("replay_graph", lambda s, d: _flat(rp.replay(_twice(s, d))), f"WITH {RUN} {_ITEMS}")
+register("replay_long_runs", lambda s, d: _flat(lr.replay_long(_twice(s, d))), f"WITH {RUN} {_ITEMS}")
+
+
 def _as_of(s, d):
     """Each run up to its last observation, before leads, matches and reviews change what is known."""
     log = run_log(s, d)
