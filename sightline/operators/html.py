@@ -133,7 +133,8 @@ def elements(pages: DataFrame) -> DataFrame:
 
 
 def elements_of(all_nodes: DataFrame) -> DataFrame:
-    return all_nodes.filter("kind = 'element'").select("page_id", F.col("ord").alias("elem_ord"), "tag", "attrs", "region", "parent")
+    """page_id, elem_ord, tag, attrs, region, parent, form, path of each element: parent and form are an elem_ord or -1, and elements that name something have their path."""
+    return all_nodes.filter("kind = 'element'").select("page_id", F.col("ord").alias("elem_ord"), "tag", "attrs", "region", "parent", "form", "path")
 
 
 def text_of(all_nodes: DataFrame) -> DataFrame:

@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, Window as W
 
 from sightline.operators import html, observations as ob
 from sightline.plans import bindings as b
 from sightline.plans.registry import register
 from sightline.plans.sql import EMAIL_SQL, SEGMENTS, TEXTS
 
+def _elements(s, d):
+    """Elements by their place in the page, with region and all attributes."""
+    place = F.row_number().over(W.partitionBy("page_id").orderBy("elem_ord")) - 1
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("attrs"), lambda x: F.concat(x["key"], F.lit('="'), x["value"], F.lit('"')))), " ")
+    return html.elements(b.pages(s, d)).select("page_id", place.alias("place"), "tag", "region", shown.alias("attributes"))
+
+
 register(
     "html_elements",
-    lambda s, d: html.elements(b.pages(s, d)).groupBy("tag", "region").agg(F.count("*").alias("n")),
-    """WITH p AS (SELECT *, CASE WHEN contains(html, '<nav>') THEN 'nav' END AS n FROM pages), t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<nav>.*?</nav>', '', 'g'), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages),
-    i AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages)
-    SELECT tag, 'document' AS region, count(*) AS n FROM t GROUP BY tag UNION ALL SELECT 'nav', 'document', count(*) FROM p WHERE n IS NOT NULL UNION ALL SELECT tag, 'nav', count(*) FROM i GROUP BY tag""",
+    _elements,
+    r"""WITH h AS (SELECT page_id, regexp_replace(html, '(?s)<(script|style)([^>]*)>.*?</(script|style)>', '<\1\2></\1>', 'g') AS html FROM pages),
+    l AS (SELECT page_id, regexp_extract_all(html, '</?[a-z][^>]*>') AS l FROM h), u AS (SELECT page_id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS k FROM l),
+    w AS (SELECT *, coalesce(sum(CASE WHEN starts_with(t, '<nav') THEN 1 WHEN starts_with(t, '</nav') THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nav FROM u)
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS place, regexp_extract(t, '<([a-z0-9]+)', 1) AS tag, CASE WHEN nav > 0 THEN 'nav' ELSE 'document' END AS region,
+    replace(replace(array_to_string(list_sort(regexp_extract_all(t, '([a-z-]+="[^"]*")', 1)), ' '), '&quot;', chr(34)), '&amp;', '&') AS attributes FROM w WHERE NOT starts_with(t, '</')""",
 )
 register(
     "visible_text",
-    lambda s, d: html.visible_text(b.pages(s, d)).select("page_id", F.length(F.regexp_replace("text", r"\s+", " ")).alias("n_chars")),
-    f"SELECT page_id, length(regexp_replace(array_to_string({SEGMENTS}, ' '), '\\s+', ' ', 'g')) AS n_chars FROM pages",
+    lambda s, d: html.visible_text(b.pages(s, d)).select("page_id", F.regexp_replace("text", r"\s+", " ").alias("text")),
+    f"SELECT page_id, regexp_replace(array_to_string({SEGMENTS}, ' '), '\\s+', ' ', 'g') AS text FROM pages",
 )
 
 

@@ -30,6 +30,19 @@ def test_entities_of_a_page_with_1100_links(spark):
     assert min(int(r.entity_id[7:]) for r in markup.entities(pages, html.nodes(pages), start=500).collect()) == 500
 
 
+def test_elements_with_parents_forms_and_paths(spark):
+    page = '<html><body><p>x</p><form id="f" action="/s"><div><button>Go</button></div><br><a href="/a?x=1&amp;y=2">A</a></form><p><b><a href="/b">B</a></p><a id="last" href="/c">C</a></body></html>'
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")
+    rows = {r.elem_ord: r for r in html.elements(pages).collect()}
+    tag = lambda k: rows[k].tag if k >= 0 else None
+    got = [(r.tag, tag(r.parent), tag(r.form), r.path) for _, r in sorted(rows.items())]
+    assert got == [
+        ("html", None, None, None), ("body", "html", None, None), ("p", "body", None, None), ("form", "body", None, None), ("div", "form", "form", None), ("button", "div", "form", "body > form > div > button"), ("br", "form", "form", None),
+        ("a", "form", "form", "body > form > a"), ("p", "body", None, None), ("b", "p", None, None), ("a", "b", None, "body > p:nth-of-type(2) > b > a"), ("a", "body", None, "a#last"),
+    ]
+    assert dict(next(r for r in rows.values() if r.tag == "a").attrs) == {"href": "/a?x=1&y=2"}
+
+
 def test_kept_tables_follow_their_input(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     folder = f"{tmp_path}/pages.parquet"
