@@ -1,4 +1,6 @@
+import os
 import random
+from collections import Counter, defaultdict
 
 import cases
 import pytest
@@ -69,3 +71,23 @@ def test_links_of_large_nodes_are_all_compared(spark):
             words[k * 10 + 1 : k * 10 + 10] = [f"n{chain}x{k}x{j}" for j in range(9)]
     got = near_dedup.near_duplicates(cases.frame(spark, data), size=2, trees=12, levels=(2, 9), leaf=2).collect()
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_recall_on_the_given_documents(spark, size):
+    """Documents whose id is divisible by 20 against all: each link found by counting shared shingles must lie within one component."""
+    docs = spark.read.parquet(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01") + "/documents.parquet")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, size=size).collect()}
+    sets, holders = {}, defaultdict(list)
+    for r in docs.select("doc_id", "text").collect():
+        sets[r.doc_id] = shingles(r.text, size)
+        for s in sets[r.doc_id]:
+            holders[s].append(r.doc_id)
+    assert {d: len(s) for d, s in sets.items()} == {d: n for d, (n, _) in found.items()}
+    links = []
+    for d in (d for d in sets if d % 20 == 0):
+        shared = Counter(o for s in sets[d] for o in holders[s] if o != d)
+        links += [(d, o) for o, n in shared.items() if 100 * n >= 80 * (len(sets[d]) + len(sets[o]) - n)]
+    met = sum(found[a][1] == found[b][1] for a, b in links)
+    print(f"size {size}: {met} of {len(links)} links")
+    assert links and met >= 0.99 * len(links)
