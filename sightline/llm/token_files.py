@@ -47,6 +47,11 @@ PUNCTUATION = ".,;:!?"
 LINE = "\x00"
 
 
+def _gaps(values: list) -> list[int]:
+    """Where a list holds None."""
+    return [k for k, v in enumerate(values) if v is None]
+
+
 class Encoder:
     """Ids of whole texts as bytes. A text is cut before white space, where no pre-token can go on; plain words are told apart from what follows
     them, and their ids are kept, in two generations of a bounded size of which the older is dropped.
@@ -71,8 +76,8 @@ class Encoder:
     def _word_ids(self, strings: list[str]) -> list[bytes]:
         """Ids of plain words, each with or without a space before it."""
         size, out = int(self.width[2]), []
-        for k in range(0, len(strings), 1024):
-            ids = np.array(self.words.encode_batch_fast(["\n".join(strings[k : k + 1024])], add_special_tokens=False)[0].ids, dtype=self.width)
+        for k in range(0, len(strings), 128):
+            ids = np.array(self.words.encode_batch_fast(["\n".join(strings[k : k + 128])], add_special_tokens=False)[0].ids, dtype=self.width)
             data, ends = ids.tobytes(), [*np.flatnonzero(ids == self.line).tolist(), len(ids)]
             out += [data[size * begin : size * end] for begin, end in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
         return out
@@ -84,6 +89,9 @@ class Encoder:
             if name in older:
                 known[name] = older[name]
                 continue
+            if name.isalpha() and len(name) < LONG:  # most are plain words, or such with punctuation
+                words.append(name)
+                continue
             word = name.rstrip(PUNCTUATION)
             if len(word) < len(name) and word[word[:1] in (" ", LINE) :].isalpha():
                 tailed.append((name, word))
@@ -126,21 +134,22 @@ class Encoder:
             if LINE in texts[k]:
                 rows[k] = self._slow(texts[k])
         ids = [list(map(known.get, row)) for row in rows]
-        new = {name for row, own in zip(rows, ids, strict=True) if None in own for name, v in zip(row, own, strict=True) if v is None}
+        gaps = [_gaps(own) for own in ids]
+        new = {row[k] for row, some in zip(rows, gaps, strict=True) for k in some}
         # a part that is empty, or ends with white space, does not end where a pre-token ends
         odd = {p for p in new if not p or p == LINE or p[-1].isspace()} - {" \n"}
         new -= odd
         if odd:
             for k, row in enumerate(rows):
-                if None in ids[k] and not odd.isdisjoint(row):
+                if gaps[k] and not odd.isdisjoint(row):
                     rows[k] = self._slow(texts[k])
                     ids[k] = list(map(known.get, rows[k]))
-                    new.update(name for name, v in zip(rows[k], ids[k], strict=True) if v is None)
+                    gaps[k] = _gaps(ids[k])
+                    new.update(rows[k][g] for g in gaps[k])
         long = self._learn(new)
-        for row, own in zip(rows, ids, strict=True):
-            if None in own:
-                for k in [k for k, v in enumerate(own) if v is None]:
-                    own[k] = known[row[k]]
+        for row, own, some in zip(rows, ids, gaps, strict=True):
+            for k in some:
+                own[k] = known[row[k]]
         for name in long:
             known.pop(name, None)
         return list(map(b"".join, ids))

@@ -105,3 +105,22 @@ def test_empty_table(spark):
     docs = cases.frame(spark, [])
     files = tf.write_ids(docs)
     assert tf.fetch(tf.lookup(tf.keys_of(docs), tf.build_index(spark, files)), files).count() == 0
+
+
+def test_words_are_encoded_in_short_lines():
+    """Words new to a worker go to the tokenizer some at a time, on which its time per word depends; plain ones are taken as they are."""
+    coder, sizes = tf.Encoder(open(PATH, "rb").read(), "<u2"), []
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, strings, **more):
+            sizes.extend(s.count("\n") + 1 for s in strings)
+            return self.inner.encode_batch_fast(strings, **more)
+
+    coder.words = Watched(coder.words)
+    text = " ".join("abc" + "".join(chr(97 + int(c)) for c in str(k)) + ("," if k % 3 == 0 else "") for k in range(3000))
+    (got,) = coder.encode([text])
+    assert np.frombuffer(got, "<u2").tolist() == full(Tokenizer.from_file(PATH), text)
+    assert sum(sizes) == 3000 and max(sizes) <= 128
