@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -35,6 +36,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SHARD_BYTES = 16 << 20  # of text
 BLOCK_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20  # of text, encoded at once
 KEYS_PER_BUCKET = 1 << 14
 CACHE, LONG = 1 << 19, 48
 HEADER = "<8sIIQQ"  # magic, bytes of an id, shard, documents, ids
@@ -45,11 +47,7 @@ GAMMA = 2  # bits of a level by keys that reach it
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 PUNCTUATION = ".,;:!?"
 LINE = "\x00"
-
-
-def _gaps(values: list) -> list[int]:
-    """Where a list holds None."""
-    return [k for k, v in enumerate(values) if v is None]
+FEED = "\u010a"  # a line feed, as byte-level vocabularies write it
 
 
 class Encoder:
@@ -63,25 +61,41 @@ class Encoder:
         import tokenizers
 
         self.width, self.known, self.older, self.tails = width, {" ": b""}, {}, {}
-        self.whole, self.words = tokenizers.Tokenizer.from_buffer(model), tokenizers.Tokenizer.from_buffer(model)
-        # a plain word is one pre-token, so many of them, one a line, need no pattern
-        lines = tokenizers.pre_tokenizers.Split("\n", "isolated")
-        self.words.pre_tokenizer = tokenizers.pre_tokenizers.Sequence([lines, tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.whole = tokenizers.Tokenizer.from_buffer(model)
+        # a plain word is one pre-token, so many of them, one a line, need no pattern; a line feed stays with the word before it, and the model has no piece of both
+        self.words = tokenizers.Tokenizer(self.whole.model)
+        self.words.normalizer = tokenizers.normalizers.ByteLevel()
+        self.words.pre_tokenizer = tokenizers.pre_tokenizers.Split(FEED, "merged_with_previous")
         (self.line,) = self.whole.encode("\n", add_special_tokens=False).ids
         self.feed = self._ids(["\n"])[0]
 
     def _ids(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.width).tobytes() for e in self.whole.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _word_ids(self, strings: list[str]) -> list[bytes]:
-        """Ids of plain words, each with or without a space before it."""
+    def _line_ids(self, tokenizer, strings: list[str]) -> list[bytes]:
+        """Ids of strings without white space, but for a space before them; many go to the tokenizer at once, one a line."""
         size, out = int(self.width[2]), []
         for k in range(0, len(strings), 128):
-            ids = np.array(self.words.encode_batch_fast(["\n".join(strings[k : k + 128])], add_special_tokens=False)[0].ids, dtype=self.width)
-            data, ends = ids.tobytes(), [*np.flatnonzero(ids == self.line).tolist(), len(ids)]
-            out += [data[size * begin : size * end] for begin, end in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+            some = strings[k : k + 128]
+            ids = np.array(tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype=self.width)
+            data, ends = ids.tobytes(), [*(size * np.flatnonzero(ids == self.line)).tolist(), size * len(ids)]
+            if len(ends) == len(some):
+                out += [data[begin:end] for begin, end in zip([0, *(e + size for e in ends[:-1])], ends, strict=True)]
+            else:  # a vocabulary with pieces of a letter and a line feed
+                out += self._ids(some)
         return out
 
+    def _word_ids(self, strings: list[str]) -> list[bytes]:
+        """Ids of plain words, each with or without a space before it."""
+        return self._line_ids(self.words, strings)
+
+    def _other_ids(self, strings: list[str]) -> list[bytes]:
+        lines = [k for k, s in enumerate(strings) if len(s) <= LONG and s.split() == [s.removeprefix(" ")]]
+        out = dict(zip(lines, self._line_ids(self.whole, [strings[k] for k in lines]), strict=True))
+        alone = [k for k in range(len(strings)) if k not in out]
+        out.update(zip(alone, self._ids([strings[k] for k in alone]), strict=True))
+        return [out[k] for k in range(len(strings))]
+
     def _learn(self, names: set[str]) -> list[str]:
         """Puts the ids of the pieces into ``known``; gives the long ones among them."""
         known, older, tailed, lines, words, rest = self.known, self.older, [], [], [], []
@@ -103,7 +117,7 @@ class Encoder:
             if word not in known:
                 string = word[1:] if word[0] == " " else " " + word
                 (words if len(string) <= LONG and string[string[0] == " " :].isalpha() else rest).append(word)
-        for names_, ids in ((words, self._word_ids), (rest, self._ids)):
+        for names_, ids in ((words, self._word_ids), (rest, self._other_ids)):
             names_ = list(dict.fromkeys(names_))
             known.update(zip(names_, ids([n[1:] if n[0] == " " else " " + n for n in names_]), strict=True))
         for name in lines:
@@ -122,37 +136,50 @@ class Encoder:
         name = lambda p: p[1:] if p[0] == " " and p[1:2] not in ("", " ", LINE) and not p[1].isspace() else " " + p
         return [name(p) for p in CUT.split(text) if p]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The distinct pieces of all texts are looked up, and new ones learned; Arrow splits the texts, numbers the pieces and puts their ids in place."""
+        if not len(texts):
+            return []
         if len(self.known) > CACHE:
             self.known, self.older = {" ": b""}, self.known
-        known = self.known
-        rows = [t.replace("\n", " " + LINE).split(" ") for t in texts]
-        for k, row in enumerate(rows):
-            row[0] = " " + row[0] if row[0][:1] != LINE else row[0]
-            if row[-1] == LINE:
-                row[-1] = " \n"
-            if LINE in texts[k]:
-                rows[k] = self._slow(texts[k])
-        ids = [list(map(known.get, row)) for row in rows]
-        gaps = [_gaps(own) for own in ids]
-        new = {row[k] for row, some in zip(rows, gaps, strict=True) for k in some}
+        known, column = self.known, pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        rows = pc.split_pattern(pc.replace_substring(column, "\n", " " + LINE), " ")
+        ends = rows.offsets.to_numpy().astype(np.int64)
+        pieces, ends = rows.values.dictionary_encode(), ends - ends[0]
+        names, codes = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy().copy()
+        named: dict[str, int] = {}
+        for begin, end in zip(ends[:-1].tolist(), (ends[1:] - 1).tolist(), strict=True):
+            if not (first := names[codes[begin]]).startswith(LINE):
+                codes[begin] = named.setdefault(" " + first, len(names) + len(named))
+            if codes[end] < len(names) and names[codes[end]] == LINE:
+                codes[end] = named.setdefault(" \n", len(names) + len(named))
+        names += named
+        ids = list(map(known.get, names))
+        used = np.zeros(len(names), dtype=bool)
+        used[codes] = True
+        gaps = [k for k, (found, asked) in enumerate(zip(ids, used.tolist(), strict=True)) if found is None and asked]
         # a part that is empty, or ends with white space, does not end where a pre-token ends
-        odd = {p for p in new if not p or p == LINE or p[-1].isspace()} - {" \n"}
-        new -= odd
+        odd = [k for k in gaps if not (p := names[k]) or p == LINE or (p[-1].isspace() and p != " \n")]
+        new = {names[k] for k in gaps}.difference(names[k] for k in odd)
+        slow = pc.match_substring(column, LINE).to_numpy(zero_copy_only=False)
         if odd:
-            for k, row in enumerate(rows):
-                if gaps[k] and not odd.isdisjoint(row):
-                    rows[k] = self._slow(texts[k])
-                    ids[k] = list(map(known.get, rows[k]))
-                    gaps[k] = _gaps(ids[k])
-                    new.update(rows[k][g] for g in gaps[k])
+            strange = np.zeros(len(names), dtype=bool)
+            strange[odd] = True
+            slow[np.searchsorted(ends, np.flatnonzero(strange[codes]), side="right") - 1] = True
+        others = {k: self._slow(column[k].as_py()) for k in np.flatnonzero(slow).tolist()}
+        new.update(p for row in others.values() for p in row if p not in known)
         long = self._learn(new)
-        for row, own, some in zip(rows, ids, gaps, strict=True):
-            for k in some:
-                own[k] = known[row[k]]
+        for k in gaps:
+            ids[k] = known.get(names[k])
+        data = pa.array(ids, pa.large_binary()).take(pa.array(codes))
+        stops = np.frombuffer(data.buffers()[1], dtype=np.int64)[data.offset + ends]
+        joined = memoryview(data.buffers()[2] or b"")
+        out = [bytes(joined[begin:end]) for begin, end in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+        for k, row in others.items():
+            out[k] = b"".join(map(known.__getitem__, row))
         for name in long:
             known.pop(name, None)
-        return list(map(b"".join, ids))
+        return out
 
 
 _ENCODERS: dict[tuple[int, str], Encoder] = {}
@@ -204,9 +231,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str | None = None, end_id: int =
         row = lambda kind, n, data: pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["kind", "block", "value"])
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for start, stop in slices(text_buffers(texts)[1], 1 << 20):
+            for start, stop in slices(text_buffers(texts)[1], SLICE_BYTES):
                 gc.disable()  # a batch makes many lists and no cycles
-                encoded = coder.encode([t or "" for t in texts.slice(start, stop - start).to_pylist()])
+                encoded = coder.encode(texts.slice(start, stop - start).fill_null(""))
                 gc.enable()
                 ids.append(keys.slice(start, stop - start).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 nulls.append(keys.slice(start, stop - start).is_null().to_numpy(zero_copy_only=False).astype("u1"))

@@ -124,3 +124,41 @@ def test_words_are_encoded_in_short_lines():
     (got,) = coder.encode([text])
     assert np.frombuffer(got, "<u2").tolist() == full(Tokenizer.from_file(PATH), text)
     assert sum(sizes) == 3000 and max(sizes) <= 128
+
+
+def test_a_batch_looks_each_piece_up_once_and_learns_others_in_lines():
+    """Pieces that come back in a batch are looked up once for all its texts, and pieces that are no plain words share calls of the tokenizer, too."""
+    coder, looked, calls = tf.Encoder(open(PATH, "rb").read(), "<u2"), [], []
+
+    class Table(dict):
+        def get(self, name, default=None):
+            looked.append(name)
+            return super().get(name, default)
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, strings, **more):
+            calls.extend(strings)
+            return self.inner.encode_batch_fast(strings, **more)
+
+    coder.known, coder.whole = Table(coder.known), Watched(coder.whole)
+    texts = [" ".join(["one", "two,", *(f"k{k}-{k}.x" for k in range(500))]) + end for end in ("", "\n", "\nx", "", " ", "é \t y")] * 20
+    got = coder.encode(texts)
+    tokenizer = Tokenizer.from_file(PATH)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [full(tokenizer, t) for t in texts]
+    assert len(looked) < 2000 and len(calls) < 30
+
+
+def test_a_vocabulary_with_a_letter_and_a_line_feed_in_one_piece():
+    """Such a piece must not join the words of two lines."""
+    import json
+
+    model = json.loads(open(PATH).read())
+    model["model"]["vocab"]["eĊ"] = len(model["model"]["vocab"]) + 1
+    model["model"]["merges"].insert(0, ["e", "Ċ"] if isinstance(model["model"]["merges"][0], list) else "e Ċ")
+    data = json.dumps(model)
+    text = "bee zee ape one, tee. the end ape"
+    (got,) = tf.Encoder(data.encode(), "<u2").encode([text])
+    assert np.frombuffer(got, "<u2").tolist() == full(Tokenizer.from_str(data), text)
