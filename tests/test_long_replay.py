@@ -62,3 +62,19 @@ def test_empty_log_and_rows_without_run_or_payload(spark):
     assert lr.replay_long(spark.createDataFrame([], SCHEMA)).count() == 0
     log = spark.createDataFrame([(None, "c", 1, "e1", "run.started", None), ("r", "c", 1, "e1", "run.started", None), ("r", "c", 2, "e1", "artifact.captured", None)], SCHEMA)
     assert {(x.item, x.id, x.label) for x in lr.replay_long(log).collect()} == {("node", "seed:c", "c"), ("animation", "0", "1")}
+
+
+def test_passes_end_with_the_last_change_and_fold_no_names_that_nothing_meets(spark, monkeypatch):
+    """A pass is not repeated where the messages of the one before are the same; pages that stand for themselves, and observations never matched, are not folded."""
+    passes, told, folded, one = [], [], lr._folded, lr._pass
+    monkeypatch.setattr(lr, "_pass", lambda rows, messages: passes.append(0) or one(rows, messages))
+    monkeypatch.setattr(lr, "_folded", lambda rows, make, schema: (told.append(rows.count()) if make is lr._Id else None) or folded(rows, make, schema))
+    log = [("r", "c", 1, "e1", "run.started", json.dumps({"seed_url": "https://a.example/"}))]
+    log += [("r", "c", q, f"e{q}", "artifact.captured", json.dumps({"node_id": f"page:{q}", "label": f"https://a.example/{q}"})) for q in range(2, 12)]
+    found = {"observation_type": "public_outgoing_link", "normalized_value": "https://b.example/x"}
+    log += [("r", "c", q, f"e{q}", "observation.created", json.dumps(found | {"observation_id": f"o{q}", "source_node_id": f"page:{q % 10 + 2}"})) for q in range(12, 212)]
+    log += [("r", "c", 212, "e212", "observation.created", json.dumps(found | {"observation_id": "o212", "source_node_id": "page:2", "normalized_value": "https://www.a.example/y"}))]
+    log += [("r", "c", 213, "e213", "entity.matched", json.dumps({"observation_id": "o13"}))]
+    frame = spark.createDataFrame(log, SCHEMA)
+    assert sets(lr.replay_long(frame)) == sets(rp.replay(frame))
+    assert len(passes) == 3 and max(told) < 2.2 * len(log)
