@@ -44,3 +44,18 @@ def test_no_file_holds_a_whole_part(spark, monkeypatch):
         assert max(sizes) < 60 and len(sizes) > 60
     finally:
         bindings.forget()
+
+
+def test_comparisons_in_pieces(spark, monkeypatch):
+    """References of a document come in rows of about RECORDS, and nothing else of the packages is built for them."""
+    query, seen = registry.queries()["comparison_reference_violations"], []
+    check = pk.comparison_violations
+    monkeypatch.setattr(pk, "comparison_violations", lambda documents, *a: (seen.append(documents), check(documents, *a))[1])
+    want = sorted(map(str, query(spark, SMALL).collect()))
+    monkeypatch.setattr(package_queries, "RECORDS", 2)
+    monkeypatch.setattr(package_queries, "_contents", None)
+    assert sorted(map(str, query(spark, SMALL).collect())) == want and len(want) > 10
+    one, many = ({r.n for r in d.selectExpr("size(entity_refs) AS n").collect()} for d in seen)
+    assert max(many) < 10 < sum(r.n for r in seen[0].selectExpr("size(entity_refs) AS n").collect()) and max(many) <= max(one)
+    total = lambda d: sorted(map(str, d.selectExpr("comparison_id", "explode(entity_refs)").collect()))
+    assert total(seen[0]) == total(seen[1]) and seen[1].count() > seen[0].count()
