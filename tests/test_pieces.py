@@ -14,22 +14,22 @@ def test_pieces_of_any_size_are_read(spark, tmp_path):
     ref = lambda k: {"code": "link", "source_observation_ids": [], "supporting_evidence_refs": [{"case_id": "big", "evidence_id": f"e{k}"}]}
     pieces = {
         "entities": [[entity(1, "y" * 2_500_000), entity(2)], [entity(3)], [entity(4), entity(4)]],
-        "graph": [{"nodes": [{"id": "n1", "type": "page", "label": "p"}]}, {"nodes": [{"id": "n2", "type": "page", "label": "p"}], "edges": [{"id": "g", "source": "n1", "target": "n2", "type": "links_to"}]}],
-        "candidates": [{"source_case_id": "other", "candidates": [{"id": f"c{k}", "reasons": [ref(k)]}]} for k in (1, 2)], "frontier": ["[{", "[{"],
+        "graph": [[{"nodes": [{"id": "n1", "type": "page", "label": "p"}]}], [{"nodes": [{"id": "n2", "type": "page", "label": "p"}] * 2}, {"edges": [{"id": "g", "source": "n1", "target": "n2", "type": "links_to"}]}, {"nodes": [{"id": "n3", "type": "page", "label": "p"}]}]],
+        "candidates": [[{"source_case_id": "other", "candidates": [{"id": f"c{k}", "reasons": [ref(k)]}]}] for k in (1, 2)], "frontier": ["{", "{"],
     }
     for part, docs in pieces.items():
         for k, doc in enumerate(docs):
             folder = tmp_path / "case_id=big" / f"part={part}" / f"piece={k}"
             folder.mkdir(parents=True)
-            (folder / "part-0.txt").write_text(doc if isinstance(doc, str) else json.dumps(doc))
+            (folder / "part-0.txt").write_text(doc if isinstance(doc, str) else "".join(json.dumps(line) + "\n" for line in doc))
     packages = src.read_packages(spark, str(tmp_path))
     tables = src.read_tables(packages)
     rows = sorted((r.ord, r.id) for r in tables["entities"].collect())
     assert [i for _, i in rows] == ["entity-1", "entity-2", "entity-3", "entity-4", "entity-4"] and len({o for o, _ in rows}) == 5
-    assert sorted(r.id for r in tables["graph_nodes"].collect()) == ["n1", "n2"] and tables["graph_edges"].count() == 1
+    assert sorted(r.id for r in tables["graph_nodes"].collect()) == ["n1", "n2", "n2", "n3"] and tables["graph_nodes"].select("ord").distinct().count() == 4 and tables["graph_edges"].count() == 1
     assert {(r.section, r.id): r.missing for r in pk.detail_rows(tables).filter("section = 'candidates'").collect()} == {("candidates", "c1"): ["e1"], ("candidates", "c2"): ["e2"]}
     found = sorted((r.rule, r.subject) for r in src.file_violations(packages).unionByName(pk.case_violations(tables)).collect())
-    assert [f for f in found if f[0] != "missing_file"] == [("broken_file", "frontier"), ("candidates_of_other_case", "other"), ("candidates_unpaired", "candidate_observations"), ("entities.id", "entity-4")]
+    assert [f for f in found if f[0] != "missing_file"] == [("broken_file", "frontier"), ("candidates_of_other_case", "other"), ("candidates_unpaired", "candidate_observations"), ("entities.id", "entity-4"), ("graph_nodes.id", "n2")]
 
 
 def test_no_file_holds_a_whole_part(spark, monkeypatch):
